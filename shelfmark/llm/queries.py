@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, substring_dedup, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,6 +20,23 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each line of every document; n_crossing counts tokens that cross a line's end."""
+    got = token_counts.by_line(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
+    return got.select("doc_id", "n_tokens", F.size("tokens").cast("long").alias("n_sections"), "n_crossing", F.array_join("tokens", ",").alias("section_tokens"), F.array_max("tokens").alias("most_tokens"))
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of every document that other documents hold too; spans are start:end:first_id in code points."""
+    got = substring_dedup.repeats(table(spark, folder, "documents"))
+    spans = F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"], p["first_id"]))
+    return got.select(
+        "doc_id", "n_chunks", "n_shared", "n_copied", F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda total, p: total + p["words"]).alias("repeated_words"),
+        F.array_join(spans, ",").alias("spans"), (F.size("passages") > 0).alias("repeated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_token_counts, op7_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
