@@ -214,12 +214,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     id_type = pa_type(docs.schema[id_col].dataType)
     out_schema = pa.schema([("id", id_type), (ids_col, pa.list_(pa.int32()))])
 
-    def reassemble(table: pa.Table) -> pa.Table:
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, set[bytes]] = {}
         copies: dict[int, int] = {}
-        for part, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist(), strict=True):
-            rows.setdefault(part, set()).add(payload)
-            copies[part] = copies.get(part, 0) + 1
+        for batch in batches:
+            for part, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows.setdefault(part, set()).add(payload)
+                copies[part] = copies.get(part, 0) + 1
         if -1 not in rows:
             raise ValueError("the input gave other rows when it was read again")
         buckets = unplanes(unpack(min(rows[-1])))
@@ -234,7 +235,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
         begin = np.zeros(len(buckets), np.int64)
         begin[order] = np.cumsum(each[order]) - each[order]
-        out = []
         for part in sorted((p for p in rows if p < -1), reverse=True):
             ids, counts, v = unpack(min(rows[part]))
             v = unplanes(v).astype(np.int64)
@@ -244,13 +244,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             words_at = np.concatenate([[0], np.cumsum(unplanes(counts).astype(np.int64))])
             at = np.concatenate([[0], ends])[words_at].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))
-            out += [pa.Table.from_arrays([pa.array(ids, id_type), lists], schema=out_schema)] * copies[part]
-        return pa.concat_tables(out)
+            for _ in range(copies[part]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), lists], schema=out_schema)
 
     ids = source.mapInArrow(words_out, PACKED).repartition(n_buckets, "part").mapInArrow(encode_words, PACKED)
     sent = ids.unionByName(source.mapInArrow(layouts_out, PACKED))
     id_ddl = docs.schema[id_col].dataType.simpleString()
-    return sent.groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, `{ids_col}` array<int>").withColumnRenamed("id", id_col)
+    return sent.select("key", "part", "payload").groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, `{ids_col}` array<int>").withColumnRenamed("id", id_col)
 
 
 def pa_type(kind) -> pa.DataType:
@@ -259,6 +259,16 @@ def pa_type(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def id_slices(batch: pa.RecordBatch, column: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most that many ids in all (a longer list alone)."""
+    at = np.concatenate([[0], np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def decoded(ids: pa.Array, table: pa.Array) -> pa.Array:
     """The bytes of each list of ids; a null list gives null."""
     if isinstance(ids, pa.ChunkedArray):
@@ -278,8 +288,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     def run(batches):
         table = token_bytes(path)
         for batch in batches:
-            got = decoded(batch.column(batch.schema.get_field_index(ids_col)), table)
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, bytes_col])
+            at = batch.schema.get_field_index(ids_col)
+            for rows in id_slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*batch.schema.names, bytes_col])
 
     return encoded.mapInArrow(run, encoded.withColumn(bytes_col, F.lit(None).cast("binary")).schema)
 
@@ -292,11 +303,12 @@ def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
         names = cached(f"names {path}", lambda: [str(i) for i in range(len(table))])
         sha = hashlib.sha256
         for batch in batches:
-            ids = batch.column(1)
-            lists = [x or [] for x in ids.to_pylist()]
-            said = [sha(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]
-            back = [sha(x or b"").hexdigest() for x in decoded(ids, table).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(said), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows in id_slices(batch, 1):
+                ids = rows.column(1)
+                lists = [x or [] for x in ids.to_pylist()]
+                said = [sha(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]
+                back = [sha(x or b"").hexdigest() for x in decoded(ids, table).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(said), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ddl = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")
