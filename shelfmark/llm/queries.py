@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, setsketch, substring_dedup, token_counts
+from . import byte_bpe, setsketch, substring_dedup, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Documents that score at least this count as toxic.
+TOXIC_FROM = 0.3
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, folder: str) -> toxicity.Model:
+    """Fitted on labels that are not held out."""
+    return toxicity.fit(docs, table(spark, folder, "labels").filter(~held_out()))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, spark, folder))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.groups(table(spark, folder, "documents"))
 
@@ -41,6 +60,6 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
