@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, setsketch, substring_dedup, token_counts, toxicity
+from . import byte_bpe, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -60,6 +60,21 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup)}
+def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts padded to a multiple of 64 bytes, packed into MPEG audio and read back."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = F.octet_length(text)
+    padded = F.greatest(F.lit(64), F.ceil(size / 64) * 64).cast("int")
+    docs = table(spark, folder, "documents").select("doc_id", size.cast("long").alias("n_bytes"), F.concat(text, F.unhex(F.repeat(F.lit("00"), padded - size))).alias("payload"))
+    back = mpeg_audio.unpacked(mpeg_audio.store(docs, "payload").drop("payload"))
+    seek = F.sha2(F.array_join("offsets", ","), 256)
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", "version", "layer", "sample_rate", "channels", "n_frames", F.concat_ws("/", "duration_num", "duration_den"), "crc_checked", "crc_errors", seek).alias("feature"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup, op9_media_columns)}
 
 ORACLES: dict[str, str] = {}
