@@ -23,11 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, deleted when the application ends."""
+def fresh_path(spark: SparkSession, name: str, make: bool = False) -> str:
+    """A path of its own in the shared folder, deleted when the application ends; make: as an empty folder."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    if make:
+        files.mkdirs(hadoop)
     return path
 
 
