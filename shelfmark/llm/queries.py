@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity
+from . import byte_bpe, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -75,6 +75,21 @@ def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup, op9_media_columns)}
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    archives, _ = warc.write(table(spark, folder, "pages"))
+    return warc.read(spark, archives, payloads=False).drop("payload")
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup, op9_media_columns, op10_warc)}
+
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f""",
+}
