@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity, warc
+from . import byte_bpe, decontamination, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -43,6 +43,11 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    got = decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each line of every document; n_crossing counts tokens that cross a line's end."""
     got = token_counts.by_line(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
@@ -81,7 +86,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, archives, payloads=False).drop("payload")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op6_token_counts, op7_substring_dedup, op9_media_columns, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op9_media_columns, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
