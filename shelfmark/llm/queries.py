@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, mpeg_audio, setsketch, substring_dedup, token_counts, toxicity, warc
+from . import byte_bpe, chat_format, decontamination, mpeg_audio, secret_scan, setsketch, substring_dedup, token_counts, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one that holds control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    back = chat_format.parsed(chat_format.formatted(chat_format.chained(rows.unionByName(odd)), "conv_id"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 #: Documents that score at least this count as toxic.
 TOXIC_FROM = 0.3
 
@@ -65,6 +75,13 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    got = secret_scan.scan(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return got.select("doc_id", *map(count, secret_scan.BASE), F.sha2(secret_scan.said(base), 256).alias("base_sha256"), secret_scan.said(F.col("spans")).alias("spans"))
+
+
 def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Texts padded to a multiple of 64 bytes, packed into MPEG audio and read back."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -86,7 +103,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, archives, payloads=False).drop("payload")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op9_media_columns, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_media_columns, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """
