@@ -69,8 +69,8 @@ def prefixed(windows: DataFrame, often: DataFrame) -> DataFrame:
     return words.groupBy("words").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.min(F.struct("often", "token", "place")).alias("rarest")).select("words", "n", "items", F.col("rarest.token").alias("token"), F.col("rarest.place").alias("place"))
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """A row for each row: id_col, n_words, n_hit (words inside occurrences of windows), items (sorted ids), spans (occurrences: start, end in words from 0)."""
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int, block: int) -> DataFrame:
+    """What hits returns, with the hash of the text."""
     windows = staged(windows_of(items, item_id, item_text, window), "windows")
     table = staged(prefixed(windows, rarity(docs, windows, text_col, block)), "prefixes")
     n_blocks = max(1, -(-table.count() // block))
@@ -97,5 +97,18 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("total")),
         lambda a: a["total"],
     )
-    out = rows.select("id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return out.drop("copy").withColumnRenamed("id", id_col)
+    out = rows.select(F.col("id").alias(id_col), "hash", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), "spans", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.drop("copy")
+
+
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """A row for each row: id_col, n_words, n_hit (words inside occurrences of windows), items (sorted ids), spans (occurrences: start, end in words from 0)."""
+    return _hits(docs, items, id_col, text_col, item_id, item_text, window, block).drop("hash")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without hits."""
+    bad = _hits(docs, items, id_col, text_col, item_id, item_text, window, block).filter("n_hit > 0")
+    bad = staged(bad.select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash")).distinct(), "contaminated")
+    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    return docs.join(bad, match, "left_anti")

@@ -59,14 +59,14 @@ def matches(text: Column, kind: str) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (row, id, kind, start, end), one of null kind for each row of docs; computed once."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """Rows (row, id, hash, kind, start, end), one of null kind for each row of docs; computed once."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
     none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("gap"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("boolean").alias("counts"))
     all_kinds = F.concat(F.array(none), *(F.coalesce(matches(F.col("text"), k), F.array().cast("array<struct<kind:string,gap:int,size:int,counts:boolean>>")) for k in KINDS))
-    rows = staged(source.select("row", "id", F.posexplode(all_kinds).alias("i", "m")).select("row", "id", "i", "m.*"), "matches")
+    rows = staged(source.select("row", "id", "hash", F.posexplode(all_kinds).alias("i", "m")).select("row", "id", "hash", "i", "m.*"), "matches")
     order = W.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(order)
-    return rows.select("row", "id", "kind", "counts", (end - F.col("size")).alias("start"), end.alias("end")).filter(F.col("kind").isNull() | F.col("counts")).drop("counts")
+    return rows.select("row", "id", "hash", "kind", "counts", (end - F.col("size")).alias("start"), end.alias("end")).filter(F.col("kind").isNull() | F.col("counts")).drop("counts")
 
 
 def near(weak: DataFrame, strong: DataFrame, reach: int) -> DataFrame:
@@ -78,19 +78,24 @@ def near(weak: DataFrame, strong: DataFrame, reach: int) -> DataFrame:
     return found.select("row", "kind", "start", "end").distinct()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """A row for each row: id_col and spans, an array of (start, end, rank, kind) sorted by start, then kind as listed."""
+def _scan(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """id, hash (of the text) and spans of each row."""
     found = staged(parts(docs, id_col, text_col), "parts")
     of = lambda *kinds: found.filter(F.col("kind").isin(*kinds)).select("row", "kind", "start", "end")
     secrets = near(of("secret"), of("access"), reach)
     endpoints = near(near(of("endpoint"), of("access"), reach), secrets.unionByName(of("assign", "hex")), reach)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    linked = secrets.unionByName(endpoints).select("row", F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "kind", "start", "end", F.lit(0).alias("own"))
-    base = found.filter(F.col("kind").isNull() | F.col("kind").isin(*BASE)).select("row", "id", "kind", "start", "end", F.lit(1).alias("own"))
+    linked = secrets.unionByName(endpoints).select("row", F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), F.lit(None).cast("long").alias("hash"), "kind", "start", "end", F.lit(0).alias("own"))
+    base = found.filter(F.col("kind").isNull() | F.col("kind").isin(*BASE)).select("row", "id", "hash", "kind", "start", "end", F.lit(1).alias("own"))
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "end", rank.alias("rank"), "kind"))
-    rows = base.unionByName(linked).groupBy("row").agg(F.max_by("id", "own").alias("id"), F.collect_list(span).alias("spans"))
+    rows = base.unionByName(linked).groupBy("row").agg(F.max_by(F.struct("id", "hash"), "own").alias("of"), F.collect_list(span).alias("spans"))
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]).cast("int"))
-    return rows.select(F.col("id").alias(id_col), ordered.alias("spans"))
+    return rows.select("of.id", "of.hash", ordered.alias("spans"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """A row for each row: id_col and spans, an array of (start, end, rank, kind) sorted by start, then kind as listed."""
+    return _scan(docs, id_col, text_col, reach).select(F.col("id").alias(id_col), "spans")
 
 
 def said(spans: Column) -> Column:
@@ -98,9 +103,10 @@ def said(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """docs with each stretch of spans that touch or overlap replaced by ``mark``. Ids must be unique."""
-    spans = scan(docs, id_col, text_col, reach).filter(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(staged(spans, "spans"), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    """docs with each stretch of spans that touch or overlap replaced by ``mark``."""
+    spans = _scan(docs, id_col, text_col, reach).filter(F.size("spans") > 0)
+    spans = spans.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.first("spans").alias("__spans"))
+    joined = docs.join(staged(spans, "spans"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
     text = F.col(text_col)
     kept = F.aggregate(
         "__spans",

@@ -119,7 +119,7 @@ def set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), d (digest of the set, null if empty), registers."""
+    """id, hash (of the text), n (set size), d (digest of the set, null if empty), registers."""
 
     def run(batches):
         for rows, data, at in pieces(batches, "text", 2 << 20):
@@ -129,10 +129,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             place = np.full(len(sizes), -1)
             place[full] = np.arange(len(full))
             at_full = pa.array(place, mask=place < 0)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes.astype(np.int64)), fixed(set_digests(hashes, first)).take(at_full), fixed(sketches(hashes, sizes[full])).take(at_full)], names=["id", "n", "d", "registers"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes.astype(np.int64)), fixed(set_digests(hashes, first)).take(at_full), fixed(sketches(hashes, sizes[full])).take(at_full)], names=["id", "hash", "n", "d", "registers"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, n long, d binary, registers binary")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
+    return source.mapInArrow(run, "id long, hash long, n long, d binary, registers binary")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -203,8 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """A row for each row: id_col, n_shingles, component_id (the least id of its group), kept (whether that is its own id)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """id, hash, n, component_id of each row."""
     threshold = percent / 100
     rows = staged(sketch(docs, id_col, text_col), "sketches")
     classes = staged(rows.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
@@ -243,6 +243,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     least = staged(named.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
     component = staged(named.join(least, "label").select("d", "component_id"), "components")
 
-    full = rows.filter("n > 0").select("id", "n", "d").join(component, "d").select("id", "n", "component_id")
-    empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = rows.filter("n > 0").select("id", "hash", "n", "d").join(component, "d").select("id", "hash", "n", "component_id")
+    empty = rows.filter("n = 0").select("id", "hash", "n", F.col("id").alias("component_id"))
+    return full.unionByName(empty)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """A row for each row: id_col, n_shingles, component_id (the least id of its group), kept (whether that is its own id)."""
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return _grouped(docs, id_col, text_col, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs that name their group, repeated rows once."""
+    kept = _grouped(docs, id_col, text_col, percent).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    own = docs.withColumn("__hash_own", F.xxhash64(text_col))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash_own") == F.col("__hash"))
+    return own.join(kept, match, "left_semi").dropDuplicates([id_col, "__hash_own"]).drop("__hash_own")

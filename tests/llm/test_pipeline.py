@@ -1,0 +1,39 @@
+import corpus_pipeline
+from shelfmark.functions.staging import staged
+from shelfmark.llm import queries
+from shelfmark.llm.byte_bpe import tokenizer
+
+from .test_decontamination import brute
+from .test_secret_scan import base
+from .test_setsketch import brute as near
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_each_stage_on_its_own_input(spark):
+    docs = queries.table(spark, FOLDER, "documents")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        out = staged(stage(spark, docs, FOLDER), name)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        held[name] = (before, {r.doc_id: r for r in out.collect()})
+        docs = out
+    before, after = held["toxicity"]
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, FOLDER, "labels").collect()}
+    assert after.items() <= before.items()
+    assert sum(labels.get(i) == 1 for i in after) < 0.45 * sum(v == 1 for v in labels.values())
+    assert sum(labels.get(i) == 0 for i in before) - sum(labels.get(i) == 0 for i in after) < 0.03 * len(labels)
+    before, after = held["near_dedup"]
+    assert set(after) == {i for i, (_, c) in near({i: r.text for i, r in before.items()}).items() if c == i}
+    before, after = held["decontamination"]
+    items = [(r.item_id, r.text) for r in queries.table(spark, FOLDER, "benchmark").collect()]
+    assert set(before) - set(after) == {i for i, r in before.items() if brute(r.text, items)[1]}
+    before, after = held["secrets"]
+    assert set(before) == set(after)
+    for i, r in after.items():
+        assert not base(r.text) and r.n_chars == len(r.text)
+        assert (r.text == before[i].text) == (not base(before[i].text)) or "https" in before[i].text
+    encoding = tokenizer(queries.RANKS, queries.public_tokenizers.PATTERN)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert {r.doc_id: r.n_tokens for r in last.collect()} == {i: len(encoding.encode_ordinary(r.text)) for i, r in after.items()}
