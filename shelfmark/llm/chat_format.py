@@ -64,7 +64,9 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         levels.append(open_rows.select("key", "up"))
         above = far.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("n").alias("n_more"))
-        far = staged(far.join(above, "up", "left").select("key", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("n")), "reach")
+        # branches that have reached their root are done
+        farther = open_rows.join(above, "up").select("key", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("n") + F.col("n_more")).alias("n"))
+        far = staged(farther.unionByName(far.filter("up IS NULL")), "reach")
     parents = nodes.select(F.col("up").alias("key")).filter("key is not null").distinct()
     leaves = far.filter("up is null").join(parents, "key", "left_anti").join(nodes.select("tree", "key"), "key")
     return leaves.select("tree", "key", "score", "n"), levels
