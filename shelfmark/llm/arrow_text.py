@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import types
@@ -20,6 +21,22 @@ def cached(key: str, build: Callable):
     return store[key]
 
 
+def tidy(run: Callable) -> Callable:
+    """run over Arrow batches; at its end the worker gives freed memory back, since it may idle while others need it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return tidied
+
+
 def pack(obj) -> bytes:
     """A pickled object under zstd, with its plain size in front."""
     raw = pickle.dumps(obj, protocol=5)

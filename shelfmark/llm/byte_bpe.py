@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import binary_array, cached, pack, pieces, planes, text_buffers, unpack, unplanes
+from .arrow_text import binary_array, cached, pack, pieces, planes, text_buffers, tidy, unpack, unplanes
 
 #: Bytes of text of a block, at most, but for a longer single batch.
 BLOCK_BYTES = 24 << 20
@@ -247,8 +247,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for _ in range(copies[part]):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), lists], schema=out_schema)
 
-    ids = source.mapInArrow(words_out, PACKED).repartition(n_buckets, "part").mapInArrow(encode_words, PACKED)
-    sent = ids.unionByName(source.mapInArrow(layouts_out, PACKED))
+    ids = source.mapInArrow(tidy(words_out), PACKED).repartition(n_buckets, "part").mapInArrow(tidy(encode_words), PACKED)
+    sent = ids.unionByName(source.mapInArrow(tidy(layouts_out), PACKED))
     id_ddl = docs.schema[id_col].dataType.simpleString()
     return sent.select("key", "part", "payload").groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, `{ids_col}` array<int>").withColumnRenamed("id", id_col)
 
@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
             for rows in id_slices(batch, at):
                 yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*batch.schema.names, bytes_col])
 
-    return encoded.mapInArrow(run, encoded.withColumn(bytes_col, F.lit(None).cast("binary")).schema)
+    return encoded.mapInArrow(tidy(run), encoded.withColumn(bytes_col, F.lit(None).cast("binary")).schema)
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -311,4 +311,4 @@ def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(said), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ddl = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")

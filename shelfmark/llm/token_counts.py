@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import cached, pieces
+from .arrow_text import cached, pieces, tidy
 from .byte_bpe import token_bytes, tokenizer
 
 RULES = ("first", "last", "most")
@@ -73,7 +73,7 @@ def _counted(docs: DataFrame, path: str, pattern: str, rule: str, sections) -> D
             )
 
     ddl = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {ddl}, n_tokens long, starts array<long>, tokens array<long>, n_crossing long")
+    return docs.mapInArrow(tidy(run), f"id {ddl}, n_tokens long, starts array<long>, tokens array<long>, n_crossing long")
 
 
 def by_line(docs: DataFrame, path: str, pattern: str, rule: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
