@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,14 @@ from . import byte_bpe, chat_format, decontamination, mpeg_audio, secret_scan, s
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Bytes of a batch that goes to a Python worker, at most: long texts make large batches of few rows.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not size.rstrip("b").isdigit() or not 0 < int(size.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -105,7 +114,41 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_media_columns, op10_warc)}
 
+LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+
+
+def breaks_sql(column: str) -> str:
+    """How many marks escaping adds to a text."""
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ["~", *chat_format.CONTROL])
+
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learnt,
+                     CAST(sum({len(chat_format.TURN) + 1 + len(chat_format.END)} + length(role) + {breaks_sql("role")} + length(role) - length(replace(role, chr(10), '')) + length(text) + {breaks_sql("text")}) AS BIGINT) AS formatted_chars
+              FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM a""",
+    "op3_minhash_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.c),
+        g AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN g ON g.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN (SELECT DISTINCT n FROM bw) ON i + n - 1 <= len(w)),
+        h AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (x, n)),
+        c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, octet_length(encode(body)) AS n, sha256(body) AS digest FROM p),
