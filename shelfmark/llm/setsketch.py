@@ -6,10 +6,11 @@ both, and equal registers grow likelier with similarity, so bands of registers f
 candidates. Candidates are first held against a maximum-likelihood estimate from
 both sketches and both set sizes, then against the full sets.
 
-Equal sets form one class. In each bucket of a band, the first class is held against
-the others, and linked classes are joined to groups. What is left to compare are
-classes of one bucket in different groups: all such pairs are held against each
-other, so no link between groups is lost, and no pairs within a group are made.
+Equal sets form one class. In each bucket of a band, the class with the most company
+is held against the others, and linked classes are joined to groups. What is left to compare
+are classes of one bucket in different groups: such pairs are held against each
+other if their differences from the bucket's first class can have enough in common (bits of hashed
+items bound that), so no link between groups is lost, and no pairs within a group are made.
 
 Defined results: null and empty texts, and texts without words, are linked with
 nothing; repeated rows are copies; rows with a null id join groups but never name
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
-from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of
+from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of, tidy
 
 SHINGLE = 5
 #: Registers, registers of a band, and the sketch's base, rate and largest value but one.
@@ -132,7 +133,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes.astype(np.int64)), fixed(set_digests(hashes, first)).take(at_full), fixed(sketches(hashes, sizes[full])).take(at_full)], names=["id", "hash", "n", "d", "registers"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
-    return source.mapInArrow(run, "id long, hash long, n long, d binary, registers binary")
+    return source.mapInArrow(tidy(run), "id long, hash long, n long, d binary, registers binary")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -148,7 +149,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
     left = classes.select(F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("u"))
     right = classes.select(F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("v"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "u", "v").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "u", "v").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,10 +168,33 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
 
     lowest = F.lit(-(1 << 63))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.col(text_col).cast("string").alias("text"))
-    found = source.join(needed.select(F.coalesce("rep", lowest).alias("k"), "d"), "k").select("text", "d").mapInArrow(run, "d binary, items binary")
+    found = source.join(needed.select(F.coalesce("rep", lowest).alias("k"), "d"), "k").select("text", "d").mapInArrow(tidy(run), "d binary, items binary")
     return found.dropDuplicates(["d"])
 
 
+#: Blocks into which the items of a difference fall, as bits of that many words.
+WORDS = 4
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """What tells the classes d from the class a of each pair: a, d, delta (items that one of both has), bits (of the
+    blocks in which such items fall, then of those in which two or more do) and over (items beyond two in a block)."""
+
+    def run(batches):
+        for batch in batches:
+            delta, bits, over = [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                apart = np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
+                held = np.bincount((apart % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+                delta.append(len(apart))
+                bits.append(np.concatenate([np.packbits(held >= k).view(np.int64) for k in (1, 2)]))
+                over.append(int((held - 2).clip(0).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).columns, pa.array(delta, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(over, pa.int64())], names=["a", "d", "delta", "bits", "over"])
+
+    left, right = sets.select(F.col("d").alias("a"), F.col("items").alias("x")), sets.select("d", F.col("items").alias("y"))
+    return pairs.join(left, "a").join(right, "d").select("a", "d", "x", "y").mapInArrow(tidy(run), "a binary, d binary, delta long, bits array<long>, over long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union."""
 
@@ -185,7 +209,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("d").alias("a"), F.col("items").alias("x")), sets.select(F.col("d").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,9 +236,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     width = 2 * BAND
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {i * width + 1}, {width})")) for i in range(REGISTERS // BAND)]
     members = classes.select("d", "rep", "n", F.explode(F.array(*bands)).alias("key"))
-    firsts = members.groupBy("key").agg(F.count("*").alias("held"), F.min(F.struct("rep", "d", "n")).alias("first")).filter("held > 1")
-    firsts = staged(firsts.select("key", F.col("first.d").alias("a"), F.col("first.n").alias("n_a")), "buckets")
-    members = staged(members.join(firsts, "key"), "members")
+    buckets = staged(members.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "buckets")
+    members = staged(members.join(buckets, "key"), "members")
+    # the first of a bucket is the class with the most company in all its buckets: of copies of one text, that text
+    company = staged(members.groupBy("d").agg(F.sum("held").alias("company")), "company")
+    firsts = members.join(company, "d").groupBy("key").agg(F.max(F.struct("company", "d", "n")).alias("first"))
+    firsts = staged(firsts.select("key", F.col("first.d").alias("a"), F.col("first.n").alias("n_a")), "firsts")
+    members = staged(members.select("key", "d", "rep", "n").join(firsts, "key"), "members")
 
     def close(x: str, y: str):
         return (F.least(x, y) * 100) >= (F.greatest(x, y) * percent)
@@ -226,12 +254,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     links = staged(linked(likely(first_pairs, classes, threshold), sets, percent), "links")
     labels = components(links)
 
-    own = members.select("key", "d", "n").join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d"))
+    own = members.select("key", "a", "d", "n").join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d"))
     own = staged(own, "grouped")
     mixed_keys = staged(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "open")
     still = own.join(mixed_keys, "key", "left_semi")
-    x, y = (still.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "label"))) for s in "ab")
-    crossing = x.join(y, "key").filter((F.col("label_a") < F.col("label_b")) & close("n_a", "n_b"))
+    still = still.filter(F.col("a") != F.col("d"))  # the first of a bucket has been held against all of it
+    apart = staged(differences(still.select("a", "d").distinct(), sets), "differences")
+    still = still.join(apart, ["a", "d"])
+    x, y = (still.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "label", "delta", "bits", "over"))) for s in "ab")
+    # two sets differ in what tells each from the first, but for what both have of that: at most so many items
+    both = F.least("over_a", "over_b")
+    for i in range(2 * WORDS):
+        both = both + F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i]))
+    possible = (F.col("delta_a") + F.col("delta_b") - 2 * both) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    crossing = x.join(y, "key").filter((F.col("label_a") < F.col("label_b")) & close("n_a", "n_b") & possible)
     crossing = crossing.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).distinct()
     crossing = crossing.join(first_pairs, ["a", "b"], "left_anti").join(first_pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = staged(linked(likely(crossing, classes, threshold), sets, percent), "links")
