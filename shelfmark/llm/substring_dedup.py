@@ -3,7 +3,7 @@
 A gear rolling hash over the last 16 bytes sets the cuts, so an insertion moves only
 the cuts near it. A cut stands if no other raw cut lies in the few bytes before it,
 and a stretch without cuts is cut at a fixed length; both rules look at the text
-around a cut alone. Each chunk runs from a cut to the second cut after it, so
+around a cut alone. White space counts as one blank, however it breaks. Each chunk runs from a cut to the second cut after it, so
 chunks overlap by half. Chunks are deduplicated by digest over the whole corpus:
 a block of documents sends each distinct digest once to the bucket of its value,
 and gets back in how many documents it stands and the first of these. No key is
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import binary_array, digest64, mixed, pack, pieces, unpack
+from .arrow_text import binary_array, digest64, mixed, pack, pieces, tidy, unpack
 from .byte_bpe import PACKED, packed_rows
 
 #: Bytes that set a cut; bits that are zero at a raw cut; bytes before a cut without another raw one; longest stretch.
@@ -84,12 +84,26 @@ def digests_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(half + mixed(after))
 
 
+def evened(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with each run of white space as one blank, their offsets, and where each byte stood."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    kept = np.ones(len(data), bool)
+    kept[1:] = ~(space[1:] & space[:-1])
+    edges = at[:-1][at[:-1] < len(data)]
+    kept[edges] = True
+    place = np.flatnonzero(kept)
+    return np.where(space[place], np.uint8(32), data[place]), np.searchsorted(place, at), place
+
+
 class Block:
     def __init__(self):
         self.ids, self.starts, self.ends, self.docs, self.digests, self.words, self.n, self.bytes, self.mark = [], [], [], [], [], [], 0, 0, xxhash.xxh3_64()
 
     def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray) -> None:
-        starts, ends, doc = chunks_of(data, at)
+        even, even_at, place = evened(data, at)
+        starts, ends, doc = chunks_of(even, even_at)
+        digests = digests_of(even, starts, ends)
+        starts, ends = place[starts], place[ends - 1] + 1
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         space = (data == 32) | ((data >= 9) & (data <= 13))
         begins = ~space
@@ -103,7 +117,7 @@ class Block:
         self.ends.append(lead[ends] - base)
         self.words.append(np.stack([words[starts], words[ends]], 1))
         self.docs.append(doc + self.n)
-        self.digests.append(digests_of(data, starts, ends))
+        self.digests.append(digests)
         self.ids.append(ids)
         self.n += len(ids)
         self.bytes += len(data)
@@ -220,7 +234,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         for _ in rows[-1]:
             yield one
 
-    shared = source.mapInArrow(digests_out, PACKED).groupBy("part").applyInArrow(answer, PACKED)
-    sent = shared.unionByName(source.mapInArrow(layouts_out, PACKED))
+    shared = source.mapInArrow(tidy(digests_out), PACKED).groupBy("part").applyInArrow(answer, PACKED)
+    sent = shared.unionByName(source.mapInArrow(tidy(layouts_out), PACKED))
     out = sent.select("key", "part", "payload").groupBy("key").applyInArrow(reassemble, "id long, n_chunks long, n_shared long, n_copied long, passages array<struct<start: long, end: long, words: long, first_id: long>>")
     return out.withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -10,7 +11,7 @@ def words(rng, n):
 
 
 def brute_chunks(text):
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer(re.sub("[ \t-\r]+", " ", text).encode(), np.uint8)
     starts, ends, _ = S.chunks_of(data, np.array([0, len(data)]))
     return [bytes(data[a:z]) for a, z in zip(starts, ends, strict=True)]
 
