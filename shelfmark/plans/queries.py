@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, semantics
 from ..functions import text as T
-from ..operators import catalog, fx, hygiene, lifecycle, match, rollup, tables, value
+from ..operators import catalog, detail, fx, hygiene, lifecycle, match, rollup, tables, value
 from ..sources import feeds, pages
 from . import views as V
 from .views import ASKS, BRAND_SALES, FIGURES, LISTINGS, NOW, SALES, STATS
@@ -561,3 +561,55 @@ def superseded_redirect(spark, d):
     rows = V.figures(spark, d).withColumn("superseded_by", F.when(F.col("figure_id") % 13 == 0, F.col("figure_id") - 1))
     target = V.figures(spark, d).select(F.col("figure_id").alias("superseded_by"), F.col("figure_id").alias("target"))
     return rows.join(target, "superseded_by", "left").select("figure_id", F.coalesce("target", "figure_id").alias("shown"))
+
+
+@query("SELECT p_partkey AS figure_id, p_brand AS maker, n_name AS series, r_name AS franchise FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 30 LEFT JOIN region ON n_regionkey = r_regionkey")
+def cards(spark, d):
+    figs = V.figures(spark, d).select("figure_id", F.col("manufacturer").alias("maker_id"), (F.col("figure_id") % 30).alias("series_id"))
+    makers = V.table(spark, d, "part").select(F.col("p_brand").alias("maker_id"), F.col("p_brand").alias("name")).distinct()
+    tree = V.table(spark, d, "nation").join(V.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("series_id"), F.col("n_name").alias("name"), F.col("r_name").alias("franchise"))
+    photos = V.table(spark, d, "pages").select((F.col("page_id") + 1).alias("figure_id"), "url", F.lit(False).alias("is_primary"), F.lit(0).alias("place"))
+    return detail.cards(figs, makers, tree, photos).select("figure_id", F.col("maker.name").alias("maker"), F.col("series.name").alias("series"), F.col("series.franchise").alias("franchise"))
+
+
+@query("WITH s AS (SELECT l_partkey, l_extendedprice AS p, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber) AS i FROM lineitem), g AS (SELECT l_partkey, count(*) AS n, sum(CAST(p AS DECIMAL(20,4))) AS total FROM s WHERE i <= 20 GROUP BY ALL) SELECT p_partkey AS figure_id, coalesce(n, 0) AS n_sales, CAST(coalesce(total, 0) AS DOUBLE) AS shown_usd FROM part LEFT JOIN g ON l_partkey = p_partkey")
+def figure_detail(spark, d):
+    sold = V.sales(spark, d).select("figure_id", "external_id", F.col("amount_usd").cast("decimal(20,4)").alias("amount"), "sold_at")
+    whole = detail.with_children(V.figures(spark, d), "figure_id", {"sales": (sold, [F.desc("sold_at"), F.asc("external_id")], 20)})
+    total = F.aggregate("sales", F.lit(0).cast("decimal(30,4)"), lambda a, x: (a + x["amount"]).cast("decimal(30,4)"))
+    return whole.select("figure_id", F.size("sales").cast("long").alias("n_sales"), total.cast("double").alias("shown_usd"))
+
+
+@query("WITH a AS (SELECT p_partkey AS product_id, lower(p_name) AS n, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS m, CASE WHEN p_partkey % 4 = 0 THEN 'OTHER' ELSE p_type END AS c FROM part WHERE p_partkey % 5 = 0), b AS (SELECT p_partkey AS figure_id, lower(p_name) AS n, p_brand AS m, p_type AS c FROM part WHERE p_partkey % 5 <> 0) SELECT product_id, min(figure_id) AS figure_id FROM a JOIN b ON a.n = b.n AND (a.m IS NULL OR lower(a.m) = lower(b.m)) AND (a.c = 'OTHER' OR b.c = 'OTHER' OR lower(a.c) = lower(b.c)) GROUP BY product_id HAVING count(*) = 1")
+def held_product(spark, d):
+    rows = V.figures(spark, d).withColumn("compared", T.product_name(F.col("name")))
+    mine = rows.filter("figure_id % 5 = 0").select(F.col("figure_id").alias("product_id"), "compared", F.when(F.col("figure_id") % 3 != 0, F.col("manufacturer")).alias("maker"), F.when(F.col("figure_id") % 4 == 0, "OTHER").otherwise(F.col("category")).alias("category"))
+    return detail.held_products(mine, rows.filter("figure_id % 5 <> 0").select("figure_id", "compared", F.col("manufacturer").alias("maker"), "category"))
+
+
+@query("SELECT name FROM (SELECT DISTINCT p_name AS name FROM part WHERE contains(lower(p_name), 're') ORDER BY name LIMIT 30) ORDER BY starts_with(lower(name), 're') DESC, name LIMIT 8")
+def suggest_names(spark, d):
+    return detail.suggested_names(V.figures(spark, d), " Re")
+
+
+@query("SELECT o_orderkey AS figure_id, 'shop' AS source FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END NULLS FIRST, o_orderkey LIMIT 60")
+def stale_offers(spark, d):
+    orders = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("figure_id"), F.lit("shop").alias("source"), F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("checked_at"))
+    return detail.stale_offers(orders, orders.filter("figure_id % 7 = 0"), 60).select("figure_id", "source")
+
+
+@query("WITH t AS (SELECT l_returnflag AS character, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'maker' || (l_suppkey % 5) END AS maker, CASE l_linenumber WHEN 1 THEN 'unknown' ELSE 'form' || l_linenumber END AS form, l_extendedprice AS p FROM lineitem) SELECT character, maker, form, count(*) AS n, min(p) AS low, max(p) AS high FROM t WHERE form <> 'unknown' AND maker IS NOT NULL GROUP BY ALL HAVING count(*) >= 3")
+def product_proposals(spark, d):
+    rows = V.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("character"), F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("maker"), F.col("l_suppkey") % 5)).alias("maker"), F.when(F.col("l_linenumber") == 1, "unknown").otherwise(F.concat(F.lit("form"), F.col("l_linenumber"))).alias("form"), F.col("l_extendedprice").alias("amount_usd"))
+    return detail.proposals(rows)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+def tally(spark, d):
+    return detail.tally(V.table(spark, d, "events"), "event_type")
+
+
+@query("WITH t AS (SELECT DISTINCT lang, doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM documents), c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY lang, token HAVING count(*) >= 2), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS INTEGER) AS place FROM c) SELECT * FROM p WHERE place <= 4")
+def subject_tokens(spark, d):
+    docs = V.table(spark, d, "documents").select("lang", F.split(F.lower("text"), "[^a-z]+").alias("tokens"))
+    return detail.subject_tokens(docs, "lang")
