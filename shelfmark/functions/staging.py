@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             folder = set_before.get()
-        elif spark.sparkContext.master.startswith("local["):
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfmark-"))
             folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         else:
