@@ -95,6 +95,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     firsts = staged(firsts, "first-pages")
     typed = rows.join(firsts, (F.col("digest") == F.col("same")) & long, "left")
     typed = typed.select("page", "url", "body", "digest", F.when(~F.col("page").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    # in one order, so that a task that runs again writes the same archives
+    typed = typed.sortWithinPartitions("page", "digest", "url")
 
     def run(batches):
         from pyarrow import fs
