@@ -30,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import binary_array, cached, pieces, spans_of
+from ..functions.staging import staged
+from .arrow_text import binary_array, cached, pieces, spans_of, tidy
 
 SAMPLE, MOST_FEATURES = 20_000, 50_000
+#: Bytes of text whose words and features a task holds at a time.
+PIECE_BYTES = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 #: A feature needs this many toxic documents, log odds, and log-likelihood ratio (about one in 10 ** 5 by chance).
 SUPPORT, LEAST_WEIGHT, LEAST_RATIO = 3, 3.0, 20.0
@@ -87,7 +90,7 @@ def trigram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["i", "n"])
 
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for row in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         counts[row.i] = row.n
     return counts
 
@@ -241,9 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label", "half")
+    rows = staged(rows.repartition(max(1, sample // 500)), "labelled")  # a bounded sample, read several times
 
     def counts(batches):
-        for batch, data, at in pieces(batches, "text"):
+        for batch, data, at in pieces(batches, "text", PIECE_BYTES):
             words = Words(data, at, costs)
             kind = (2 * batch.column(2).to_numpy() + batch.column(1).to_numpy()).tolist()
             found: dict[str, list[int]] = {}
@@ -260,8 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {(r.half, r.label): r["count"] for r in rows.groupBy("half", "label").count().collect()}
     if not any(n.get((h, 1)) for h in (0, 1)) or not any(n.get((h, 0)) for h in (0, 1)):
         return model
-    table = rows.mapInArrow(counts, "feature string, no0 long, yes0 long, no1 long, yes1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")))
-    table = table.filter(F.col("yes0") + F.col("yes1") >= SUPPORT)
+    table = rows.mapInArrow(tidy(counts), "feature string, no0 long, yes0 long, no1 long, yes1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")))
+    table = staged(table.filter(F.col("yes0") + F.col("yes1") >= SUPPORT), "features")
 
     def weights(*halves: int) -> dict[str, float]:
         n_yes, n_no = (sum(n.get((h, label), 0) for h in halves) for label in (1, 0))
@@ -277,12 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     crossed = [Model(costs, weights(1)), Model(costs, weights(0))]
 
     def sums(batches):
-        for batch, data, at in pieces(batches, "text"):
+        for batch, data, at in pieces(batches, "text", PIECE_BYTES):
             words, half = Words(data, at, costs), batch.column(2).to_numpy()
             x = np.where(half[:, None] == 0, *(m.sums(words, batch.num_rows) for m in crossed))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(float)), batch.column(1)], names=["sum", "several", "label"])
 
-    got = rows.mapInArrow(sums, "sum double, several double, label int").collect()
+    got = rows.mapInArrow(tidy(sums), "sum double, several double, label int").collect()
     model.curve = logistic(np.array([(r.sum, r.several) for r in got]), np.array([r.label for r in got], float))
     return model
 
@@ -291,24 +295,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col and score, 0 to 1."""
 
     def run(batches):
-        for batch, data, at in pieces(batches, "text"):
+        for batch, data, at in pieces(batches, "text", PIECE_BYTES):
             got = model.scores(model.sums(Words(data, at, model.costs), batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["id", "score"])
 
     ddl = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {ddl}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {ddl}, score double").withColumnRenamed("id", id_col)
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under the threshold."""
-    names, source = docs.columns, docs.withColumn("__text", F.col(text_col).cast("string"))
 
     def run(batches):
-        for batch, data, at in pieces(batches, "__text"):
+        for batch, data, at in pieces(batches, text_col, PIECE_BYTES):
             kept = model.scores(model.sums(Words(data, at, model.costs), batch.num_rows)) < threshold
-            yield batch.filter(pa.array(kept)).select(names)
+            yield batch.filter(pa.array(kept))
 
-    return source.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col: str = "restored") -> DataFrame:
@@ -324,6 +327,6 @@ def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, restored_col])
 
-    return docs.mapInArrow(run, docs.withColumn(restored_col, F.lit(None).cast("string")).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn(restored_col, F.lit(None).cast("string")).schema)
 
 
