@@ -46,17 +46,18 @@ def as_of(rows: DataFrame, rates: DataFrame, reach_days: int = REACH_DAYS, on: s
     """rows with the newest rate of their currency that is at most reach_days older than their day.
 
     Both sides are laid in one order by day and the last rate is carried on, so the work follows the rows, not
-    the pairs. Each currency is cut into spans of days that overlap by the reach, so none is a single task.
+    the pairs. Each currency is cut into spans of days that overlap by the reach, and the rows of a span are dealt
+    over several salts, to each of which its few rates go: no currency or day is a single task.
     """
-    span = 64
+    span, salts = 64, 16
     at = lambda c: F.unix_date(F.col(c))
     names = rows.columns
-    left = rows.withColumn("__span", F.floor(at(day) / span)).withColumn("__day", at(day)).withColumn("__rate", F.lit(None).cast("double")).withColumn("__row", F.lit(1))
+    left = rows.withColumn("__span", F.floor(at(day) / span)).withColumn("__day", at(day)).withColumn("__rate", F.lit(None).cast("double")).withColumn("__row", F.lit(1)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = rates.select(F.col("currency").alias(on), at("day").alias("__day"), F.col("rate_to_usd").cast("double").alias("__rate"))
     spans = F.array_distinct(F.array(F.floor(F.col("__day") / span), F.floor((F.col("__day") + reach_days) / span)))
-    right = right.withColumn("__span", F.explode(spans)).withColumn("__row", F.lit(0))
+    right = right.withColumn("__span", F.explode(spans)).withColumn("__row", F.lit(0)).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     both = left.unionByName(right, allowMissingColumns=True)
-    order = W.partitionBy(on, "__span").orderBy("__day", "__row")
+    order = W.partitionBy(on, "__span", "__salt").orderBy("__day", "__row")
     seen = F.last(F.when(F.col("__row") == 0, F.struct("__day", "__rate")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     found = both.withColumn("__seen", seen).filter("__row = 1")
     fresh = F.col("__day") - F.col("__seen.__day") <= reach_days
