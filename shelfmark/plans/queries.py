@@ -132,13 +132,13 @@ def figure_value(spark, d):
 
 
 def holdings(spark, d) -> DataFrame:
-    rows = V.table(spark, d, "orders").join(V.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).filter("l_linenumber = 1")
+    rows = V.table(spark, d, "orders").join(V.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     own = rows.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("figure_id"), F.col("l_quantity").cast("long").alias("quantity"), F.when(F.col("l_orderkey") % 3 != 0, F.col("l_extendedprice")).alias("paid_usd"))
     return own.join(valued(spark, d).select("figure_id", "amount_usd", "basis"), "figure_id", "left")
 
 
 @query(f"""WITH {VALUED}, h AS (SELECT o_custkey AS user_id, CAST(l_quantity AS BIGINT) AS q, CAST(CASE WHEN l_orderkey % 3 <> 0 THEN l_extendedprice END AS DECIMAL(38,6)) AS paid, CAST(amount_usd AS DECIMAL(38,6)) AS val, basis
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN v ON v.figure_id = l_partkey WHERE l_linenumber = 1),
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN v ON v.figure_id = l_partkey),
     g AS (SELECT user_id, CAST(sum(q) AS BIGINT) AS item_count, count(*) AS unique_figures, CAST(coalesce(sum(val * q), 0) AS DOUBLE) AS value, CAST(coalesce(sum(paid * q), 0) AS DOUBLE) AS paid,
     CAST(coalesce(sum(val * q) FILTER (paid IS NOT NULL AND val IS NOT NULL), 0) AS DOUBLE) AS cv, CAST(coalesce(sum(paid * q) FILTER (paid IS NOT NULL AND val IS NOT NULL), 0) AS DOUBLE) AS cp,
     CAST(coalesce(sum(q) FILTER (basis = 'sold'), 0) AS BIGINT) AS from_sold, CAST(coalesce(sum(q) FILTER (basis = 'asking'), 0) AS BIGINT) AS from_asking, CAST(coalesce(sum(q) FILTER (basis = 'msrp'), 0) AS BIGINT) AS from_msrp,
@@ -150,13 +150,12 @@ def portfolio_totals(spark, d):
 
 
 @query(f"""WITH {SALES}, {FIGURES}, r AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY sold_at DESC, amount_usd) AS i FROM sales WHERE sold_at >= TIMESTAMP '2000-11-04'), m AS (SELECT figure_id, median(amount_usd) AS median_usd, count(*) AS n FROM r WHERE i <= 500 GROUP BY figure_id),
-    k AS (SELECT f.figure_id, CASE WHEN n >= 3 THEN 'sales' ELSE 'msrp' END AS kind, median_usd, msrp_usd FROM figures f LEFT JOIN m USING (figure_id)), x AS (SELECT external_id, amount_usd AS amount, k.* FROM sales JOIN k USING (figure_id) WHERE sold_at >= TIMESTAMP '2001-10-01'),
+    k AS (SELECT f.figure_id, CASE WHEN n >= 3 THEN 'sales' ELSE 'msrp' END AS kind, median_usd, msrp_usd FROM figures f LEFT JOIN m USING (figure_id)), x AS (SELECT external_id, amount_usd AS amount, k.* FROM sales JOIN k USING (figure_id)),
     y AS (SELECT external_id, figure_id, amount, kind, CASE WHEN kind = 'sales' AND amount < median_usd * 0.25 THEN 'below median' WHEN kind = 'sales' AND amount > median_usd * 4 THEN 'above median' WHEN kind = 'msrp' AND (amount < msrp_usd * 0.2 OR amount > msrp_usd * 10) THEN 'far from retail' END AS reason FROM x)
     SELECT *, CASE WHEN reason IS NULL THEN 'APPROVED' ELSE 'PENDING_REVIEW' END AS status FROM y""")
 def screen_sales(spark, d):
     reference = value.reference_prices(V.sales(spark, d), V.figures(spark, d), NOW)
-    recent = V.sales(spark, d).filter(F.col("sold_at") >= F.lit("2001-10-01").cast("timestamp_ntz"))
-    reports = recent.select("external_id", "figure_id", F.col("amount_usd").alias("amount")).join(reference, "figure_id")
+    reports = V.sales(spark, d).select("external_id", "figure_id", F.col("amount_usd").alias("amount")).join(reference, "figure_id")
     return value.screen(reports).select("external_id", "figure_id", "amount", "kind", "reason", "status")
 
 
@@ -371,9 +370,9 @@ def page_titles(spark, d):
 STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query(f"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([{STOP}], w)))) AS BIGINT) AS n_tokens FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, CAST(len(list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([{STOP}], w)))) AS BIGINT) AS n_tokens FROM documents")
 def tokenize_docs(spark, d):
-    docs = V.table(spark, d, "documents").filter("lang = 'en'")
+    docs = V.table(spark, d, "documents")
     words = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*T.STOPWORDS))
     return docs.select("doc_id", F.size(F.array_distinct(kept)).cast("long").alias("n_tokens"))
@@ -401,11 +400,12 @@ def conditions(spark, d):
 
 @query()
 def match_titles(spark, d):
-    """Titles made from part names against parts as figures; tests hold the blocked join against all pairs."""
+    """A title for every part against all parts as figures; tests hold the blocked join against all pairs."""
     parts = V.table(spark, d, "part")
     none = F.lit(None)
-    figs = parts.select(F.col("p_partkey").alias("figure_id"), F.concat_ws(" ", "p_name", F.col("p_type")).alias("name"), none.cast("string").alias("name_ja"), F.when(F.col("p_size") <= 12, F.concat(F.lit("1/"), F.col("p_size").cast("string"))).alias("scale"), (F.col("p_size") * 10).alias("height_mm"), F.lit("SCALE").alias("category"), F.col("p_brand").alias("maker"), none.cast("string").alias("line_number"), none.cast("string").alias("series"), none.cast("array<string>").alias("series_aliases"), F.array("p_name").alias("characters"), none.cast("array<string>").alias("characters_ja"))
-    titles = parts.filter("p_partkey % 20 = 3").select(F.col("p_partkey").alias("title_id"), F.concat_ws(" ", "p_brand", "p_name", "p_type", F.concat(F.lit("1/"), F.col("p_size").cast("string")), F.concat((F.col("p_size") * 10).cast("string"), F.lit("mm"))).alias("title"))
+    key = F.concat(F.lit("No."), F.col("p_partkey").cast("string"))
+    figs = parts.select(F.col("p_partkey").alias("figure_id"), F.concat_ws(" ", "p_name", "p_type", key).alias("name"), none.cast("string").alias("name_ja"), F.when(F.col("p_size") <= 12, F.concat(F.lit("1/"), F.col("p_size").cast("string"))).alias("scale"), (F.col("p_size") * 10).alias("height_mm"), F.lit("SCALE").alias("category"), F.col("p_brand").alias("maker"), none.cast("string").alias("line_number"), none.cast("string").alias("series"), none.cast("array<string>").alias("series_aliases"), F.array("p_name").alias("characters"), none.cast("array<string>").alias("characters_ja"))
+    titles = parts.select(F.col("p_partkey").alias("title_id"), F.concat_ws(" ", "p_brand", "p_name", "p_type", key, F.concat(F.lit("1/"), F.col("p_size").cast("string")), F.concat((F.col("p_size") * 10).cast("string"), F.lit("mm"))).alias("title"))
     return match.best_match(titles, figs)
 
 
@@ -420,12 +420,12 @@ def sole_match(spark, d):
     return hygiene.sole(rows, "key", "figure_id")
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS id FROM part), e AS (SELECT DISTINCT 'Brand#' || CAST(10 + (s_suppkey % 17) AS VARCHAR) AS a, 'Brand#' || CAST(10 + (s_suppkey * 3 % 29) AS VARCHAR) AS b FROM supplier WHERE s_suppkey % 4 = 0),
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS id FROM part), e AS (SELECT DISTINCT 'Brand#' || CAST(1 + s_suppkey % 11 AS VARCHAR) AS a, 'Brand#' || CAST(1 + (s_suppkey % 11) * 7 % 25 AS VARCHAR) AS b FROM supplier),
     u AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n) UNION SELECT b, a FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)), r AS (SELECT id, id AS c FROM n UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.c) SELECT id, min(c) AS component FROM r GROUP BY id""")
 def series_components(spark, d):
     nodes = V.table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct()
-    name = lambda x: F.concat(F.lit("Brand#"), (10 + x).cast("string"))
-    edges = V.table(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(name(F.col("s_suppkey") % 17).alias("a"), name(F.col("s_suppkey") * 3 % 29).alias("b"))
+    name = lambda x: F.concat(F.lit("Brand#"), (1 + x).cast("string"))
+    edges = V.table(spark, d, "supplier").select(name(F.col("s_suppkey") % 11).alias("a"), name((F.col("s_suppkey") % 11) * 7 % 25).alias("b"))
     edges = edges.join(nodes.withColumnRenamed("id", "a"), "a", "left_semi").join(nodes.withColumnRenamed("id", "b"), "b", "left_semi")
     return hygiene.linked_components(nodes, edges)
 
@@ -531,12 +531,12 @@ def printings(spark, d):
     return lifecycle.folded_printings(rows)
 
 
-@query("SELECT l_orderkey AS external_id, l_extendedprice AS amount, 'USD' AS currency, 'title ' || l_partkey AS title FROM lineitem WHERE l_linenumber = 1 AND l_extendedprice > 0")
+@query("SELECT l_orderkey || '-' || l_linenumber AS external_id, l_extendedprice AS amount, 'USD' AS currency, 'title ' || l_partkey AS title FROM lineitem WHERE l_extendedprice > 0")
 def listing_json(spark, d):
-    rows = V.table(spark, d, "lineitem").filter("l_linenumber = 1")
-    raw = rows.select(F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("itemId"), F.concat(F.lit("title "), F.col("l_partkey")).alias("title"), F.struct(F.col("l_extendedprice").cast("string").alias("value"), F.lit("usd").alias("currency")).alias("price"))).alias("json"))
+    rows = V.table(spark, d, "lineitem")
+    raw = rows.select(F.to_json(F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("itemId"), F.concat(F.lit("title "), F.col("l_partkey")).alias("title"), F.struct(F.col("l_extendedprice").cast("string").alias("value"), F.lit("usd").alias("currency")).alias("price"))).alias("json"))
     got = feeds.listings_from_json(raw, "json")
-    return got.select(F.col("external_id").cast("long").alias("external_id"), F.col("amount").cast("double").alias("amount"), "currency", "title")
+    return got.select("external_id", F.col("amount").cast("double").alias("amount"), "currency", "title")
 
 
 @query("SELECT r_name AS franchise, n_name AS series, n_name IS NOT NULL AS found FROM region LEFT JOIN nation ON n_regionkey = r_regionkey")
