@@ -74,14 +74,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of every document that other documents hold too; spans are start:end:first_id in code points."""
-    got = substring_dedup.repeats(table(spark, folder, "documents"))
-    spans = F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"], p["first_id"]))
-    return got.select(
-        "doc_id", "n_chunks", "n_shared", "n_copied", F.size("passages").cast("long").alias("n_passages"),
-        F.aggregate("passages", F.lit(0).cast("long"), lambda total, p: total + p["words"]).alias("repeated_words"),
-        F.array_join(spans, ",").alias("spans"), (F.size("passages") > 0).alias("repeated"),
-    )
+    """A row for each passage of a document that other documents hold too: its span in code points, its words, and the
+    document with the first copy, which may be itself."""
+    got = substring_dedup.repeats(table(spark, folder, "documents")).select("doc_id", F.explode("passages").alias("p"))
+    return got.select("doc_id", F.col("p.first_id").alias("first_doc_id"), F.concat_ws(":", "p.start", "p.end").alias("span"), F.col("p.words").alias("words"))
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

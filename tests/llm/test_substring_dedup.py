@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from shelfmark.llm import substring_dedup as S
+from shelfmark.llm.queries import op7_substring_dedup
 
 
 def words(rng, n):
@@ -67,3 +68,22 @@ def test_counts_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_lists_the_passages(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    held = {}
+    for d, t in texts.items():
+        w = t.split()
+        for i in range(len(w) - 24):
+            held.setdefault(tuple(w[i : i + 25]), set()).add(d)
+    long = {}
+    for d, t in texts.items():
+        w = t.split()
+        for i in range(len(w) - 50):
+            if len(set(w[i : i + 51])) > 10:
+                long.setdefault(tuple(w[i : i + 51]), set()).add(d)
+    got = {r.doc_id for r in op7_substring_dedup(spark, folder).collect()}
+    assert got <= {d for s in held.values() if len(s) > 1 for d in s}
+    assert got >= {d for s in long.values() if len(s) > 1 for d in s}
