@@ -269,9 +269,9 @@ def catalog_totals(spark, d):
     return one(count("part", "figures")).join(one(count("lineitem", "sales")), "k").join(one(count("supplier", "sources")), "k").drop("k")
 
 
-@query("SELECT figure_id, amount_usd, sold_at, CAST(i AS INTEGER) AS place FROM (SELECT l_partkey AS figure_id, l_extendedprice AS amount_usd, l_shipdate AS sold_at, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber) AS i FROM lineitem) WHERE i <= 3")
+@query("SELECT figure_id, amount_usd, sold_at, CAST(i AS INTEGER) AS place FROM (SELECT l_partkey AS figure_id, l_extendedprice AS amount_usd, l_shipdate AS sold_at, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber, l_extendedprice) AS i FROM lineitem) WHERE i <= 3")
 def top_k_children(spark, d):
-    return catalog.top_children(V.sales(spark, d), "figure_id", [F.desc("sold_at"), F.asc("external_id")], 3).select("figure_id", "amount_usd", "sold_at", "place")
+    return catalog.top_children(V.sales(spark, d), "figure_id", [F.desc("sold_at"), F.asc("external_id"), F.asc("amount_usd")], 3).select("figure_id", "amount_usd", "sold_at", "place")
 
 
 @query("SELECT l_partkey AS figure_id, arg_min({'c': l_extendedprice, 'k': l_orderkey}, {'o': CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 3 ELSE 5 END, 'p': l_extendedprice, 'k': l_orderkey})['c'] AS best_usd FROM lineitem GROUP BY ALL")
@@ -462,7 +462,7 @@ def fill_missing(spark, d):
 SLICE = "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS price, l_shipdate AS seen FROM lineitem WHERE"
 
 
-@query(f"WITH u AS (SELECT *, 0 AS new FROM ({SLICE} l_orderkey % 3 <> 0) UNION ALL SELECT k, n, price + 1, seen + INTERVAL 1 DAY, 1 FROM ({SLICE} l_orderkey % 3 <> 1)) SELECT k, n, price, seen FROM (SELECT *, row_number() OVER (PARTITION BY k, n ORDER BY seen DESC, new DESC) AS i FROM u) WHERE i = 1")
+@query(f"WITH u AS (SELECT *, 0 AS new FROM ({SLICE} l_orderkey % 3 <> 0) UNION ALL SELECT k, n, price + 1, seen + INTERVAL 1 DAY, 1 FROM ({SLICE} l_orderkey % 3 <> 1)) SELECT k, n, price, seen FROM (SELECT *, row_number() OVER (PARTITION BY k, n ORDER BY seen DESC, new DESC, price DESC) AS i FROM u) WHERE i = 1")
 def upsert_merge(spark, d):
     rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("seen"))
     new = rows.filter("k % 3 <> 1").withColumn("price", F.col("price") + 1).withColumn("seen", F.col("seen") + F.expr("INTERVAL 1 DAY"))
@@ -572,10 +572,10 @@ def cards(spark, d):
     return detail.cards(figs, makers, tree, photos).select("figure_id", F.col("maker.name").alias("maker"), F.col("series.name").alias("series"), F.col("series.franchise").alias("franchise"))
 
 
-@query("WITH s AS (SELECT l_partkey, l_extendedprice AS p, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber) AS i FROM lineitem), g AS (SELECT l_partkey, count(*) AS n, sum(CAST(p AS DECIMAL(20,4))) AS total FROM s WHERE i <= 20 GROUP BY ALL) SELECT p_partkey AS figure_id, coalesce(n, 0) AS n_sales, CAST(coalesce(total, 0) AS DOUBLE) AS shown_usd FROM part LEFT JOIN g ON l_partkey = p_partkey")
+@query("WITH s AS (SELECT l_partkey, l_extendedprice AS p, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey || '-' || l_linenumber, l_extendedprice) AS i FROM lineitem), g AS (SELECT l_partkey, count(*) AS n, sum(CAST(p AS DECIMAL(20,4))) AS total FROM s WHERE i <= 20 GROUP BY ALL) SELECT p_partkey AS figure_id, coalesce(n, 0) AS n_sales, CAST(coalesce(total, 0) AS DOUBLE) AS shown_usd FROM part LEFT JOIN g ON l_partkey = p_partkey")
 def figure_detail(spark, d):
     sold = V.sales(spark, d).select("figure_id", "external_id", F.col("amount_usd").cast("decimal(20,4)").alias("amount"), "sold_at")
-    whole = detail.with_children(V.figures(spark, d), "figure_id", {"sales": (sold, [F.desc("sold_at"), F.asc("external_id")], 20)})
+    whole = detail.with_children(V.figures(spark, d), "figure_id", {"sales": (sold, [F.desc("sold_at"), F.asc("external_id"), F.asc("amount")], 20)})
     total = F.aggregate("sales", F.lit(0).cast("decimal(30,4)"), lambda a, x: (a + x["amount"]).cast("decimal(30,4)"))
     return whole.select("figure_id", F.size("sales").cast("long").alias("n_sales"), total.cast("double").alias("shown_usd"))
 
