@@ -50,7 +50,6 @@ SIGN, MARK, REPEAT = 1.5, 0.7, 0.7
 
 EDGE, ALIEN, SYMBOLS = 26, 27, 28
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "@$!") + "¡¿«»“”‘’…–—"
-LONGEST = 40
 
 
 def symbols() -> np.ndarray:
@@ -124,22 +123,31 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode_word(word: str, costs: np.ndarray) -> str:
-    """The likeliest reading of a lower-case word."""
-    states = {(EDGE, EDGE): (0.0, "")}
+def path_of(link: tuple | None) -> str:
+    """What a chain of (link before, text) says."""
+    said = []
+    while link:
+        link, text = link
+        said.append(text)
+    return "".join(reversed(said))
+
+
+def decode_word(word: str, costs) -> str:
+    """The likeliest reading of a lower-case word of any length: time and memory are linear in it."""
+    states: dict = {(EDGE, EDGE): (0.0, None)}
     for options in lattice(word):
         after: dict = {}
-        for (a, b), (cost, said) in states.items():
+        for (a, b), (cost, link) in states.items():
             for text, extra in options:
                 x, y, total = a, b, cost + extra
                 for c in text:
                     z = symbol(c)
-                    total += costs[x, y, z]
+                    total += costs[x][y][z]
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, said + text)
+                    after[x, y] = (total, (link, text))
         states = after
-    return min((cost + costs[a, b, EDGE], said) for (a, b), (cost, said) in states.items())[1]
+    return path_of(min((cost + costs[a][b][EDGE], i, link) for i, ((a, b), (cost, link)) in enumerate(states.items()))[2])
 
 
 REPEATED = re.compile(r"(.)\1\1")
@@ -147,7 +155,7 @@ REPEATED = re.compile(r"(.)\1\1")
 
 def suspicious(word: str) -> bool:
     """Whether a lower-case, stripped word may be disguised."""
-    if len(word) > LONGEST or word.isalpha() and not REPEATED.search(word):
+    if word.isalpha() and not REPEATED.search(word):
         return False
     letters = sum(c.isalpha() for c in word)
     signs = sum(c in STANDS_FOR or c in MARKS for c in word)
@@ -183,7 +191,7 @@ class Words:
         # letters set apart: three or more words of one letter in a row
         lone = (ends - starts == 1) & (((data[starts] | 32) >= 97) & ((data[starts] | 32) <= 122)) if len(starts) else np.zeros(0, bool)
         a, z = spans_of(lone, np.append(np.searchsorted(starts, at[:-1]), len(starts)))
-        self.apart = [(int(i), int(j)) for i, j in zip(a, z, strict=True) if 3 <= j - i <= LONGEST]
+        self.apart = [(int(i), int(j)) for i, j in zip(a, z, strict=True) if j - i >= 3]
         more: dict[str, int] = {}
         docs, codes = [], []
         for i, j in self.apart:

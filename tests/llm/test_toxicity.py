@@ -41,6 +41,15 @@ def test_viterbi_is_the_least_of_all_paths(english):
         assert T.decode_word(word, english) == best[0]
 
 
+def test_words_and_runs_of_any_length(english):
+    assert T.reading("st" + "u" * 60 + "pid", english) == "stupid"
+    assert T.reading("-".join("you.stupid.idiot.and.worthless.loser".replace(".", "")), english) == "youstupididiotandworthlessloser"
+    text = ("x" * 50 + " " + " ".join("stupid" * 20)).encode()
+    words = T.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), english)
+    assert [(j - i) for i, j in words.apart] == [120]
+    assert len(T.decode_word("s1" * 20000, english)) == 40000
+
+
 def test_held_out_accuracy_and_inputs(spark):
     got = {r.doc_id: r for r in op2_toxicity(spark, FOLDER).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
