@@ -31,7 +31,7 @@ PATTERNS = {
     "assign": (ASSIGN, r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
     "access": (r"AKIA[A-Z0-9]+", None),
     "hex": (r"[0-9a-f]+", r"[0-9a-f]{32}"),
-    "secret": (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", None),
+    "secret": (r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", None),
     "endpoint": (r"https?://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9.-]+\.amazonaws\.com", None),
 }
 KINDS = list(PATTERNS)
