@@ -1,9 +1,10 @@
 """Toxicity of texts, scored after noisy-channel restoration.
 
-Words that look disguised (signs or digits among letters, long repeats, letters set
-apart by blanks or marks) are restored: each sign stands for some letters at a cost,
-marks may be dropped, repeats may collapse, and Viterbi decoding picks the
-likeliest path under a trigram model of characters counted over the whole corpus.
+Words that look disguised (signs or digits among letters, letters set apart by marks) are
+restored: each sign stands for some letters at a cost, marks may be dropped, repeats may
+collapse, and Viterbi decoding picks the likeliest path under a trigram model of characters
+counted over the whole corpus. Three or more letters, signs or marks in a row that stand alone
+between blanks are one lattice, in which each blank is dropped or parts two words.
 Restored words, and their prefixes, are looked up in weights learnt from labels; a
 document's sum of weights goes through a fitted logistic curve.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,6 +73,8 @@ def symbol(c: str) -> int:
     """The symbol of a lower-case letter or of anything else."""
     if "a" <= c <= "z":
         return ord(c) - 97
+    if c == " ":
+        return EDGE
     base = unicodedata.normalize("NFD", c)[:1]
     return ord(base) - 97 if "a" <= base <= "z" else ALIEN
 
@@ -132,22 +136,47 @@ def path_of(link: tuple | None) -> str:
     return "".join(reversed(said))
 
 
+def step(states: dict, options: list[tuple[str, float]], costs, after: dict, mark=None) -> dict:
+    """The states after one of the options, added to those in after; states are by two symbols and a mark."""
+    for (a, b, _), (cost, link) in states.items():
+        for text, extra in options:
+            x, y, total = a, b, cost + extra
+            for c in text:
+                z = symbol(c)
+                total += costs[x][y][z]
+                x, y = y, z
+            if (x, y, mark) not in after or total < after[x, y, mark][0]:
+                after[x, y, mark] = (total, (link, text))
+    return after
+
+
+def likeliest(states: dict, costs) -> str:
+    return path_of(min((cost + costs[a][b][EDGE], i, link) for i, ((a, b, _), (cost, link)) in enumerate(states.items()))[2])
+
+
 def decode_word(word: str, costs) -> str:
     """The likeliest reading of a lower-case word of any length: time and memory are linear in it."""
-    states: dict = {(EDGE, EDGE): (0.0, None)}
+    states: dict = {(EDGE, EDGE, None): (0.0, None)}
     for options in lattice(word):
-        after: dict = {}
-        for (a, b), (cost, link) in states.items():
-            for text, extra in options:
-                x, y, total = a, b, cost + extra
-                for c in text:
-                    z = symbol(c)
-                    total += costs[x][y][z]
-                    x, y = y, z
-                if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, (link, text))
-        states = after
-    return path_of(min((cost + costs[a][b][EDGE], i, link) for i, ((a, b), (cost, link)) in enumerate(states.items()))[2])
+        states = step(states, options, costs, {})
+    return likeliest(states, costs)
+
+
+def decode_apart(units: Sequence[str], costs) -> list[str]:
+    """The likeliest words of letters, signs and marks that stood apart, lower-case: before each a word may end."""
+    states: dict = {(EDGE, EDGE, None): (0.0, None)}
+    before = ""
+    for c in units:
+        own = [(c, 0.0), *((letter, SIGN) for letter in STANDS_FOR.get(c, ""))]
+        options = own + [(f" {text}", extra) for text, extra in own if before]
+        if c in MARKS:
+            options.append(("", MARK))
+        after = step(states, options, costs, {})
+        if c == before:  # a repeat that collapses, paid once however long
+            after = step({k: v for k, v in states.items() if not k[2]}, [("", REPEAT)], costs, after, True)
+            after = step({k: v for k, v in states.items() if k[2]}, [("", 0.0)], costs, after, True)
+        states, before = after, c
+    return likeliest(states, costs).split(" ")
 
 
 REPEATED = re.compile(r"(.)\1\1")
@@ -168,12 +197,23 @@ def bare(word: str) -> str:
     return word if word.isalpha() else re.sub(r"^[@$!]{3,}|[@$!]{3,}$", "", word).rstrip("!")
 
 
-def reading(word: str, costs: np.ndarray) -> str:
+def reading(word: str, costs) -> str:
     """The form of a word by which it is looked up: bare, and restored if it looks disguised."""
     word = bare(word)
     return decode_word(word, costs) if suspicious(word) else word
 
 
+def unit(token: str, word: str) -> str:
+    """The letter, sign or mark that a token, bare as word, is but for what stands around it; else nothing."""
+    c = token.lower() if len(token) == 1 else word
+    return c if len(c) == 1 and (c.isalpha() or c in STANDS_FOR or c in MARKS) else ""
+
+
+def set_apart(units: Sequence[str]) -> bool:
+    """Whether a run of units may be words with their letters apart."""
+    return len(units) >= 3 and sum(c.isalpha() for c in units) >= 2
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)] if len(word) > 2 else []
 
@@ -181,26 +221,30 @@ def features(word: str) -> list[str]:
 class Words:
     """The words of a run of texts: the distinct ones as read, and which text holds which."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, costs: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, costs):
         starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
         coded = binary_array(data, starts, ends).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(at, starts, side="right") - 1
         self.plain = [w.decode() for w in coded.dictionary.to_pylist()]
         self.read = [reading(w, costs) for w in self.plain]
-        # letters set apart: three or more words of one letter in a row
-        lone = (ends - starts == 1) & (((data[starts] | 32) >= 97) & ((data[starts] | 32) <= 122)) if len(starts) else np.zeros(0, bool)
+        units = [unit(w, bare(w)) if len(w) == 1 or self.read[i][1:] == "" else "" for i, w in enumerate(self.plain)]
+        lone = np.array([c != "" for c in units], bool)[self.code]
         a, z = spans_of(lone, np.append(np.searchsorted(starts, at[:-1]), len(starts)))
-        self.apart = [(int(i), int(j)) for i, j in zip(a, z, strict=True) if j - i >= 3]
+        self.apart = []
         more: dict[str, int] = {}
         docs, codes = [], []
-        for i, j in self.apart:
-            word = decode_word(bytes(data[starts[i:j]]).decode().lower(), costs)
-            if word not in more:
-                more[word] = len(self.read)
-                self.read.append(word)
-            docs.append(self.doc[i])
-            codes.append(more[word])
+        for i, j in zip(a.tolist(), z.tolist(), strict=True):
+            run = [units[k] for k in self.code[i:j].tolist()] if j - i >= 3 else []
+            if not set_apart(run):
+                continue
+            self.apart.append((i, j))
+            for word in decode_apart(run, costs):
+                if word not in more:
+                    more[word] = len(self.read)
+                    self.read.append(word)
+                docs.append(self.doc[i])
+                codes.append(more[word])
         self.starts, self.ends = starts, ends
         self.doc_all = np.concatenate([self.doc, np.array(docs, np.int64)])
         self.code_all = np.concatenate([self.code, np.array(codes, np.int64)])
@@ -248,7 +292,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Model:
     """A model from the labelled rows given and the characters of all documents."""
     model = Model(costs_of(trigram_counts(docs, text_col)))
-    costs = model.costs
+    costs = model.costs.tolist()
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label", "half")
@@ -286,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # each half is scored with the weights of the other, so the curve is fitted on sums as new texts have them
     model.weights = weights(0, 1)
-    crossed = [Model(costs, weights(1)), Model(costs, weights(0))]
+    crossed = [Model(model.costs, weights(1)), Model(model.costs, weights(0))]
 
     def sums(batches):
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
@@ -303,8 +347,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col and score, 0 to 1."""
 
     def run(batches):
+        costs = model.costs.tolist()
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
-            got = model.scores(model.sums(Words(data, at, model.costs), batch.num_rows))
+            got = model.scores(model.sums(Words(data, at, costs), batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["id", "score"])
 
     ddl = docs.schema[id_col].dataType.simpleString()
@@ -315,24 +360,41 @@ def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
     """The rows of docs that score under the threshold."""
 
     def run(batches):
+        costs = model.costs.tolist()
         for batch, data, at in pieces(batches, text_col, PIECE_BYTES):
-            kept = model.scores(model.sums(Words(data, at, model.costs), batch.num_rows)) < threshold
+            kept = model.scores(model.sums(Words(data, at, costs), batch.num_rows)) < threshold
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
+def restored_text(text: str, costs) -> str:
+    tokens = list(re.finditer(r"\S+", text))
+    units = [unit(m[0], bare(m[0])) for m in tokens]
+    out, at, i = [], 0, 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and units[j]:
+            j += 1
+        if set_apart(units[i:j]):
+            said = " ".join(decode_apart(units[i:j], costs))
+        else:
+            j, word = i + 1, tokens[i][0]
+            said = reading(word, costs) if suspicious(bare(word)) else word
+        out += [text[at : tokens[i].start()], said]
+        at, i = tokens[j - 1].end(), j
+    return "".join([*out, text[at:]])
+
+
 def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col: str = "restored") -> DataFrame:
     """The input with its texts in which each disguised word is replaced by its reading; null stays null."""
 
     def run(batches):
+        costs = model.costs.tolist()
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                if text is not None:
-                    text = re.sub(r"(?<!\S)(?:[A-Za-z] ){2,}[A-Za-z](?!\S)", lambda m: decode_word(m[0].lower().replace(" ", ""), model.costs), text)
-                    text = re.sub(r"\S+", lambda m: reading(m[0], model.costs) if suspicious(bare(m[0])) else m[0], text)
-                out.append(text)
+                out.append(None if text is None else restored_text(text, costs))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, restored_col])
 
     return docs.mapInArrow(tidy(run), docs.withColumn(restored_col, F.lit(None).cast("string")).schema)

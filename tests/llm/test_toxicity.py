@@ -50,6 +50,19 @@ def test_words_and_runs_of_any_length(english):
     assert len(T.decode_word("s1" * 20000, english)) == 40000
 
 
+@pytest.mark.parametrize(("seen", "want"), [("i d 1 0 t", "idiot"), ("s t u p ! d", "stupid"), ("$ t u p í d", "stupíd"), ("you are a s t u p i d person", "stupid"), ("y o u a r e i d i o t", "you are idiot"), ("S t u u u p i d.", "stupid"), ("s - t - u - p - i - d", "stupid")])
+def test_spaced_words(english, seen, want):
+    data = np.frombuffer(seen.encode(), np.uint8)
+    words = T.Words(data, np.array([0, len(data)]), english)
+    assert set(want.split()) <= {words.read[i] for i in words.code_all}
+    assert f" {want} " in f" {T.restored_text(seen, english)} "
+
+
+def test_a_row_of_many_lone_letters_and_clean_ones(english):
+    assert " ".join(T.decode_apart("astupididiot" * 500, english)).replace(" ", "") == "astupididiot" * 500
+    assert T.restored_text("1 2 3 4 and 5 6 7 8", english) == "1 2 3 4 and 5 6 7 8"
+
+
 def test_held_out_accuracy_and_inputs(spark):
     got = {r.doc_id: r for r in op2_toxicity(spark, FOLDER).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
