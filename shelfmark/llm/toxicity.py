@@ -1,6 +1,6 @@
 """Toxicity of texts, scored after noisy-channel restoration.
 
-Words that look disguised (signs or digits among letters, letters set apart by marks) are
+Words that look disguised (signs or digits among letters, repeated letters, letters set apart by marks) are
 restored: each sign stands for some letters at a cost, marks may be dropped, repeats may
 collapse, and Viterbi decoding picks the likeliest path under a trigram model of characters
 counted over the whole corpus. Three or more letters, signs or marks in a row that stand alone
@@ -179,7 +179,25 @@ def decode_apart(units: Sequence[str], costs) -> list[str]:
     return likeliest(states, costs).split(" ")
 
 
-REPEATED = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"(.)\1+")
+#: Contexts of repeats that a task remembers at a time.
+KNOWN = 50_000
+
+
+def collapsed(word: str, costs, known: dict[str, str]) -> str:
+    """decode_word for a word of letters: two letters after its last repeat all paths meet, so what stands further off has no say."""
+    runs = [m.span() for m in REPEATED.finditer(word)]
+    a, z = runs[0][0], runs[-1][1] + 2
+    lead, core = f"  {word}"[a : a + 2], word[a:z]
+    key = lead + core + (" " if z > len(word) else "")
+    if key not in known:
+        if len(known) >= KNOWN:
+            known.clear()
+        states: dict = {(symbol(lead[0]), symbol(lead[1]), None): (0.0, None)}
+        for options in lattice(core):
+            states = step(states, options, costs, {})
+        known[key] = likeliest(states, costs)
+    return word[:a] + known[key] + word[z:]
 
 
 def suspicious(word: str) -> bool:
@@ -197,10 +215,12 @@ def bare(word: str) -> str:
     return word if word.isalpha() else re.sub(r"^[@$!]{3,}|[@$!]{3,}$", "", word).rstrip("!")
 
 
-def reading(word: str, costs) -> str:
+def reading(word: str, costs, known: dict[str, str] | None = None) -> str:
     """The form of a word by which it is looked up: bare, and restored if it looks disguised."""
     word = bare(word)
-    return decode_word(word, costs) if suspicious(word) else word
+    if not suspicious(word):
+        return word
+    return collapsed(word, costs, {} if known is None else known) if word.isalpha() else decode_word(word, costs)
 
 
 def unit(token: str, word: str) -> str:
@@ -221,13 +241,13 @@ def features(word: str) -> list[str]:
 class Words:
     """The words of a run of texts: the distinct ones as read, and which text holds which."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, costs):
+    def __init__(self, data: np.ndarray, at: np.ndarray, costs, known: dict[str, str] | None = None):
         starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
         coded = binary_array(data, starts, ends).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(at, starts, side="right") - 1
         self.plain = [w.decode() for w in coded.dictionary.to_pylist()]
-        self.read = [reading(w, costs) for w in self.plain]
+        self.read = [reading(w, costs, known) for w in self.plain]
         units = [unit(w, bare(w)) if len(w) == 1 or self.read[i][1:] == "" else "" for i, w in enumerate(self.plain)]
         lone = np.array([c != "" for c in units], bool)[self.code]
         a, z = spans_of(lone, np.append(np.searchsorted(starts, at[:-1]), len(starts)))
@@ -299,8 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = staged(rows.repartition(max(1, sample // 500)), "labelled")  # a bounded sample, read several times
 
     def counts(batches):
+        known: dict[str, str] = {}
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
-            words = Words(data, at, costs)
+            words = Words(data, at, costs, known)
             kind = (2 * batch.column(2).to_numpy() + batch.column(1).to_numpy()).tolist()
             found: dict[str, list[int]] = {}
             last: dict[str, int] = {}
@@ -333,8 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     crossed = [Model(model.costs, weights(1)), Model(model.costs, weights(0))]
 
     def sums(batches):
+        known: dict[str, str] = {}
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
-            words, half = Words(data, at, costs), batch.column(2).to_numpy()
+            words, half = Words(data, at, costs, known), batch.column(2).to_numpy()
             x = np.where(half[:, None] == 0, *(m.sums(words, batch.num_rows) for m in crossed))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(float)), batch.column(1)], names=["sum", "several", "label"])
 
@@ -347,9 +369,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id_col and score, 0 to 1."""
 
     def run(batches):
-        costs = model.costs.tolist()
+        costs, known = model.costs.tolist(), {}
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
-            got = model.scores(model.sums(Words(data, at, costs), batch.num_rows))
+            got = model.scores(model.sums(Words(data, at, costs, known), batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["id", "score"])
 
     ddl = docs.schema[id_col].dataType.simpleString()
@@ -360,9 +382,9 @@ def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
     """The rows of docs that score under the threshold."""
 
     def run(batches):
-        costs = model.costs.tolist()
+        costs, known = model.costs.tolist(), {}
         for batch, data, at in pieces(batches, text_col, PIECE_BYTES):
-            kept = model.scores(model.sums(Words(data, at, costs), batch.num_rows)) < threshold
+            kept = model.scores(model.sums(Words(data, at, costs, known), batch.num_rows)) < threshold
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(tidy(run), docs.schema)

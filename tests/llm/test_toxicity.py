@@ -63,6 +63,21 @@ def test_a_row_of_many_lone_letters_and_clean_ones(english):
     assert T.restored_text("1 2 3 4 and 5 6 7 8", english) == "1 2 3 4 and 5 6 7 8"
 
 
+@pytest.mark.parametrize(("seen", "want"), [("stuupid", "stupid"), ("iddiot", "idiot"), ("looser", "loser"), ("good", "good"), ("will", "will"), ("worthless", "worthless")])
+def test_letters_doubled(english, seen, want):
+    text = "good people will see all books and the will of good people is a good will " * 40 + "you are a stupid idiot and a worthless loser they said " * 40
+    s = np.concatenate([[T.EDGE], T.symbols()[np.frombuffer(text.encode(), np.uint8)], [T.EDGE]]).astype(int)
+    assert T.reading(seen, T.costs_of(np.bincount(s[:-2] * T.SYMBOLS**2 + s[1:-1] * T.SYMBOLS + s[2:], minlength=T.SYMBOLS**3))) == want
+
+
+def test_repeats_decoded_by_context_are_as_in_whole_words(english):
+    rng, known = random.Random(7), {}
+    for _ in range(3000):
+        word = "".join(rng.choice("stupidloe") * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randint(1, 9)))
+        if T.REPEATED.search(word):
+            assert T.collapsed(word, english, known) == T.decode_word(word, english)
+
+
 def test_held_out_accuracy_and_inputs(spark):
     got = {r.doc_id: r for r in op2_toxicity(spark, FOLDER).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
