@@ -9,8 +9,10 @@ a block of documents sends each distinct digest once to the bucket of its value,
 and gets back in how many documents it stands and the first of these. No key is
 hot, however often a passage occurs.
 
-Passages are maximal runs of chunks that stand in two or more documents, of at
-least ``min_words`` words.
+Passages do not depend on cuts: every window of ``min_words`` words goes the same way as the
+chunks, and a passage is a maximal run of windows that each stand in two or more documents, so
+each one of at least ``min_words`` words is found, whole. The first and the last word of a window are
+compared without the punctuation on their outer side. Passages of two sources may overlap.
 
 Defined results: null and empty text has no chunks; repeated rows are two documents;
 a null id sorts first; an empty table gives an empty table; further columns are left
@@ -27,15 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import binary_array, digest64, mixed, pack, pieces, tidy, unpack
+from .arrow_text import binary_array, digest64, mixed, pack, pieces, planes, spans_of, tidy, unpack, unplanes
 from .byte_bpe import PACKED, packed_rows
 
 #: Bytes that set a cut; bits that are zero at a raw cut; bytes before a cut without another raw one; longest stretch.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 4, 12, 256
 #: Bytes of text of a block, at most, but for a longer single batch.
 BLOCK_BYTES = 24 << 20
-#: A passage loses up to a few chunks at its ends; one of over 50 words keeps at least this many but for odd cases.
-MIN_WORDS = 25
+#: A passage has over 50 words.
+MIN_WORDS = 51
+#: Its powers tell apart the places of words in a window.
+ODD = 0x9E3779B97F4A7C15
+#: What may stand around the first and last word of a passage.
+AROUND = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»“”‘’…–—"
 
 
 def gear() -> np.ndarray:
@@ -95,29 +101,58 @@ def evened(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.where(space[place], np.uint8(32), data[place]), np.searchsorted(place, at), place
 
 
+def windows_of(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of n words of one text: its digest, its text, and the offsets where it starts and ends."""
+    starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
+    if len(starts) < n:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    coded = binary_array(data, starts, ends).dictionary_encode()
+    number = coded.indices.to_numpy()
+    plain = coded.dictionary.to_pylist()
+    texts = [w.decode() for w in plain]
+    left, right = ([f(w, AROUND).encode() or x for w, x in zip(texts, plain, strict=True)] for f in (str.lstrip, str.rstrip))
+    size = np.array([len(w) for w in plain], np.int64)
+    lead, tail = (size - np.array([len(w) for w in side], np.int64) for side in (left, right))
+    # sums of digests times powers of an odd number, which powers of its inverse bring to the same place
+    power, back = (np.cumprod(np.full(len(starts), b, np.uint64), dtype=np.uint64) for b in (ODD, pow(ODD, -1, 1 << 64)))
+    added = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(digest64(plain))[number] * power, dtype=np.uint64)])
+    doc = np.searchsorted(at, starts, side="right") - 1
+    i = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
+    z = i + n - 1
+    inner = (added[np.maximum(z, i + 1)] - added[i + 1]) * back[i]
+    first, last = mixed(digest64(left)), mixed(digest64(right) ^ np.uint64(0x5555555555555555))
+    return mixed(mixed(inner + first[number[i]]) + last[number[z]]), doc[i], starts[i] + lead[number[i]], ends[z] - tail[number[z]]
+
+
+def grouped(digests: np.ndarray, docs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests, whether two documents have each, the least id with it, and each one's number; docs ascend."""
+    order = np.argsort(digests, kind="stable")
+    digests, docs = digests[order], docs[order]
+    new = np.ones(len(order), bool)
+    new[1:] = digests[1:] != digests[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return digests, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return digests[at], docs[at] != docs[np.append(at[1:], len(docs)) - 1], np.minimum.reduceat(own[docs], at), number
+
+
 class Block:
-    def __init__(self):
-        self.ids, self.starts, self.ends, self.docs, self.digests, self.words, self.n, self.bytes, self.mark = [], [], [], [], [], [], 0, 0, xxhash.xxh3_64()
+    def __init__(self, min_words: int):
+        self.min_words, self.windows = min_words, []
+        self.ids, self.docs, self.digests, self.n, self.bytes, self.mark = [], [], [], 0, 0, xxhash.xxh3_64()
 
     def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray) -> None:
-        even, even_at, place = evened(data, at)
+        even, even_at, _ = evened(data, at)
         starts, ends, doc = chunks_of(even, even_at)
         digests = digests_of(even, starts, ends)
-        starts, ends = place[starts], place[ends - 1] + 1
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        begins = ~space
-        begins[1:] &= space[:-1]
-        if len(data):
-            edge = at[:-1][at[:-1] < len(data)]
-            begins[edge] = ~space[edge]
-        words = np.concatenate([[0], np.cumsum(begins)])
-        base = lead[at[:-1]][doc] if len(doc) else doc
-        self.starts.append(lead[starts] - base)
-        self.ends.append(lead[ends] - base)
-        self.words.append(np.stack([words[starts], words[ends]], 1))
         self.docs.append(doc + self.n)
         self.digests.append(digests)
+        window, of, begin, end = windows_of(data, at, self.min_words)
+        base = lead[at[:-1]][of] if len(of) else of
+        self.windows.append((window, (of + self.n).astype(np.uint32), (lead[begin] - base).astype(np.uint32), (lead[end] - base).astype(np.uint32)))
         self.ids.append(ids)
         self.n += len(ids)
         self.bytes += len(data)
@@ -133,17 +168,28 @@ class Block:
         return key, ids, np.concatenate(self.docs), distinct, number.ravel()
 
 
-def blocks_of(batches):
-    block = Block()
+def blocks_of(batches, min_words):
+    block = Block(min_words)
     for rows, data, at in pieces(batches, "text"):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
             yield block
-            block = Block()
+            block = Block(min_words)
         block.add(rows.column(0), data, at)
     if block.ids:
         yield block
 
 
+def spread(values: np.ndarray) -> tuple[int, bytes]:
+    """Ascending 64-bit values as the byte planes of their steps, which compress better."""
+    steps = np.diff(values, prepend=np.zeros(1, np.uint64))
+    return len(values), np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unspread(packed: tuple[int, bytes]) -> np.ndarray:
+    n, data = packed
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def bucket_cuts(distinct: np.ndarray, n: int) -> np.ndarray:
     """Buckets are ranges of the digests' values: where each begins among the sorted digests."""
     edges = [(i << 64) // n for i in range(n)]
@@ -158,7 +204,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     nothing = np.iinfo(np.int64).min
 
     def digests_out(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, min_words):
             key, ids, doc, distinct, number = block.close()
             pairs = np.unique(number.astype(np.int64) * block.n + doc)
             held = np.bincount(pairs // block.n, minlength=len(distinct)).astype(np.uint32)
@@ -166,10 +212,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             least = np.full(len(distinct), np.iinfo(np.int64).max)
             np.minimum.at(least, pairs // block.n, own[pairs % block.n])
             cuts = bucket_cuts(distinct, n_buckets)
+            window, twice, low, _ = grouped(*(np.concatenate(x) for x in list(zip(*block.windows, strict=True))[:2]), own)
+            places = bucket_cuts(window, n_buckets)
             for b in range(n_buckets):
-                s = slice(cuts[b], cuts[b + 1])
-                if cuts[b] < cuts[b + 1]:
-                    yield packed_rows([(key, b, pack((distinct[s], held[s], least[s])))])
+                s, w = slice(cuts[b], cuts[b + 1]), slice(places[b], places[b + 1])
+                if cuts[b] < cuts[b + 1] or places[b] < places[b + 1]:
+                    yield packed_rows([(key, b, pack((distinct[s], held[s], least[s], spread(window[w]), np.packbits(twice[w]), low[w])))])
 
     def answer(table: pa.Table) -> pa.Table:
         got = [(key, part, *unpack(x)) for key, part, x in zip(*(table[c].to_pylist() for c in ("key", "part", "payload")), strict=True)]
@@ -178,21 +226,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         held = np.bincount(number, weights=np.concatenate([x[3] for x in got]), minlength=len(digests)).astype(np.int64)
         least = np.full(len(digests), np.iinfo(np.int64).max)
         np.minimum.at(least, number, np.concatenate([x[4] for x in got]))
-        out, i = [], 0
-        for key, part, own, _, _ in got:
+        windows = [unspread(x[5]) for x in got]
+        known, place = np.unique(np.concatenate(windows), return_inverse=True)
+        place = place.ravel()
+        many = np.bincount(place, weights=np.concatenate([1 + np.unpackbits(x[6], count=len(w)) for x, w in zip(got, windows, strict=True)]), minlength=len(known)).astype(np.int64)
+        low = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(low, place, np.concatenate([x[7] for x in got]))
+        out, i, j = [], 0, 0
+        for k, (key, part, own, *_) in enumerate(got):
             mine = number[i : i + len(own)]
             i += len(own)
             shared = held[mine] > 1
-            out.append((key, part, pack((np.packbits(shared), least[mine[shared]]))))
+            at = place[j : j + len(windows[k])]
+            j += len(windows[k])
+            common = many[at] > 1
+            out.append((key, part, pack((np.packbits(shared), least[mine[shared]], len(common), np.packbits(common), low[at[common]]))))
         return pa.Table.from_batches([packed_rows(out)])
 
     def layouts_out(batches):
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, min_words):
             key, ids, doc, distinct, number = block.close()
             cuts = bucket_cuts(distinct, n_buckets)
-            spans = [np.concatenate(x).astype(np.uint32) for x in (block.starts, block.ends)]
-            words = np.concatenate(block.words).astype(np.uint32)
-            yield packed_rows([(key, -1, pack((ids, np.diff(cuts).astype(np.uint32), doc.astype(np.uint32), number.astype(np.uint32), *spans, words)))])
+            window, of, begin, end = (np.concatenate(x) for x in zip(*block.windows, strict=True))
+            *_, place = grouped(window, of, np.zeros(block.n, np.int64))
+            steps = [np.diff(x, prepend=np.zeros(1, np.uint32)) for x in (of, begin, end)]
+            yield packed_rows([(key, -1, pack((ids, np.diff(cuts).astype(np.uint32), doc.astype(np.uint32), number.astype(np.uint32), *map(planes, (place, *steps)))))])
 
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_id", pa.int64())])
     out_schema = pa.schema([("id", pa.int64()), ("n_chunks", pa.int64()), ("n_shared", pa.int64()), ("n_copied", pa.int64()), ("passages", pa.list_(passage))])
@@ -204,10 +262,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 rows.setdefault(part, []).append(payload)
         if -1 not in rows:
             raise ValueError("the input gave other rows when it was read again")
-        ids, sizes, doc, number, start, end, words = unpack(rows[-1][0])
-        shared, least = [], []
-        for b in np.flatnonzero(sizes).tolist():
-            bits, low = unpack(rows[b][0])
+        ids, sizes, doc, number, *packed = unpack(rows[-1][0])
+        place, *steps = map(unplanes, packed)
+        of, start, end = (np.cumsum(x, dtype=np.uint32).astype(np.int64) for x in steps)
+        shared, least, common, source_of = [], [], [], []
+        for b in sorted(rows.keys() - {-1}):
+            bits, low, n_windows, more, at = unpack(rows[b][0])
+            more = np.unpackbits(more, count=n_windows).astype(bool)
+            low_at = np.zeros(n_windows, np.int64)
+            low_at[more] = at
+            common.append(more)
+            source_of.append(low_at)
             bits = np.unpackbits(bits, count=int(sizes[b])).astype(bool)
             low_all = np.zeros(len(bits), np.int64)
             low_all[bits] = low
@@ -219,16 +284,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         n = len(ids)
         doc = doc.astype(np.int64)
         found: list[list] = [[] for _ in range(n)]
-        run = many.copy()
-        if len(run):
-            run[1:] &= ~(many[:-1] & (doc[1:] == doc[:-1]))
-            stop = many.copy()
-            stop[:-1] &= ~(many[1:] & (doc[1:] == doc[:-1]))
-            a, z = np.flatnonzero(run), np.flatnonzero(stop)
-            length = words[z, 1].astype(np.int64) - words[a, 0]
-            for i in np.flatnonzero(length >= min_words).tolist():
-                low = int(first[a[i] : z[i] + 1].max())
-                found[doc[a[i]]].append({"start": int(start[a[i]]), "end": int(end[z[i]]), "words": int(length[i]), "first_id": None if low == nothing else low})
+        if len(place):
+            hit, source = np.concatenate(common)[place], np.concatenate(source_of)[place]
+            edges = np.append(np.searchsorted(of, np.arange(n)), len(of))
+            for a, z in zip(*(x.tolist() for x in spans_of(hit, edges)), strict=True):
+                low = int(source[a:z].max())
+                found[of[a]].append({"start": int(start[a]), "end": int(end[z - 1]), "words": z - a - 1 + min_words, "first_id": None if low == nothing else low})
         count = lambda mask: pa.array(np.bincount(doc[mask], minlength=n)[:n].astype(np.int64))
         one = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), count(np.ones(len(doc), bool)), count(many), count(many & (first < own[doc] if len(doc) else many)), pa.array(found, pa.list_(passage))], schema=out_schema)
         for _ in rows[-1]:

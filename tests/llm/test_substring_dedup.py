@@ -87,3 +87,21 @@ def test_query_lists_the_passages(spark):
     got = {r.doc_id for r in op7_substring_dedup(spark, folder).collect()}
     assert got <= {d for s in held.values() if len(s) > 1 for d in s}
     assert got >= {d for s in long.values() if len(s) > 1 for d in s}
+
+
+def test_passages_of_51_words_are_found_whole_and_of_50_are_not(spark):
+    rng = random.Random(11)
+    short = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(300):
+        shared, long = short(50 + k % 2), k % 2
+        for j in (0, 1):
+            lead, tail = short(rng.randint(1, 80)), short(rng.randint(1, 80))
+            rows.append((2 * k + j, f"{lead} é{k}{j} " + (f"({shared})," if j else shared.replace(" ", "\n")) + f" {k}{j}x {tail}"))
+            if long:
+                start = len(f"{lead} é{k}{j} ") + j
+                want[2 * k + j] = [(start, start + len(shared), 51, 2 * k)]
+    rows += [(900, "zz " * 60), (901, "zz " * 70)]
+    want |= {900: [(0, 179, 60, 900)], 901: [(0, 209, 70, 900)]}
+    got = {r.doc_id: [tuple(p) for p in r.passages] for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {d: p for d, p in got.items() if p} == want
