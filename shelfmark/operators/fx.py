@@ -54,7 +54,7 @@ def as_of(rows: DataFrame, rates: DataFrame, reach_days: int = REACH_DAYS, on: s
     names = rows.columns
     left = rows.withColumn("__span", F.floor(at(day) / span)).withColumn("__day", at(day)).withColumn("__rate", F.lit(None).cast("double")).withColumn("__row", F.lit(1)).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     right = rates.select(F.col("currency").alias(on), at("day").alias("__day"), F.col("rate_to_usd").cast("double").alias("__rate"))
-    spans = F.array_distinct(F.array(F.floor(F.col("__day") / span), F.floor((F.col("__day") + reach_days) / span)))
+    spans = F.sequence(F.floor(F.col("__day") / span), F.floor((F.col("__day") + reach_days) / span))
     right = right.withColumn("__span", F.explode(spans)).withColumn("__row", F.lit(0)).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     both = left.unionByName(right, allowMissingColumns=True)
     order = W.partitionBy(on, "__span", "__salt").orderBy("__day", "__row")

@@ -132,7 +132,7 @@ def linked_products(products: DataFrame, figures: DataFrame) -> DataFrame:
 def longest_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
     """names (id, name) with the longest prefix (prefix) that each begins with: an equi-join on its prefixes of the lengths there are."""
     lengths = prefixes.select(F.length("prefix").alias("n")).distinct()
-    cut = names.join(F.broadcast(lengths.filter("n <= 1000")), F.length("name") >= F.col("n")).withColumn("prefix", F.expr("substring(name, 1, n)"))
+    cut = names.join(lengths, F.length("name") >= F.col("n")).withColumn("prefix", F.expr("substring(name, 1, n)"))
     hits = cut.join(prefixes.select("prefix").distinct(), "prefix").groupBy("id").agg(F.max_by("prefix", "n").alias("prefix"))
     return names.join(hits, "id", "left")
 

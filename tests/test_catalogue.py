@@ -72,6 +72,18 @@ def test_screening(spark):
     assert [r.status == "APPROVED" for r in got] == [True, True, False, False, False, True, True, False]
 
 
+def test_longest_prefix_of_any_length(spark):
+    names = spark.createDataFrame([(1, "x" * 1500 + " b"), (2, "xy"), (3, "b")], "id int, name string")
+    prefixes = spark.createDataFrame([("x" * 1200,), ("x",), ("x" * 1400,)], "prefix string")
+    assert rows(hygiene.longest_prefix(names, prefixes), "id", "prefix") == [(1, "x" * 1400), (2, "x"), (3, None)]
+
+
+def test_as_of_reaches_over_many_spans(spark):
+    daily = spark.createDataFrame([("JPY", date(2026, 1, 1), 0.01)], "currency string, day date, rate_to_usd double")
+    asked = spark.createDataFrame([(m, "JPY", date(2026, m, 15)) for m in range(1, 13)], "id int, currency string, day date")
+    assert rows(fx.as_of(asked, daily, 320), "id", "rate_to_usd") == sorted([(m, 0.01 if m < 12 else None) for m in range(1, 13)], key=repr)
+
+
 def test_fx_means_gaps_and_tiers(spark):
     quotes = spark.createDataFrame([("jpy", date(2026, 1, 5), 100.0), ("JPY", date(2026, 1, 6), 200.0), ("EUR", date(2026, 1, 6), 0.5), ("EUR", date(2026, 1, 7), -1.0)], "currency string, day date, per_usd double")
     assert rows(fx.monthly(quotes)) == [("EUR", date(2026, 1, 1), 2.0, 1), ("JPY", date(2026, 1, 1), 0.0075, 2)]
