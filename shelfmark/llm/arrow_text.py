@@ -6,7 +6,7 @@ import ctypes
 import pickle
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,17 @@ def cached(key: str, build: Callable):
     return store[key]
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with as many underscores before each as tell them from all columns, however these write capitals."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def tidy(run: Callable) -> Callable:
     """run over Arrow batches; at its end the worker gives freed memory back, since it may idle while others need it."""
 

@@ -5,19 +5,21 @@ restored: each sign stands for some letters at a cost, marks may be dropped, rep
 collapse, and Viterbi decoding picks the likeliest path under a trigram model of characters
 counted over the whole corpus. Three or more letters, signs or marks in a row that stand alone
 between blanks are one lattice, in which each blank is dropped or parts two words.
-Restored words, and their prefixes, are looked up in weights learnt from labels; a
-document's sum of weights goes through a fitted logistic curve.
+Restored words, and their prefixes, are looked up in weights learnt from labels; what the weights
+of a document's words come to, in all and by length, goes through a fitted logistic curve.
 
-The classifier is fitted on at most ``sample`` labelled rows, those with the least
-hashes of their ids; the curve is fitted on each half of them scored with the weights
-of the other half. At most ``most_features`` weights are kept, the largest. The character counts cover all
-documents; there are at most 28 ** 3 of them.
+A weight is the log ratio of a feature's rates in toxic and other texts, shrunken by its
+standard error, so that weak evidence keeps a weak weight. The classifier is fitted on at most
+``sample`` labelled rows, those with the least hashes of their ids; the curve is fitted on each half of
+them scored with the weights of the other half. The weights, bounded by the sample alone, and the character
+counts, at most 28 ** 3 over all documents, are on the driver.
 
 Defined results: null and empty texts get the score of a text without any weighted
-word; without usable labels all scores are 0; a document with several labels counts as
-toxic if one of them says so; repeated rows give repeated rows; a null id is kept; an
-empty table gives an empty table; further columns are left out of the scores, so their
-names cannot clash.
+word; texts and words of any length are read whole; without usable labels all scores are 0; a document
+with several labels counts as toxic if one of them says so; ids may have any type, equal as strings in
+both tables; of equally likely readings the one that comes first among a lattice's options stays;
+repeated rows give repeated rows; a null id is kept; an empty table gives an empty table; further columns
+are left out of the scores; a column with the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,23 +28,29 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.staging import staged
-from .arrow_text import binary_array, cached, pieces, spans_of, tidy
+from .arrow_text import binary_array, cached, pieces, spans_of, tidy, unused
 
-SAMPLE, MOST_FEATURES = 20_000, 50_000
+SAMPLE = 20_000
 #: Bytes of text whose words and features a task holds at a time.
 PIECE_BYTES = 1 << 20
-PREFIXES = (4, 5, 6, 7, 8)
-#: A feature needs this many toxic documents, log odds, and log-likelihood ratio (about one in 10 ** 5 by chance).
-SUPPORT, LEAST_WEIGHT, LEAST_RATIO = 3, 3.0, 20.0
-#: Sums of weights count up to this; a text with so many words with one is told apart.
-MOST_SUM, SEVERAL = 12.0, 2
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: A feature needs this many toxic documents; a log ratio this small, or this few standard errors large, has no weight.
+SUPPORT, LEAST_WEIGHT, LEAST_ERRORS = 2, 1.0, 2.5
+#: Words from which on a labelled text's counts are scaled down, so that long ones do not outweigh the others.
+LONG = 300
+#: Words that are added to a text's length when its weights are taken by length.
+FEW = 30
+#: Feature counts are summed as whole numbers of this fraction, which no order of addition changes.
+UNIT = 1 << 10
 
 # Letters that signs and digits commonly stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y"}
@@ -280,7 +288,8 @@ class Model:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def sums(self, words: Words, n_docs: int) -> np.ndarray:
-        """For each text the weights of its distinct readings, added up, and whether several of these have one."""
+        """For each text what its weighted readings come to by a hundred words, and the logarithm of what they come to in
+        all. A reading that stands n times counts log2(1 + n) times."""
         known: dict[str, int] = {}
         number = np.array([known.setdefault(w, len(known)) for w in words.read], np.int64)
         weights = np.array([self.weight(w) for w in known], float)
@@ -288,9 +297,10 @@ class Model:
             return np.zeros((n_docs, 2))
         code = number[words.code_all]
         held = weights[code] != 0
-        pairs = np.unique(words.doc_all[held] * len(weights) + code[held])
-        total = np.bincount(pairs // len(weights), weights=weights[pairs % len(weights)], minlength=n_docs)
-        return np.stack([total.clip(max=MOST_SUM), np.bincount(pairs // len(weights), minlength=n_docs) >= SEVERAL], 1)
+        pairs, often = np.unique(words.doc_all[held] * len(weights) + code[held], return_counts=True)
+        total = np.bincount(pairs // len(weights), weights=weights[pairs % len(weights)] * np.log2(1 + often), minlength=n_docs)
+        length = np.bincount(words.doc, minlength=n_docs)
+        return np.stack([100 * total / (length + FEW), np.log1p(total)], 1)
 
     def scores(self, sums: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.curve[0] + sums @ np.array(self.curve[1:])))) if self.curve else np.zeros(len(sums))
@@ -299,69 +309,106 @@ class Model:
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Offset and slopes of the curve fitted by Newton's method with a small ridge."""
     w, design = np.zeros(x.shape[1] + 1), np.column_stack([np.ones(len(x)), x])
+    ridge = np.array([1e-6] + [0.1] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ w))
-        slope = design.T @ (p - y) + 0.1 * w
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(len(w)), slope)
+        slope = design.T @ (p - y) + ridge * w
+        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge), slope)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(w.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> Model:
+def shrunken(yes: Column, no: Column, n_yes: float, n_no: float) -> Column:
+    """The log ratio of two rates, less the more its standard error is of it."""
+    rare = 1.5  # of other texts, so many occurrences are taken for granted
+    ratio = F.log((yes + 0.5) / (n_yes + 1)) - F.log((no + rare) / (n_no + 1))
+    errors = ratio / F.sqrt(1 / (yes + 0.5) + 1 / (no + rare))
+    return F.when((ratio > LEAST_WEIGHT) & (errors > LEAST_ERRORS), ratio * (1 - (LEAST_ERRORS / errors) ** 2)).otherwise(0.0)
+
+
+COUNTS = [f"{kind}{half}" for half in (0, 1) for kind in ("no", "yes", "docs")]
+
+
+def feature_counts(words: Words, half: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Of each feature, by half: how often it stands in texts without and with the label, and in how many with it."""
+    length = np.bincount(words.doc, minlength=len(label))
+    scale = UNIT * np.minimum(1.0, LONG / np.maximum(length, 1))
+    pairs, often = np.unique(words.doc_all * (len(words.read) + 1) + words.code_all, return_counts=True)
+    found: dict[str, list[int]] = {}
+    doc, own = -1, {}
+
+    def close():
+        for f, n in own.items():
+            at = found.setdefault(f, [0] * len(COUNTS))
+            base = 3 * int(half[doc])
+            at[base + int(label[doc])] += round(scale[doc] * np.log2(1 + n))
+            at[base + 2] += int(label[doc])
+
+    for pair, n in zip(pairs.tolist(), often.tolist(), strict=True):
+        new, code = divmod(pair, len(words.read) + 1)
+        if new != doc:
+            close()
+            doc, own = new, {}
+        for f in features(words.read[code]):
+            own[f] = own.get(f, 0) + n
+    close()
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(len(COUNTS)))], names=["feature", *COUNTS])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the labelled rows given and the characters of all documents."""
     model = Model(costs_of(trigram_counts(docs, text_col)))
     costs = model.costs.tolist()
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
+    chosen = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label")).dropna()
+    chosen = chosen.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "label", "half")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id").select("text", "label", "half")
     rows = staged(rows.repartition(max(1, sample // 500)), "labelled")  # a bounded sample, read several times
 
     def counts(batches):
         known: dict[str, str] = {}
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
-            words = Words(data, at, costs, known)
-            kind = (2 * batch.column(2).to_numpy() + batch.column(1).to_numpy()).tolist()
-            found: dict[str, list[int]] = {}
-            last: dict[str, int] = {}
-            for pair in np.unique(words.doc_all * (len(words.read) + 1) + words.code_all).tolist():
-                doc, code = divmod(pair, len(words.read) + 1)
-                for f in features(words.read[code]):
-                    if last.get(f) != doc:
-                        last[f] = doc
-                        found.setdefault(f, [0, 0, 0, 0])[kind[doc]] += 1
-            columns = [pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, names=["feature", "no0", "yes0", "no1", "yes1"])
-
-    n = {(r.half, r.label): r["count"] for r in rows.groupBy("half", "label").count().collect()}
-    if not any(n.get((h, 1)) for h in (0, 1)) or not any(n.get((h, 0)) for h in (0, 1)):
+            yield feature_counts(Words(data, at, costs, known), batch.column(2).to_numpy(), batch.column(1).to_numpy())
+
+    def lengths(batches):
+        n = np.zeros((2, 2), np.int64)
+        for batch, data, at in pieces(batches, "text", PIECE_BYTES):
+            starts, _ = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
+            own = np.minimum(np.diff(np.append(np.searchsorted(starts, at[:-1]), len(starts))), LONG)
+            np.add.at(n, (batch.column(2).to_numpy(), batch.column(1).to_numpy()), own)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1], pa.int32()), pa.array([0, 1, 0, 1], pa.int32()), pa.array(n.ravel())], names=["half", "label", "n"])
+
+    kinds = {(r.half, r.label) for r in rows.select("half", "label").distinct().collect()}
+    if len(kinds) < 4:
         return model
-    table = rows.mapInArrow(tidy(counts), "feature string, no0 long, yes0 long, no1 long, yes1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("no0", "yes0", "no1", "yes1")))
-    table = staged(table.filter(F.col("yes0") + F.col("yes1") >= SUPPORT), "features")
-
-    def weights(*halves: int) -> dict[str, float]:
-        n_yes, n_no = (sum(n.get((h, label), 0) for h in halves) for label in (1, 0))
-        yes, no = (sum((F.col(f"{c}{h}") for h in halves), F.lit(0)) for c in ("yes", "no"))
-        weight = F.log((yes + 0.5) / (n_yes + 1)) - F.log((no + 0.5) / (n_no + 1))
-        part = lambda seen, n: F.when(seen > 0, seen * F.log(seen * (n_yes + n_no) / ((yes + no) * n))).otherwise(0.0)
-        ratio = 2 * (part(yes, max(n_yes, 1)) + part(no, max(n_no, 1)))
-        kept = table.select("feature", weight.alias("weight"), yes.alias("yes"), ratio.alias("ratio")).filter((F.col("yes") >= SUPPORT) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("ratio") >= LEAST_RATIO))
-        return {r.feature: min(r.weight, 8.0) for r in kept.orderBy(F.desc("weight"), "feature").limit(most_features).collect()}
+    n = {(r.half, r.label): r.n for r in rows.mapInArrow(tidy(lengths), "half int, label int, n long").groupBy("half", "label").agg(F.sum("n").alias("n")).collect()}
+    table = rows.mapInArrow(tidy(counts), ", ".join(["feature string", *(f"{c} long" for c in COUNTS)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    table = table.filter(F.col("docs0") + F.col("docs1") >= SUPPORT)
+
+    def weight(*halves: int) -> Column:
+        yes, no, held = (reduce(Column.__add__, (F.col(f"{c}{h}") for h in halves)) for c in ("yes", "no", "docs"))
+        n_yes, n_no = (float(sum(n[h, label] for h in halves)) for label in (1, 0))
+        return F.when(held >= SUPPORT, shrunken(yes / UNIT, no / UNIT, n_yes, n_no)).otherwise(0.0)
 
     # each half is scored with the weights of the other, so the curve is fitted on sums as new texts have them
-    model.weights = weights(0, 1)
-    crossed = [Model(model.costs, weights(1)), Model(model.costs, weights(0))]
+    table = table.select("feature", weight(0, 1).alias("both"), weight(1).alias("half0"), weight(0).alias("half1"))
+    kept = table.filter("both > 0 OR half0 > 0 OR half1 > 0").collect()
+    model.weights, *crossed = ({r.feature: r[c] for r in kept if r[c] > 0} for c in ("both", "half0", "half1"))
+    crossed = [Model(model.costs, w) for w in crossed]
 
     def sums(batches):
         known: dict[str, str] = {}
         for batch, data, at in pieces(batches, "text", PIECE_BYTES):
             words, half = Words(data, at, costs, known), batch.column(2).to_numpy()
             x = np.where(half[:, None] == 0, *(m.sums(words, batch.num_rows) for m in crossed))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(float)), batch.column(1)], names=["sum", "several", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], names=["rate", "total", "label"])
 
-    got = rows.mapInArrow(tidy(sums), "sum double, several double, label int").collect()
-    model.curve = logistic(np.array([(r.sum, r.several) for r in got]), np.array([r.label for r in got], float))
+    got = rows.mapInArrow(tidy(sums), "rate double, total double, label int").collect()
+    got.sort()  # so that sums of floats come out alike
+    model.curve = logistic(np.array([(r.rate, r.total) for r in got]), np.array([r.label for r in got], float))
     return model
 
 
@@ -411,14 +458,14 @@ def restored_text(text: str, costs) -> str:
 def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col: str = "restored") -> DataFrame:
     """The input with its texts in which each disguised word is replaced by its reading; null stays null."""
 
+    kept = [c for c in docs.columns if c.lower() != restored_col.lower()]
+    source = docs.select(*kept, F.col(text_col).cast("string").alias(*unused(kept, "read")))
+
     def run(batches):
         costs = model.costs.tolist()
         for batch in batches:
-            out = []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                out.append(None if text is None else restored_text(text, costs))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, restored_col])
-
-    return docs.mapInArrow(tidy(run), docs.withColumn(restored_col, F.lit(None).cast("string")).schema)
-
+            out = [None if text is None else restored_text(text, costs) for text in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*kept, restored_col])
 
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(restored_col, T.StringType())])
+    return source.mapInArrow(tidy(run), schema)

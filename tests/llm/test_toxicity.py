@@ -78,12 +78,25 @@ def test_repeats_decoded_by_context_are_as_in_whole_words(english):
             assert T.collapsed(word, english, known) == T.decode_word(word, english)
 
 
-def test_held_out_accuracy_and_inputs(spark):
-    got = {r.doc_id: r for r in op2_toxicity(spark, FOLDER).collect()}
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").distinct().count()
-    rows = [(labels[i], r.predicted) for i, r in got.items() if r.held_out and i in labels]
-    assert rows and sum(a == b for a, b in rows) / len(rows) > 0.93
+def area(scores, labels):
+    """How often a labelled text scores over one that is not, ties by half."""
+    order = sorted(set(scores))
+    rank = {v: i for i, v in enumerate(order)}
+    yes, no = (np.bincount([rank[v] for v, y in zip(scores, labels, strict=True) if y == k], minlength=len(order)) for k in (1, 0))
+    below = np.cumsum(no) - no
+    return float((yes * (below + no / 2)).sum() / (yes.sum() * no.sum()))
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_held_out_recall_and_area_under_the_curve(spark, folder):
+    got = {r.doc_id: r for r in op2_toxicity(spark, folder).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").distinct().count()
+    rows = [(labels[i], r.predicted, r.score) for i, r in got.items() if r.held_out and i in labels]
+    yes, no = ([r for r in rows if r[0] == k] for k in (1, 0))
+    assert sum(r[1] for r in yes) >= 0.9 * len(yes)
+    assert sum(r[1] for r in no) <= 0.05 * len(no)
+    assert area([r[2] for r in rows], [r[0] for r in rows]) >= 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
 
 
@@ -119,3 +132,21 @@ def test_no_labels_and_empty_tables(spark):
     empty = docs.filter("false")
     assert T.score(empty, T.fit(empty, none)).count() == 0
     assert np.isfinite(T.costs_of(np.zeros(T.SYMBOLS**3))).all()
+
+
+def test_ids_of_any_type_and_columns_named_as_results(spark):
+    rows = [(f"doc-{i}", "loser idiot and the other" if i % 4 == 0 else "the thing and the other", "x") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, restored string").withColumn("read", F.lit("y"))
+    labels = spark.createDataFrame([(r[0], int(i % 4 == 0)) for i, r in enumerate(rows)], "doc_id string, toxic int")
+    model = T.fit(docs, labels)
+    got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+    assert min(got[f"doc-{i}"] for i in range(0, 80, 4)) > 0.5 > max(got[f"doc-{i}"] for i in range(1, 80, 4))
+    back = T.restored(docs, model)
+    assert sorted(back.columns) == ["doc_id", "read", "restored", "text"]
+    assert all(r.restored == r.text and r["read"] == "y" for r in back.collect())
+
+
+def test_weights_shrink_with_their_evidence(spark):
+    at = lambda yes, no: spark.range(1).select(T.shrunken(F.lit(float(yes)), F.lit(float(no)), 10_000.0, 100_000.0).alias("w")).first().w
+    assert at(1, 1) == 0 < at(4, 1) < at(40, 10) < at(400, 100)
+    assert at(40, 400) == 0
