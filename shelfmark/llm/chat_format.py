@@ -10,11 +10,14 @@ The template marks turns; control strings inside roles and texts are broken by a
 their first character, and a ``~`` is doubled, which ``parsed`` takes back. DataFrame functions
 only.
 
-Defined results: a null text or role counts as empty; of several rows with one message id
-in a tree the least by role, then text, then score stays; a message whose parent is missing is a root;
-messages on a cycle, or under one, have no root and are left out; null scores count as 0;
-a null tree is a tree; a message with a null id is a leaf of its own for each row; an empty table gives an
-empty table; further columns are left out, so their names cannot clash.
+Messages are told apart by tree and id, as they are typed, and numbered once; the joins go by number.
+
+Defined results: a null text or role counts as empty; texts of any length stay whole; of several rows with
+one message id in a tree the least by role, then text, then score, then parent stays; a message whose parent
+is missing is a root; messages on a cycle, or under one, have no root and are left out; null scores count as
+0; branches of one score rank by length, then by the id of their leaf, then by a hash of its role and text; a
+null tree is a tree, and is not the one named like it; a message with a null id is a leaf of its own for each
+row; an empty table gives an empty table; further columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -41,21 +44,29 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)~(.)", "$1")
 
 
-def nodes_of(messages: DataFrame, tree: str, msg: str, parent: str, role: str, text: str, score: str | None) -> DataFrame:
-    """One row for each message: tree, key (of tree and message), up (key of the parent, if it is there), role, text, score."""
+def nodes_of(messages: DataFrame, tree: str, msg: str, parent: str, role: str, text: str, score: str | None) -> tuple[DataFrame, DataFrame]:
+    """Messages by number: key, tree, msg, up (the parent's key, if it is there), score, hash; and key, tree, role, text."""
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
-    own = F.coalesce(F.col(msg).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    rows = messages.select(F.col(tree).alias("tree"), own.alias("msg"), F.col(parent).cast("string").alias("parent"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), value.alias("score"))
-    key = lambda c: F.concat(F.coalesce(F.col("tree").cast("string"), F.lit("~")), F.lit("/"), F.col(c))
-    rows = rows.withColumn("key", key("msg")).groupBy("key").agg(F.min(F.struct("role", "text", "score", "tree", "parent")).alias("m"))
-    rows = staged(rows.select("key", "m.*").withColumn("above", key("parent")).drop("parent"), "messages")
-    there = rows.select(F.col("key").alias("up"))
-    return rows.join(there, F.col("above") == F.col("up"), "left").drop("above")
-
-
-def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Leaves with the score and length of their branch: tree, key, score, n; and for each k (key, up): the ancestor 2 ** k levels up."""
-    far = staged(nodes.select("key", "up", "score", F.lit(1).cast("long").alias("n")), "reach")
+    alike = messages.schema[msg].dataType == messages.schema[parent].dataType
+    of = lambda c: F.col(c) if alike else F.col(c).cast("string")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.when(F.col(msg).isNull(), F.monotonically_increasing_id())
+    rows = messages.select(
+        F.col(tree).alias("tree"), of(msg).alias("msg"), row.alias("row"),
+        F.struct(said(role).alias("role"), said(text).alias("text"), value.alias("score"), of(parent).alias("parent")).alias("m"),
+    )
+    rows = rows.groupBy("tree", "msg", "row").agg(F.min("m").alias("m"))
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("key"), "tree", "msg", "m.*"), "messages")
+    # structs are equal if their fields are, nulls too
+    there = rows.filter("msg IS NOT NULL").select(F.struct("tree", "msg").alias("above"), F.col("key").alias("up"))
+    lower = rows.select("key", "tree", "msg", "score", F.xxhash64("role", "text").alias("hash"), F.struct("tree", F.col("parent").alias("msg")).alias("under"))
+    links = staged(lower.join(there, F.col("under") == F.col("above"), "left").select("key", "tree", "msg", "up", "score", "hash"), "links")
+    return links, rows.select("key", "tree", "role", "text")
+
+
+def branches(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves with the score and length of their branch: tree, msg, hash, key, score, n; and for each k (key, up): the ancestor 2 ** k levels up."""
+    far = links.select("key", "up", "score", F.lit(1).cast("long").alias("n"))
     most = far.count()
     levels = []
     while 1 << len(levels) <= most:
@@ -67,27 +78,30 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         # branches that have reached their root are done
         farther = open_rows.join(above, "up").select("key", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("n") + F.col("n_more")).alias("n"))
         far = staged(farther.unionByName(far.filter("up IS NULL")), "reach")
-    parents = nodes.select(F.col("up").alias("key")).filter("key is not null").distinct()
-    leaves = far.filter("up is null").join(parents, "key", "left_anti").join(nodes.select("tree", "key"), "key")
-    return leaves.select("tree", "key", "score", "n"), levels
+    parents = links.select(F.col("up").alias("key")).filter("key is not null").distinct()
+    leaves = far.filter("up is null").join(parents, "key", "left_anti").join(links.select("tree", "msg", "hash", "key"), "key")
+    return leaves.select("tree", "msg", "hash", "key", "score", "n"), levels
 
 
-def chosen_paths(nodes: DataFrame, best: int) -> DataFrame:
+def chosen_paths(links: DataFrame, texts: DataFrame, best: int) -> DataFrame:
     """The messages of the best branches of each tree: tree, leaf, rank, score, at (from 0 at the root), role, text."""
-    leaves, levels = branches(nodes)
-    order = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "key")
+    leaves, levels = branches(links)
+    order = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("n"), "msg", "hash")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     path = leaves.select(F.col("key").alias("leaf"), "rank", "score", "n", "key", F.lit(0).cast("long").alias("down"))
     for k, level in enumerate(levels):
         path = staged(path, "paths")
         higher = path.join(level, "key").select("leaf", "rank", "score", "n", F.col("up").alias("key"), (F.col("down") + (1 << k)).alias("down"))
         path = path.unionByName(higher)
-    return path.join(nodes.select("tree", "key", "role", "text"), "key").select("tree", "leaf", "rank", "score", (F.col("n") - 1 - F.col("down")).alias("at"), "role", "text")
+    return path.join(texts, "key").select("tree", "leaf", "rank", "score", (F.col("n") - 1 - F.col("down")).alias("at"), "role", "text")
 
 
-def formatted(messages: DataFrame, tree: str = "tree", msg: str = "msg", parent: str = "parent", role: str = "role", text: str = "text", score: str | None = None, best: int = 1, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def formatted(
+    messages: DataFrame, tree: str = "tree", msg: str = "msg", parent: str = "parent", role: str = "role", text: str = "text",
+    score: str | None = None, best: int = 1, learn: tuple[str, ...] = ("assistant",),
+) -> DataFrame:
     """A row for each chosen branch: tree, rank, score, formatted, loss (spans of the learnt roles' texts in it, in code points)."""
-    rows = chosen_paths(nodes_of(messages, tree, msg, parent, role, text, score), best)
+    rows = chosen_paths(*nodes_of(messages, tree, msg, parent, role, text, score), best)
     head = F.concat(F.lit(TURN), F.regexp_replace(escaped(F.col("role")), "\n", "~n"), F.lit("\n"))
     rows = rows.withColumn("head", head).withColumn("body", escaped(F.col("text"))).withColumn("turn", F.concat("head", "body", F.lit(END)))
     before = F.coalesce(F.sum(F.length("turn")).over(W.partitionBy("leaf").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -95,7 +109,8 @@ def formatted(messages: DataFrame, tree: str = "tree", msg: str = "msg", parent:
     span = F.when(F.col("role").isin(*learn), F.struct(start.alias("start"), (start + F.length("body")).alias("end")))
     turns = rows.select("tree", "leaf", "rank", "score", F.struct("at", "turn", span.alias("span")).alias("t"))
     out = turns.groupBy("leaf").agg(F.first("tree").alias("tree"), F.first("rank").alias("rank"), F.first("score").alias("score"), F.sort_array(F.collect_list("t")).alias("t"))
-    return out.select(F.col("tree").alias(tree), "rank", "score", F.array_join("t.turn", "").alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss"))
+    loss = F.filter("t.span", lambda s: s.isNotNull())
+    return out.select(F.col("tree").alias(tree), "rank", "score", F.array_join("t.turn", "").alias("formatted"), loss.alias("loss"))
 
 
 def parsed(chats: DataFrame) -> DataFrame:

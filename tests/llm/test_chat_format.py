@@ -26,7 +26,7 @@ def brute(rows, best):
                 path.append(nodes[at])
                 at = (t, nodes[at][2])
             if len(path) <= len(nodes):
-                found.append((-sum(r[5] or 0.0 for r in path), -len(path), f"{'~' if tree is None else tree}/{m}", path[::-1]))
+                found.append((-sum(r[5] or 0.0 for r in path), -len(path), m, path[::-1]))
         for k, (s, _, _, path) in enumerate(sorted(found, key=lambda f: f[:3])[:best], 1):
             out.append((str(tree), k, round(-s, 6), [(r[3] or "", r[4] or "") for r in path]))
     return sorted(out)
@@ -77,3 +77,16 @@ def test_equal_turns_have_an_order(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "system", None), (None, 0, "user", "x"), (1, 0, "user", "a")]
     got = C.parsed(C.formatted(C.chained(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id")).select("conv_id", F.col("turns.text").alias("texts")).collect()
     assert {r.conv_id: r.texts for r in got} == {1: ["", "a", "a", "b"], None: ["x"]}
+
+
+def test_trees_and_ids_that_read_alike_joined_are_apart(spark):
+    rows = [("a/b", "c", None, "user", "1"), ("a", "b/c", None, "user", "2"), (None, "x", None, "user", "3"), ("~", "x", None, "user", "4"), ("null", "x", None, "user", "5"), ("a", "row 0", None, "user", "6"), ("a", None, "b/c", "user", "7"), ("a", "", None, "user", "8")]
+    frame = spark.createDataFrame(rows, "tree string, msg string, parent string, role string, text string")
+    got = C.parsed(C.formatted(frame, best=9)).collect()
+    assert sorted((str(r.tree), [t.text for t in r.turns]) for r in got) == [("None", ["3"]), ("a", ["2", "7"]), ("a", ["6"]), ("a", ["8"]), ("a/b", ["1"]), ("null", ["5"]), ("~", ["4"])]
+
+
+def test_parents_of_another_type_and_long_texts(spark):
+    rows = [(1, 1, None, "user", "x" * 300_000), (1, 2, "1", "assistant", "y~" * 100_000)]
+    got = C.parsed(C.formatted(spark.createDataFrame(rows, "tree int, msg int, parent string, role string, text string"))).collect()
+    assert [[t.text for t in r.turns] for r in got] == [[rows[0][4], rows[1][4]]] and got[0].learnt == [rows[1][4]]
