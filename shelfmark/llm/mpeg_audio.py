@@ -1,20 +1,24 @@
 """MPEG audio in binary columns.
 
-``inspect`` walks the frames of each stream: it reads ID3 tags at both ends,
-resynchronises after foreign bytes (a header counts if another one, or the end,
-follows at the frame's length), reads Xing, Info and VBRI tables, verifies the
-checksums of Layer III frames that have one, and gives the exact duration as a
-fraction of seconds and the byte offset of every frame. ``store`` packs bytes
-losslessly into the main data of Layer III frames, and ``main_data`` gets them back.
-
-Defined results: null media gives nulls; empty media and media without frames have 0
-frames and duration 0/1; a frame cut off by the end is not counted; repeated rows
-give repeated rows; an empty table gives an empty table; further columns are kept,
-unless they have the name of a result: then the result replaces them.
+``inspect`` walks the frames of each stream: it reads ID3 tags at both ends (versions 2.2 to 2.4, with
+extended headers and unsynchronisation), resynchronises after foreign bytes (a header counts if another
+one, or the end, follows at the frame's length), reads Xing, Info and VBRI tables with their seek points,
+verifies the checksums of frames of all three layers that have one, and gives the exact duration as a
+fraction of seconds and the byte offset of every frame. The length of frames of free format is the distance
+to the next header like theirs. ``store`` packs bytes losslessly into the main data of Layer III frames, and
+``unpacked`` gets them back.
+
+Defined results: null media gives nulls; empty media and media without frames have 0 frames and duration
+0/1; a frame cut off by the end is not counted; a table or tag that its frame or the stream cuts short, or
+that states no number where one belongs, is passed over, so damaged media never stops a job; of tags of one
+name the last one stays, those at the front over those at the end; media of any length is read whole, one
+value at a time; repeated rows give repeated rows; an empty table gives an empty table; further columns are
+kept, unless they have the name of a result: then the result replaces them.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from fractions import Fraction
 
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import cached
+from .arrow_text import cached, unused
 
 # kbit/s by bitrate index from 1, for (MPEG 1?, layer); Hz by version bits and index.
 BITRATES = {
@@ -38,28 +42,42 @@ RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
 
 
+# Bits of the allocation of Layer II subbands, as (bits, subbands) in order.
+ALLOCATION = {
+    "most": ((4, 11), (3, 12), (2, 4)),
+    "more": ((4, 11), (3, 12), (2, 7)),
+    "few": ((4, 2), (3, 6)),
+    "some": ((4, 2), (3, 10)),
+    "half": ((4, 4), (3, 7), (2, 19)),
+}
+
+
 class Header:
-    """What the four bytes of a frame header say; valid is False if they are none."""
+    """What the four bytes of a frame header say; valid is False if they are none. Frames of free format have length 0."""
 
-    __slots__ = ("channels", "checked", "layer", "length", "rate", "samples", "side", "valid", "version")
+    __slots__ = ("channels", "checked", "free", "kbits", "layer", "length", "pad", "rate", "samples", "side", "stereo_to", "valid", "version")
 
     def __init__(self, raw: bytes):
         self.valid = False
         if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
             return
         version, layer, index, rate = raw[1] >> 3 & 3, 4 - (raw[1] >> 1 & 3), raw[2] >> 4, raw[2] >> 2 & 3
-        if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
+        if version == 1 or layer == 4 or index == 15 or rate == 3:
             return
         one = version == 3
-        bitrate = BITRATES[one, layer][index - 1] * 1000
+        self.free = index == 0
+        self.kbits = 0 if self.free else BITRATES[one, layer][index - 1]
         self.version, self.layer, self.rate = VERSIONS[version], layer, RATES[version][rate]
-        pad = raw[2] >> 1 & 1
+        self.pad = (raw[2] >> 1 & 1) * (4 if layer == 1 else 1)
         self.samples = 384 if layer == 1 else 1152 if layer == 2 or one else 576
-        self.length = (12 * bitrate // self.rate + pad) * 4 if layer == 1 else self.samples // 8 * bitrate // self.rate + pad
-        self.channels = 1 if raw[3] >> 6 == 3 else 2
+        bits = self.kbits * 1000
+        self.length = (12 * bits // self.rate * 4 if layer == 1 else self.samples // 8 * bits // self.rate) + self.pad
+        mode = raw[3] >> 6
+        self.channels = 1 if mode == 3 else 2
+        self.stereo_to = 4 * (raw[3] >> 4 & 3) + 4 if mode == 1 else 32  # from this subband on both channels share bits
         self.checked = not raw[1] & 1
         self.side = 0 if layer != 3 else (17 if self.channels == 1 else 32) if one else (9 if self.channels == 1 else 17)
-        self.valid = self.length > 4 + 2 * self.checked + self.side
+        self.valid = self.free or self.length > 4 + 2 * self.checked + self.side
 
 
 def header(raw: bytes) -> Header:
@@ -99,40 +117,106 @@ def frame_crc(raw: bytes) -> int:
     return known[raw]
 
 
+def bits_crc(head: bytes, bits: str) -> int:
+    """The CRC of header bytes 3 and 4 with some bits, which may end inside a byte."""
+    whole = len(bits) // 8 * 8
+    c = crc16(head + bytes(int(bits[i : i + 8], 2) for i in range(0, whole, 8)))
+    for b in bits[whole:]:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (b == "1") else 0)
+    return c
+
+
+def subband_bits(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer I or II frame."""
+    if h.layer == 1:
+        return [4] * 32
+    each = h.kbits // h.channels
+    if h.version != "1":
+        kind = "half"
+    elif each and each <= 48:
+        kind = "some" if h.rate == 32000 else "few"
+    else:
+        kind = "most" if h.rate == 48000 or 56 <= each <= 80 else "more"
+    return [bits for bits, n in ALLOCATION[kind] for _ in range(n)]
+
+
+def allocation_crc(head: bytes, body: bytes, h: Header) -> int | None:
+    """The CRC of a Layer I or II frame: of its allocation and, in Layer II, which scale factors it sends; null if cut short."""
+    sizes = subband_bits(h)
+    stereo = min(h.stereo_to, len(sizes)) if h.channels == 2 else len(sizes)
+    bits = "".join(f"{b:08b}" for b in body[:64])
+    at = used = 0
+    for band, size in enumerate(sizes):
+        for _ in range(h.channels if band < stereo else 1):
+            used += (h.channels if band >= stereo else 1) * (int(bits[at : at + size] or "0", 2) > 0)
+            at += size
+    at += 2 * used if h.layer == 2 else 0
+    return bits_crc(head, bits[:at]) if at <= len(bits) else None
+
+
 def syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
 
+def plain_size(raw: bytes) -> int:
+    """Four bytes of seven bits each."""
+    return sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=False))
+
+
 def id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
     """The end of the tag at an offset and its text frames."""
-    size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-    end, i, tags, major = at + 10 + size + (10 if data[at + 5] & 0x10 else 0), at + 10, {}, data[at + 3]
-    while major in (3, 4) and i + 10 <= min(at + 10 + size, len(data)) and data[i : i + 4].strip(b"\0"):
-        n = sum((b & 0x7F) << s for b, s in zip(data[i + 4 : i + 8], (21, 14, 7, 0), strict=True)) if major == 4 else int.from_bytes(data[i + 4 : i + 8], "big")
-        name, body = data[i : i + 4].decode("latin-1"), data[i + 10 : i + 10 + n]
-        if name[:1] == "T" and body:
-            text = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3], "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value
-        i += 10 + n
+    major, flags, size = data[at + 3], data[at + 5], plain_size(data[at + 6 : at + 10])
+    end = at + 10 + size + (10 if flags & 0x10 and major == 4 else 0)
+    body, i, tags = data[at + 10 : at + 10 + size], 0, {}
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and major > 2:
+        i = plain_size(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    name_size, head = (3, 6) if major == 2 else (4, 10)
+    while major in (2, 3, 4) and i + head <= len(body) and body[i : i + name_size].strip(b"\0"):
+        n = plain_size(body[i + 4 : i + 8]) if major == 4 else int.from_bytes(body[i + name_size : i + 2 * name_size], "big")
+        name, value = body[i : i + name_size].decode("latin-1"), body[i + head : i + head + n]
+        if major == 4:
+            value = value[4:] if body[i + 9] & 1 else value  # the size before packing
+            value = value.replace(b"\xff\0", b"\xff") if (body[i + 9] & 2 or flags & 0x80) else value
+        if name[:1] == "T" and value:
+            text = value[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[value[0] & 3], "replace").rstrip("\0")
+            key, _, said = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
+            tags[key] = said
+        i += head + n
     return end, tags
 
 
-def vbr_table(data: bytes, at: int, h: Header) -> tuple[int, int] | None:
-    """Frames and bytes that a Xing, Info or VBRI table states, if the frame holds one."""
-    xing = at + 4 + h.side
-    if data[xing : xing + 4] in (b"Xing", b"Info"):
-        flags, i, out = int.from_bytes(data[xing + 4 : xing + 8], "big"), xing + 8, []
+def vbr_table(frame: bytes, h: Header) -> tuple[int, int, list[int]] | None:
+    """Frames, bytes and seek points (byte offsets) that a Xing, Info or VBRI table states, if the frame holds a whole one."""
+    xing = 4 + h.side
+    if frame[xing : xing + 4] in (b"Xing", b"Info"):
+        flags, i, out = int.from_bytes(frame[xing + 4 : xing + 8], "big"), xing + 8, []
         for bit in (1, 2):
-            out.append(int.from_bytes(data[i : i + 4], "big") if flags & bit else 0)
+            out.append(int.from_bytes(frame[i : i + 4], "big") if flags & bit else 0)
             i += 4 if flags & bit else 0
-        return out[0], out[1]
-    if data[at + 36 : at + 40] == b"VBRI":
-        size, frames = struct.unpack(">II", data[at + 46 : at + 54])
-        return frames, size
+        points = [p * out[1] // 256 for p in frame[i : i + 100]] if flags & 4 else []
+        return (out[0], out[1], points) if i + 100 * bool(flags & 4) <= len(frame) else None
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
+        if 1 <= width <= 4 and 62 + entries * width <= len(frame):
+            points = [0]
+            for k in range(entries):
+                points.append(points[-1] + scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big"))
+            return frames, size, points[:-1]
     return None
 
 
+def free_length(data: bytes, at: int, end: int, h: Header) -> int:
+    """The length of a frame of free format without padding: the distance to the next header like its own; 0 if there is none."""
+    new = at
+    while (new := data.find(data[at : at + 2], new + 4, end)) >= 0:
+        other = header(data[new : new + 4])
+        if other.valid and other.free and other.rate == h.rate and other.channels == h.channels and new - at > 4 + 2 * h.checked + h.side:
+            return new - at - h.pad
+    return 0
+
+
 def walk(data: bytes) -> dict:
     """All that inspect tells of one stream, and the main data of its frames."""
     tags: dict[str, str] = {}
@@ -142,16 +226,20 @@ def walk(data: bytes) -> dict:
         for name, a, z in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if text := data[end + a : end + z].split(b"\0")[0].decode("latin-1").strip():
                 tags[name] = text
-    out = {"tags": tags, "offsets": [], "n_frames": 0, "samples": 0, "skipped": 0, "crc_checked": 0, "crc_errors": 0, "vbr_frames": None, "vbr_bytes": None, "version": None, "layer": None, "sample_rate": None, "channels": None, "main": []}
+    out = {"tags": tags, "offsets": [], "n_frames": 0, "samples": 0, "skipped": 0, "crc_checked": 0, "crc_errors": 0, "main": []}
+    out |= dict.fromkeys(("vbr_frames", "vbr_bytes", "vbr_seek", "version", "layer", "sample_rate", "channels"))
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at, more = id3v2(data, at)
         tags |= more
-    seconds, by_rate, sure = Fraction(0), {}, False
+    seconds, by_rate, sure, free = Fraction(0), {}, False, 0
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        stop = at + h.length if h.valid else 0
-        if not h.valid or stop > end or not (sure or stop + 4 > end or header(data[stop : stop + 4]).valid):
-            sure = False
+        if h.valid and h.free and not free:
+            free = free_length(data, at, end, h)
+        length = (free and free + h.pad) if h.valid and h.free else h.length if h.valid else 0
+        stop = at + length
+        if not length or stop > end or not (sure or stop + 4 > end or header(data[stop : stop + 4]).valid):
+            sure, free = False, 0
             new = data.find(b"\xff", at + 1, end)
             new = end if new < 0 else new
             out["skipped"] += new - at
@@ -160,15 +248,17 @@ def walk(data: bytes) -> dict:
         sure = True
         if out["version"] is None:
             out |= {"version": h.version, "layer": h.layer, "sample_rate": h.rate, "channels": h.channels}
-            table = vbr_table(data, at, h) if h.layer == 3 else None
+            table = vbr_table(data[at:stop], h) if h.layer == 3 else None
             if table:
-                out["vbr_frames"], out["vbr_bytes"] = table
+                out["vbr_frames"], out["vbr_bytes"], out["vbr_seek"] = table
                 at = stop
                 continue
         body = at + 4 + 2 * h.checked
-        if h.checked and h.layer == 3:
-            out["crc_checked"] += 1
-            out["crc_errors"] += frame_crc(data[at + 2 : at + 4] + data[body : body + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.checked:
+            head, said = data[at + 2 : at + 4], int.from_bytes(data[at + 4 : at + 6], "big")
+            got = frame_crc(head + data[body : body + h.side]) if h.layer == 3 else allocation_crc(head, data[body:stop], h)
+            out["crc_checked"] += got is not None
+            out["crc_errors"] += got is not None and got != said
         out["offsets"].append(at)
         out["main"].append(data[body + h.side : stop])
         by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
@@ -181,7 +271,10 @@ def walk(data: bytes) -> dict:
     return out
 
 
-FIELDS = [("version", "string"), ("layer", "int"), ("sample_rate", "int"), ("channels", "int"), ("n_frames", "long"), ("samples", "long"), ("duration_num", "long"), ("duration_den", "long"), ("skipped", "long"), ("crc_checked", "long"), ("crc_errors", "long"), ("vbr_frames", "long"), ("vbr_bytes", "long"), ("offsets", "array<long>"), ("tags", "map<string,string>")]
+FIELDS = [
+    ("version", "string"), ("layer", "int"), ("sample_rate", "int"), ("channels", "int"), ("n_frames", "long"), ("samples", "long"), ("duration_num", "long"), ("duration_den", "long"),
+    ("skipped", "long"), ("crc_checked", "long"), ("crc_errors", "long"), ("vbr_frames", "long"), ("vbr_bytes", "long"), ("vbr_seek", "array<long>"), ("offsets", "array<long>"), ("tags", "map<string,string>"),
+]
 
 #: Layer III, mono, 32 kHz: each frame has a checksum.
 SIDE, RATE_INDEX, MOST_INDEX = 17, 2, 14
@@ -194,7 +287,12 @@ def frame_room(index: int) -> int:
 def packed(payload: bytes) -> bytes:
     """A stream whose frames hold the payload as main data: a tag with its length, a Xing table, then frames of the
     highest bitrate and a last one of the lowest that suffices."""
-    heads = cached("mpeg heads", lambda: {i: (h := bytes((0xFF, 0xFA, i << 4 | RATE_INDEX << 2, 0xC0))) + crc16(h[2:] + bytes(SIDE)).to_bytes(2, "big") + bytes(SIDE) for i in range(1, 15)})
+
+    def build():
+        heads = {i: bytes((0xFF, 0xFA, i << 4 | RATE_INDEX << 2, 0xC0)) for i in range(1, 15)}
+        return {i: h + crc16(h[2:] + bytes(SIDE)).to_bytes(2, "big") + bytes(SIDE) for i, h in heads.items()}
+
+    heads = cached("mpeg heads", build)
     room = frame_room(MOST_INDEX)
     full, rest = divmod(len(payload), room)
     out = [heads[MOST_INDEX] + payload[i * room : (i + 1) * room] for i in range(full)]
@@ -211,9 +309,9 @@ def packed(payload: bytes) -> bytes:
 
 def _mapped(df: DataFrame, column: str, new: list[tuple[str, str]], row) -> DataFrame:
     """df with new columns made from one binary column by row(bytes or None)."""
-    kept = [c for c in df.columns if c not in {n for n, _ in new}]
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n, _ in new}]
     schema = T.StructType([*(df.schema[c] for c in kept), *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in new)).fields])
-    source = df.select(*kept, F.col(column).alias("__in"))
+    source = df.select(*kept, F.col(column).alias(*unused(kept, "media_in")))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -253,7 +351,8 @@ def unpacked(df: DataFrame, media: str = "media", payload: str = "payload") -> D
         if data is None:
             return None
         got = walk(data)
-        size = int(got["tags"].get("payload_bytes", -1))
+        said = got["tags"].get("payload_bytes", "")
+        size = int(said) if re.fullmatch("[0-9]{1,18}", said) else -1
         main = b"".join(got["main"])
         whole = 0 <= size <= len(main) and not got["crc_errors"] and not got["skipped"] and got["vbr_frames"] == got["n_frames"]
         return got | {"tags": list(got["tags"].items()), payload: main[:size] if whole else None}

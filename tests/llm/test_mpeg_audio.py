@@ -65,3 +65,75 @@ def test_query_against_plain_python(spark):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_sha256 == hashlib.sha256(M.packed(payload)).hexdigest() and r.media_bytes == len(M.packed(payload))
+        h = M.walk(M.packed(payload))
+        seek = hashlib.sha256(",".join(map(str, h["offsets"])).encode()).hexdigest()
+        assert r.feature == f"1;3;32000;1;{h['n_frames']};{h['duration_num']}/{h['duration_den']};{h['n_frames']};0;{seek}"
+
+
+def frames3(n, table=b"", at=0):
+    """Layer III frames of 144 bytes without checksums, the first with a table at an offset."""
+    first = bytearray(b"\xff\xfb\x18\xc0".ljust(144, b"\0"))
+    first[at : at + len(table)] = table
+    return bytes(first[:144]) + b"\xff\xfb\x18\xc0".ljust(144, b"\0") * n
+
+
+def test_damaged_tables_and_tags_stop_nothing(spark):
+    one = b"\xff\xf3\x14\xc0"  # 24 bytes a frame and more
+    length = M.Header(one).length
+    rows = [b"".join([one.ljust(length, b"\0")])[:36].ljust(36, b"\0") + b"VBRI" + bytes(k) for k in range(20)]
+    rows += [frames3(3, b"VBRI" + b"\xff" * 22, 36), frames3(3, b"Xing" + b"\xff" * 10, 4 + 17), b"ID3", b"ID3\x04\0\xff\x7f\x7f\x7f\x7f", b"ID3\x03\0\x40\0\0\0\x04\xff\xff\xff\xff"]
+    text = b"\0payload_bytes\0abc"
+    tag = b"TXXX" + len(text).to_bytes(4, "big") + b"\0\0" + text
+    rows.append(b"ID3\x03\0\0" + M.syncsafe(len(tag)) + tag + frames3(2))
+    got = M.unpacked(spark.createDataFrame([(bytearray(r),) for r in rows], "media binary")).collect()
+    assert len(got) == len(rows) and all(r.payload is None for r in got) and got[-1].tags == {"payload_bytes": "abc"} and got[-1].n_frames == 3
+
+
+def test_seek_tables():
+    toc = bytes(i * 2 for i in range(100))
+    xing = M.walk(M.packed(bytes(50_000)))
+    assert len(xing["vbr_seek"]) == 100 and xing["vbr_seek"] == sorted(xing["vbr_seek"]) and xing["vbr_seek"][99] < xing["vbr_bytes"]
+    vbri = b"VBRI" + bytes(6) + (500).to_bytes(4, "big") + (3).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"".join(x.to_bytes(2, "big") for x in (72, 72, 50))
+    got = M.walk(frames3(3, vbri, 36))
+    assert (got["vbr_frames"], got["vbr_bytes"], got["vbr_seek"], got["n_frames"]) == (3, 500, [0, 144, 288], 3)
+    assert M.vbr_table(b"\xff\xfb\x18\xc0" + bytes(17) + b"Info" + (4).to_bytes(4, "big") + toc, M.Header(b"\xff\xfb\x18\xc0"))[2] == [0] * 100
+
+
+def test_tags_of_each_version():
+    def tag(major, flags, body):
+        return b"ID3" + bytes((major, 0, flags)) + M.syncsafe(len(body)) + body
+
+    two = tag(2, 0, b"TT2" + (5).to_bytes(3, "big") + b"\0Song")
+    extended = tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + b"\0Song")
+    unsynced = tag(3, 0x80, b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0a\xff\0b")
+    four = tag(4, 0x40, M.syncsafe(6) + b"\1\0" + b"TIT2" + M.syncsafe(5) + b"\0\2" + b"\0\xff\0bc")
+    assert [M.id3v2(t, 0) for t in (two, extended, unsynced, four)] == [(len(two), {"TT2": "Song"}), (len(extended), {"TIT2": "Song"}), (len(unsynced), {"TIT2": "aÿb"}), (len(four), {"TIT2": "ÿbc"})]
+
+
+@pytest.mark.parametrize(("second", "third", "mode"), [(0xFE, 0x44, 0xC0), (0xFE, 0x44, 0x50), (0xFC, 0x44, 0xC0), (0xFC, 0xA4, 0x00), (0xFC, 0xA4, 0x60), (0xFC, 0x88, 0x10), (0xF4, 0x44, 0xC0)])
+def test_checksums_of_the_other_layers(second, third, mode):
+    head = bytes((0xFF, second, third, mode))
+    h = M.Header(head)
+    body = bytes(i * 37 % 256 for i in range(h.length - 6))
+    bits = "".join(f"{b:08b}" for b in body)
+    at, used = 0, 0
+    for band, size in enumerate(M.subband_bits(h)):
+        both = h.channels == 2 and band < h.stereo_to
+        for _ in range(2 if both else 1):
+            used += (1 if both else h.channels) * (int(bits[at : at + size], 2) > 0)
+            at += size
+    c = 0xFFFF
+    for b in f"{third:08b}{mode:08b}" + bits[: at + (2 * used if h.layer == 2 else 0)]:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) != int(b) else 0)
+    frame = head + c.to_bytes(2, "big") + body
+    got = M.walk(frame * 3)
+    assert (got["layer"], got["n_frames"], got["crc_checked"], got["crc_errors"]) == (h.layer, 3, 3, 0)
+    assert M.walk(frame + head + bytes(2) + body + frame)["crc_errors"] == 1
+
+
+def test_free_format():
+    frame = b"\xff\xfb\x08\xc0".ljust(200, b"\1")
+    padded = b"\xff\xfb\x0a\xc0".ljust(201, b"\1")
+    got = M.walk(b"junk" + frame + padded + frame + frame)
+    assert (got["n_frames"], got["skipped"], got["offsets"], got["samples"]) == (4, 4, [4, 204, 405, 605], 4 * 1152)
+    assert M.walk(frame)["n_frames"] == 0
