@@ -104,8 +104,11 @@ def op9_media_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written to WARC archives and read back."""
-    archives, _ = warc.write(table(spark, folder, "pages"))
-    return warc.read(spark, archives, payloads=False).drop("payload")
+    pages = table(spark, folder, "pages")
+    archives, _ = warc.write(pages)
+    back = warc.read(spark, archives, payloads=False)
+    number = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return back.select(number("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_page").alias("refers_to"))
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_media_columns, op10_warc)}
