@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +37,30 @@ def fresh_path(spark: SparkSession, name: str, make: bool = False) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+#: The tables of each open block of temporary_tables, the innermost last.
+_open: ContextVar[tuple[list, ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for lasting ones: those belong to the block around this one, if any."""
+    own: list = []
+    token = _open.set((*_open.get(), own))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for files, path in own:
+            files.delete(path, True)
+
+
+def staged(df: DataFrame, name: str = "stage", lasting: bool = False) -> DataFrame:
     """The rows of df, computed once and read back from a Parquet table in the shared folder."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    blocks = _open.get()[:-1] if lasting else _open.get()
+    if blocks:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        blocks[-1].append((hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
