@@ -292,7 +292,8 @@ class Model:
         all. A reading that stands n times counts log2(1 + n) times."""
         known: dict[str, int] = {}
         number = np.array([known.setdefault(w, len(known)) for w in words.read], np.int64)
-        weights = np.array([self.weight(w) for w in known], float)
+        heads = {f[:3] for f in self.weights}  # all features of a word begin as it does
+        weights = np.array([self.weight(w) if w[:3] in heads else 0.0 for w in known], float)
         if not len(weights):
             return np.zeros((n_docs, 2))
         code = number[words.code_all]
