@@ -8,25 +8,30 @@ both sketches and both set sizes, then against the full sets.
 
 Equal sets form one class. In each bucket of a band, the class with the most company
 is held against the others, and linked classes are joined to groups. What is left to compare
-are classes of one bucket in different groups: such pairs are held against each
-other if their differences from the bucket's first class can have enough in common (bits of hashed
-items bound that), so no link between groups is lost, and no pairs within a group are made.
-
-Defined results: null and empty texts, and texts without words, are linked with
-nothing; repeated rows are copies; rows with a null id join groups but never name
-them, and a group of null ids alone has a null component; an empty table gives an
-empty table; further columns are left out, so their names cannot clash.
+are classes of one bucket in different groups. Two of these can only be linked if what tells them from the
+bucket's first class overlaps enough, so a prefix of that, rarest items first, leads to the pairs:
+no link between groups is lost, and no pairs within a group are made.
+
+Texts are not shuffled, but those that have to be compared: a table of bits, of bounded size, marks these by a
+hash of id and text, and what is marked is then looked up exactly.
+
+Defined results: null and empty texts, and texts without words, are linked with nothing; texts of any
+length are read whole; ids may have any type with an order; repeated rows are copies; rows with a null id join
+groups but never name them, and a group of null ids alone has a null component; an empty table gives an
+empty table; further columns are left out, so their names cannot clash. ``deduplicated`` keeps all columns
+as they are; of rows equal in id and text the one that comes first as JSON stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
-from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of, tidy
+from ..functions.staging import staged, temporary_tables
+from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of, tidy, unused
 
 SHINGLE = 5
 #: Registers, registers of a band, and the sketch's base, rate and largest value but one.
@@ -108,7 +113,7 @@ def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, ste
 
 def fixed(rows: np.ndarray) -> pa.Array:
     """Rows of equal bytes as Arrow binary values."""
-    rows = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    rows = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0), np.uint8)
     offsets = (np.arange(len(rows) + 1) * (rows.shape[1] if len(rows) else 0)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
@@ -120,7 +125,7 @@ def set_digests(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, hash (of the text), n (set size), d (digest of the set, null if empty), registers."""
+    """id, hash (of id and text), n (set size), d (digest of the set, null if empty), registers."""
 
     def run(batches):
         for rows, data, at in pieces(batches, "text", 2 << 20):
@@ -132,8 +137,37 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at_full = pa.array(place, mask=place < 0)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(sizes.astype(np.int64)), fixed(set_digests(hashes, first)).take(at_full), fixed(sketches(hashes, sizes[full])).take(at_full)], names=["id", "hash", "n", "d", "registers"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash"))
-    return source.mapInArrow(tidy(run), "id long, hash long, n long, d binary, registers binary")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    return source.mapInArrow(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, hash long, n long, d binary, registers binary")
+
+
+#: Bits for each hash that is marked, and words of 64 bits at most: 16 MB.
+BITS_EACH, MOST_WORDS = 8, 1 << 20
+
+
+def marks_of(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """A table of bits (word, bits) that marks the hashes in the column hash, and its number of words: a power of two."""
+    words = 64
+    need = hashes.count() * BITS_EACH // 64
+    while words < need and words < MOST_WORDS:
+        words *= 2
+    word, bit = place_of(F.col("hash"), words)
+    return staged(hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks"), words
+
+
+def place_of(hash_: Column, words: int) -> tuple[Column, Column]:
+    """The word of a hash, and its bit there."""
+    return hash_.bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hash_, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def marked(rows: DataFrame, hash_col: str, marks: tuple[DataFrame, int], mark_col: str) -> DataFrame:
+    """rows with whether their hash is marked: always if it is among the hashes, and now and then if it isn't."""
+    table, words = marks
+    word, bit = place_of(F.col(hash_col), words)
+    w, b = unused([*rows.columns, mark_col], "word", "bits")
+    small = F.broadcast(table.select(F.col("word").alias(w), F.col("bits").alias(b)))
+    hit = F.coalesce(F.col(b).bitwiseAND(bit) != 0, F.lit(False))
+    return rows.join(small, word == F.col(w), "left").select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias(mark_col))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +187,7 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, items): the sorted hashes of the sets of the needed classes (d, rep)."""
+    """(d, items): the sorted hashes of the sets of the needed classes (d, hash)."""
 
     def run(batches):
         for rows, data, at in pieces(batches, "text", 2 << 20):
@@ -166,33 +200,90 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
             same = pa.array([x == y for x, y in zip(d.to_pylist(), wanted.to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([d, pa.array(items, pa.binary())], names=["d", "items"]).filter(same)
 
-    lowest = F.lit(-(1 << 63))
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.col(text_col).cast("string").alias("text"))
-    found = source.join(needed.select(F.coalesce("rep", lowest).alias("k"), "d"), "k").select("text", "d").mapInArrow(tidy(run), "d binary, items binary")
-    return found.dropDuplicates(["d"])
-
-
-#: Blocks into which the items of a difference fall, as bits of that many words.
-WORDS = 4
+    source = docs.select(F.xxhash64(id_col, text_col).alias("hash"), F.col(text_col).cast("string").alias("text"))
+    source = marked(source, "hash", marks_of(needed), "mark").filter("mark").drop("mark")
+    return source.join(needed, "hash").select("text", "d").mapInArrow(tidy(run), "d binary, items binary").dropDuplicates(["d"])
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """What tells the classes d from the class a of each pair: a, d, delta (items that one of both has), bits (of the
-    blocks in which such items fall, then of those in which two or more do) and over (items beyond two in a block)."""
+    """What tells the classes d from the class a of each pair: a, d, n, label, delta (the items that one of both has)."""
 
     def run(batches):
         for batch in batches:
-            delta, bits, over = [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            delta = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 apart = np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
-                held = np.bincount((apart % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
-                delta.append(len(apart))
-                bits.append(np.concatenate([np.packbits(held >= k).view(np.int64) for k in (1, 2)]))
-                over.append(int((held - 2).clip(0).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).columns, pa.array(delta, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(over, pa.int64())], names=["a", "d", "delta", "bits", "over"])
+                delta.append(apart.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2, 3]).columns, pa.array(delta, pa.binary())], names=["a", "d", "n", "label", "delta"])
 
     left, right = sets.select(F.col("d").alias("a"), F.col("items").alias("x")), sets.select("d", F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "d").select("a", "d", "x", "y").mapInArrow(tidy(run), "a binary, d binary, delta long, bits array<long>, over long")
+    return pairs.join(left, "a").join(right, "d").select("a", "d", "n", "label", "x", "y").mapInArrow(tidy(run), "a binary, d binary, n long, label binary, delta binary")
+
+
+#: Cells in which items are counted, to put rarer ones first.
+CELLS = 1 << 18
+
+
+def cell_counts(apart: DataFrame) -> np.ndarray:
+    """About how many differences hold the items of each cell."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(CELLS)).astype(np.int64), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for row in apart.select("delta").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[row.cell] = row.n
+    return counts
+
+
+def prefixes(apart: DataFrame, percent: int) -> DataFrame:
+    """The items that lead from a class to those it may be linked with: a, item, d, n, label.
+
+    Of two classes whose differences from a have x and y items, and which have n items together, linked ones have at
+    least (x + y - n * (100 - percent) / (100 + percent)) / 2 of these in common, and x alone bounds that from below, given
+    the least that another class of a brings. So the first x less that many items, and one more, hold a common one.
+    """
+    counts = cell_counts(apart)
+    excess = F.octet_length("delta") / 8 * (100 + percent) - F.col("n") * (100 - percent)
+    least = staged(apart.groupBy("a").agg(F.min(excess.cast("long")).alias("least")), "least")
+
+    def run(batches):
+        for batch in batches:
+            at, items = [], []
+            for k in range(batch.num_rows):
+                n, delta, low = batch.column(2)[k].as_py(), np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64), batch.column(5)[k].as_py()
+                common = max(1, -(-(len(delta) * (100 + percent) - n * (100 - percent) + low) // (2 * (100 + percent))))
+                if common <= len(delta):
+                    order = np.lexsort((delta, counts[(delta % np.uint64(CELLS)).astype(np.int64)]))
+                    chosen = delta[order[: len(delta) - common + 1]]
+                    at.append(np.full(len(chosen), k))
+                    items.append(chosen.view(np.int64))
+                if sum(map(len, items)) > 200_000 or k == batch.num_rows - 1:
+                    place = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+                    a, d, size, label = (batch.column(c).take(place) for c in range(4))
+                    yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)), d, size, label], names=["a", "item", "d", "n", "label"])
+                    at, items = [], []
+
+    return apart.join(least, "a").select("a", "d", "n", "label", "delta", "least").mapInArrow(tidy(run), "a binary, item long, d binary, n long, label binary")
+
+
+def crossing_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different groups: all that may be linked. still: a, d, n, label of classes held against a."""
+    rows = staged(prefixes(staged(differences(still, sets), "differences"), percent), "prefixes")
+    held = rows.groupBy("a", "item", "label").agg(F.count("*").alias("held"))
+    # the group with the most rows of an item is held against the others, never against itself
+    major = held.groupBy("a", "item").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("held", "label")).alias("major")).filter("labels > 1")
+    rows = staged(rows.join(major.select("a", "item", "major"), ["a", "item"]), "leads")
+    x = rows.filter("label <> major").select("a", "item", F.col("d").alias("d_a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+    y = rows.select("a", "item", F.col("d").alias("d_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("major")).alias("is_major"))
+    met = x.join(y, ["a", "item"]).filter((F.col("is_major") & (F.col("label_a") != F.col("label_b"))) | (F.col("label_a") < F.col("label_b")))
+    met = met.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return met.select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,24 +322,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     """id, hash, n, component_id of each row."""
     threshold = percent / 100
     rows = staged(sketch(docs, id_col, text_col), "sketches")
-    classes = staged(rows.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    first = [F.first(c).alias(c) for c in ("n", "registers")]
+    classes = staged(rows.filter("n > 0").groupBy("d").agg(F.min("id").alias("rep"), F.min("hash").alias("hash"), *first), "classes")
 
     width = 2 * BAND
     bands = [F.xxhash64(F.lit(i), F.expr(f"substring(registers, {i * width + 1}, {width})")) for i in range(REGISTERS // BAND)]
-    members = classes.select("d", "rep", "n", F.explode(F.array(*bands)).alias("key"))
+    members = classes.select("d", "hash", "n", F.explode(F.array(*bands)).alias("key"))
     buckets = staged(members.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "buckets")
     members = staged(members.join(buckets, "key"), "members")
     # the first of a bucket is the class with the most company in all its buckets: of copies of one text, that text
     company = staged(members.groupBy("d").agg(F.sum("held").alias("company")), "company")
     firsts = members.join(company, "d").groupBy("key").agg(F.max(F.struct("company", "d", "n")).alias("first"))
     firsts = staged(firsts.select("key", F.col("first.d").alias("a"), F.col("first.n").alias("n_a")), "firsts")
-    members = staged(members.select("key", "d", "rep", "n").join(firsts, "key"), "members")
-
-    def close(x: str, y: str):
-        return (F.least(x, y) * 100) >= (F.greatest(x, y) * percent)
+    members = staged(members.select("key", "d", "hash", "n").join(firsts, "key"), "members")
 
-    pairs = members.filter((F.col("a") != F.col("d")) & close("n", "n_a")).select("a", F.col("d").alias("b")).distinct()
-    needed = members.select("d", "rep").distinct()
+    close = F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent
+    pairs = members.filter((F.col("a") != F.col("d")) & close).select("a", F.col("d").alias("b")).distinct()
+    needed = staged(members.select("d", "hash").distinct(), "needed")
     sets = staged(full_sets(docs, needed, id_col, text_col), "sets")
     first_pairs = staged(pairs, "pairs")
     links = staged(linked(likely(first_pairs, classes, threshold), sets, percent), "links")
@@ -257,20 +347,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     own = members.select("key", "a", "d", "n").join(labels.withColumnRenamed("node", "d"), "d", "left").withColumn("label", F.coalesce("label", "d"))
     own = staged(own, "grouped")
     mixed_keys = staged(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "open")
-    still = own.join(mixed_keys, "key", "left_semi")
-    still = still.filter(F.col("a") != F.col("d"))  # the first of a bucket has been held against all of it
-    apart = staged(differences(still.select("a", "d").distinct(), sets), "differences")
-    still = still.join(apart, ["a", "d"])
-    x, y = (still.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "label", "delta", "bits", "over"))) for s in "ab")
-    # two sets differ in what tells each from the first, but for what both have of that: at most so many items
-    both = F.least("over_a", "over_b")
-    for i in range(2 * WORDS):
-        both = both + F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i]))
-    possible = (F.col("delta_a") + F.col("delta_b") - 2 * both) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    crossing = x.join(y, "key").filter((F.col("label_a") < F.col("label_b")) & close("n_a", "n_b") & possible)
-    crossing = crossing.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).distinct()
-    crossing = crossing.join(first_pairs, ["a", "b"], "left_anti").join(first_pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = staged(linked(likely(crossing, classes, threshold), sets, percent), "links")
+    # the first of a bucket has been held against all of it
+    still = staged(own.join(mixed_keys, "key", "left_semi").filter(F.col("a") != F.col("d")).select("a", "d", "n", "label").distinct(), "still")
+    crossing = crossing_pairs(still, sets, percent)
+    more = staged(linked(likely(staged(crossing, "crossing"), classes, threshold), sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -287,12 +367,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """A row for each row: id_col, n_shingles, component_id (the least id of its group), kept (whether that is its own id)."""
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    return _grouped(docs, id_col, text_col, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    with temporary_tables():
+        found = staged(_grouped(docs, id_col, text_col, percent), "groups", lasting=True)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows of docs that name their group, repeated rows once."""
-    kept = _grouped(docs, id_col, text_col, percent).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
-    own = docs.withColumn("__hash_own", F.xxhash64(text_col))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash_own") == F.col("__hash"))
-    return own.join(kept, match, "left_semi").dropDuplicates([id_col, "__hash_own"]).drop("__hash_own")
+    """The rows of docs that name their group, repeated rows once. Only rows that go, or are repeated, are looked up by a shuffle."""
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    with temporary_tables():
+        found = _grouped(docs, id_col, text_col, percent).groupBy("hash").agg(F.max(kept).alias("kept"), F.count("*").alias("copies"))
+        found = staged(found.filter("NOT kept OR copies > 1"), "verdicts", lasting=True)
+    hash_col, mark, verdict, copies, rank = unused(docs.columns, "hash", "mark", "kept", "copies", "rank")
+    marks = marks_of(found)
+    own = marked(docs.withColumn(hash_col, F.xxhash64(id_col, text_col)), hash_col, marks, mark)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    verdicts = found.select(F.col("hash").alias("of"), F.col("kept").alias(verdict), F.col("copies").alias(copies)).withColumnRenamed("of", f"{hash_col}_of")
+    seen = own.filter(mark).join(verdicts, F.col(hash_col) == F.col(f"{hash_col}_of"), "left").filter(F.coalesce(F.col(verdict), F.lit(True)))
+    again = W.partitionBy(hash_col, id_col, text_col).orderBy(F.to_json(F.struct(*columns)))
+    once = seen.filter(F.col(copies) > 1).withColumn(rank, F.row_number().over(again)).filter(F.col(rank) == 1)
+    return own.filter(~F.col(mark)).select(columns).unionAll(seen.filter(F.coalesce(F.col(copies), F.lit(1)) == 1).select(columns)).unionAll(once.select(columns))

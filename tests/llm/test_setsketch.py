@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shelfmark.llm import setsketch as S
 
@@ -94,3 +95,43 @@ def test_estimates_follow_similarity():
         assert abs(got - both / (both + 2 * extra)) < 0.12
         union = S.sketches(np.unique(np.concatenate([a, b])), np.array([both + 2 * extra]))
         assert (union[0] == np.maximum(u[0], u[1])).all()
+
+def test_links_across_groups_of_a_bucket_are_found(spark):
+    """Pages of one template share a first class; copies among them are linked with each other, not with it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(300)]
+    texts = {}
+    for i in range(400):
+        own = [word() for _ in range(100)]
+        texts[i] = " ".join(template + own)
+        if i % 10 == 0:  # a near copy, and a chain of them
+            for k in (1, 2):
+                own = [*own[: -2 * k], *(word() for _ in range(2 * k))]
+                texts[1000 * k + i] = " ".join(template + own)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in S.groups(frame).collect()} == brute(texts)
+
+
+def test_ids_of_any_type_ties_and_columns_named_as_its_own(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b", text, 1, "x"), ("a", text, 2, "y"), ("a", text, 2, "x"), ("c", None, 3, "x"), ("d", "", 4, "x"), ("e", "other words than these here", 5, "x"), (None, text, 6, "x"), (None, "alone as it is in the world", 7, "x")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, hash int, __hash_own string").withColumn("word", F.col("hash"))
+    got = S.deduplicated(frame.repartition(3))
+    assert got.columns == frame.columns
+    assert sorted(map(str, ((r.doc_id, r.hash, r["__hash_own"], r.word) for r in got.collect()))) == sorted(map(str, [("a", 2, "x", 2), ("c", 3, "x", 3), ("d", 4, "x", 4), ("e", 5, "x", 5), (None, 7, "x", 7)]))
+    assert {(r.doc_id, r.component_id) for r in S.groups(frame).collect() if r.doc_id} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "e")}
+
+
+def test_deduplicated_keeps_what_groups_say(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted(r.doc_id for r in S.groups(docs).filter("kept").collect())
+    assert sorted(r.doc_id for r in S.deduplicated(docs).collect()) == want
+
+
+def test_marks_hold_all_that_is_marked(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("hash"))
+    marks = S.marks_of(rows)
+    assert S.marked(rows, "hash", marks, "mark").filter("mark").count() == 5000
+    others = spark.range(5000, 25000).select(F.xxhash64("id").alias("hash"))
+    assert S.marked(others, "hash", marks, "mark").filter("mark").count() < 4000
