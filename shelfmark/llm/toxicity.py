@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.staging import staged
-from .arrow_text import binary_array, cached, pieces, spans_of, tidy, unused
+from .arrow_text import binary_array, cached, pieces, spans_of, text_buffers, tidy, unused
 
 SAMPLE = 20_000
 #: Bytes of text whose words and features a task holds at a time.
@@ -246,6 +246,18 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)] if len(word) > 2 else []
 
 
+def plainly_read(words: pa.Array) -> np.ndarray:
+    """Which words are letters of ASCII alone, none twice running: their reading is their lower case."""
+    data, at = text_buffers(words)
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122) & (data < 128)
+    twice = np.zeros(len(data), bool)
+    twice[1:] = (data[1:] | 32) == (data[:-1] | 32)
+    starts = at[:-1][at[:-1] < at[1:]]
+    twice[starts] = False
+    odd = np.concatenate([[0], np.cumsum(~letter | twice)])
+    return odd[at[1:]] == odd[at[:-1]]
+
+
 class Words:
     """The words of a run of texts: the distinct ones as read, and which text holds which."""
 
@@ -255,8 +267,9 @@ class Words:
         self.code = coded.indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(at, starts, side="right") - 1
         self.plain = [w.decode() for w in coded.dictionary.to_pylist()]
-        self.read = [reading(w, costs, known) for w in self.plain]
-        units = [unit(w, bare(w)) if len(w) == 1 or self.read[i][1:] == "" else "" for i, w in enumerate(self.plain)]
+        easy = plainly_read(coded.dictionary).tolist()
+        self.read = [w.lower() if e else reading(w, costs, known) for w, e in zip(self.plain, easy, strict=True)]
+        units = ["" if e and len(w) > 1 else unit(w, bare(w)) if len(w) == 1 or r[1:] == "" else "" for w, r, e in zip(self.plain, self.read, easy, strict=True)]
         lone = np.array([c != "" for c in units], bool)[self.code]
         a, z = spans_of(lone, np.append(np.searchsorted(starts, at[:-1]), len(starts)))
         self.apart = []
@@ -336,26 +349,23 @@ def feature_counts(words: Words, half: np.ndarray, label: np.ndarray) -> pa.Reco
     """Of each feature, by half: how often it stands in texts without and with the label, and in how many with it."""
     length = np.bincount(words.doc, minlength=len(label))
     scale = UNIT * np.minimum(1.0, LONG / np.maximum(length, 1))
-    pairs, often = np.unique(words.doc_all * (len(words.read) + 1) + words.code_all, return_counts=True)
-    found: dict[str, list[int]] = {}
-    doc, own = -1, {}
-
-    def close():
-        for f, n in own.items():
-            at = found.setdefault(f, [0] * len(COUNTS))
-            base = 3 * int(half[doc])
-            at[base + int(label[doc])] += round(scale[doc] * np.log2(1 + n))
-            at[base + 2] += int(label[doc])
-
-    for pair, n in zip(pairs.tolist(), often.tolist(), strict=True):
-        new, code = divmod(pair, len(words.read) + 1)
-        if new != doc:
-            close()
-            doc, own = new, {}
-        for f in features(words.read[code]):
-            own[f] = own.get(f, 0) + n
-    close()
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(len(COUNTS)))], names=["feature", *COUNTS])
+    number: dict[str, int] = {}
+    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in words.read]
+    sizes = np.array([len(x) for x in own], np.int64)
+    flat, first = np.array([i for x in own for i in x], np.int64), np.cumsum(sizes) - sizes
+    pairs, often = np.unique(words.doc_all * (len(own) + 1) + words.code_all, return_counts=True)
+    doc, code = np.divmod(pairs, len(own) + 1)
+    each = sizes[code]
+    into = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    held = np.repeat(doc, each) * (len(number) + 1) + flat[np.repeat(first[code], each) + into]
+    held, place = np.unique(held, return_inverse=True)
+    often = np.bincount(place.ravel(), weights=np.repeat(often, each), minlength=len(held))
+    doc, feature = np.divmod(held, len(number) + 1)
+    total = np.zeros((len(COUNTS), len(number)), np.int64)
+    kind = 3 * half[doc] + label[doc]
+    np.add.at(total, (kind, feature), np.rint(scale[doc] * np.log2(1 + often)).astype(np.int64))
+    np.add.at(total, (3 * half[doc] + 2, feature), label[doc])
+    return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(row) for row in total)], names=["feature", *COUNTS])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,31 @@ def test_weights_shrink_with_their_evidence(spark):
     at = lambda yes, no: spark.range(1).select(T.shrunken(F.lit(float(yes)), F.lit(float(no)), 10_000.0, 100_000.0).alias("w")).first().w
     assert at(1, 1) == 0 < at(4, 1) < at(40, 10) < at(400, 100)
     assert at(40, 400) == 0
+
+
+def test_feature_counts_against_plain_python(english):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["idiot", "idiom", "the", "stupid", "Stupid.", "aa", "st00pid", ""]) for _ in range(rng.choice([0, 5, 700]))) for _ in range(30)]
+    half, label = (np.array([rng.randrange(2) for _ in texts], np.int32) for _ in range(2))
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    words = T.Words(np.frombuffer(b"".join(raw), np.uint8), at, english)
+    want = {}
+    for i, t in enumerate(texts):
+        own, tokens = {}, t.split()
+        for w in tokens:
+            for f in T.features(T.reading(w, english)):
+                own[f] = own.get(f, 0) + 1
+        for f, n in own.items():
+            counts = want.setdefault(f, [0] * 6)
+            counts[3 * half[i] + label[i]] += round(float(T.UNIT * min(1.0, T.LONG / len(tokens)) * np.log2(1 + n)))
+            counts[3 * half[i] + 2] += int(label[i])
+    got = T.feature_counts(words, half, label).to_pylist()
+    assert {r["feature"]: [r[c] for c in T.COUNTS] for r in got if any(r[c] for c in T.COUNTS)} == want
+
+
+def test_words_read_plainly_are_read_as_all_are(english):
+    words = ["plain", "Good", "good", "It", "a", "aA", "l0ser", "end.", "élan", "x", "İ"]
+    easy = T.plainly_read(pa.array([w.encode() for w in words], pa.binary())).tolist()
+    assert easy == [True, False, False, True, True, False, False, False, False, True, False]
+    assert all(T.reading(w, english) == w.lower() for w, e in zip(words, easy, strict=True) if e)
