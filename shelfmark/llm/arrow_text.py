@@ -68,6 +68,30 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+#: Numbers under this have one byte in coded; those under TWO have two, others four.
+ONE, TWO = 192, 192 + 63 * 256
+
+
+def coded(values: np.ndarray) -> bytes:
+    """A uint32 array as its number of values, then first bytes, second bytes of those with two, and all of those with four."""
+    v = values.astype(np.uint32)
+    two, four = (v >= ONE) & (v < TWO), v >= TWO
+    first = np.where(two, ONE + ((v - ONE) >> 8), np.where(four, 255, v)).astype(np.uint8)
+    return b"".join([len(v).to_bytes(8, "little"), first.tobytes(), ((v[two] - ONE) & 255).astype(np.uint8).tobytes(), planes(v[four])])
+
+
+def uncoded(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    first = np.frombuffer(data, np.uint8, n, 8)
+    out = first.astype(np.uint32)
+    two, four = (first >= ONE) & (first < 255), first == 255
+    n_two = int(two.sum())
+    second = np.frombuffer(data, np.uint8, n_two, 8 + n)
+    out[two] = ((out[two] - ONE) << 8) + second + ONE
+    out[four] = unplanes(data[8 + n + n_two :])
+    return out
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

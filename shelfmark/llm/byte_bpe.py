@@ -1,35 +1,44 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
-``encode`` cuts texts into pre-tokens, sends every distinct word of a block of
-documents once to the bucket of its hash, where each word of the whole corpus
-meets its copies and is encoded a single time, and sends the ids back to the
-block, where they are put together by position. Rows travel packed: one for each
-(block, bucket), so a very common word is one entry of a block and no key is hot.
-``decode`` joins ids with the table of token bytes.
-
-Defined results: null text counts as empty and has no ids; repeated rows give
-repeated rows; a null id is kept; an empty table gives an empty table; further
-columns are left out, so their names cannot clash.
+``encode`` cuts texts into pre-tokens, once, and stages them by block of documents: the block's distinct
+words, and each text as numbers of these. Every distinct word of a block goes once to the bucket of its
+hash, where each word of the whole corpus meets its copies and is encoded a single time, and the ids
+go back to the block, where they are put together by position. Rows travel packed: one for each
+(block, bucket), so a very common word is one entry of a block and no key is hot. The number of buckets follows
+from the size of the texts. ``decode`` joins ids with the table of token bytes.
+
+Texts are cut by the pattern given: the GPT-2 one has a vectorised form, others go through a regular expression.
+
+Defined results: null text counts as empty and has no ids; texts of any length are encoded whole; what a pattern
+does not match has no tokens; repeated rows give repeated rows, so nothing is tied; a null id is kept, and ids may
+have any type; an empty table gives an empty table; further columns are left out of the codes, so their names
+cannot clash; a column with the name of a result of ``decode`` is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrow_text import binary_array, cached, pack, pieces, planes, text_buffers, tidy, unpack, unplanes
+from ..functions.staging import staged
+from .arrow_text import binary_array, cached, coded, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
 
-#: Bytes of text of a block, at most, but for a longer single batch.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
+BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 24 << 20, 4 << 20, 256 << 20
+
+# Fixed value: the pattern that pretoken_starts implements.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -104,7 +113,7 @@ def tokenizer(path: str, pattern: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    return cached(f"tokenizer {path}", build)
+    return cached(f"tokenizer {path} {pattern}", build)
 
 
 def token_bytes(path: str) -> pa.Array:
@@ -118,47 +127,58 @@ def token_bytes(path: str) -> pa.Array:
     return cached(f"token bytes {path}", build)
 
 
+def pretokens(data: np.ndarray, at: np.ndarray, pattern: str) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of the texts, and how many each has."""
+    if pattern == GPT2:
+        starts = pretoken_starts(data, at)
+        return binary_array(data, starts, np.append(starts[1:], len(data))[: len(starts)]), np.diff(np.searchsorted(starts, at))
+
+    def build():
+        import regex
+
+        # white space as the library sees it, which is the Unicode property
+        return regex.compile(re.sub(r"(?<!\\)((?:\\\\)*)\\([sS])", lambda m: m[1] + (r"\p{White_Space}" if m[2] == "s" else r"\P{White_Space}"), pattern))
+
+    found = cached(f"pattern {pattern}", build)
+    raw = data.tobytes()
+    cut = [[m[0].encode() for m in found.finditer(raw[a:z].decode("utf-8")) if m[0]] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.array([w for words in cut for w in words], pa.binary()), np.array([len(words) for words in cut], np.int64)
+
+
 class Block:
     """Documents of one part of the input: their ids, their distinct words, and each text as numbers of words."""
 
     def __init__(self):
-        self.ids, self.counts, self.words, self.bytes, self.mark = [], [], [], 0, xxhash.xxh3_64()
+        self.ids, self.counts, self.words, self.bytes = [], [], [], 0
 
-    def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray) -> None:
-        starts = pretoken_starts(data, at)
-        self.words.append(binary_array(data, starts, np.append(starts[1:], len(data))[: len(starts)]))
-        self.counts.append(np.diff(np.searchsorted(starts, at)))
+    def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray, pattern: str) -> None:
+        words, counts = pretokens(data, at, pattern)
+        self.words.append(words)
+        self.counts.append(counts)
         self.ids.append(ids)
         self.bytes += len(data)
-        self.mark.update(data.tobytes())
-        self.mark.update(at.tobytes())
-        self.mark.update(str(ids[0]).encode())
-
-    def close(self, n_buckets: int):
-        """Its key, its numbers of words by piece, its words by falling frequency, their buckets."""
-        coded = pa.chunked_array(self.words, pa.binary()).dictionary_encode()
-        words = coded.chunk(coded.num_chunks - 1).dictionary
-        numbers = [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
-        often = np.zeros(len(words), np.int64)
-        for x in numbers:
-            often += np.bincount(x, minlength=len(words))
-        order = np.argsort(-often, kind="stable")
+
+    def close(self) -> tuple[list[np.ndarray], pa.Array]:
+        """Its numbers of words by piece, and its words: those of higher frequency first, by powers of two, then in order."""
+        held = pa.chunked_array(self.words, pa.binary()).combine_chunks()
+        held = (pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held).dictionary_encode()
+        words, number = held.dictionary, held.indices.to_numpy(zero_copy_only=False)
+        often = np.bincount(number, minlength=len(words))
+        place = pc.sort_indices(words).to_numpy()
+        order = place[np.argsort(-np.log2(np.maximum(often[place], 1)).astype(np.int8), kind="stable")]
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        words = words.take(pa.array(order))
-        buckets = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.uint32, len(words)) % np.uint32(n_buckets)
-        key = np.uint64(self.mark.intdigest()).astype(np.int64)
-        return int(key), [rank[x] for x in numbers], words, buckets.astype(np.uint32)
+        return np.split(rank[number], np.cumsum([len(w) for w in self.words])[:-1]), words.take(pa.array(order))
 
 
-def blocks_of(batches, id_col: str, text_col: str) -> Iterator[Block]:
-    """The batches of a task as blocks; they depend on the rows and their order alone."""
+def blocks_of(batches, id_col: str, text_col: str, pattern: str) -> Iterator[Block]:
+    """The batches of a task as blocks."""
     block = Block()
     for rows, data, at in pieces(batches, text_col):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
             yield block
             block = Block()
-        block.add(rows.column(rows.schema.get_field_index(id_col)), data, at)
+        block.add(rows.column(rows.schema.get_field_index(id_col)), data, at, pattern)
     if block.ids:
         yield block
 
@@ -171,86 +191,118 @@ def packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED_ARROW)], schema=PACKED_ARROW)
 
 
+def block_key(i: int) -> int:
+    """The key of a task's i-th block."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 24 | i
+
+
+def n_buckets_of(blocks: DataFrame, n_bytes: str = "bytes") -> tuple[int, int]:
+    """How many blocks there are, and into how many buckets their texts go."""
+    n, total = blocks.select(F.count(n_bytes), F.coalesce(F.sum(n_bytes), F.lit(0))).first()
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return n, max(1, -(-total // MOST_SHARE), min(partitions, -(-total // LEAST_SHARE)))
+
+
+def buckets_of(words: pa.Array, n_buckets: int) -> np.ndarray:
+    return (np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.uint32, len(words)) % np.uint32(n_buckets)).astype(np.uint32)
+
+
+def packed_words(words: pa.Array) -> bytes:
+    data, at = text_buffers(words)
+    return pack((coded(np.diff(at)), data.tobytes()))
+
+
+def unpacked_words(payload: bytes) -> pa.Array:
+    sizes, data = unpack(payload)
+    at = np.concatenate([[0], np.cumsum(uncoded(sizes))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Each row's id and the ids of its text's tokens."""
-    spark = docs.sparkSession
-    n_buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_type = pa_type(docs.schema[id_col].dataType)
+
+    def cut(batches):
+        for k, block in enumerate(blocks_of(batches, "id", "text", pattern)):
+            key = block_key(k)
+            numbers, words = block.close()
+            rows = [(key, -1, packed_words(words), block.bytes)]
+            for i, (ids, counts, v) in enumerate(zip(block.ids, block.counts, numbers, strict=True)):
+                rows.append((key, -2 - i, pack((ids.to_pylist(), coded(counts), coded(v))), None))
+            for row in rows:
+                yield pa.RecordBatch.from_arrays([*packed_rows([row[:3]]).columns, pa.array([row[3]], pa.int64())], names=["key", "part", "payload", "bytes"])
+
+    blocks = staged(source.mapInArrow(tidy(cut), f"{PACKED}, bytes long"), "blocks")
+    n_blocks, n_buckets = n_buckets_of(blocks)
+    words = blocks.filter("part = -1").select("key", "part", "payload")
 
     def words_out(batches):
-        for block in blocks_of(batches, "id", "text"):
-            key, _, words, buckets = block.close(n_buckets)
-            order = np.argsort(buckets, kind="stable")
-            cuts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                if cuts[b] < cuts[b + 1]:
-                    data, at = text_buffers(words.take(pa.array(order[cuts[b] : cuts[b + 1]])))
-                    yield packed_rows([(key, b, pack((planes(np.diff(at)), data.tobytes())))])
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = unpacked_words(payload)
+                buckets = buckets_of(words, n_buckets)
+                order = np.argsort(buckets, kind="stable")
+                cuts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
+                for b in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+                    yield packed_rows([(key, b, packed_words(words.take(pa.array(order[cuts[b] : cuts[b + 1]]))))])
 
     def encode_words(batches):
         known: dict[bytes, list[int]] = {}
         one = tokenizer(path, pattern)._core_bpe.encode_single_piece
         for batch in batches:
             for key, b, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes, data = unpack(payload)
-                counts, ids, i = [], [], 0
-                for size in unplanes(sizes).tolist():
-                    word = data[i : i + size]
-                    i += size
+                counts, ids = [], []
+                for word in unpacked_words(payload).to_pylist():
                     got = known.get(word)
                     if got is None:
                         got = known[word] = one(word)
                     counts.append(len(got))
                     ids += got
-                yield packed_rows([(key, b, pack((planes(np.array(counts, np.uint32)), planes(np.array(ids, np.uint32)))))])
+                yield packed_rows([(key, b, pack((coded(np.array(counts, np.uint32)), planes(np.array(ids, np.uint32)))))])
 
-    def layouts_out(batches):
-        for block in blocks_of(batches, "id", "text"):
-            key, numbers, _, buckets = block.close(n_buckets)
-            yield packed_rows([(key, -1, pack(planes(buckets)))])
-            for i, (ids, counts, v) in enumerate(zip(block.ids, block.counts, numbers, strict=True)):
-                yield packed_rows([(key, -2 - i, pack((ids.to_pylist(), planes(counts), planes(v))))])
+    def buckets_out(batches):
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                yield packed_rows([(key, -1, pack(coded(buckets_of(unpacked_words(payload), n_buckets))))])
 
-    id_type = pa_type(docs.schema[id_col].dataType)
-    out_schema = pa.schema([("id", id_type), (ids_col, pa.list_(pa.int32()))])
+    out_schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, set[bytes]] = {}
-        copies: dict[int, int] = {}
+        rows: dict[int, bytes] = {}
         for batch in batches:
-            for part, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows.setdefault(part, set()).add(payload)
-                copies[part] = copies.get(part, 0) + 1
-        if -1 not in rows:
-            raise ValueError("the input gave other rows when it was read again")
-        buckets = unplanes(unpack(min(rows[-1])))
+            rows |= zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        buckets = uncoded(unpack(rows[-1]))
         order = np.argsort(buckets, kind="stable")
         cuts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
         each = np.zeros(len(buckets), np.int64)
         flat = []
         for b in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
-            counts, ids = unpack(min(rows[b]))
-            each[order[cuts[b] : cuts[b + 1]]] = unplanes(counts)
+            counts, ids = unpack(rows.pop(b))
+            each[order[cuts[b] : cuts[b + 1]]] = uncoded(counts)
             flat.append(unplanes(ids))
         flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
         begin = np.zeros(len(buckets), np.int64)
         begin[order] = np.cumsum(each[order]) - each[order]
         for part in sorted((p for p in rows if p < -1), reverse=True):
-            ids, counts, v = unpack(min(rows[part]))
-            v = unplanes(v).astype(np.int64)
+            ids, counts, v = unpack(rows.pop(part))
+            v = uncoded(v).astype(np.int64)
             sizes = each[v]
             ends = np.cumsum(sizes)
             tokens = flat[np.repeat(begin[v] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-            words_at = np.concatenate([[0], np.cumsum(unplanes(counts).astype(np.int64))])
+            words_at = np.concatenate([[0], np.cumsum(uncoded(counts).astype(np.int64))])
             at = np.concatenate([[0], ends])[words_at].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))
-            for _ in range(copies[part]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), lists], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], schema=out_schema)
 
-    ids = source.mapInArrow(tidy(words_out), PACKED).repartition(n_buckets, "part").mapInArrow(tidy(encode_words), PACKED)
-    sent = ids.unionByName(source.mapInArrow(tidy(layouts_out), PACKED))
+    ids = words.mapInArrow(tidy(words_out), PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(encode_words), PACKED)
+    layouts = blocks.filter("part < -1").select("key", "part", "payload")
+    sent = ids.unionByName(layouts).unionByName(words.mapInArrow(tidy(buckets_out), PACKED))
     id_ddl = docs.schema[id_col].dataType.simpleString()
-    return sent.select("key", "part", "payload").groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, `{ids_col}` array<int>").withColumnRenamed("id", id_col)
+    # one task for each block or so, however many there are
+    out = sent.select("key", "part", "payload").repartition(max(1, n_blocks), "key").groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, ids array<int>")
+    return out.toDF(id_col, ids_col)
 
 
 def pa_type(kind) -> pa.DataType:
@@ -284,15 +336,17 @@ def decoded(ids: pa.Array, table: pa.Array) -> pa.Array:
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """The input with the bytes that its ids stand for: ids joined with the token-byte table."""
+    kept = [c for c in encoded.columns if c.lower() != bytes_col.lower()]
+    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches):
         table = token_bytes(path)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
             for rows in id_slices(batch, at):
-                yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*batch.schema.names, bytes_col])
+                yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*kept, bytes_col])
 
-    return encoded.mapInArrow(tidy(run), encoded.withColumn(bytes_col, F.lit(None).cast("binary")).schema)
+    return encoded.select(kept).mapInArrow(tidy(run), schema)
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.llm import byte_bpe
-from shelfmark.llm.queries import RANKS
+from shelfmark.llm.arrow_text import coded, uncoded
+from shelfmark.llm.queries import RANKS, op4_byte_bpe
 
 PATTERN = public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, ids int, payload string"
@@ -62,3 +63,47 @@ def test_whole_table_against_the_library(spark):
     want = {r.doc_id: reference.encode_ordinary(r.text) for r in docs.collect()}
     got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(docs.select("*", F.lit(1).alias("key")), RANKS, PATTERN).collect()}
     assert got == want
+
+
+OTHER = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
+
+
+def test_texts_are_cut_by_the_pattern_given(spark):
+    texts = ["I'LL don't 12345  x\r\n\r\n y", "a\x1cb \x85 c", "日本語 1²3", "  ", "x-y_z.", "abc123"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for pattern in (OTHER, r"\p{L}+", r"\\s|[a-z]+|."):
+        reference = byte_bpe.tokenizer(RANKS, pattern)
+        got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(docs, RANKS, pattern).collect()}
+        assert got == {str(i): reference.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert byte_bpe.GPT2 == PATTERN
+
+
+def test_many_small_blocks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LEAST_SHARE", 1000)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the same"), F.hex("id"), F.repeat(F.lit("x y "), 20)).alias("text")).repartition(7)
+    reference = byte_bpe.tokenizer(RANKS, PATTERN)
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(docs, RANKS, PATTERN).collect()}
+    assert got == {r.doc_id: reference.encode_ordinary(r.text) for r in docs.collect()}
+
+
+def test_a_column_with_the_name_of_the_result_is_replaced(spark):
+    frame = spark.createDataFrame([(1, [464], "x", "y"), (2, None, "x", "y")], "doc_id long, ids array<int>, Decoded string, table string")
+    got = byte_bpe.decode(frame, RANKS)
+    assert got.columns == ["doc_id", "ids", "table", "decoded"]
+    assert {r.doc_id: r.decoded and bytes(r.decoded) for r in got.collect()} == {1: byte_bpe.tokenizer(RANKS, PATTERN).decode_bytes([464]), 2: None}
+
+
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 20_000)))
+def test_coded_numbers(values):
+    assert uncoded(coded(np.array(values, np.uint32))).tolist() == values
+
+
+def test_query_against_the_library(spark):
+    reference = byte_bpe.tokenizer(RANKS, PATTERN)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op4_byte_bpe(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = reference.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
