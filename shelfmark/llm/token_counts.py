@@ -6,9 +6,11 @@ join is a binary search. A token that crosses a boundary goes, by ``rule``, to t
 section of its first character ("first"), of its last ("last"), or of most of its
 characters ("most", the earlier of equals). The spans count code points.
 
-Defined results: null text counts as empty: one empty section and no tokens;
-repeated rows give repeated rows; a null id is kept; an empty table gives an empty
-table; further columns are left out, so their names cannot clash.
+The pattern must match all of a text, as those of byte-level encodings do.
+
+Defined results: null text counts as empty: one empty section and no tokens; texts of any length are
+encoded whole; repeated rows give repeated rows; a null id is kept, and ids may have any type; an empty table
+gives an empty table; further columns are left out, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@ import pytest
 
 from shelfmark.llm import token_counts
 from shelfmark.llm.byte_bpe import tokenizer
-from shelfmark.llm.queries import RANKS
+from shelfmark.llm.queries import RANKS, op6_token_counts
 
 PATTERN = public_tokenizers.PATTERN
 
@@ -55,3 +55,19 @@ def test_fields(spark):
 
 def test_empty_table(spark):
     assert token_counts.by_line(spark.createDataFrame([], "doc_id long, text string"), RANKS, PATTERN).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op6_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        starts = [0, *(k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text))]
+        lengths = [len(x) for x in tokenizer(RANKS, PATTERN).decode_tokens_bytes(tokenizer(RANKS, PATTERN).encode_ordinary(text))]
+        data = text.encode()
+        lead = [len(data[:k].decode("utf-8", "ignore")) for k in range(len(data) + 1)] if len(data) < 3000 else None
+        if lead is not None:
+            counts, crossing = brute(text, starts, "first")
+            assert (got[i].section_tokens, got[i].most_tokens, got[i].n_crossing) == (",".join(map(str, counts)), max(counts), crossing)
+        assert (got[i].n_tokens, got[i].n_sections) == (len(lengths), len(starts))
+        assert sum(map(int, got[i].section_tokens.split(","))) == len(lengths)
