@@ -206,18 +206,18 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """What tells the classes d from the class a of each pair: a, d, n, label, delta (the items that one of both has)."""
+    """What tells the classes d from the class a of each pair: a, d, n, label, in_a, delta (the items that one of both has)."""
 
     def run(batches):
         for batch in batches:
             delta = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(5), batch.column(6), strict=True):
                 apart = np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
                 delta.append(apart.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2, 3]).columns, pa.array(delta, pa.binary())], names=["a", "d", "n", "label", "delta"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(delta, pa.binary())], names=["a", "d", "n", "label", "in_a", "delta"])
 
     left, right = sets.select(F.col("d").alias("a"), F.col("items").alias("x")), sets.select("d", F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "d").select("a", "d", "n", "label", "x", "y").mapInArrow(tidy(run), "a binary, d binary, n long, label binary, delta binary")
+    return pairs.join(left, "a").join(right, "d").select("a", "d", "n", "label", "in_a", "x", "y").mapInArrow(tidy(run), "a binary, d binary, n long, label binary, in_a boolean, delta binary")
 
 
 #: Cells in which items are counted, to put rarer ones first.
@@ -241,49 +241,71 @@ def cell_counts(apart: DataFrame) -> np.ndarray:
     return counts
 
 
+def excess(size, n, percent: int):
+    """What a difference of so many items has over the most that a class of n items of its own may have."""
+    return size * (100 + percent) - n * (100 - percent)
+
+
 def prefixes(apart: DataFrame, percent: int) -> DataFrame:
-    """The items that lead from a class to those it may be linked with: a, item, d, n, label.
+    """The items that lead from a class to those it may be linked with: a, item, d, n, size, label, in_a, far (leads to the group
+    of a), wide (leads to other groups).
 
-    Of two classes whose differences from a have x and y items, and which have n items together, linked ones have at
-    least (x + y - n * (100 - percent) / (100 + percent)) / 2 of these in common, and x alone bounds that from below, given
-    the least that another class of a brings. So the first x less that many items, and one more, hold a common one.
+    Classes whose differences from a have x and y items, of n items together, are linked if these have
+    (x + y - n * (100 - percent) / (100 + percent)) / 2 items in common, and only then. x alone bounds that from below, given the least excess
+    among the classes that it can be paired with. So the first x less that many items, and one more, hold a common one.
     """
     counts = cell_counts(apart)
-    excess = F.octet_length("delta") / 8 * (100 + percent) - F.col("n") * (100 - percent)
-    least = staged(apart.groupBy("a").agg(F.min(excess.cast("long")).alias("least")), "least")
+    over = excess(F.octet_length("delta") / 8, F.col("n"), percent).cast("long")
+    least = staged(apart.groupBy("a").agg(F.min(F.when(F.col("in_a"), over)).alias("inside"), F.min(F.when(~F.col("in_a"), over)).alias("outside")), "least")
+    names = ["a", "item", "d", "n", "size", "label", "in_a", "far", "wide"]
 
     def run(batches):
         for batch in batches:
-            at, items = [], []
+            at, items, far, wide = [], [], [], []
             for k in range(batch.num_rows):
-                n, delta, low = batch.column(2)[k].as_py(), np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64), batch.column(5)[k].as_py()
-                common = max(1, -(-(len(delta) * (100 + percent) - n * (100 - percent) + low) // (2 * (100 + percent))))
-                if common <= len(delta):
-                    order = np.lexsort((delta, counts[(delta % np.uint64(CELLS)).astype(np.int64)]))
-                    chosen = delta[order[: len(delta) - common + 1]]
-                    at.append(np.full(len(chosen), k))
-                    items.append(chosen.view(np.int64))
-                if sum(map(len, items)) > 200_000 or k == batch.num_rows - 1:
-                    place = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
-                    a, d, size, label = (batch.column(c).take(place) for c in range(4))
-                    yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)), d, size, label], names=["a", "item", "d", "n", "label"])
-                    at, items = [], []
-
-    return apart.join(least, "a").select("a", "d", "n", "label", "delta", "least").mapInArrow(tidy(run), "a binary, item long, d binary, n long, label binary")
+                n, in_a, inside, outside = (batch.column(c)[k].as_py() for c in (2, 4, 6, 7))
+                delta = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint64)
+                own = excess(len(delta), n, percent)
+                lead = lambda low: 0 if low is None else max(0, len(delta) + 1 - max(1, -(-(own + low) // (2 * (100 + percent)))))  # noqa: B023, E731
+                to_a, to_others = (0 if in_a else lead(inside)), lead(outside)
+                order = np.lexsort((delta, counts[(delta % np.uint64(CELLS)).astype(np.int64)]))[: max(to_a, to_others)]
+                at.append(np.full(len(order), k))
+                items.append(delta[order].view(np.int64))
+                far.append(np.arange(len(order)) < to_a)
+                wide.append(np.arange(len(order)) < to_others)
+                if sum(map(len, items)) > 100_000 or k == batch.num_rows - 1:
+                    place = np.concatenate(at)
+                    size = pa.array(np.array([len(batch.column(5)[i].as_buffer()) // 8 for i in place.tolist()], np.int64))
+                    a, d, size_n, label, inner = (batch.column(c).take(pa.array(place)) for c in range(5))
+                    yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate(items)), d, size_n, size, label, inner, *(pa.array(np.concatenate(x)) for x in (far, wide))], names=names)
+                    at, items, far, wide = [], [], [], []
+
+    rows = apart.join(least, "a").select("a", "d", "n", "label", "in_a", "delta", "inside", "outside")
+    return rows.mapInArrow(tidy(run), "a binary, item long, d binary, n long, size long, label binary, in_a boolean, far boolean, wide boolean")
+
+
+def met(x: DataFrame, y: DataFrame, percent: int, more) -> DataFrame:
+    """Pairs (a, b) of classes that share an item of a class a and whose sizes allow a link."""
+    x, y = (z.select("a", "item", *(F.col(c).alias(f"{c}_{s}") for c in z.columns if c not in ("a", "item"))) for z, s in ((x, "x"), (y, "y")))
+    close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    enough = excess(F.col("size_x") + F.col("size_y"), F.col("n_x") + F.col("n_y"), percent) <= 2 * (100 + percent) * F.least("size_x", "size_y")
+    return x.join(y, ["a", "item"]).filter(close & enough & more).select(F.least("d_x", "d_y").alias("a"), F.greatest("d_x", "d_y").alias("b"))
 
 
 def crossing_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in different groups: all that may be linked. still: a, d, n, label of classes held against a."""
+    """Pairs (a, b) of classes in different groups: all that may be linked. still: a, d, n, label of classes held against a, and whether they are in its group."""
     rows = staged(prefixes(staged(differences(still, sets), "differences"), percent), "prefixes")
-    held = rows.groupBy("a", "item", "label").agg(F.count("*").alias("held"))
+    inner = rows.filter("in_a AND wide").select("a", "item", "d", "n", "size")
+    outer = rows.filter("NOT in_a AND far").select("a", "item", "d", "n", "size")
+    across = met(inner, outer, percent, F.lit(True))
+    others = rows.filter("NOT in_a AND wide").select("a", "item", "d", "n", "size", "label")
+    held = others.groupBy("a", "item", "label").agg(F.count("*").alias("held"))
     # the group with the most rows of an item is held against the others, never against itself
     major = held.groupBy("a", "item").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("held", "label")).alias("major")).filter("labels > 1")
-    rows = staged(rows.join(major.select("a", "item", "major"), ["a", "item"]), "leads")
-    x = rows.filter("label <> major").select("a", "item", F.col("d").alias("d_a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    y = rows.select("a", "item", F.col("d").alias("d_b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), (F.col("label") == F.col("major")).alias("is_major"))
-    met = x.join(y, ["a", "item"]).filter((F.col("is_major") & (F.col("label_a") != F.col("label_b"))) | (F.col("label_a") < F.col("label_b")))
-    met = met.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return met.select(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).distinct()
+    leads = staged(others.join(major.select("a", "item", "major"), ["a", "item"]), "leads").withColumn("is_major", F.col("label") == F.col("major"))
+    apart = (F.col("label_x") != F.col("label_y")) & (F.col("is_major_y") | (F.col("label_x") < F.col("label_y")))
+    between = met(leads.filter("NOT is_major"), leads, percent, apart)
+    return across.unionByName(between).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +370,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     own = staged(own, "grouped")
     mixed_keys = staged(own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "open")
     # the first of a bucket has been held against all of it
-    still = staged(own.join(mixed_keys, "key", "left_semi").filter(F.col("a") != F.col("d")).select("a", "d", "n", "label").distinct(), "still")
+    still = own.join(mixed_keys, "key", "left_semi").filter(F.col("a") != F.col("d")).select("a", "d", "n", "label").distinct()
+    of_first = labels.select(F.col("node").alias("a"), F.col("label").alias("label_of_a"))
+    still = still.join(of_first, "a", "left").withColumn("in_a", F.col("label") == F.coalesce("label_of_a", "a")).drop("label_of_a")
+    still = staged(still, "still")
     crossing = crossing_pairs(still, sets, percent)
     more = staged(linked(likely(staged(crossing, "crossing"), classes, threshold), sets, percent), "links")
     if not more.isEmpty():
