@@ -247,8 +247,8 @@ def excess(size, n, percent: int):
 
 
 def prefixes(apart: DataFrame, percent: int) -> DataFrame:
-    """The items that lead from a class to those it may be linked with: a, item, d, n, size, label, in_a, far (leads to the group
-    of a), wide (leads to other groups).
+    """The items that lead from a class to those it may be linked with: a, item, d, n, over (its excess), rest (how many items of
+    its difference stand from this one on), label, in_a, far (leads to the group of a), wide (leads to other groups).
 
     Classes whose differences from a have x and y items, of n items together, are linked if these have
     (x + y - n * (100 - percent) / (100 + percent)) / 2 items in common, and only then. x alone bounds that from below, given the least excess
@@ -257,11 +257,11 @@ def prefixes(apart: DataFrame, percent: int) -> DataFrame:
     counts = cell_counts(apart)
     over = excess(F.octet_length("delta") / 8, F.col("n"), percent).cast("long")
     least = staged(apart.groupBy("a").agg(F.min(F.when(F.col("in_a"), over)).alias("inside"), F.min(F.when(~F.col("in_a"), over)).alias("outside")), "least")
-    names = ["a", "item", "d", "n", "size", "label", "in_a", "far", "wide"]
+    names = ["a", "item", "d", "n", "over", "rest", "label", "in_a", "far", "wide"]
 
     def run(batches):
         for batch in batches:
-            at, items, far, wide = [], [], [], []
+            at, items, over, rest, far, wide = ([] for _ in range(6))
             for k in range(batch.num_rows):
                 n, in_a, inside, outside = (batch.column(c)[k].as_py() for c in (2, 4, 6, 7))
                 delta = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint64)
@@ -271,34 +271,35 @@ def prefixes(apart: DataFrame, percent: int) -> DataFrame:
                 order = np.lexsort((delta, counts[(delta % np.uint64(CELLS)).astype(np.int64)]))[: max(to_a, to_others)]
                 at.append(np.full(len(order), k))
                 items.append(delta[order].view(np.int64))
+                over.append(np.full(len(order), own))
+                rest.append(len(delta) - np.arange(len(order)))
                 far.append(np.arange(len(order)) < to_a)
                 wide.append(np.arange(len(order)) < to_others)
                 if sum(map(len, items)) > 100_000 or k == batch.num_rows - 1:
-                    place = np.concatenate(at)
-                    size = pa.array(np.array([len(batch.column(5)[i].as_buffer()) // 8 for i in place.tolist()], np.int64))
-                    a, d, size_n, label, inner = (batch.column(c).take(pa.array(place)) for c in range(5))
-                    yield pa.RecordBatch.from_arrays([a, pa.array(np.concatenate(items)), d, size_n, size, label, inner, *(pa.array(np.concatenate(x)) for x in (far, wide))], names=names)
-                    at, items, far, wide = [], [], [], []
+                    a, d, size, label, inner = (batch.column(c).take(pa.array(np.concatenate(at))) for c in range(5))
+                    new = [pa.array(np.concatenate(x)) for x in (items, over, rest, far, wide)]
+                    yield pa.RecordBatch.from_arrays([a, new[0], d, size, new[1], new[2], label, inner, *new[3:]], names=names)
+                    at, items, over, rest, far, wide = ([] for _ in range(6))
 
     rows = apart.join(least, "a").select("a", "d", "n", "label", "in_a", "delta", "inside", "outside")
-    return rows.mapInArrow(tidy(run), "a binary, item long, d binary, n long, size long, label binary, in_a boolean, far boolean, wide boolean")
+    return rows.mapInArrow(tidy(run), "a binary, item long, d binary, n long, over long, rest long, label binary, in_a boolean, far boolean, wide boolean")
 
 
 def met(x: DataFrame, y: DataFrame, percent: int, more) -> DataFrame:
-    """Pairs (a, b) of classes that share an item of a class a and whose sizes allow a link."""
+    """Pairs (a, b) of classes that share an item of a class a, and that may be linked if it is the first they share."""
     x, y = (z.select("a", "item", *(F.col(c).alias(f"{c}_{s}") for c in z.columns if c not in ("a", "item"))) for z, s in ((x, "x"), (y, "y")))
     close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    enough = excess(F.col("size_x") + F.col("size_y"), F.col("n_x") + F.col("n_y"), percent) <= 2 * (100 + percent) * F.least("size_x", "size_y")
+    enough = F.col("over_x") + F.col("over_y") <= 2 * (100 + percent) * F.least("rest_x", "rest_y")
     return x.join(y, ["a", "item"]).filter(close & enough & more).select(F.least("d_x", "d_y").alias("a"), F.greatest("d_x", "d_y").alias("b"))
 
 
 def crossing_pairs(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in different groups: all that may be linked. still: a, d, n, label of classes held against a, and whether they are in its group."""
     rows = staged(prefixes(staged(differences(still, sets), "differences"), percent), "prefixes")
-    inner = rows.filter("in_a AND wide").select("a", "item", "d", "n", "size")
-    outer = rows.filter("NOT in_a AND far").select("a", "item", "d", "n", "size")
+    inner = rows.filter("in_a AND wide").select("a", "item", "d", "n", "over", "rest")
+    outer = rows.filter("NOT in_a AND far").select("a", "item", "d", "n", "over", "rest")
     across = met(inner, outer, percent, F.lit(True))
-    others = rows.filter("NOT in_a AND wide").select("a", "item", "d", "n", "size", "label")
+    others = rows.filter("NOT in_a AND wide").select("a", "item", "d", "n", "over", "rest", "label")
     held = others.groupBy("a", "item", "label").agg(F.count("*").alias("held"))
     # the group with the most rows of an item is held against the others, never against itself
     major = held.groupBy("a", "item").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("held", "label")).alias("major")).filter("labels > 1")
