@@ -74,10 +74,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each passage of a document that other documents hold too: its span in code points, its words, and the
-    document with the first copy, which may be itself."""
-    got = substring_dedup.repeats(table(spark, folder, "documents")).select("doc_id", F.explode("passages").alias("p"))
-    return got.select("doc_id", F.col("p.first_id").alias("first_doc_id"), F.concat_ws(":", "p.start", "p.end").alias("span"), F.col("p.words").alias("words"))
+    """A row for each passage of a document that other documents hold too: its span in code points, its words, the
+    document with the first copy, which may be itself, and whether this is a later copy. Documents without such a passage have no row."""
+    got = substring_dedup.repeats(table(spark, folder, "documents")).select("doc_id", F.explode(F.filter("passages", lambda p: p["others"])).alias("p"))
+    return got.select("doc_id", F.col("p.first_id").alias("first_doc_id"), F.concat_ws(":", "p.start", "p.end").alias("span"), F.col("p.words").alias("words"), F.col("p.copy").alias("is_copy"))
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

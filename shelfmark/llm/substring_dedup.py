@@ -7,16 +7,20 @@ around a cut alone. White space counts as one blank, however it breaks. Each chu
 chunks overlap by half. Chunks are deduplicated by digest over the whole corpus:
 a block of documents sends each distinct digest once to the bucket of its value,
 and gets back in how many documents it stands and the first of these. No key is
-hot, however often a passage occurs.
+hot, however often a passage occurs, and the number of buckets follows from the size of the texts.
 
 Passages do not depend on cuts: every window of ``min_words`` words goes the same way as the
-chunks, and a passage is a maximal run of windows that each stand in two or more documents, so
-each one of at least ``min_words`` words is found, whole. The first and the last word of a window are
-compared without the punctuation on their outer side. Passages of two sources may overlap.
-
-Defined results: null and empty text has no chunks; repeated rows are two documents;
-a null id sorts first; an empty table gives an empty table; further columns are left
-out, so their names cannot clash.
+chunks, and each stretch of windows that stand in two documents, or twice apart in one, is told as
+passages, each of at least ``min_words`` words and whole in the first document of its windows. Where a stretch goes on
+in another first document, or may go on elsewhere in it, a passage ends and the next overlaps it. The first and the
+last word of a window are compared without the punctuation on their outer side. ``deduplicated`` cuts out, or
+masks, all but the first copy of each passage.
+
+Defined results: null and empty text has no chunks; texts of any length are read whole; repeated rows are two
+documents with one id, and neither is a later copy of the other; ids may have any type with an order, and a null
+id sorts first; what stands in several documents is first in that with the least id; an empty table gives an empty
+table; further columns are left out of ``repeats`` and kept by ``deduplicated``, whatever their names. Input that may give its
+rows in another order when it is read again, as after a shuffle, is staged first.
 """
 
 from __future__ import annotations
@@ -26,16 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import binary_array, digest64, mixed, pack, pieces, planes, spans_of, tidy, unpack, unplanes
-from .byte_bpe import PACKED, packed_rows
+from ..functions.staging import staged
+from .arrow_text import binary_array, coded, digest64, mixed, pack, pieces, planes, spans_of, tidy, uncoded, unpack, unplanes, unused
+from .byte_bpe import PACKED, pa_type, packed_rows
+from .setsketch import marked, marks_of
 
 #: Bytes that set a cut; bits that are zero at a raw cut; bytes before a cut without another raw one; longest stretch.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 4, 12, 256
 #: Bytes of text of a block, at most, but for a longer single batch.
 BLOCK_BYTES = 24 << 20
+#: Bytes of text whose digests are in a bucket, at least and at most.
+LEAST_SHARE, MOST_SHARE = 4 << 20, 24 << 20
 #: A passage has over 50 words.
 MIN_WORDS = 51
 #: Its powers tell apart the places of words in a window.
@@ -101,11 +109,11 @@ def evened(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.where(space[place], np.uint8(32), data[place]), np.searchsorted(place, at), place
 
 
-def windows_of(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of n words of one text: its digest, its text, and the offsets where it starts and ends."""
+def windows_of(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of n words of one text: its digest, its text, the offsets where it starts and ends, and the digest of the words inside it."""
     starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
     if len(starts) < n:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)
     coded = binary_array(data, starts, ends).dictionary_encode()
     number = coded.indices.to_numpy()
     plain = coded.dictionary.to_pylist()
@@ -121,64 +129,120 @@ def windows_of(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
     z = i + n - 1
     inner = (added[np.maximum(z, i + 1)] - added[i + 1]) * back[i]
     first, last = mixed(digest64(left)), mixed(digest64(right) ^ np.uint64(0x5555555555555555))
-    return mixed(mixed(inner + first[number[i]]) + last[number[z]]), doc[i], starts[i] + lead[number[i]], ends[z] - tail[number[z]]
+    return mixed(mixed(inner + first[number[i]]) + last[number[z]]), doc[i], starts[i] + lead[number[i]], ends[z] - tail[number[z]], inner
+
 
+def again(inner: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the words inside a window stand at another place of its text too: what follows on it there may not follow here."""
+    keyed = inner ^ mixed(doc.astype(np.uint64))
+    order = np.sort(keyed)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(twice):
+        return np.zeros(len(keyed), bool)
+    return twice[np.searchsorted(twice, keyed).clip(max=len(twice) - 1)] == keyed
 
-def grouped(digests: np.ndarray, docs: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct digests, whether two documents have each, the least id with it, and each one's number; docs ascend."""
+
+def grouped(digests: np.ndarray, docs: np.ndarray, own: np.ndarray, unsure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests, whether two documents have each, and twice the least id's rank, and one if unsure there; docs ascend."""
     order = np.argsort(digests, kind="stable")
     digests, docs = digests[order], docs[order]
     new = np.ones(len(order), bool)
     new[1:] = digests[1:] != digests[:-1]
     at = np.flatnonzero(new)
     if not len(at):
-        return digests, np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return digests[at], docs[at] != docs[np.append(at[1:], len(docs)) - 1], np.minimum.reduceat(own[docs], at), number
+        return digests, np.zeros(0, bool), np.zeros(0, np.int64)
+    last = np.append(at[1:], len(docs)) - 1
+    ranks = own[docs]
+    least = np.minimum.reduceat(ranks, at)
+    held = ranks == least[np.cumsum(new) - 1]
+    # two documents with the least id may each have a part of what follows
+    low, high = (f.reduceat(np.where(held, docs, none), at) for f, none in ((np.minimum, np.iinfo(docs.dtype).max), (np.maximum, 0)))
+    shaky = np.maximum.reduceat(held & unsure[order], at) | (low != high)
+    return digests[at], docs[at] != docs[last], 2 * least + shaky
 
 
 class Block:
+    """Documents of one part of the input: their ids and hashes, their chunks, and their windows."""
+
     def __init__(self, min_words: int):
         self.min_words, self.windows = min_words, []
-        self.ids, self.docs, self.digests, self.n, self.bytes, self.mark = [], [], [], 0, 0, xxhash.xxh3_64()
+        self.ids, self.hashes, self.docs, self.digests, self.n, self.bytes = [], [], [], [], 0, 0
 
-    def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray) -> None:
+    def add(self, ids: pa.Array, hashes: pa.Array, data: np.ndarray, at: np.ndarray, unsure: bool) -> None:
         even, even_at, _ = evened(data, at)
         starts, ends, doc = chunks_of(even, even_at)
-        digests = digests_of(even, starts, ends)
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         self.docs.append(doc + self.n)
-        self.digests.append(digests)
-        window, of, begin, end = windows_of(data, at, self.min_words)
+        self.digests.append(digests_of(even, starts, ends))
+        window, of, begin, end, inner = windows_of(data, at, self.min_words)
         base = lead[at[:-1]][of] if len(of) else of
-        self.windows.append((window, (of + self.n).astype(np.uint32), (lead[begin] - base).astype(np.uint32), (lead[end] - base).astype(np.uint32)))
+        shaky = again(inner, of) if unsure else np.zeros(len(of), bool)
+        self.windows.append((window, (of + self.n).astype(np.uint32), (lead[begin] - base).astype(np.uint32), (lead[end] - base).astype(np.uint32), shaky))
         self.ids.append(ids)
+        self.hashes.append(hashes)
         self.n += len(ids)
         self.bytes += len(data)
-        self.mark.update(data.tobytes())
-        self.mark.update(at.tobytes())
-        self.mark.update(str(ids[0]).encode())
 
-    def close(self):
-        """Its key, its ids, its chunks, and the distinct digests with each chunk's number among them."""
+    def key(self) -> int:
+        """What its rows are; blocks of equal rows share it."""
+        mark = xxhash.xxh3_64_intdigest(pa.chunked_array(self.hashes).to_numpy().tobytes())
+        return int(np.uint64(mark).astype(np.int64))
+
+    def close(self) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
+        """Its ids, their hashes, its chunks' documents, and the distinct digests with each chunk's number among them."""
         distinct, number = np.unique(np.concatenate(self.digests), return_inverse=True)
-        key = int(np.uint64(self.mark.intdigest()).astype(np.int64))
-        ids = pa.chunked_array(self.ids).to_pylist()
-        return key, ids, np.concatenate(self.docs), distinct, number.ravel()
+        return pa.chunked_array(self.ids).to_pylist(), pa.chunked_array(self.hashes).to_pylist(), np.concatenate(self.docs), distinct, number.ravel()
 
 
-def blocks_of(batches, min_words):
+def blocks_of(batches, min_words: int, unsure: bool) -> Iterator[Block]:
     block = Block(min_words)
     for rows, data, at in pieces(batches, "text"):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
             yield block
             block = Block(min_words)
-        block.add(rows.column(0), data, at)
+        block.add(rows.column(0), rows.column(2), data, at, unsure)
     if block.ids:
         yield block
 
 
+def plain_ids(ids: list):
+    """The distinct ids but null, in their order: an array if they are whole numbers."""
+    plain = sorted({i for i in ids if i is not None})
+    return np.array(plain, np.int64) if all(type(x) is int and -(1 << 63) <= x < 1 << 63 for x in plain) else plain
+
+
+def ranks_of(ids: list, plain) -> np.ndarray:
+    """The place of each id in plain, from 1; 0 for null."""
+    number = {x: k for k, x in enumerate(plain.tolist() if isinstance(plain, np.ndarray) else plain, 1)}
+    return np.fromiter((0 if i is None else number[i] for i in ids), np.int64, len(ids))
+
+
+def chosen(plain, *ranks: np.ndarray) -> tuple:
+    """What any of the ranks name, packed, and the ranks among that; 0 stays null."""
+    used, place = np.unique(np.concatenate([np.zeros(1, np.int64), *ranks]), return_inverse=True)
+    if isinstance(plain, np.ndarray):
+        named = np.diff(plain[used[1:] - 1], prepend=np.zeros(1, np.int64))
+    else:
+        named = [plain[k - 1] for k in used[1:].tolist()]
+    return named, *map(coded, np.split(place.ravel()[1:], np.cumsum([len(r) for r in ranks])[:-1]))
+
+
+def chosen_back(packed: tuple) -> tuple:
+    """The ids, and the ranks among them."""
+    named, *ranks = packed
+    return np.cumsum(named) if isinstance(named, np.ndarray) else named, *(uncoded(r).astype(np.int64) for r in ranks)
+
+
+def together(parts: list) -> tuple:
+    """The distinct ids of several lists in their order, and the ranks among these of each list's ranks."""
+    if all(isinstance(x, np.ndarray) for x in parts):
+        plain = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
+        return plain, [np.concatenate([[0], np.searchsorted(plain, x) + 1]) for x in parts]
+    parts = [x.tolist() if isinstance(x, np.ndarray) else x for x in parts]  # one without any id may be an array
+    plain = sorted({i for x in parts for i in x})
+    return plain, [np.concatenate([[0], ranks_of(x, plain)]) for x in parts]
+
+
 def spread(values: np.ndarray) -> tuple[int, bytes]:
     """Ascending 64-bit values as the byte planes of their steps, which compress better."""
     steps = np.diff(values, prepend=np.zeros(1, np.uint64))
@@ -196,106 +260,219 @@ def bucket_cuts(distinct: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, np.array(edges, np.uint64)), len(distinct))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each row: id_col, n_chunks, n_shared (chunks that other documents have too), n_copied (those of
-    which an earlier document holds the first copy), and passages: array of (start, end, words, first_id), code points."""
-    n_buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    nothing = np.iinfo(np.int64).min
+def reread(docs: DataFrame) -> DataFrame:
+    """docs if it gives its rows alike each time, as a plain reading of files does, else staged."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    plain = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "Sort", "Window", "Python", "Arrow", "Pandas", "Limit", "rand", "uuid"))
+    return docs if plain else staged(docs, "documents")
+
+
+def first_and_last(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands for the first and for the last time."""
+    _, first, back = np.unique(values, return_index=True, return_inverse=True)
+    back = back.ravel()
+    last = np.zeros(len(first), np.int64)
+    np.maximum.at(last, back, np.arange(len(values)))
+    return first[back], last[back]
+
+
+def passages_of(hit: np.ndarray, others: np.ndarray, source: np.ndarray, shaky: np.ndarray, later: np.ndarray, first_at: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Of one document's windows, the stretches that are passages: first window, and the one after the last.
+
+    others: whether other documents have the window; source: rank of the first document, -1 for this one; later: whether the window stands in this document before, apart, at first_at.
+    """
+    follows = hit[1:] & hit[:-1] & (others[1:] == others[:-1]) & (source[1:] == source[:-1]) & (later[1:] == later[:-1])
+    inside = source[1:] == -1
+    follows &= np.where(inside, ~later[1:] | (first_at[1:] == first_at[:-1] + 1), ~shaky[:-1])
+    edge = np.flatnonzero(np.concatenate([hit[:1], hit[1:] & ~follows]))
+    stop = np.flatnonzero(np.concatenate([hit[:-1] & ~follows, hit[-1:]])) + 1
+    i = 0
+    while i < len(edge):
+        yield int(edge[i]), int(stop[i])
+        # of passages that begin before the words of this one end, all but the last are inside the two
+        j = int(np.searchsorted(edge, stop[i] - 1 + n, side="right")) - 1
+        i = max(i + 1, j) if j > i and stop[j] > stop[i] else i + 1
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """What repeats returns, with the hash of id and text."""
+    source = reread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("hash")))
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(1, -(-total // MOST_SHARE), min(partitions, -(-total // LEAST_SHARE)))
+    id_type = pa_type(docs.schema[id_col].dataType)
 
     def digests_out(batches):
-        for block in blocks_of(batches, min_words):
-            key, ids, doc, distinct, number = block.close()
+        for block in blocks_of(batches, min_words, True):
+            key = block.key()
+            ids, _, doc, distinct, number = block.close()
+            plain = plain_ids(ids)
+            own = ranks_of(ids, plain)
             pairs = np.unique(number.astype(np.int64) * block.n + doc)
             held = np.bincount(pairs // block.n, minlength=len(distinct)).astype(np.uint32)
-            own = np.array([nothing if i is None else i for i in ids], np.int64)
             least = np.full(len(distinct), np.iinfo(np.int64).max)
             np.minimum.at(least, pairs // block.n, own[pairs % block.n])
             cuts = bucket_cuts(distinct, n_buckets)
-            window, twice, low, _ = grouped(*(np.concatenate(x) for x in list(zip(*block.windows, strict=True))[:2]), own)
+            digests, of, _, _, shaky = (np.concatenate(x) for x in zip(*block.windows, strict=True))
+            window, twice, low = grouped(digests, of, own, shaky)
             places = bucket_cuts(window, n_buckets)
             for b in range(n_buckets):
                 s, w = slice(cuts[b], cuts[b + 1]), slice(places[b], places[b + 1])
                 if cuts[b] < cuts[b + 1] or places[b] < places[b + 1]:
-                    yield packed_rows([(key, b, pack((distinct[s], held[s], least[s], spread(window[w]), np.packbits(twice[w]), low[w])))])
+                    named = chosen(plain, least[s], low[w] >> 1)
+                    yield packed_rows([(key, b, pack((spread(distinct[s]), coded(held[s]), named, spread(window[w]), np.packbits(twice[w]), np.packbits(low[w] & 1 > 0))))])
 
-    def answer(table: pa.Table) -> pa.Table:
-        got = [(key, part, *unpack(x)) for key, part, x in zip(*(table[c].to_pylist() for c in ("key", "part", "payload")), strict=True)]
-        digests, number = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
+    def answers(batches):
+        got: dict[int, list] = {}
+        for batch in batches:
+            for key, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(part, []).append((key, payload))
+        for part in sorted(got):
+            yield from answer(part, got.pop(part))
+
+    def answer(part: int, rows: list) -> Iterator[pa.RecordBatch]:
+        chunks, held, windows, twice, low, least, names = ([] for _ in range(7))
+        for _, payload in rows:
+            a, h, named, w, t, u = unpack(payload)
+            ids, x, y = chosen_back(named)
+            chunks.append(unspread(a))
+            held.append(uncoded(h))
+            windows.append(unspread(w))
+            twice.append(np.unpackbits(t, count=len(windows[-1])))
+            low.append((y, np.unpackbits(u, count=len(windows[-1]))))
+            least.append(x)
+            names.append(ids)
+        plain, to = together(names)
+        digests, number = np.unique(np.concatenate(chunks), return_inverse=True)
         number = number.ravel()
-        held = np.bincount(number, weights=np.concatenate([x[3] for x in got]), minlength=len(digests)).astype(np.int64)
-        least = np.full(len(digests), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, np.concatenate([x[4] for x in got]))
-        windows = [unspread(x[5]) for x in got]
+        many = np.bincount(number, weights=np.concatenate(held), minlength=len(digests)) > 1
+        first = np.full(len(digests), np.iinfo(np.int64).max)
+        np.minimum.at(first, number, np.concatenate([t[x] for t, x in zip(to, least, strict=True)]))
         known, place = np.unique(np.concatenate(windows), return_inverse=True)
         place = place.ravel()
-        many = np.bincount(place, weights=np.concatenate([1 + np.unpackbits(x[6], count=len(w)) for x, w in zip(got, windows, strict=True)]), minlength=len(known)).astype(np.int64)
-        low = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(low, place, np.concatenate([x[7] for x in got]))
-        out, i, j = [], 0, 0
-        for k, (key, part, own, *_) in enumerate(got):
-            mine = number[i : i + len(own)]
-            i += len(own)
-            shared = held[mine] > 1
-            at = place[j : j + len(windows[k])]
-            j += len(windows[k])
-            common = many[at] > 1
-            out.append((key, part, pack((np.packbits(shared), least[mine[shared]], len(common), np.packbits(common), low[at[common]]))))
-        return pa.Table.from_batches([packed_rows(out)])
+        common = np.bincount(place, weights=1 + np.concatenate(twice), minlength=len(known)) > 1
+        source = np.full(len(known), np.iinfo(np.int64).max)
+        own = np.concatenate([2 * t[y] + u for t, (y, u) in zip(to, low, strict=True)])
+        np.minimum.at(source, place, own)
+        shaky = np.bincount(place, weights=own >> 1 == source[place] >> 1, minlength=len(known)) > 1  # the least id in two blocks
+        i = j = 0
+        for (key, _), c, w in zip(rows, chunks, windows, strict=True):
+            mine, at = number[i : i + len(c)], place[j : j + len(w)]
+            i, j = i + len(c), j + len(w)
+            shared, hit = many[mine], common[at]
+            of = source[at[hit]]
+            named = chosen(plain, first[mine[shared]], of >> 1)
+            yield packed_rows([(key, part, pack((len(c), np.packbits(shared), named, len(w), np.packbits(hit), np.packbits((of & 1 > 0) | shaky[at[hit]]))))])
 
     def layouts_out(batches):
-        for block in blocks_of(batches, min_words):
-            key, ids, doc, distinct, number = block.close()
-            cuts = bucket_cuts(distinct, n_buckets)
-            window, of, begin, end = (np.concatenate(x) for x in zip(*block.windows, strict=True))
-            *_, place = grouped(window, of, np.zeros(block.n, np.int64))
-            steps = [np.diff(x, prepend=np.zeros(1, np.uint32)) for x in (of, begin, end)]
-            yield packed_rows([(key, -1, pack((ids, np.diff(cuts).astype(np.uint32), doc.astype(np.uint32), number.astype(np.uint32), *map(planes, (place, *steps)))))])
-
-    passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_id", pa.int64())])
-    out_schema = pa.schema([("id", pa.int64()), ("n_chunks", pa.int64()), ("n_shared", pa.int64()), ("n_copied", pa.int64()), ("passages", pa.list_(passage))])
+        for block in blocks_of(batches, min_words, False):
+            ids, hashes, doc, distinct, number = block.close()
+            window, of, begin, end, _ = (np.concatenate(x) for x in zip(*block.windows, strict=True))
+            _, place = np.unique(window, return_inverse=True)
+            place = place.ravel()
+            steps = [coded(np.diff(x, prepend=np.zeros(1, np.uint32))) for x in (of, begin, end)]
+            sizes = coded(np.diff(bucket_cuts(distinct, n_buckets)))
+            yield packed_rows([(block.key(), -1, pack((ids, hashes, sizes, coded(np.diff(doc, prepend=0)), planes(number), planes(place), *steps)))])
+
+    passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_id", id_type), ("copy", pa.bool_()), ("others", pa.bool_())])
+    out_schema = pa.schema([("id", id_type), ("hash", pa.int64()), ("n_chunks", pa.int64()), ("n_shared", pa.int64()), ("n_copied", pa.int64()), ("passages", pa.list_(passage))])
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list[bytes]] = {}
+        rows: dict[int, bytes] = {}
+        copies = 0
         for batch in batches:
-            for part, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows.setdefault(part, []).append(payload)
-        if -1 not in rows:
+            rows |= zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            copies += batch.column(1).to_pylist().count(-1)
+        if not copies:
             raise ValueError("the input gave other rows when it was read again")
-        ids, sizes, doc, number, *packed = unpack(rows[-1][0])
-        place, *steps = map(unplanes, packed)
-        of, start, end = (np.cumsum(x, dtype=np.uint32).astype(np.int64) for x in steps)
-        shared, least, common, source_of = [], [], [], []
-        for b in sorted(rows.keys() - {-1}):
-            bits, low, n_windows, more, at = unpack(rows[b][0])
-            more = np.unpackbits(more, count=n_windows).astype(bool)
-            low_at = np.zeros(n_windows, np.int64)
-            low_at[more] = at
-            common.append(more)
-            source_of.append(low_at)
-            bits = np.unpackbits(bits, count=int(sizes[b])).astype(bool)
-            low_all = np.zeros(len(bits), np.int64)
-            low_all[bits] = low
-            shared.append(bits)
-            least.append(low_all)
-        many = np.concatenate(shared)[number] if shared else np.zeros(0, bool)
-        first = np.concatenate(least)[number] if least else np.zeros(0, np.int64)
-        own = np.array([nothing if i is None else i for i in ids], np.int64)
-        n = len(ids)
-        doc = doc.astype(np.int64)
+        ids, hashes, sizes, doc, number, place, *steps = unpack(rows.pop(-1))
+        n, sizes = len(ids), uncoded(sizes)
+        doc, number, place = np.cumsum(uncoded(doc), dtype=np.uint32).astype(np.int64), unplanes(number), unplanes(place)
+        of, start, end = (np.cumsum(uncoded(x), dtype=np.uint32).astype(np.int64) for x in steps)
+        least, source, unsure, named = [], [], [], []
+        for b in sorted(rows):
+            n_chunks, bits, ranks, n_windows, hit, shaky = unpack(rows.pop(b))
+            if n_chunks != sizes[b]:
+                raise ValueError("the input gave other rows when it was read again")
+            names, first, low = chosen_back(ranks)
+            named.append(names)
+            bits, hit = np.unpackbits(bits, count=n_chunks).astype(bool), np.unpackbits(hit, count=n_windows).astype(bool)
+            least.append((bits, first))
+            source.append((hit, low))
+            unsure.append((hit, np.unpackbits(shaky, count=int(hit.sum()))))
+        mine = plain_ids(ids)
+        plain, to = together([mine, *named])
+        own, to = to[0][ranks_of(ids, mine)], to[1:]
+
+        def spread_out(parts, to=None):
+            out = [np.zeros(len(mask), np.int64) for mask, _ in parts]
+            for k, (mask, values) in enumerate(parts):
+                out[k][mask] = values if to is None else to[k][values]
+            return np.concatenate([np.zeros(0, np.int64), *out])
+
+        many = np.concatenate([np.zeros(0, bool), *(mask for mask, _ in least)])[number]
+        first = spread_out(least, to)[number]
         found: list[list] = [[] for _ in range(n)]
+        said = [None, *(plain.tolist() if isinstance(plain, np.ndarray) else plain)]
         if len(place):
-            hit, source = np.concatenate(common)[place], np.concatenate(source_of)[place]
+            hit = np.concatenate([mask for mask, _ in source])[place]
+            from_ = spread_out(source, to)[place]
+            shaky = spread_out(unsure)[place].astype(bool)
             edges = np.append(np.searchsorted(of, np.arange(n)), len(of))
-            for a, z in zip(*(x.tolist() for x in spans_of(hit, edges)), strict=True):
-                low = int(source[a:z].max())
-                found[of[a]].append({"start": int(start[a]), "end": int(end[z - 1]), "words": z - a - 1 + min_words, "first_id": None if low == nothing else low})
+            pairs = np.sort(of * (int(place.max()) + 1) + place)
+            twice = pairs[1:][pairs[1:] == pairs[:-1]] // (int(place.max()) + 1)
+            for d in np.union1d(of[hit], twice).tolist():
+                a, z = edges[d], edges[d + 1]
+                first_at, last_at = first_and_last(place[a:z])
+                later = np.arange(z - a) - first_at >= min_words
+                others, inner = hit[a:z], (from_[a:z] == own[d]) | ~hit[a:z]
+                told = others | (last_at - first_at >= min_words)
+                for x, y in passages_of(told, others, np.where(inner, -1, from_[a:z]), shaky[a:z], later & inner, first_at, min_words):
+                    k = a + x
+                    found[d].append({
+                        "start": int(start[k]), "end": int(end[a + y - 1]), "words": y - x - 1 + min_words, "first_id": ids[d] if inner[x] else said[from_[k]],
+                        "copy": bool(later[x] if inner[x] else True), "others": bool(others[x]),
+                    })
         count = lambda mask: pa.array(np.bincount(doc[mask], minlength=n)[:n].astype(np.int64))
-        one = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), count(np.ones(len(doc), bool)), count(many), count(many & (first < own[doc] if len(doc) else many)), pa.array(found, pa.list_(passage))], schema=out_schema)
-        for _ in rows[-1]:
-            yield one
-
-    shared = source.mapInArrow(tidy(digests_out), PACKED).groupBy("part").applyInArrow(answer, PACKED)
-    sent = shared.unionByName(source.mapInArrow(tidy(layouts_out), PACKED))
-    out = sent.select("key", "part", "payload").groupBy("key").applyInArrow(reassemble, "id long, n_chunks long, n_shared long, n_copied long, passages array<struct<start: long, end: long, words: long, first_id: long>>")
-    return out.withColumnRenamed("id", id_col)
+        counts = [count(np.ones(len(doc), bool)), count(many), count(many & (first < own[doc] if len(doc) else many))]
+        for _ in range(copies):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hashes, pa.int64()), *counts, pa.array(found, pa.list_(passage))], schema=out_schema)
+
+    shared = source.mapInArrow(tidy(digests_out), PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(answers), PACKED)
+    sent = shared.unionByName(source.mapInArrow(tidy(layouts_out), PACKED)).select("key", "part", "payload")
+    ddl = docs.schema[id_col].dataType.simpleString()
+    # one task for each block or so, however many there are
+    return sent.repartition(max(1, -(-2 * total // BLOCK_BYTES)), "key").groupBy("key").applyInArrow(
+        reassemble, f"id {ddl}, hash long, n_chunks long, n_shared long, n_copied long, passages array<struct<start: long, end: long, words: long, first_id: {ddl}, copy: boolean, others: boolean>>"
+    )
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each row: id_col, n_chunks, n_shared (chunks that other documents have too), n_copied (those of
+    which an earlier document holds the first copy), and passages: array of (start, end, words, first_id, copy, others), in code points; copy: whether it is
+    not the first; others: whether other documents hold it, or it stands twice in this one alone."""
+    return _repeats(docs, id_col, text_col, min_words).drop("hash").withColumnRenamed("id", id_col)
+
+
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each stretch of spans (start, end, by their starts) that touch or overlap replaced by mark."""
+
+    def step(a: Column, s: Column) -> Column:
+        more = F.concat(a["text"], text.substr((a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when((s["start"] <= a["end"]) & a["any"], a["text"]).otherwise(more).alias("text"), F.lit(True).alias("any"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("text"), F.lit(False).alias("any"))
+    return F.aggregate(spans, begin, step, lambda a: F.concat(a["text"], text.substr((a["end"] + 1).cast("int"), F.length(text))))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, mark: str = "") -> DataFrame:
+    """docs with all but the first copy of each passage replaced by mark. Only texts that hold such copies are looked up by a shuffle."""
+    found = _repeats(docs, id_col, text_col, min_words).select("hash", F.filter("passages", lambda p: p["copy"]).alias("spans"))
+    found = found.filter(F.size("spans") > 0).groupBy("hash").agg(F.min(F.transform("spans", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))).alias("spans"))
+    found = staged(found, "copies")
+    hash_col, hit, of, spans = unused(docs.columns, "hash", "hit", "of", "spans")
+    own = marked(docs.withColumn(hash_col, F.xxhash64(id_col, text_col)), hash_col, marks_of(found), hit)
+    seen = own.filter(hit).join(found.select(F.col("hash").alias(of), F.col("spans").alias(spans)), F.col(hash_col) == F.col(of), "left")
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(spans), mark))
+    cut = seen.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return own.filter(~F.col(hit)).select(*(F.col(f"`{c}`") for c in docs.columns)).unionAll(cut)

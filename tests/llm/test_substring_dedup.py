@@ -47,7 +47,7 @@ def test_planted_passages(spark):
     assert {d for d, r in got.items() if r.passages} - {502} == want
     r = got[1]
     p = r.passages[0]
-    assert texts[1][p.start : p.end] in texts[1] and p.first_id in (None, 0)
+    assert texts[1][p.start : p.end] in texts[1] and p.first_id in (None, 0) and p.copy
     assert got[501].n_chunks == 0 and got[500].n_chunks == 0
     assert got[None].n_shared == got[None].n_chunks and got[None].n_copied == 0
 
@@ -100,8 +100,80 @@ def test_passages_of_51_words_are_found_whole_and_of_50_are_not(spark):
             rows.append((2 * k + j, f"{lead} é{k}{j} " + (f"({shared})," if j else shared.replace(" ", "\n")) + f" {k}{j}x {tail}"))
             if long:
                 start = len(f"{lead} é{k}{j} ") + j
-                want[2 * k + j] = [(start, start + len(shared), 51, 2 * k)]
+                want[2 * k + j] = [(start, start + len(shared), 51, 2 * k, bool(j), True)]
     rows += [(900, "zz " * 60), (901, "zz " * 70)]
-    want |= {900: [(0, 179, 60, 900)], 901: [(0, 209, 70, 900)]}
+    # the first document has 60 words, so two passages make up the 70
+    want |= {900: [(0, 179, 60, 900, False, True)], 901: [(0, 152, 51, 900, True, True), (57, 209, 51, 900, True, True)]}
     got = {r.doc_id: [tuple(p) for p in r.passages] for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {d: p for d, p in got.items() if p} == want
+
+
+def bare(words):
+    return (words[0].lstrip(S.AROUND) or words[0], *words[1:-1], words[-1].rstrip(S.AROUND) or words[-1])
+
+
+def check_passages(rows, got, n):
+    """Each passage stands whole in its first document, and all windows that stand twice are in passages of their first document."""
+    texts = dict(rows)
+    held = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - n + 1):
+            held.setdefault(bare(w[i : i + n]), []).append((d, i))
+    for d, t in rows:
+        spots = [m.span() for m in re.finditer(r"[^ \t-\r]+", t)]
+        w, covered = t.split(), set()
+        for p in got[d]:
+            said = bare(t[p.start : p.end].split())
+            assert len(said) == p.words >= n
+            source = texts[p.first_id].split()
+            assert any(bare(source[i : i + p.words]) == said for i in range(len(source) - p.words + 1)), (d, p)
+            covered |= {k for k, (a, z) in enumerate(spots) if z > p.start and a < p.end}
+            assert p.copy == (p.first_id != d or any(bare(w[i : i + n]) == bare(said[:n]) for i in range(max(0, sum(a < p.start for a, _ in spots) - n))))
+        want = set()
+        for i in range(len(w) - n + 1):
+            holders = held[bare(w[i : i + n])]
+            if len({h for h, _ in holders}) > 1 or max(k for _, k in holders) - min(k for _, k in holders) >= n:
+                want |= set(range(i, i + n))
+        assert covered == want, d
+
+
+def test_a_passage_stands_whole_in_its_first_document(spark):
+    rng = random.Random(1)
+    x, y, z = (words(rng, 60) for _ in range(3))
+    rows = [("1", f"{x} {y}"), ("2", f"{y} {z}"), ("3", f"{x} {y} {z}"), ("4", f"{x} q {x}"), ("5", f"{z} {z} {z}"), ("6", f"{y[: len(y) // 2]} {z} {y}"), ("7", "alone " + words(rng, 100)), ("8", f"{words(rng, 9)} {x} {words(rng, 9)} {x}")]
+    got = {r.doc_id: r.passages for r in S.repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    check_passages(rows, got, 51)
+    assert [(p.words, p.first_id, p.copy) for p in got["3"]] == [(120, "1", True), (110, "2", True)]
+    assert [(p.words, p.first_id, p.copy) for p in got["1"]] == [(120, "1", False)] and not got["7"]
+
+
+def test_random_texts_of_few_words_against_brute_force(spark):
+    rng = random.Random(2)
+    parts = [words(rng, rng.randint(3, 30)) for _ in range(12)] + ["a b a b a b", "a a a a a a a a", "(a b", "b) c, d"]
+    rows = [(d, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for d in range(150)]
+    got = {r.doc_id: r.passages for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), min_words=8).collect()}
+    check_passages(rows, got, 8)
+
+
+def test_repeats_inside_one_document(spark):
+    rng = random.Random(6)
+    said = words(rng, 60)
+    rows = [(1, f"{said} {words(rng, 20)} {said}")]
+    (row,) = S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(p.words, p.first_id, p.copy) for p in row.passages] == [(60, 1, False), (60, 1, True)]
+
+
+def test_deduplicated_keeps_the_first_copy_of_each(spark):
+    rng = random.Random(4)
+    x, y = words(rng, 60), words(rng, 70)
+    own = [words(rng, 10) for _ in range(8)]
+    rows = [("a", f"{own[0]} {x} {own[1]}", 1, "h"), ("b", f"{own[2]} {x} {own[3]} {y}", 2, "h"), ("c", f"{y} {x}", 3, "h"), ("d", f"{own[4]} {y} {own[5]} {y} {own[6]}", 4, "h"), ("e", None, 5, "h"), ("f", "", 6, "h"), (None, own[7], 7, "h")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, spans int, hash string")
+    got = S.deduplicated(docs.repartition(3), mark="#")
+    assert got.columns == docs.columns
+    assert {r.doc_id: (r.text, r.spans, r.hash) for r in got.collect()} == {
+        "a": (rows[0][1], 1, "h"), "b": (f"{own[2]} # {own[3]} {y}", 2, "h"), "c": ("# #", 3, "h"), "d": (f"{own[4]} # {own[5]} # {own[6]}", 4, "h"), "e": (None, 5, "h"), "f": ("", 6, "h"), None: (own[7], 7, "h"),
+    }
+    again = S.deduplicated(got)
+    assert {r.doc_id: r.text for r in again.collect()} == {r.doc_id: r.text for r in got.collect()}
