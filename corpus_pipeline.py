@@ -1,7 +1,16 @@
 """A corpus from documents to tokens: each stage works on all that its predecessor kept.
 
-Documents that score as toxic go; of near duplicates one stays; documents that hold a benchmark
-passage go; secrets are cut out of the texts; what remains is encoded and decoded.
+toxicity: documents that score at least TOXIC_FROM go. A null or empty text scores as one without any weighted word,
+and stays; of repeated rows all go or all stay.
+near_dedup: of each group of near duplicates (85 %, as in op3) the one with the least id stays, all columns as they
+are. Null and empty texts are near duplicates of nothing. Of rows equal in id and text, the one that comes first as
+JSON stays. Rows without an id never name a group: they go where a row with an id is near, else they stay.
+decontamination: documents with an occurrence of a benchmark window go. Null and empty texts have none.
+secrets: all spans of op8 in a text are cut out, and n_chars is counted again; a null text stays null, with null n_chars.
+byte_bpe: one row for each document: n_tokens, ids_sha256, decoded_sha256. A null text has no tokens.
+
+Everywhere: texts of any length are worked on whole; an empty table passes as an empty table; columns other than
+doc_id, text and n_chars pass unread, whatever their names, but for the last stage, whose rows have the columns above.
 """
 
 from __future__ import annotations
