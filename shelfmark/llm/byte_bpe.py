@@ -35,7 +35,7 @@ from ..functions.staging import staged
 from .arrow_text import binary_array, cached, coded, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
 
 #: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
-BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 24 << 20, 4 << 20, 256 << 20
+BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 12 << 20, 4 << 20, 256 << 20
 
 # Fixed value: the pattern that pretoken_starts implements.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,7 +174,7 @@ class Block:
 def blocks_of(batches, id_col: str, text_col: str, pattern: str) -> Iterator[Block]:
     """The batches of a task as blocks."""
     block = Block()
-    for rows, data, at in pieces(batches, text_col):
+    for rows, data, at in pieces(batches, text_col, 2 << 20):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
             yield block
             block = Block()

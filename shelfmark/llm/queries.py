@@ -14,7 +14,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 #: Bytes of a batch that goes to a Python worker, at most: long texts make large batches of few rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
