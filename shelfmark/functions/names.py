@@ -51,7 +51,7 @@ def parsed_tag(raw: Column) -> Column:
 
 # Product lines that names begin with, and what may follow a name.
 LINES = ["nendoroid doll", "nendoroid petite", "nendoroid petit", "nendoroid more", "nendoroid co-de", "nendoroid", "figma", "pop up parade l", "pop up parade", "medicchu", "parfom r!", "parfom", "act mode", "tenitol", "huggy good smile", "look up", "hello! good smile", "chibi kyun-chara", "super situation figure", "figure collection"]
-QUALIFIERS = r"(?i)(?:\s*[:\-–—]\s*[^:]*(?<![a-z])ver\.?|\s+ver\.?|\s+dx(?:\s+ver\.?)?|\s*\((?:reissue|rerelease)\)|\s+(?:\d+(?:st|nd|rd|th)|second)\s+ascension)$"
+QUALIFIERS = r"(?i)(?:(?:\s*[:\-–—]\s*[^:]*(?<![a-z])ver\.?|\s+ver\.?|\s+dx(?:\s+ver\.?)?|\s*\((?:reissue|rerelease)\)|\s+(?:\d+(?:st|nd|rd|th)|second)\s+ascension)\s*)+$"
 SEVERAL = rf"(?i){B}(?:figure\s+(?:set|collection)|\d\s+figure\s+set|set\s+of\s+\d|vs\.?|diorama|village)(?![A-Za-z0-9_])|\s&\s"
 JOINTS = r"\s*[:\-–—]\s*"
 
@@ -62,10 +62,7 @@ def without_line(name: Column) -> Column:
 
 
 def without_qualifiers(name: Column) -> Column:
-    out = F.trim(name)
-    for _ in range(4):
-        out = F.trim(F.regexp_replace(out, QUALIFIERS, ""))
-    return out
+    return F.trim(F.regexp_replace(F.trim(name), QUALIFIERS, ""))
 
 
 def without_series(name: Column, series: Column) -> Column:

@@ -313,3 +313,14 @@ def looks_automated(agent: Column) -> Column:
 
 def subject_hash(salt: str, subject: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt), subject), 256)
+
+
+def signed_header(header: Column) -> Column:
+    """struct(kid, signature) of a notification's base 64 header; null if it holds no JSON with both."""
+    got = F.from_json(F.try_to_binary(header, F.lit("base64")).cast("string"), "kid string, signature string")
+    return F.when(got["kid"].isNotNull() & got["signature"].isNotNull(), got)
+
+
+def challenge_answer(challenge: Column, token: str, endpoint: str) -> Column:
+    """What a marketplace wants to hear before it sends notifications."""
+    return F.sha2(F.concat(challenge, F.lit(token), F.lit(endpoint)), 256)

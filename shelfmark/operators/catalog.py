@@ -134,7 +134,7 @@ def poll_priority(figures: DataFrame, now, k: int | None = None) -> DataFrame:
     since_release = days_between(instant(now), F.col("release_date"))
     recent = F.when(since_release.between(-120, 180), 8).otherwise(0)
     demand = F.col("collection_count") * 10 + F.col("wishlist_count") * 6 + F.least("view_count", F.lit(100)) * 0.5 + recent
-    waited = F.coalesce(F.greatest(F.lit(0.0), days_between(instant(now), F.col("last_polled_at"))), F.lit(60.0))
+    waited = F.when(F.col("last_polled_at").isNull(), 60.0).otherwise(F.greatest(F.lit(0.0), days_between(instant(now), F.col("last_polled_at"))))
     rows = figures.withColumn("demand", demand.cast("double")).withColumn("priority", (demand + 1) * F.least(waited, F.lit(30.0))).filter("priority > 0")
     return rows if k is None else rows.orderBy(F.desc("priority"), "figure_id").limit(k)
 
@@ -142,3 +142,27 @@ def poll_priority(figures: DataFrame, now, k: int | None = None) -> DataFrame:
 def queue_counts(submissions: DataFrame, kinds: list[str]) -> DataFrame:
     """Open submissions by kind, one column each, 0 where there are none."""
     return submissions.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+
+
+def wishlist(rows: DataFrame) -> DataFrame:
+    """A user's wishes in order: the dearest to them first, then the newest."""
+    order = W.partitionBy("user_id").orderBy(F.col("priority").desc_nulls_last(), F.desc("added_at"), "figure_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def import_order(products: DataFrame, k: int) -> DataFrame:
+    """What an import takes first: known products, then numbered ones, then the rest."""
+    return products.orderBy(F.col("known").desc(), F.col("number").isNotNull().desc(), "product_id").limit(k)
+
+
+def other_printings(printings: DataFrame) -> DataFrame:
+    """Printings that are not the figure's own, in order: originals first, then the newest."""
+    rows = printings.filter(F.col("figure_id") != F.col("own_id"))
+    order = W.partitionBy("own_id").orderBy((F.col("kind") == "original").desc(), F.col("release_date").desc_nulls_last(), "figure_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def page_links(at: Column, last: Column, around: int = 2) -> Column:
+    """The pages that a page links to: the first, the last, and those around it."""
+    near = F.sequence(F.greatest(F.lit(1), at - around), F.least(last, at + around))
+    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1).cast("int"), last.cast("int")), near.cast("array<int>"))))

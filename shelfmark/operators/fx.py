@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import half_up
+from . import tables
 
 #: Days a daily rate may be old.
 REACH_DAYS = 7
@@ -84,3 +85,11 @@ def historical(rows: DataFrame, daily: DataFrame, months: DataFrame, display: st
     same = F.when(F.col("currency") == display, F.struct(F.col("amount").cast("double").alias("amount"), F.when(F.col("day").isNotNull(), "release").otherwise("today").alias("basis")))
     best = F.coalesce(same, tier("d", F.col("day").isNotNull() & (F.col("precision") == "DAY")), tier("m", F.col("day").isNotNull()), tier("t", F.lit(True)))
     return joined.select("id", best["amount"].alias("converted"), best["basis"].alias("basis"))
+
+
+def backfilled(held_daily: DataFrame, held_months: DataFrame, quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Daily and monthly rates after a history came in: a day's rate that is held stays, a month's mean is taken anew."""
+    new = inverted(quotes)
+    daily = tables.insert_if_absent(held_daily, new.select(held_daily.columns), ["currency", "day"])
+    months = monthly(quotes).select(held_months.columns)
+    return daily, held_months.join(months.select("currency", "month"), ["currency", "month"], "left_anti").select(held_months.columns).unionByName(months)

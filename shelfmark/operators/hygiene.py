@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_key
 from ..functions.staging import staged
 from ..functions.text import series_name, unicode_form
+from .tables import first_of_each
 
 
 def unique_or_null(candidates: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
@@ -94,12 +95,12 @@ def fold_survivors(figures: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rekeyed(children: DataFrame, folds: DataFrame, parent: str, child_key: str) -> DataFrame:
-    """Children moved to the survivors; a row that a survivor has already of the same key goes."""
+    """Children moved to the survivors; a row that a survivor has already of the same key goes, and of several that come the least stays."""
     moves = folds.filter("figure_id <> survivor")
     moved = children.join(moves.select(F.col("figure_id").alias(parent), "survivor"), parent)
     stay = children.join(moves.select(F.col("figure_id").alias(parent)), parent, "left_anti")
-    moved = moved.withColumn(parent, F.col("survivor")).drop("survivor").join(stay.select(parent, child_key), [parent, child_key], "left_anti").dropDuplicates([parent, child_key])
-    return stay.unionByName(moved.select(stay.columns))
+    moved = moved.withColumn(parent, F.col("survivor")).drop("survivor").join(stay.select(parent, child_key), [parent, child_key], "left_anti")
+    return stay.unionByName(first_of_each(moved, [parent, child_key]).select(stay.columns))
 
 
 def discovered(titles: DataFrame, known: DataFrame, judged: DataFrame, least: int = 3, samples: int = 4) -> DataFrame:

@@ -194,3 +194,20 @@ def rematch(listings: DataFrame, matched: DataFrame) -> DataFrame:
     old = F.col("figure_id")
     change = F.when(old.eqNullSafe(F.col("new_id")), "same").when(old.isNull(), "gained").when(F.col("new_id").isNull(), "lost").otherwise("moved")
     return listings.join(new, "title_id", "left").withColumn("change", change)
+
+
+def applied_rematch(changes: DataFrame, moves: str = "all", only_unmatches: bool = False) -> DataFrame:
+    """What rematch found, applied to listings: title_id, figure_id, applied.
+
+    moves: all; none, which leaves moved listings where they are; or safe, which moves only those whose old and new figure differ in
+    name and whose new one has no fewer tokens of the title: old_name, new_name, old_hits and new_hits, then columns of changes.
+    only_unmatches: listings leave figures that they no longer match, and nothing else changes.
+    """
+    if moves not in ("all", "none", "safe"):
+        raise ValueError("moves is all, none or safe")
+    change = F.col("change")
+    allowed = F.lit(moves == "all")
+    if moves == "safe":
+        allowed = F.coalesce((F.col("old_name") != F.col("new_name")) & (F.col("new_hits") >= F.col("old_hits")), F.lit(False))
+    apply = (change == "lost") if only_unmatches else change.isin("lost", "gained") | ((change == "moved") & allowed)
+    return changes.select("title_id", F.when(apply, F.col("new_id")).otherwise(F.col("figure_id")).alias("figure_id"), apply.alias("applied"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_before
-from . import fx, match, rollup, tables
+from ..functions.text import search_text
+from . import catalog, fx, lifecycle, match, rollup, tables
 
 
 def ingested_listings(held: DataFrame, items: DataFrame, figures: DataFrame, rates: DataFrame, now: datetime) -> DataFrame:
@@ -53,3 +54,50 @@ def purged_sales(sales: DataFrame, now: datetime, days: int = 90) -> DataFrame:
 def run_log(stages: DataFrame) -> DataFrame:
     """One row for each source of a run: status, rows, and the first error. stages: source, ok, n_rows, error."""
     return stages.groupBy("source").agg(F.when(F.bool_and("ok"), "SUCCESS").otherwise("ERROR").alias("status"), F.sum(F.when(F.col("ok"), F.col("n_rows")).otherwise(0)).alias("n_rows"), F.min("error").alias("error"))
+
+
+def pending_reissues(figures: DataFrame, printings: DataFrame, now: datetime) -> DataFrame:
+    """figures with reissue_due_at of their next printing, cleared where none is to come."""
+    due = lifecycle.upcoming_reissue(printings, now).select("figure_id", F.col("due_at").alias("__due"))
+    return figures.join(due, "figure_id", "left").withColumn("reissue_due_at", F.col("__due")).drop("__due")
+
+
+def reindexed(figures: DataFrame, terms: list[str]) -> DataFrame:
+    """figures with search_text rebuilt from their columns, and whether it changed: only those rows have to be written."""
+    new = search_text(F.array(*(F.col(t).cast("string") for t in terms)))
+    return figures.withColumn("changed", ~F.col("search_text").eqNullSafe(new)).withColumn("search_text", new)
+
+
+def night(held: dict[str, DataFrame], day: date, now: datetime, search_terms: list[str]) -> dict[str, DataFrame]:
+    """A whole night in its order: roll up, reissues, releases, retail prices, search texts, and only then the purge of sales,
+    since what is purged before it is rolled up is lost.
+
+    held: sales, listings, figures, snapshots, printings, reissue_prices, rates.
+    """
+    done = aggregated(held["sales"], held["listings"], held["figures"], held["snapshots"], day, now)
+    figures = pending_reissues(held["figures"], held["printings"], now)
+    figures = lifecycle.marked_released(figures, now)
+    pending = figures.withColumn("pending", F.col("status").isin("PREORDER", "ANNOUNCED") | F.col("reissue_due_at").isNotNull())
+    prices = lifecycle.msrp_in_usd(pending, held["reissue_prices"], held["rates"]).select("figure_id", F.col("new_msrp_usd").alias("msrp_usd"))
+    figures = reindexed(figures.drop("msrp_usd").join(prices, "figure_id"), search_terms)
+    figures = figures.join(done["figures"], "figure_id")
+    return {"figures": figures, "snapshots": done["snapshots"], "sales": purged_sales(held["sales"], now), "listings": lifecycle.expired_listings(held["listings"], now)}
+
+
+def polled(figures: DataFrame, now: datetime, k: int, min_age: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The figures that a run asks for, by demand and age, and all figures with those marked as polled.
+
+    min_age: hours since the last poll; figures never polled always count.
+    """
+    due = figures if min_age is None else figures.filter(F.col("last_polled_at").isNull() | (F.col("last_polled_at") < F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(min_age))))
+    chosen = catalog.poll_priority(due, now, k)
+    hit = chosen.select("figure_id", F.lit(True).alias("__hit"))
+    at = F.when(F.col("__hit"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_polled_at"))
+    return chosen, figures.join(hit, "figure_id", "left").withColumn("last_polled_at", at).drop("__hit")
+
+
+def without_demo(sales: DataFrame, listings: DataFrame, prefix: str = "demo-") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sales and listings without made-up rows, and the figures that had one: their snapshots and statistics have to be rebuilt."""
+    made_up = F.coalesce(F.col("external_id").startswith(prefix), F.lit(False))
+    touched = sales.filter(made_up).select("figure_id").unionByName(listings.filter(made_up).select("figure_id")).distinct()
+    return sales.filter(~made_up), listings.filter(~made_up), touched

@@ -11,25 +11,44 @@ from pyspark.sql import functions as F
 from ..functions.semantics import differs
 
 
+def keyed(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys are all there, and the others: a null key is no other row's."""
+    there = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys))
+    return rows.filter(there), rows.filter(~there)
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """One row of each key: the first by order, and of equals the least by all other columns."""
+    rest = [F.col(c) for c in rows.columns if c not in keys]
+    by = W.partitionBy(*keys).orderBy(*(order or []), *rest) if order or rest else W.partitionBy(*keys).orderBy(*keys)
+    return rows.withColumn("__i", F.row_number().over(by)).filter("__i = 1").drop("__i")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rows of both; of a key the one of the greatest version stays, of equal versions the new one."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    """Rows of both; of a key the one of the greatest version stays, of equal versions the new one. Rows with a null key all stay."""
+    (a, a_rest), (b, b_rest) = keyed(old, keys), keyed(new.select(old.columns), keys)
+    both = a.withColumn("__new", F.lit(0)).unionByName(b.withColumn("__new", F.lit(1)))
     rest = [F.col(c).desc_nulls_last() for c in old.columns if c not in {*keys, version}]
     order = W.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.desc("__new"), *rest)
-    return both.withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i", "__new")
+    kept = both.withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i", "__new")
+    return kept.unionByName(a_rest).unionByName(b_rest)
 
 
 def upsert_partly(old: DataFrame, new: DataFrame, keys: list[str], changes: list[str]) -> DataFrame:
-    """On a known key only the columns in changes are taken from the new row; others keep what was first seen."""
-    a, b = old.alias("a"), new.alias("b")
+    """On a known key only the columns in changes are taken from the new row; others keep what was first seen. Of new rows
+    of one key the least counts; rows with a null key all stay."""
+    (held, held_rest), (came, came_rest) = keyed(old, keys), keyed(new.select(old.columns), keys)
+    a, b = held.withColumn("__known", F.lit(True)).alias("a"), first_of_each(came, keys).withColumn("__came", F.lit(True)).alias("b")
     on = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
-    known, came = F.col(f"a.{keys[0]}").isNotNull(), F.col(f"b.{keys[0]}").isNotNull()
-    pick = lambda c: F.when(known & (~came | F.lit(c not in changes)), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
-    return a.join(b, on, "full_outer").select(*(pick(c) for c in old.columns))
+    known, is_new = F.col("a.__known").isNotNull(), F.col("b.__came").isNotNull()
+    pick = lambda c: F.when(known & (~is_new | F.lit(c not in changes)), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    return a.join(b, on, "full_outer").select(*(pick(c) for c in old.columns)).unionByName(held_rest).unionByName(came_rest)
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    """Old rows stay; of new rows of one absent key the least comes in, and those with a null key all do."""
+    came, rest = keyed(new.select(old.columns), keys)
+    return old.unionByName(first_of_each(came, keys).join(old.select(*keys).distinct(), keys, "left_anti").select(old.columns)).unionByName(rest)
 
 
 def update_from(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -97,3 +116,39 @@ def write_version(rows: DataFrame, path: str, partition_by: list[str] | None = N
     """A whole version of a table; with partitions, only those in rows are replaced."""
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition_by else "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def planned(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """What turns old into new, to be looked at before it is applied: action (insert, update, delete), the keys, and the new values."""
+    values = [c for c in old.columns if c not in keys]
+    a = old.select(*keys, F.struct(*values).alias("__old"), F.lit(True).alias("__held"))
+    b = new.select(*keys, F.struct(*values).alias("__new"), F.lit(True).alias("__came"))
+    action = F.when(F.col("__held").isNull(), "insert").when(F.col("__came").isNull(), "delete").when(differs(F.col("__old"), F.col("__new")), "update")
+    return a.join(b, keys, "full_outer").withColumn("action", action).filter("action IS NOT NULL").select("action", *keys, "__new.*")
+
+
+def applied(old: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """old after a plan."""
+    return old.join(plan.select(*keys), keys, "left_anti").select(old.columns).unionByName(plan.filter("action <> 'delete'").select(old.columns))
+
+
+def replicated(tables: dict[str, DataFrame], links: list[tuple[str, str, str]], order: list[str]) -> dict[str, DataFrame]:
+    """Tables in an order in which parents come first, each without the rows whose parent is not there. links: (child, column, parent);
+    the parent's key has the column's name."""
+    out: dict[str, DataFrame] = {}
+    for name in order:
+        rows = tables[name]
+        for child, column, parent in links:
+            if child == name:
+                if parent not in out:
+                    raise ValueError(f"{parent} has to come before {name}")
+                rows = rows.filter(F.col(column).isNull()).unionByName(rows.join(out[parent].select(column).distinct(), column, "left_semi").select(rows.columns))
+        out[name] = rows
+    return out
+
+
+def backed_up(rows: DataFrame, gone: Column, path: str) -> DataFrame:
+    """The rows that stay, once those that go are in a backup table at path."""
+    hit = F.coalesce(gone, F.lit(False))
+    rows.filter(hit).write.mode("errorifexists").parquet(path)
+    return rows.filter(~hit)

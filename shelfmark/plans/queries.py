@@ -324,7 +324,7 @@ def fx_spot(spark, d):
 
 
 @query("""WITH f AS (SELECT user_id AS figure_id, count(*) FILTER (event_type = 'purchase') AS c, count(*) FILTER (event_type = 'click') AS w, count(*) FILTER (event_type = 'view') AS v, min(ts) AS rel, CASE WHEN user_id % 3 <> 0 THEN max(ts) END AS polled FROM events GROUP BY user_id),
-    p AS (SELECT figure_id, CAST(c * 10 + w * 6 + least(v, 100) * 0.5 + CASE WHEN (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(rel)) / 86400000000.0 BETWEEN -120 AND 180 THEN 8 ELSE 0 END AS DOUBLE) AS demand, coalesce(greatest(0.0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(polled)) / 86400000000.0), 60.0) AS waited FROM f)
+    p AS (SELECT figure_id, CAST(c * 10 + w * 6 + least(v, 100) * 0.5 + CASE WHEN (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(rel)) / 86400000000.0 BETWEEN -120 AND 180 THEN 8 ELSE 0 END AS DOUBLE) AS demand, CASE WHEN polled IS NULL THEN 60.0 ELSE greatest(0.0, (epoch_us(TIMESTAMP '2024-03-01') - epoch_us(polled)) / 86400000000.0) END AS waited FROM f)
     SELECT figure_id, demand, round((demand + 1) * least(waited, 30.0), 6) AS priority FROM p WHERE (demand + 1) * least(waited, 30.0) > 0 ORDER BY (demand + 1) * least(waited, 30.0) DESC, figure_id LIMIT 40""")
 def poll_priority(spark, d):
     from datetime import datetime

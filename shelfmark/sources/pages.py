@@ -142,7 +142,7 @@ def embedded_variants(rows: DataFrame, html: str = "html", marker: str = "let va
 
 def data_layer(rows: DataFrame, html: str = "html") -> DataFrame:
     """rows with item (name, price, id, available; null if the JSON is broken) and the order window, written in Japan's time, as UTC."""
-    raw = F.regexp_extract(html, r"(?s)dataLayer\.push\((\{.{0,20000}?\})\);", 1)
+    raw = F.regexp_extract(html, r"(?s)dataLayer\.push\((\{.*?\})\);", 1)
     item = F.from_json(raw, "ecommerce struct<items: array<struct<item_id: string, item_name: string, price: double>>>")["ecommerce"]["items"][0]
     window = r"([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})(?:[^0-9]{1,12}([0-9]{1,2}):([0-9]{2}))?"
     stamp = lambda part: F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", *(F.regexp_extract(part, window, i) for i in (1, 2, 3))), F.concat_ws(":", F.when(F.regexp_extract(part, window, 4) == "", "23").otherwise(F.regexp_extract(part, window, 4)), F.when(F.regexp_extract(part, window, 5) == "", "59").otherwise(F.regexp_extract(part, window, 5)))), F.lit("y-M-d H:m")), "Asia/Tokyo")

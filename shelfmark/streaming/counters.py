@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,38 @@ def denied(counts: DataFrame, limit: int) -> DataFrame:
     return counts.withColumn("denied", F.col("n") > limit)
 
 
+def denied_until(events: DataFrame, key: str, at: str, limit: int, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """For each batch and key that goes over the limit of its window: key, until (the window's end).
+
+    The state of a key is its window and count. Once a key is denied, its further events in the window are not counted, and a timer
+    on event time forgets it when the window is over.
+    """
+    width = pd.Timedelta(minutes=minutes)
+
+    def run(name, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (0, 0)
+        found = []
+        for moment in sorted(x for batch in batches for x in batch["at"]):
+            window = int(pd.Timestamp(moment).floor(width).timestamp())
+            if window > start:
+                start, n = window, 0
+            if window == start and n <= limit:
+                n += 1
+                if n > limit:
+                    found.append(pd.Timestamp(start, unit="s") + width)
+        state.update((start, n))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (start + minutes * 60) * 1000))
+        if found:
+            yield pd.DataFrame({"key": [name[0]] * len(found), "until": found})
+
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at")).withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, until timestamp", "start long, n long", "append", "EventTimeTimeout")
+
+
 def once(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Each notification once, within the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

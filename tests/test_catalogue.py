@@ -206,3 +206,20 @@ def test_pages(spark):
         pages.checked_verdicts(verdicts.filter("verdict = 'gone'").union(verdicts.filter("verdict = 'gone'")))
     tiles = '<div class="hitItem nendoroid" data-id="12"><a><img src="i.jpg" alt="A &amp; B"><span class="num">34</span></a></div><div class="hitItem" data-id="13"><img src="j.jpg" alt="C"></div>'
     assert rows(pages.archive_tiles(spark.createDataFrame([(tiles,)], "html string")), "product_id", "number", "name", "image") == [("12", "34", "A & B", "i.jpg"), ("13", "", "C", "j.jpg")]
+
+
+def test_null_keys_and_ties_of_keyed_changes(spark):
+    schema = "k long, v long, w string"
+    old = spark.createDataFrame([(1, 1, "a"), (None, 2, "b"), (None, 3, "c")], schema)
+    new = spark.createDataFrame([(1, 9, "z"), (2, 8, "y"), (2, 7, "x"), (None, 6, "n")], schema)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    want = lambda *x: sorted(map(str, x))
+    assert rows(tables.upsert_partly(old, new, ["k"], ["v"])) == want((1, 9, "a"), (2, 7, "x"), (None, 2, "b"), (None, 3, "c"), (None, 6, "n"))
+    assert rows(tables.insert_if_absent(old, new, ["k"])) == want((1, 1, "a"), (2, 7, "x"), (None, 2, "b"), (None, 3, "c"), (None, 6, "n"))
+    assert rows(tables.upsert(old, new, ["k"], "v")) == want((1, 9, "z"), (2, 8, "y"), (None, 2, "b"), (None, 3, "c"), (None, 6, "n"))
+
+
+def test_replication_refuses_a_child_before_its_parent(spark):
+    rows = spark.createDataFrame([(1, 1)], "a long, b long")
+    with pytest.raises(ValueError, match="before"):
+        tables.replicated({"x": rows, "y": rows}, [("x", "a", "y")], ["x", "y"])
