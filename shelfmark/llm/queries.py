@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, mpeg_audio, secret_scan, setsketch, substring_dedup, token_counts, toxicity, warc
+from ..functions.staging import staged
+from . import byte_bpe, chat_format, conversation_repair, decontamination, importance, mpeg_audio, quality_trees, secret_scan, setsketch, substring_dedup, token_counts, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -111,7 +112,34 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(number("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_page").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_media_columns, op10_warc)}
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents weighed towards the benchmark, and the five in a hundred that are drawn."""
+    got = importance.ranks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    stats = staged(quality_trees.statistics(table(spark, folder, "documents")), "statistics")
+    forest = quality_trees.fit(stats, table(spark, folder, "labels"))
+    return quality_trees.score(stats, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations whose rows are dropped, emptied, cut, repeated or misnamed by a hash of their place, gathered."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", said("conv_id"), said("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    rows = rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), kind.alias("kind"))
+    return conversation_repair.gathered(rows, F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    got = conversation_repair.repaired(damaged(table(spark, folder, "conversations")))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return got.select("conv_id", *conversation_repair.NUMBERS, "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_minhash_near_dedup, op4_byte_bpe, op5_decontamination, op6_token_counts, op7_substring_dedup, op8_secret_scan, op9_media_columns, op10_warc, op11_importance, op12_quality_rules, op13_conversation_repair)}
 
 LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
