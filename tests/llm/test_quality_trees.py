@@ -76,7 +76,7 @@ def test_verdicts_on_labels_held_out(spark):
 def test_flat_trees_equal_a_walk_and_keep_to_the_constraints():
     pick = np.random.default_rng(3)
     x = np.column_stack([pick.normal(size=1500), pick.integers(0, 4, 1500), pick.normal(size=1500), np.zeros(1500)])
-    y = (x[:, 0] - x[:, 0] ** 3 + np.sin(3 * x[:, 1]) - x[:, 2] ** 2 + pick.normal(size=1500) > 0).astype(float)
+    y = (x[:, 0] - x[:, 0] ** 3 + np.sin(3 * x[:, 1]) - x[:, 2] ** 2 + 0.2 * pick.normal(size=1500) > 0).astype(float)
     free, held = Q.boosted(x, y, [0, 0, 0, 0]), Q.boosted(x, y, [-1, 1, -1, 0])
 
     def walk(forest, row):
