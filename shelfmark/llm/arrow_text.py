@@ -6,11 +6,13 @@ import ctypes
 import pickle
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def cached(key: str, build: Callable):
@@ -21,17 +23,6 @@ def cached(key: str, build: Callable):
     return store[key]
 
 
-def unused(columns: Iterable[str], *names: str) -> list[str]:
-    """The names, with as many underscores before each as tell them from all columns, however these write capitals."""
-    taken = {c.lower() for c in columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        out.append(name)
-    return out
-
-
 def tidy(run: Callable) -> Callable:
     """run over Arrow batches; at its end the worker gives freed memory back, since it may idle while others need it."""
 
@@ -48,6 +39,11 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over all columns, whatever their names: run gets them as c0, c1 and so on."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(tidy(run), schema)
+
+
 def pack(obj) -> bytes:
     """A pickled object under zstd, with its plain size in front."""
     raw = pickle.dumps(obj, protocol=5)
@@ -106,12 +102,12 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches, text: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches, text: str | int, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of at most most_bytes of text (a longer text alone): rows, bytes, offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        data, at = text_buffers(batch.column(batch.schema.get_field_index(text)))
+        data, at = text_buffers(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
         first = 0
         while first < batch.num_rows:
             last = max(first + 1, int(np.searchsorted(at, at[first] + most_bytes, side="right")) - 1)

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import named
 from ..functions.staging import staged
-from .arrow_text import binary_array, cached, coded, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
+from .arrow_text import binary_array, cached, coded, mapped, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
 
 #: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
 BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 12 << 20, 4 << 20, 32 << 20
@@ -322,10 +323,11 @@ def id_slices(batch: pa.RecordBatch, column: int, most: int = 200_000) -> Iterat
 
 
 def decoded(ids: pa.Array, table: pa.Array) -> pa.Array:
-    """The bytes of each list of ids; a null list gives null."""
+    """The bytes of each list of ids; a null list gives null, and an id that is null or not in the table no bytes."""
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     flat = ids.flatten()
+    flat = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, pa.scalar(None, flat.type))
     data, at = text_buffers(table.take(flat))
     sizes = np.asarray(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     cuts = at[np.concatenate([[0], np.cumsum(sizes)])]
@@ -339,14 +341,15 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     kept = [c for c in encoded.columns if c.lower() != bytes_col.lower()]
     schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
+    at = kept.index(ids_col)
+
     def run(batches):
         table = token_bytes(path)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
             for rows in id_slices(batch, at):
-                yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*kept, bytes_col])
+                yield pa.RecordBatch.from_arrays([*rows.columns, decoded(rows.column(at), table)], names=[*rows.schema.names, "out"])
 
-    return encoded.select(kept).mapInArrow(tidy(run), schema)
+    return mapped(encoded.select(*map(named, kept)), run, schema)
 
 
 def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

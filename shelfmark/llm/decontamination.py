@@ -12,8 +12,8 @@ with A-Z in lower case; candidates are looked up in full lower case, which is co
 
 Defined results: null and empty texts have no words and no hits; an item without words has no
 windows; a null item id is not listed; repeated rows give repeated rows, repeated items count
-once; a null document id is kept; empty tables give empty tables or no hits; further columns
-are left out, so their names cannot clash.
+once; a null document id is kept; texts of any length are read whole, their words as one array; empty tables give empty tables or no hits; further columns
+are left out of hits, so their names cannot clash, and kept by decontaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
 from ..functions.staging import staged
 
 WINDOW, BLOCK = 10, 100_000
@@ -109,6 +110,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of docs without hits."""
     bad = _hits(docs, items, id_col, text_col, item_id, item_text, window, block).filter("n_hit > 0")
-    bad = staged(bad.select(F.col(id_col).alias("__id"), F.col("hash").alias("__hash")).distinct(), "contaminated")
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash"))
+    id_of, hash_of = unused(docs.columns, "id", "hash")
+    bad = staged(bad.select(F.col(id_col).alias(id_of), F.col("hash").alias(hash_of)).distinct(), "contaminated")
+    match = F.col(id_col).eqNullSafe(F.col(id_of)) & (F.xxhash64(text_col) == F.col(hash_of))
     return docs.join(bad, match, "left_anti")

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, unused
 from ..functions.staging import staged
-from .arrow_text import pieces, tidy, unused
+from .arrow_text import pieces, tidy
 
 N, BUCKETS, SEED = 3, 10_000, 42
 #: Documents of fewer words are never drawn; of the others, so many in a hundred are.
@@ -152,4 +153,4 @@ def ranks(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents drawn, columns as they are. An id that stands more than once comes with all its rows if one is drawn; rows without one are left out."""
     chosen = ranks(docs, target, id_col, **options).filter("rank IS NOT NULL").select(id_col).distinct()
-    return docs.join(chosen, id_col, "left_semi").select(docs.columns)
+    return docs.join(chosen, id_col, "left_semi").select(*map(named, docs.columns))

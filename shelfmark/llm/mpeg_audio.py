@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import cached, unused
+from ..functions.columns import named, unused
+from .arrow_text import cached, mapped
 
 # kbit/s by bitrate index from 1, for (MPEG 1?, layer); Hz by version bits and index.
 BITRATES = {
@@ -311,7 +312,7 @@ def _mapped(df: DataFrame, column: str, new: list[tuple[str, str]], row) -> Data
     """df with new columns made from one binary column by row(bytes or None)."""
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n, _ in new}]
     schema = T.StructType([*(df.schema[c] for c in kept), *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in new)).fields])
-    source = df.select(*kept, F.col(column).alias(*unused(kept, "media_in")))
+    source = df.select(*map(named, kept), named(column).alias(*unused(kept, "media_in")))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -324,7 +325,7 @@ def _mapped(df: DataFrame, column: str, new: list[tuple[str, str]], row) -> Data
                 more = [pa.array([None if g is None else g[n] for g in got], own.field(n).type) for n, _ in new]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *more], names=own.names)
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def inspect(df: DataFrame, media: str = "media") -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import binary_array, pieces, spans_of, text_buffers, tidy, unused
+from ..functions.columns import named, unused
+from .arrow_text import binary_array, mapped, pieces, spans_of, tidy
 
 SAMPLE = 20_000
 #: Bytes of text whose words a task holds at a time.
@@ -271,13 +272,12 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
 
 def filtered(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass the rules and the forest, columns as they are."""
-    (held,) = unused(docs.columns, "held")
+    last = len(docs.columns)
 
     def run(batches):
-        for rows, _, _ in pieces(batches, held, PIECE_BYTES):
-            found = counted(*text_buffers(rows.column(rows.num_columns - 1)))
+        for rows, data, at in pieces(batches, last, PIECE_BYTES):
+            found = counted(data, at)
             passed = (found["n_words"] >= LEAST_WORDS) & (100 * found["n_repeat_words"] <= MOST_REPEATED * found["n_words"])
-            yield rows.select(range(rows.num_columns - 1)).filter(pa.array(passed & (forest.scores(features(found)) >= KEPT_FROM)))
+            yield rows.select(list(range(last))).filter(pa.array(passed & (forest.scores(features(found)) >= KEPT_FROM)))
 
-    quoted = "`" + text_col.replace("`", "``") + "`"
-    return docs.select("*", F.col(quoted).cast("string").alias(held)).mapInArrow(tidy(run), docs.schema)
+    return mapped(docs.select("*", named(text_col).cast("string").alias(*unused(docs.columns, "held"))), run, docs.schema)

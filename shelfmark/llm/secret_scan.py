@@ -3,7 +3,7 @@
 Base kinds are reported wherever they stand: ``assign`` (a key word with a value of 8 or more
 characters), ``access`` (an access identifier) and ``hex`` (32 or more digits). Weak kinds are the parts of
 multipart credentials in ``PATTERNS``. ``LINKS`` says what completes each of them, part by part, and in which
-scope: ``near`` (within ``reach`` code points: an interval join in bins of positions), ``line``, or ``block``
+scope (a private key from its first line to its last is whole by itself): ``near`` (within ``reach`` code points: an interval join in bins of positions), ``line``, or ``block``
 (lines without a blank one between them). A weak part is reported only if all parts that complete it
 are there and do not overlap it.
 
@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, unused
 from ..functions.staging import staged
-from .arrow_text import unused
 
 REACH = 400
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KEY_START = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+#: From the first line of a key to the last, of any length, line ends escaped or not; signs of minus stand in its two header lines alone.
+WHOLE_KEY = KEY_START + r"(?:[^-]*Proc-Type:[^-]*DEK-Info:[^\n\\]*)?(?:[^-]*Comment:[^\n\\]*)?[^-]*-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
 #: What each kind's matches look like, what a text must hold before it is searched, and what it must match then.
 PATTERNS = {
     "assign": (ASSIGN, [], r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
@@ -39,7 +42,8 @@ PATTERNS = {
     "endpoint": (r"https?://[^\s\"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9.-]+\.amazonaws\.com", ["AKIA", "ASIA"], None),
     "temporary": (r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{12,}", ["ASIA"], None),
     "client": (r"[a-z0-9._-]+@[a-z0-9-]+\.iam\.gserviceaccount\.com", ["iam.gserviceaccount.com"], None),
-    "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ["PRIVATE KEY-----"], None),
+    "private_key": (WHOLE_KEY, ["PRIVATE KEY"], r"-----END [A-Z ]*PRIVATE KEY"),
+    "key_start": (rf"(?!{WHOLE_KEY}){KEY_START}(?:\s*[A-Za-z0-9+/=\\\r\n]{{40,}})?", ["PRIVATE KEY"], None),
     "account": (r"AccountName=[a-z0-9]{3,24}", ["AccountKey="], None),
     "account_key": (r"AccountKey=[A-Za-z0-9+/]{86}==", ["AccountKey="], None),
     "sid": (r"(?<![A-Za-z0-9])AC[0-9a-f]{32}(?![A-Za-z0-9])", ["AC"], r"AC[0-9a-f]{32}"),
@@ -51,8 +55,9 @@ LINKS = [
     ("secret", "near", [("access", "temporary")]),
     ("temporary", "near", [("secret",)]),
     ("endpoint", "near", [("access", "temporary"), ("secret", "assign", "hex")]),
-    ("client", "block", [("private_key", "hex")]),
-    ("private_key", "block", [("client",)]),
+    ("private_key", "block", []),
+    ("client", "block", [("private_key", "key_start", "hex")]),
+    ("key_start", "block", [("client",)]),
     ("account_key", "line", [("account",)]),
     ("account", "line", [("account_key",)]),
     ("sid", "block", [("hex", "assign")]),
@@ -176,4 +181,4 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
         lambda a: F.concat(a["text"], text.substr((a["end"] + 1).cast("int"), F.length(text))),
     )
     out = F.when(F.col(spans_of).isNotNull(), kept).otherwise(text)
-    return joined.select(*(out.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return joined.select(*(out.alias(c) if c == text_col else named(c) for c in docs.columns))

@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, unused
 from ..functions.staging import staged, temporary_tables
-from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of, tidy, unused
+from .arrow_text import binary_array, digest64, lower_ascii, mixed, pieces, spans_of, tidy
 
 SHINGLE = 5
 #: Registers, registers of a band, and the sketch's base, rate and largest value but one.
@@ -167,7 +168,7 @@ def marked(rows: DataFrame, hash_col: str, marks: tuple[DataFrame, int], mark_co
     w, b = unused([*rows.columns, mark_col], "word", "bits")
     small = F.broadcast(table.select(F.col("word").alias(w), F.col("bits").alias(b)))
     hit = F.coalesce(F.col(b).bitwiseAND(bit) != 0, F.lit(False))
-    return rows.join(small, word == F.col(w), "left").select(*(F.col(f"`{c}`") for c in rows.columns), hit.alias(mark_col))
+    return rows.join(small, word == F.col(w), "left").select(*(named(c) for c in rows.columns), hit.alias(mark_col))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -404,12 +405,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with temporary_tables():
         found = _grouped(docs, id_col, text_col, percent).groupBy("hash").agg(F.max(kept).alias("kept"), F.count("*").alias("copies"))
         found = staged(found.filter("NOT kept OR copies > 1"), "verdicts", lasting=True)
-    hash_col, mark, verdict, copies, rank = unused(docs.columns, "hash", "mark", "kept", "copies", "rank")
+    hash_col, hash_of, mark, verdict, copies, rank = unused(docs.columns, "hash", "hash_of", "mark", "kept", "copies", "rank")
     marks = marks_of(found)
     own = marked(docs.withColumn(hash_col, F.xxhash64(id_col, text_col)), hash_col, marks, mark)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    verdicts = found.select(F.col("hash").alias("of"), F.col("kept").alias(verdict), F.col("copies").alias(copies)).withColumnRenamed("of", f"{hash_col}_of")
-    seen = own.filter(mark).join(verdicts, F.col(hash_col) == F.col(f"{hash_col}_of"), "left").filter(F.coalesce(F.col(verdict), F.lit(True)))
+    columns = [named(c) for c in docs.columns]
+    verdicts = found.select(F.col("hash").alias("of"), F.col("kept").alias(verdict), F.col("copies").alias(copies)).withColumnRenamed("of", hash_of)
+    seen = own.filter(mark).join(verdicts, F.col(hash_col) == F.col(hash_of), "left").filter(F.coalesce(F.col(verdict), F.lit(True)))
     again = W.partitionBy(hash_col, id_col, text_col).orderBy(F.to_json(F.struct(*columns)))
     once = seen.filter(F.col(copies) > 1).withColumn(rank, F.row_number().over(again)).filter(F.col(rank) == 1)
     return own.filter(~F.col(mark)).select(columns).unionAll(seen.filter(F.coalesce(F.col(copies), F.lit(1)) == 1).select(columns)).unionAll(once.select(columns))

@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import named, unused
 from ..functions.staging import staged
-from .arrow_text import binary_array, coded, digest64, mixed, pack, pieces, planes, spans_of, tidy, uncoded, unpack, unplanes, unused
+from .arrow_text import binary_array, coded, digest64, mixed, pack, pieces, planes, spans_of, tidy, uncoded, unpack, unplanes
 from .byte_bpe import PACKED, pa_type, packed_rows
 from .setsketch import marked, marks_of
 
@@ -474,5 +475,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = marked(docs.withColumn(hash_col, F.xxhash64(id_col, text_col)), hash_col, marks_of(found), hit)
     seen = own.filter(hit).join(found.select(F.col("hash").alias(of), F.col("spans").alias(spans)), F.col(hash_col) == F.col(of), "left")
     text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(spans), mark))
-    cut = seen.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
-    return own.filter(~F.col(hit)).select(*(F.col(f"`{c}`") for c in docs.columns)).unionAll(cut)
+    cut = seen.select(*(text.alias(c) if c == text_col else named(c) for c in docs.columns))
+    return own.filter(~F.col(hit)).select(*(named(c) for c in docs.columns)).unionAll(cut)

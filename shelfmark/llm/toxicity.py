@@ -36,8 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import named, unused
 from ..functions.staging import staged
-from .arrow_text import binary_array, cached, pieces, spans_of, text_buffers, tidy, unused
+from .arrow_text import binary_array, cached, mapped, pieces, spans_of, text_buffers, tidy
 
 SAMPLE = 20_000
 #: Bytes of text whose words and features a task holds at a time.
@@ -438,14 +439,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows of docs that score under the threshold."""
+    place = docs.columns.index(text_col)
 
     def run(batches):
         costs, known = model.costs.tolist(), {}
-        for batch, data, at in pieces(batches, text_col, PIECE_BYTES):
+        for batch, data, at in pieces(batches, place, PIECE_BYTES):
             kept = model.scores(model.sums(Words(data, at, costs, known), batch.num_rows)) < threshold
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def restored_text(text: str, costs) -> str:
@@ -470,13 +472,13 @@ def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col
     """The input with its texts in which each disguised word is replaced by its reading; null stays null."""
 
     kept = [c for c in docs.columns if c.lower() != restored_col.lower()]
-    source = docs.select(*kept, F.col(text_col).cast("string").alias(*unused(kept, "read")))
+    source = docs.select(*map(named, kept), named(text_col).cast("string").alias(*unused(kept, "read")))
 
     def run(batches):
         costs = model.costs.tolist()
         for batch in batches:
             out = [None if text is None else restored_text(text, costs) for text in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*kept, restored_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "out"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(restored_col, T.StringType())])
-    return source.mapInArrow(tidy(run), schema)
+    return mapped(source, run, schema)

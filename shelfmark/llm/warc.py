@@ -13,7 +13,8 @@ Payload digests (sha1, sha256, sha512 or md5, in hexadecimal digits or base 32)
 without its chunk framing; other algorithms are not.
 
 Defined results: null payloads count as empty; payloads of any length are one value; ids may have any type and
-are read back as strings; repeated rows of the least id are all responses, of one record id; a page without
+are read back as strings; repeated rows of the least id are all responses, of one record id, and equal segments of one origin are
+read as copies of a record; a page without
 id is never referred to, and revisits another only if that has an id; control characters in URLs are
 percent-encoded; an empty table gives no records; further columns are left out, so their names cannot clash;
 of several records with the identifier or the URI and date that a revisit refers to, that with the least digest, then id, counts;
@@ -233,6 +234,8 @@ RECORD = [
 ]
 #: Segments have these beside; their block is in payload until they are put together.
 SEGMENT = [("segment", pa.int64()), ("total", pa.int64()), ("origin", pa.string()), ("said", pa.string()), ("http", pa.bool_())]
+#: How often a segment stands.
+COPIES = ("copies", pa.int64())
 DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'boolean' if t == pa.bool_() else 'string'}" for n, t in [*SEGMENT, *RECORD])
 RECORD_DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'string'}" for n, t in RECORD)
 
@@ -304,21 +307,31 @@ def read(spark: SparkSession, path: str, payloads: bool = True, strict: bool = T
 
     def together(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
-        block = b"".join(r["payload"] for r in rows)
-        first = rows[0]
-        if [r["segment"] for r in rows] != list(range(1, len(rows) + 1)) or rows[-1]["total"] != len(block):
-            problem = f"segments of {first['origin']} are missing or of the wrong length"
-            if strict:
-                raise ValueError(problem)
-            out = first | {"problem": problem, "payload": None}
-        else:
-            out = decoded(first, block, first["http"], first["said"], payloads, strict)
-        return pa.Table.from_batches(batches_of(iter([out]), RECORD))
+        firsts = [r for r in rows if r["segment"] == 1] or rows[:1]  # repeated rows may differ in what their first segments say of them
+        rest = [r for r in rows if r["segment"] > 1]
+
+        def joined(first: dict) -> dict:
+            own = [first, *rest]
+            block = b"".join(r["payload"] for r in own)
+            if [r["segment"] for r in own] != list(range(1, len(own) + 1)) or own[-1]["total"] != len(block):
+                problem = f"segments of {first['origin']} are missing or of the wrong length"
+                if strict:
+                    raise ValueError(problem)
+                return first | {"problem": problem, "payload": None}
+            return decoded(first, block, first["http"], first["said"], payloads, strict)
+
+        return pa.Table.from_batches(batches_of(map(joined, firsts), [*RECORD, COPIES]))
 
     found = staged(listed.select("path").mapInArrow(run, DDL), "records")
     names = [n for n, _ in RECORD]
     parts = found.filter("segment IS NOT NULL").withColumn("origin", F.coalesce("origin", "record_id"))
-    whole = found.filter("segment IS NULL").select(names).unionByName(parts.groupBy("origin").applyInArrow(together, RECORD_DDL))
+    # equal segments are copies of one, told by their digests before anything is brought together; the first one says how many records there are
+    told = [n for n, _ in [*SEGMENT, *RECORD] if n not in ("record_id", "payload")]
+    continued = F.when(F.col("segment") == 1, F.col("record_id"))
+    parts = parts.groupBy(*told, continued.alias("record_id"), F.sha2("payload", 256).alias("of")).agg(F.first("payload").alias("payload"), F.count("*").alias(COPIES[0])).drop("of")
+    parts = parts.groupBy("origin").applyInArrow(together, f"{RECORD_DDL}, {COPIES[0]} long")
+    parts = parts.withColumn(COPIES[0], F.explode(F.array_repeat(F.lit(1), F.col(COPIES[0]).cast("int"))))
+    whole = found.filter("segment IS NULL").select(names).unionByName(parts.select(names))
     others, revisits = whole.filter("record_type <> 'revisit'"), whole.filter("record_type = 'revisit'")
 
     # what revisits refer to: one row for each identifier, and for each URI and date
