@@ -103,6 +103,24 @@ def rekeyed(children: DataFrame, folds: DataFrame, parent: str, child_key: str)
     return stay.unionByName(first_of_each(moved, [parent, child_key]).select(stay.columns))
 
 
+def first_of_group(figures: DataFrame, keys: list[str]) -> DataFrame:
+    """(figure_id, survivor): figures of one identity fold into that of the least id; a null in the identity folds nothing."""
+    rows = figures.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    return rows.select("figure_id", F.min("figure_id").over(W.partitionBy(*keys)).alias("survivor"))
+
+
+def folded_tables(held: dict[str, DataFrame], folds: DataFrame, figures: str = "figures") -> dict[str, DataFrame]:
+    """All tables after folds: rows of other tables move to the survivors, and the folded figures say what superseded them."""
+    moves = folds.filter("figure_id <> survivor").select("figure_id", F.col("survivor").alias("__to"))
+
+    def moved(rows: DataFrame) -> DataFrame:
+        return rows.join(moves, "figure_id", "left").select(*(F.coalesce("__to", "figure_id").alias(c) if c == "figure_id" else F.col(c) for c in rows.columns))
+
+    own = held[figures].join(moves, "figure_id", "left")
+    own = own.select(*(F.coalesce("__to", "superseded_by").alias(c) if c == "superseded_by" else F.col(c) for c in held[figures].columns))
+    return {name: own if name == figures else moved(rows) for name, rows in held.items()}
+
+
 def discovered(titles: DataFrame, known: DataFrame, judged: DataFrame, least: int = 3, samples: int = 4) -> DataFrame:
     """Keys that enough different listings name and the catalogue lacks, without those already judged.
 

@@ -402,13 +402,6 @@ def united_names(spark, d):
     return items(spark, d).select("k", F.array_sort(F.transform(names.distinct_names(both), lambda n: F.lower(n))).alias("names"))
 
 
-@query("SELECT figure_id, count(*) AS days, min(day) AS first_day, max(day) AS last_day FROM (SELECT k AS figure_id, i AS day FROM range(50) t(k), range(30) u(i)) GROUP BY ALL")
-def generated_walks(spark, d):
-    """Prices of generated figures: one for each day."""
-    rows = feeds.generated_prices(spark, 50, 30)
-    return rows.groupBy("figure_id").agg(F.count("*").alias("days"), F.min("day").cast("long").alias("first_day"), F.max("day").cast("long").alias("last_day"))
-
-
 @query(f"""WITH {ITEMS} SELECT k AS figure_id, CASE WHEN k % 5 = 0 THEN 'sold' WHEN k % 5 = 1 THEN 'msrp' WHEN k % 5 = 2 THEN 'asking' WHEN k % 5 = 3 THEN 'msrp' END AS basis,
     CASE k % 5 WHEN 0 THEN price WHEN 1 THEN price + 1 WHEN 2 THEN price + 2 WHEN 3 THEN price + 1 END AS amount_usd, CASE k % 5 WHEN 1 THEN false WHEN 3 THEN true END AS reissue FROM items""")
 def value_bases(spark, d):

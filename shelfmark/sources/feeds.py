@@ -10,21 +10,21 @@ from ..functions.semantics import amount
 LISTING = "itemId string, title string, itemWebUrl string, condition string, price struct<value: string, currency: string>, shippingOptions array<struct<shippingCost: struct<value: string>>>, image struct<imageUrl: string>, seller struct<username: string>"
 
 
-def listings_from_json(raw: DataFrame, column: str, url_prefix: str = "https://example.com/itm/") -> DataFrame:
-    """Listings of a marketplace's answers: those without id or title, or a price that is finite and above 0, are dropped."""
-    rows = raw.select(F.from_json(column, LISTING).alias("j")).select("j.*")
+def listings_from_json(raw: DataFrame, column: str, url_prefix: str = "https://example.com/itm/", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Listings of a marketplace's answers: those without id or title, or a price that is finite and above 0, are dropped. keep: columns of raw that stay."""
+    rows = raw.select(*keep, F.from_json(column, LISTING).alias("j")).select(*keep, "j.*")
     price = amount(F.col("price.value"))
     return rows.filter(F.col("itemId").isNotNull() & (F.col("itemId") != "") & F.col("title").isNotNull() & (F.col("title") != "") & (price > 0)).select(
-        F.col("itemId").alias("external_id"), "title", F.coalesce("itemWebUrl", F.concat(F.lit(url_prefix), "itemId")).alias("url"), price.alias("amount"), F.upper(F.coalesce("price.currency", F.lit("USD"))).alias("currency"),
+        *keep, F.col("itemId").alias("external_id"), "title", F.coalesce("itemWebUrl", F.concat(F.lit(url_prefix), "itemId")).alias("url"), price.alias("amount"), F.upper(F.coalesce("price.currency", F.lit("USD"))).alias("currency"),
         F.try_element_at(F.col("shippingOptions"), F.lit(1))["shippingCost"]["value"].try_cast("double").alias("shipping"), "condition", F.col("image.imageUrl").alias("image_url"), F.col("seller.username").alias("seller"),
     )
 
 
-def second_market_items(raw: DataFrame, column: str) -> DataFrame:
-    """Items of a second marketplace: the taxed price before the plain one."""
-    rows = raw.select(F.from_json(column, "gcode string, gname string, price double, c_price_taxed double, thumb_url string, instock_flg int").alias("j")).select("j.*")
+def second_market_items(raw: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of a second marketplace: the taxed price before the plain one. keep: columns of raw that stay."""
+    rows = raw.select(*keep, F.from_json(column, "gcode string, gname string, price double, c_price_taxed double, thumb_url string, instock_flg int").alias("j")).select(*keep, "j.*")
     price = F.coalesce("c_price_taxed", "price")
-    return rows.filter(F.col("gcode").isNotNull() & F.col("gname").isNotNull() & (price > 0)).select(F.col("gcode").alias("external_id"), F.col("gname").alias("title"), price.alias("amount"), F.lit("JPY").alias("currency"), F.col("thumb_url").alias("image_url"), (F.col("instock_flg") == 1).alias("available"))
+    return rows.filter(F.col("gcode").isNotNull() & F.col("gname").isNotNull() & (price > 0)).select(*keep, F.col("gcode").alias("external_id"), F.col("gname").alias("title"), price.alias("amount"), F.lit("JPY").alias("currency"), F.col("thumb_url").alias("image_url"), (F.col("instock_flg") == 1).alias("available"))
 
 
 def rates_from_json(raw: DataFrame, column: str) -> DataFrame:
@@ -67,13 +67,3 @@ def resumed(rows: DataFrame, key: str, cursor, n: int) -> DataFrame:
     before = rows.limit(0) if cursor is None else rows.filter(F.col(key) <= cursor)
     both = after.withColumn("__turn", F.lit(0)).unionByName(before.withColumn("__turn", F.lit(1)))
     return both.orderBy("__turn", key).limit(n).drop("__turn")
-
-
-def generated_prices(spark: SparkSession, n_figures: int, days: int, seed: int = 42) -> DataFrame:
-    """A random walk of prices for each figure, the same for the same seed: figure_id, day, price."""
-    from pyspark.sql import Window as W
-
-    rows = spark.range(n_figures).select(F.col("id").alias("figure_id"), F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
-    unit = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1_000_003)) / 1_000_003
-    step = F.sum((unit("figure_id", "day") - 0.5) * 0.04).over(W.partitionBy("figure_id").orderBy("day"))
-    return rows.select("figure_id", "day", F.round((20 + 280 * unit("figure_id", F.lit(-1))) * F.exp(step), 2).alias("price"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.text import looks_automated
 
@@ -26,36 +26,56 @@ def denied(counts: DataFrame, limit: int) -> DataFrame:
     return counts.withColumn("denied", F.col("n") > limit)
 
 
-def denied_until(events: DataFrame, key: str, at: str, limit: int, minutes: int, late: str = "10 minutes") -> DataFrame:
-    """For each batch and key that goes over the limit of its window: key, until (the window's end).
-
-    The state of a key is its window and count. Once a key is denied, its further events in the window are not counted, and a timer
-    on event time forgets it when the window is over.
-    """
-    width = pd.Timedelta(minutes=minutes)
-
-    def run(name, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (0, 0)
-        found = []
-        for moment in sorted(x for batch in batches for x in batch["at"]):
-            window = int(pd.Timestamp(moment).floor(width).timestamp())
-            if window > start:
-                start, n = window, 0
-            if window == start and n <= limit:
-                n += 1
-                if n > limit:
-                    found.append(pd.Timestamp(start, unit="s") + width)
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (start + minutes * 60) * 1000))
-        if found:
-            yield pd.DataFrame({"key": [name[0]] * len(found), "until": found})
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Denials(StatefulProcessor):
+    """Counts of a key by window. A window is kept until a timer on event time finds it over, so events may come in any order
+    within the watermark; what is denied is told once, when a window's count first exceeds the limit."""
+
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width  # width in milliseconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "window long", "n int")
 
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802  Spark's name
+        windows: dict[int, int] = {}
+        for row in rows:
+            start = int(row["ms"]) // self.width * self.width
+            windows[start] = windows.get(start, 0) + 1
+        for start, more in sorted(windows.items()):
+            there = self.counts.containsKey((start,))
+            n = self.counts.getValue((start,))[0] if there else 0
+            if n > self.limit:  # denied before: nothing more to count
+                continue
+            if not there:
+                self.handle.registerTimer(start + self.width)
+            self.counts.updateValue((start,), (min(n + more, self.limit + 1),))
+            if n + more > self.limit:
+                yield Row(key=key[0], until=start + self.width)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802  Spark's name
+        over = expiredTimerInfo.getExpiryTimeInMs() - self.width
+        if self.counts.containsKey((over,)):
+            self.counts.removeKey((over,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def denied_until(events: DataFrame, key: str, at: str, limit: int, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """Each key and window that goes over the limit: key, until (the window's end). The counts are kept in RocksDB, which the
+    session is set to use."""
+    spark = events.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at")).withWatermark("at", late)
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, until timestamp", "start long, n long", "append", "EventTimeTimeout")
+    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"), F.unix_millis(F.col(at).cast("timestamp")).alias("ms")).withWatermark("at", late)
+    found = rows.groupBy("key").transformWithState(Denials(limit, minutes * 60_000), f"key {kind}, until long", "Append", "EventTime")
+    return found.select("key", F.timestamp_millis("until").alias("until"))
 
 
 def once(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:

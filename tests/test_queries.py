@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from shelfmark.plans import composites, round_trips, rules  # noqa: F401  they add their queries
+from shelfmark.plans import composites, mechanisms, round_trips, rules  # noqa: F401  they add their queries
 from shelfmark.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
