@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,35 +23,35 @@ def upcoming_reissue(printings: DataFrame, now: datetime) -> DataFrame:
     return rows.withColumn("due_at", reissue_due(F.col("release_date"), F.col("precision"), F.col("preorder_closes_at")))
 
 
-FOLDED = ["figure_id", "kind", "label", "release_date", "price", "currency", "jan"]
-
-
 def folded_printings(printings: DataFrame) -> DataFrame:
     """Printings of a figure and kind within 92 days of the first of a run are one; its gaps are filled from later rows.
 
-    Which run a row joins depends on all rows before it, so each figure's few rows are folded in their order.
+    Which run a row joins depends on all rows before it, so the rows of a figure, which are few, are folded in the order of
+    their ids: the state is the array of runs so far. Runs stand by date, those without one last; the first is the original.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        runs: list[dict] = []
-        for row in rows.sort_values("printing_id").to_dict("records"):
-            at = row["release_date"]
-            same = next((r for r in runs if r["kind"] == row["kind"] and pd.notna(at) and pd.notna(r["release_date"]) and abs((pd.Timestamp(r["release_date"]) - pd.Timestamp(at)).days) <= SEPARATE_DAYS), None)
-            if same is None:
-                runs.append({k: None if pd.isna(row[k]) else row[k] for k in FOLDED})
-                continue
-            for k in ("label", "jan"):
-                if same[k] is None and pd.notna(row[k]):
-                    same[k] = row[k]
-            if same["price"] is None and pd.notna(row["price"]):
-                same["price"], same["currency"] = row["price"], row["currency"]
-        runs.sort(key=lambda r: (r["release_date"] is None, r["release_date"] or 0))
-        for i, r in enumerate(runs):
-            r["label"] = "Original" if i == 0 else r["label"] or "Reissue"
-        return pd.DataFrame(runs, columns=FOLDED)
-
-    kind = printings.schema["figure_id"].dataType.simpleString()
-    return printings.groupBy("figure_id").applyInPandas(fold, f"figure_id {kind}, kind string, label string, release_date date, price double, currency string, jan string")
+    row = F.struct("printing_id", "kind", "label", F.col("release_date").cast("date").alias("release_date"), F.col("price").cast("double").alias("price"), "currency", "jan")
+    run = "array<struct<kind:string,label:string,release_date:date,price:double,currency:string,jan:string>>"
+
+    def same(r: Column, x: Column) -> Column:
+        near = F.abs(F.datediff(r["release_date"], x["release_date"])) <= SEPARATE_DAYS
+        return F.coalesce((r["kind"] == x["kind"]) & near, F.lit(False))
+
+    def filled(r: Column, x: Column) -> Column:
+        priced = F.when(r["price"].isNull() & x["price"].isNotNull(), x["currency"]).otherwise(r["currency"])
+        return F.struct(r["kind"].alias("kind"), F.coalesce(r["label"], x["label"]).alias("label"), r["release_date"].alias("release_date"), F.coalesce(r["price"], x["price"]).alias("price"), priced.alias("currency"), F.coalesce(r["jan"], x["jan"]).alias("jan"))
+
+    def step(runs: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(runs, lambda r: same(r, x)), True)  # from 1; 0: none
+        joined = F.transform(runs, lambda r, i: F.when(i + 1 == at, filled(r, x)).otherwise(r))
+        new = F.struct(*(x[c].alias(c) for c in ("kind", "label", "release_date", "price", "currency", "jan")))
+        return F.when(at > 0, joined).otherwise(F.concat(runs, F.array(new)))
+
+    ordered = printings.groupBy("figure_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    runs = ordered.select("figure_id", F.aggregate("rows", F.array().cast(run), step).alias("runs"))
+    keyed = F.transform("runs", lambda r, i: F.struct(r["release_date"].isNull().alias("undated"), r["release_date"].alias("at"), i.alias("i"), r.alias("r")))
+    placed = runs.select("figure_id", F.posexplode(F.array_sort(keyed)).alias("place", "x"))
+    label = F.when(F.col("place") == 0, "Original").otherwise(F.coalesce("x.r.label", F.lit("Reissue")))
+    return placed.select("figure_id", F.col("x.r.kind").alias("kind"), label.alias("label"), F.col("x.r.release_date").alias("release_date"), F.col("x.r.price").alias("price"), F.col("x.r.currency").alias("currency"), F.col("x.r.jan").alias("jan"))
 
 
 def marked_released(figures: DataFrame, now: datetime) -> DataFrame:

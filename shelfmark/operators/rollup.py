@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_before, utc_day
 from ..functions.semantics import half_away, half_up
+from . import medians
 
 CHARTED = ["NEW_SEALED", "USED_COMPLETE"]
 MIN_SCORE, MIN_LISTINGS = 0.72, 3
 
 
-def daily_sold(sales: DataFrame, day: date | None = None) -> DataFrame:
+def daily_sold(sales: DataFrame, day: date | None = None, spread: bool = False) -> DataFrame:
     """Per figure, condition and UTC day: least, median, mean and greatest price, and the number of sales.
 
-    sales: figure_id, condition, amount_usd, sold_at. day: that day alone, so that it prunes the scan.
+    sales: figure_id, condition, amount_usd, sold_at. day: that day alone, so that it prunes the scan. spread: with two
+    passes, in which no task holds all prices of a key (medians); the result is the same.
     """
     rows = sales.filter(F.col("condition").isin(*CHARTED))
     if day is not None:
         rows = rows.filter((F.col("sold_at") >= F.lit(day).cast("timestamp_ntz")) & (F.col("sold_at") < F.date_add(F.lit(day), 1).cast("timestamp_ntz")))
     price = F.col("amount_usd").cast("double")
     mean = F.sum(price.cast("decimal(20,6)")).cast("double") / F.count(price)  # a sum of decimals does not depend on its order
+    if spread:
+        keys = ["figure_id", "condition", "day"]
+        rows = rows.withColumn("day", utc_day(F.col("sold_at")))
+        plain = rows.groupBy(*keys).agg(half_up(F.min(price)).alias("min_usd"), half_up(mean).alias("avg_usd"), half_up(F.max(price)).alias("max_usd"), F.count("*").alias("sample_size"))
+        middle = medians.medians(rows, keys, "amount_usd").select(*(F.col(k).alias(f"of_{k}") for k in keys), half_up(F.col("median")).alias("median_usd"))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys))
+        return plain.join(middle, same, "left").select(*keys, "min_usd", "median_usd", "avg_usd", "max_usd", "sample_size")
     return rows.groupBy("figure_id", "condition", utc_day(F.col("sold_at")).alias("day")).agg(
         half_up(F.min(price)).alias("min_usd"), half_up(F.median(price)).alias("median_usd"), half_up(mean).alias("avg_usd"), half_up(F.max(price)).alias("max_usd"), F.count("*").alias("sample_size")
     )
@@ -52,27 +62,36 @@ def ask_snapshot(listings: DataFrame, day: date) -> DataFrame:
     )
 
 
-def ask_medians(figures: DataFrame, listings: DataFrame) -> DataFrame:
-    """Every figure with its trusted asks' median and number; null and 0 if there are too few."""
-    asks = trusted_asks(listings).groupBy("figure_id").agg(F.median("amount_usd").alias("mid"), F.count("*").alias("n")).filter(F.col("n") >= MIN_LISTINGS)
+def ask_medians(figures: DataFrame, listings: DataFrame, spread: bool = False) -> DataFrame:
+    """Every figure with its trusted asks' median and number; null and 0 if there are too few. spread: as in daily_sold."""
+    asks = trusted_asks(listings)
+    asks = medians.medians(asks, ["figure_id"], "amount_usd", "mid") if spread else asks.groupBy("figure_id").agg(F.median("amount_usd").alias("mid"), F.count("*").alias("n"))
+    asks = asks.filter(F.col("n") >= MIN_LISTINGS)
     return figures.select("figure_id").join(asks, "figure_id", "left").select("figure_id", half_away(F.col("mid")).cast("double").alias("ask_median_usd"), F.coalesce("n", F.lit(0)).alias("ask_listings"))
 
 
-def figure_stats(sales: DataFrame, now: datetime) -> DataFrame:
-    """Market value, change against the 30 days before, and volume, from sealed sales of 90 days, in one pass."""
+def figure_stats(sales: DataFrame, now: datetime, spread: bool = False) -> DataFrame:
+    """Market value, change against the 30 days before, and volume, from sealed sales of 90 days, in one pass, or spread as in daily_sold."""
     price, at = F.col("amount_usd").cast("double"), F.col("sold_at")
     d30, d60, d90 = (days_before(now, d) for d in (30, 60, 90))
     rows = sales.filter((F.col("condition") == "NEW_SEALED") & (at >= d90))
-    stats = rows.groupBy("figure_id").agg(
-        F.median(F.when(at >= d30, price)).alias("current"), F.median(F.when((at >= d60) & (at < d30), price)).alias("prior"), F.median(price).alias("all"), F.count("*").alias("volume_90d")
-    )
+    if spread:
+        spans = F.array_compact(F.array(F.lit("all"), F.when(at >= d30, "current").when(at >= d60, "prior")))
+        each = medians.medians(rows.select("figure_id", price.alias("usd"), F.explode(spans).alias("span")), ["figure_id", "span"], "usd")
+        own = lambda span: F.max(F.when(F.col("span") == span, F.col("median"))).alias(span)
+        volume = rows.groupBy(F.col("figure_id").alias("of")).agg(F.count("*").alias("volume_90d"))
+        stats = each.groupBy("figure_id").agg(own("current"), own("prior"), own("all")).join(volume, F.col("figure_id").eqNullSafe(F.col("of"))).drop("of")
+    else:
+        stats = rows.groupBy("figure_id").agg(
+            F.median(F.when(at >= d30, price)).alias("current"), F.median(F.when((at >= d60) & (at < d30), price)).alias("prior"), F.median(price).alias("all"), F.count("*").alias("volume_90d")
+        )
     change = F.try_divide(F.col("current") - F.col("prior"), F.col("prior")) * 100
     return stats.select("figure_id", half_up(F.coalesce("current", "all")).alias("market_value_usd"), half_up(change).alias("change_30d_pct"), "volume_90d")
 
 
-def with_figure_stats(figures: DataFrame, sales: DataFrame, now: datetime) -> DataFrame:
+def with_figure_stats(figures: DataFrame, sales: DataFrame, now: datetime, spread: bool = False) -> DataFrame:
     """All figures; those without recent sales are cleared."""
-    return figures.select("figure_id").join(figure_stats(sales, now), "figure_id", "left").withColumn("volume_90d", F.coalesce("volume_90d", F.lit(0)))
+    return figures.select("figure_id").join(figure_stats(sales, now, spread), "figure_id", "left").withColumn("volume_90d", F.coalesce("volume_90d", F.lit(0)))
 
 
 def all_time_stats(snapshots: DataFrame, listings: DataFrame) -> DataFrame:

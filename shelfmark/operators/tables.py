@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
 from ..functions.semantics import differs
 
 
@@ -21,27 +22,31 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column] | None =
     """One row of each key: the first by order, and of equals the least by all other columns."""
     rest = [F.col(c) for c in rows.columns if c not in keys]
     by = W.partitionBy(*keys).orderBy(*(order or []), *rest) if order or rest else W.partitionBy(*keys).orderBy(*keys)
-    return rows.withColumn("__i", F.row_number().over(by)).filter("__i = 1").drop("__i")
+    (i,) = unused(rows.columns, "i")
+    return rows.withColumn(i, F.row_number().over(by)).filter(F.col(i) == 1).drop(i)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Rows of both; of a key the one of the greatest version stays, of equal versions the new one. Rows with a null key all stay."""
     (a, a_rest), (b, b_rest) = keyed(old, keys), keyed(new.select(old.columns), keys)
-    both = a.withColumn("__new", F.lit(0)).unionByName(b.withColumn("__new", F.lit(1)))
+    is_new, i = unused(old.columns, "new", "i")
+    both = a.withColumn(is_new, F.lit(0)).unionByName(b.withColumn(is_new, F.lit(1)))
     rest = [F.col(c).desc_nulls_last() for c in old.columns if c not in {*keys, version}]
-    order = W.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.desc("__new"), *rest)
-    kept = both.withColumn("__i", F.row_number().over(order)).filter("__i = 1").drop("__i", "__new")
+    order = W.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.desc(is_new), *rest)
+    kept = both.withColumn(i, F.row_number().over(order)).filter(F.col(i) == 1).drop(i, is_new)
     return kept.unionByName(a_rest).unionByName(b_rest)
 
 
 def upsert_partly(old: DataFrame, new: DataFrame, keys: list[str], changes: list[str]) -> DataFrame:
     """On a known key only the columns in changes are taken from the new row; others keep what was first seen. Of new rows
-    of one key the least counts; rows with a null key all stay."""
+    of one key the least counts (by the other columns in their order, nulls first); old rows of one key, which a keyed table should not
+    have, all stay, each changed alike; rows with a null key all stay."""
     (held, held_rest), (came, came_rest) = keyed(old, keys), keyed(new.select(old.columns), keys)
-    a, b = held.withColumn("__known", F.lit(True)).alias("a"), first_of_each(came, keys).withColumn("__came", F.lit(True)).alias("b")
+    is_old, is_new = unused(old.columns, "known", "came")
+    a, b = held.withColumn(is_old, F.lit(True)).alias("a"), first_of_each(came, keys).withColumn(is_new, F.lit(True)).alias("b")
     on = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
-    known, is_new = F.col("a.__known").isNotNull(), F.col("b.__came").isNotNull()
-    pick = lambda c: F.when(known & (~is_new | F.lit(c not in changes)), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    known, arrived = F.col(f"a.{is_old}").isNotNull(), F.col(f"b.{is_new}").isNotNull()
+    pick = lambda c: F.when(known & (~arrived | F.lit(c not in changes)), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
     return a.join(b, on, "full_outer").select(*(pick(c) for c in old.columns)).unionByName(held_rest).unionByName(came_rest)
 
 
@@ -52,12 +57,16 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def update_from(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """old with columns from new where a key is there, and changed: whether any of them differs."""
-    values = new.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
+    """old with columns from new where a key is there, and changed: whether any of them differs. Of new rows of one key the
+    least counts, so each old row stays one row; a null key is no other row's."""
+    (hit,) = unused([*old.columns, *new.columns], "hit")
+    fresh = dict(zip(columns, unused([*old.columns, *new.columns, hit], *(f"new_{c}" for c in columns)), strict=True))
+    came, _ = keyed(new.select(*keys, *columns), keys)
+    values = first_of_each(came, keys).select(*keys, *(F.col(c).alias(n) for c, n in fresh.items()), F.lit(True).alias(hit))
     joined = old.join(values, keys, "left")
-    hit = F.col("__hit").isNotNull()
-    changed = hit & reduce(lambda a, b: a | b, (differs(F.col(c), F.col(f"__{c}")) for c in columns))
-    return joined.select(*(F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns), changed.alias("changed"))
+    found = F.col(hit).isNotNull()
+    changed = found & reduce(lambda a, b: a | b, (differs(F.col(c), F.col(n)) for c, n in fresh.items()))
+    return joined.select(*(F.when(found, F.col(fresh[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns), changed.alias("changed"))
 
 
 def update_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -72,8 +81,10 @@ def retained(rows: DataFrame, at: str, since: Column) -> DataFrame:
 
 
 def replace_part(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
-    """old with the values of a column that new has replaced whole: rows that new no longer has go."""
-    return old.join(new.select(part).distinct(), part, "left_anti").unionByName(new)
+    """old with the values of a column that new has, null among them, replaced whole: rows that new no longer has go."""
+    (own,) = unused(old.columns, part)
+    parts = new.select(F.col(part).alias(own)).distinct()
+    return old.join(parts, F.col(part).eqNullSafe(F.col(own)), "left_anti").unionByName(new)
 
 
 def zipped(rows: DataFrame, arrays: list[str], keep: list[str]) -> DataFrame:
@@ -83,9 +94,10 @@ def zipped(rows: DataFrame, arrays: list[str], keep: list[str]) -> DataFrame:
 
 def sync_plan(stored: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """Each key with create, update or delist. The caller refuses an empty feed."""
-    a = stored.select(key).distinct().withColumn("__stored", F.lit(1))
-    b = feed.select(key).distinct().withColumn("__feed", F.lit(1))
-    action = F.when(F.col("__stored").isNull(), "create").when(F.col("__feed").isNull(), "delist").otherwise("update")
+    held, fed = unused([key], "stored", "feed")
+    a = stored.select(key).distinct().withColumn(held, F.lit(1))
+    b = feed.select(key).distinct().withColumn(fed, F.lit(1))
+    action = F.when(F.col(held).isNull(), "create").when(F.col(fed).isNull(), "delist").otherwise("update")
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
@@ -100,10 +112,11 @@ def fill_missing(rows: DataFrame, proposed: DataFrame, key: str, fields: dict[st
 
     fields: column to form name.
     """
-    values = proposed.select(key, *(F.col(c).alias(f"__{c}") for c in fields))
+    came = dict(zip(fields, unused([*rows.columns, *proposed.columns], *(f"new_{c}" for c in fields)), strict=True))
+    values = first_of_each(proposed.select(key, *fields), [key]).select(key, *(F.col(c).alias(n) for c, n in came.items()))
     held = F.coalesce(F.col(locks), F.array().cast("array<string>"))
     empty = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    pick = lambda c: F.when(empty(c) & ~F.array_contains(held, fields[c]) & F.col(f"__{c}").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    pick = lambda c: F.when(empty(c) & ~F.array_contains(held, fields[c]) & F.col(came[c]).isNotNull(), F.col(came[c])).otherwise(F.col(c)).alias(c)
     return rows.join(values, key, "left").select(*(pick(c) if c in fields else F.col(c) for c in rows.columns))
 
 
@@ -121,10 +134,11 @@ def write_version(rows: DataFrame, path: str, partition_by: list[str] | None = N
 def planned(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """What turns old into new, to be looked at before it is applied: action (insert, update, delete), the keys, and the new values."""
     values = [c for c in old.columns if c not in keys]
-    a = old.select(*keys, F.struct(*values).alias("__old"), F.lit(True).alias("__held"))
-    b = new.select(*keys, F.struct(*values).alias("__new"), F.lit(True).alias("__came"))
-    action = F.when(F.col("__held").isNull(), "insert").when(F.col("__came").isNull(), "delete").when(differs(F.col("__old"), F.col("__new")), "update")
-    return a.join(b, keys, "full_outer").withColumn("action", action).filter("action IS NOT NULL").select("action", *keys, "__new.*")
+    was, held, comes, came = unused(old.columns, "old", "held", "new", "came")
+    a = old.select(*keys, F.struct(*values).alias(was), F.lit(True).alias(held))
+    b = new.select(*keys, F.struct(*values).alias(comes), F.lit(True).alias(came))
+    action = F.when(F.col(held).isNull(), "insert").when(F.col(came).isNull(), "delete").when(differs(F.col(was), F.col(comes)), "update")
+    return a.join(b, keys, "full_outer").withColumn("action", action).filter("action IS NOT NULL").select("action", *keys, f"{comes}.*")
 
 
 def applied(old: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import fresh_path
-from ..operators import hygiene, pacing
+from ..functions.staging import fresh_path, staged
+from ..operators import hygiene, medians, pacing, refresh, rollup, run_log, search_index
 from ..operators.commits import Store
 from ..sources import demo, feeds, markets
 from . import views as V
-from .queries import half_up, query
+from .queries import ORACLES, half_up, query
+from .views import SALES, STATS
 
 # --- made-up histories: the generator of 32-bit words in SQL, step by step
 
@@ -159,3 +160,96 @@ def paced_calls(spark, d):
     calls = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), size.alias("priority"), F.concat(F.lit("host"), size % 3).alias("host"), (1 + F.col("p_partkey") % 7).alias("seconds"), (1 + size % 3).alias("interval"))
     got = pacing.scheduled(calls, LANES, F.col("priority").desc(), F.col("id"))
     return got.select("id", F.col("seq").cast("long").alias("seq"), *(F.col(c).cast("long").alias(c) for c in ("lane", "starts_at", "ends_at")))
+
+
+# --- search by an index of runs of characters
+
+
+@query(ORACLES["token_search"])
+def indexed_search(spark, d):
+    """What token_search finds, by the postings of the rarest run."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.lower("text").alias("search_text"), F.col("source").alias("name"))
+    index = search_index.build(docs, fresh_path(spark, "index"), "doc_id", [F.col("search_text"), F.lower("name")])
+    return search_index.search(index, docs, "The  ing the", "doc_id").select("doc_id")
+
+
+@query("""WITH w AS (SELECT doc_id, list_max(list_transform(regexp_extract_all(lower(text), '[a-z]{4,12}'), lambda x: {'n': length(x), 'w': x})).w AS longest FROM documents)
+    SELECT w.doc_id AS query_id, t.doc_id AS id FROM w JOIN documents t ON contains(lower(t.text), w.longest) AND contains(lower(t.text), 'the') WHERE w.longest IS NOT NULL""")
+def searched_texts(spark, d):
+    """The longest word of each document, and "the", looked for in all documents at once."""
+    docs = V.table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    index = search_index.build(docs, fresh_path(spark, "index"), "doc_id", [F.col("text")])
+    words = F.transform(F.regexp_extract_all("text", F.lit("[a-z]{4,12}"), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.array_max(words)["w"].alias("w")).filter("w IS NOT NULL")
+    return search_index.searched(index, docs, queries.select("query_id", F.array("w", F.lit("the")).alias("tokens")), "doc_id", [F.col("text")])
+
+
+# --- medians of keys of any size
+
+
+@query(ORACLES["daily_sold_rollup"])
+def daily_sold_spread(spark, d):
+    return rollup.daily_sold(V.brand_sales(spark, d), spread=True)
+
+
+@query(ORACLES["figure_stats_all"])
+def figure_stats_spread(spark, d):
+    return rollup.with_figure_stats(V.figures(spark, d), V.sales(spark, d), V.NOW, spread=True)
+
+
+@query(ORACLES["ask_median_all_figures"])
+def ask_medians_spread(spark, d):
+    return rollup.ask_medians(V.figures(spark, d), V.listings(spark, d), spread=True)
+
+
+@query("SELECT l_returnflag, median(l_extendedprice - 50000) AS median, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'all', median(l_extendedprice - 50000), count(*) FROM lineitem")
+def medians_of_large_keys(spark, d):
+    """Medians of three keys, and of one with all rows; half of the values are below 0."""
+    rows = V.table(spark, d, "lineitem").select(F.explode(F.array("l_returnflag", F.lit("all"))).alias("l_returnflag"), (F.col("l_extendedprice") - 50000).alias("v"))
+    return medians.medians(rows, ["l_returnflag"], "v")
+
+
+# --- a run's log
+
+
+@query("""SELECT event_type AS source, CASE WHEN event_type = 'signup' THEN 'ERROR' ELSE 'SUCCESS' END AS status, CASE WHEN event_type = 'signup' THEN 0 ELSE count(*) END AS n_rows,
+    CASE WHEN event_type <> 'signup' THEN count(*) FILTER (user_id % 2 = 0) END AS even, CASE WHEN event_type = 'signup' THEN 'no names' END AS error FROM events GROUP BY event_type""")
+def observed_runs(spark, d):
+    """A stage for each kind of event: counts come from the writes, and the stage that fails leaves its error."""
+    rows = V.table(spark, d, "events")
+    log = run_log.RunLog(spark)
+    for kind in sorted(r.event_type for r in rows.select("event_type").distinct().collect()):  # the sources of a run, few by their nature
+        own = rows.filter(F.col("event_type") == kind)
+        if kind == "signup":
+            own = own.withColumn("user_id", F.raise_error(F.lit("no names")).cast("long"))
+        log.write(kind, lambda own=own: own, fresh_path(spark, "run"), even=F.col("user_id") % 2 == 0)
+    return log.rows().select("source", "status", "n_rows", F.element_at("counts", "even").alias("even"), "error")
+
+
+# --- what changed is computed anew
+
+MOVED = SALES.replace("l_partkey AS figure_id", "CASE WHEN l_partkey % 10 = 0 THEN l_partkey + 1 ELSE l_partkey END AS figure_id")
+DAILY = ORACLES["daily_sold_rollup"].split("SELECT figure_id, condition, CAST(sold_at AS DATE)", 1)[1]
+
+
+def rematch(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sales before and after a tenth of them was given to another figure."""
+    sales = V.sales(spark, d)
+    moved = F.when(F.col("figure_id") % 10 == 0, F.col("figure_id") + 1).otherwise(F.col("figure_id"))
+    return sales, sales.withColumn("figure_id", moved)
+
+
+@query(f"WITH {MOVED} SELECT figure_id, condition, CAST(sold_at AS DATE){DAILY.replace('brand_sales', 'sales')}")
+def rematched_rollup(spark, d):
+    """Snapshots after a rematch, of which only those of figures and days that it touched are made anew."""
+    before, after = rematch(spark, d)
+    touched = staged(refresh.touched(before, after, ["external_id"]), "touched")
+    return refresh.snapshots(rollup.daily_sold(before), after, touched)
+
+
+@query(f"WITH {MOVED}, {STATS} SELECT p_partkey AS figure_id, market_value_usd, change_30d_pct, coalesce(volume_90d, 0) AS volume_90d FROM part LEFT JOIN stats ON figure_id = p_partkey")
+def rematched_stats(spark, d):
+    """Statistics of all figures after a rematch, of which only those of the figures that it touched are made anew."""
+    before, after = rematch(spark, d)
+    touched = staged(refresh.touched(before, after, ["external_id"]), "touched")
+    return refresh.stats(rollup.with_figure_stats(V.figures(spark, d), before, V.NOW), after, touched, V.NOW)

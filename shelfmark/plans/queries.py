@@ -469,7 +469,7 @@ def upsert_merge(spark, d):
     return tables.upsert(rows.filter("k % 3 <> 0"), new, ["k", "n"], "seen")
 
 
-@query(f"WITH a AS ({SLICE} l_orderkey % 3 <> 0), b AS (SELECT k, n, price + 1 AS price, seen + INTERVAL 1 DAY AS seen FROM ({SLICE} l_orderkey % 3 <> 1)) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, b.n) AS n, CASE WHEN b.k IS NOT NULL THEN b.price ELSE a.price END AS price, coalesce(a.seen, b.seen) AS seen FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n")
+@query(f"WITH a AS ({SLICE} l_orderkey % 3 <> 0), b AS (SELECT k, n, price + 1 AS price, seen + INTERVAL 1 DAY AS seen FROM ({SLICE} l_orderkey % 3 <> 1) QUALIFY row_number() OVER (PARTITION BY k, n ORDER BY price NULLS FIRST, seen NULLS FIRST) = 1) SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, b.n) AS n, CASE WHEN b.k IS NOT NULL THEN b.price ELSE a.price END AS price, coalesce(a.seen, b.seen) AS seen FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n")
 def upsert_partial(spark, d):
     rows = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("seen"))
     new = rows.filter("k % 3 <> 1").withColumn("price", F.col("price") + 1).withColumn("seen", F.col("seen") + F.expr("INTERVAL 1 DAY"))
@@ -524,9 +524,14 @@ def upcoming_reissue(spark, d):
     return lifecycle.upcoming_reissue(rows, datetime(2000, 3, 10)).select("figure_id", "printing_id", "due_at")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT o_custkey AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate) AS i, CASE WHEN o_orderkey % 3 = 0 THEN 'original' ELSE 'reissue' END AS kind, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price FROM orders),
+    r AS (SELECT f, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(kind VARCHAR, d DATE, price DOUBLE)[]) AS runs FROM (SELECT DISTINCT f FROM p) UNION ALL
+          SELECT f, i, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(runs, new) ELSE list_transform(runs, lambda x, k: CASE WHEN k = hit THEN {'kind': x.kind, 'd': x.d, 'price': coalesce(x.price, new.price)} ELSE x END) END
+          FROM (SELECT r.f, p.i, runs, {'kind': p.kind, 'd': p.d, 'price': p.price} AS new, list_position(list_transform(runs, lambda x: x.kind = p.kind AND abs(date_diff('day', x.d, p.d)) <= 92), true) AS hit FROM r JOIN p ON p.f = r.f AND p.i = r.i + 1)),
+    u AS (SELECT f, unnest(runs) AS x, unnest(range(len(runs))) AS k FROM (SELECT f, arg_max(runs, i) AS runs FROM r GROUP BY f))
+    SELECT f AS figure_id, x.kind AS kind, CASE WHEN row_number() OVER (PARTITION BY f ORDER BY x.d, k) = 1 THEN 'Original' ELSE 'Reissue' END AS label, x.d AS release_date, x.price AS price, 'JPY' AS currency, CAST(NULL AS VARCHAR) AS jan FROM u""")
 def printings(spark, d):
-    """Which printings are one depends on the order of all before: tests hold it against plain Python."""
+    """Which printings are one depends on the order of all before: a fold, in SQL a recursion."""
     rows = V.table(spark, d, "orders").select(F.col("o_custkey").alias("figure_id"), F.col("o_orderkey").alias("printing_id"), F.when(F.col("o_orderkey") % 3 == 0, "original").otherwise("reissue").alias("kind"), F.lit(None).cast("string").alias("label"), F.col("o_orderdate").cast("date").alias("release_date"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("price"), F.lit("JPY").alias("currency"), F.lit(None).cast("string").alias("jan"))
     return lifecycle.folded_printings(rows)
 
