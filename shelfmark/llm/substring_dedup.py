@@ -1,16 +1,16 @@
 """Repeated passages by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes sets the cuts, so an insertion moves only
-the cuts near it. A cut stands if no other raw cut lies in the few bytes before it,
-and a stretch without cuts is cut at a fixed length; both rules look at the text
-around a cut alone. White space counts as one blank, however it breaks. Each chunk runs from a cut to the second cut after it, so
-chunks overlap by half. Chunks are deduplicated by digest over the whole corpus:
-a block of documents sends each distinct digest once to the bucket of its value,
-and gets back in how many documents it stands and the first of these. No key is
-hot, however often a passage occurs, and the number of buckets follows from the size of the texts.
-
-Passages do not depend on cuts: every window of ``min_words`` words goes the same way as the
-chunks, and each stretch of windows that stand in two documents, or twice apart in one, is told as
+A gear rolling hash over the last 16 bytes sets the cuts: a cut stands behind the least hash of every ``MOST``
+positions of a text, so an insertion moves only the cuts near it, and no chunk is longer than two spans. White space counts as one
+blank, however it breaks. Each chunk runs from a cut to the second cut after it, so chunks overlap by half. Chunks
+are deduplicated by digest over the whole corpus: a block of documents sends each distinct digest once to the
+bucket of its value, and gets back which stand elsewhere, and in which document first. No key is hot, however often a
+passage occurs, and the number of buckets follows from the size of the texts.
+
+Shared chunks lead to passages. Inside a text that stands twice, all cuts that are a span and a hash away from its ends
+are alike in both places, so all chunks between them are shared. A window of ``min_words`` words is a candidate if all its
+inner chunks are shared; one too short to be sure of an inner chunk is always one, so none is missed. Only candidates are
+compared: their digests go the way of the chunks, and each stretch of windows that stand in two documents, or twice apart in one, is told as
 passages, each of at least ``min_words`` words and whole in the first document of its windows. Where a stretch goes on
 in another first document, or may go on elsewhere in it, a passage ends and the next overlaps it. The first and the
 last word of a window are compared without the punctuation on their outer side. ``deduplicated`` cuts out, or
@@ -19,8 +19,7 @@ masks, all but the first copy of each passage.
 Defined results: null and empty text has no chunks; texts of any length are read whole; repeated rows are two
 documents with one id, and neither is a later copy of the other; ids may have any type with an order, and a null
 id sorts first; what stands in several documents is first in that with the least id; an empty table gives an empty
-table; further columns are left out of ``repeats`` and kept by ``deduplicated``, whatever their names. Input that may give its
-rows in another order when it is read again, as after a shuffle, is staged first.
+table; further columns are left out of ``repeats`` and kept by ``deduplicated``, whatever their names. Texts are staged once, as blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import named, unused
@@ -39,15 +38,17 @@ from .arrow_text import binary_array, coded, digest64, mixed, pack, pieces, plan
 from .byte_bpe import PACKED, pa_type, packed_rows
 from .setsketch import marked, marks_of
 
-#: Bytes that set a cut; bits that are zero at a raw cut; bytes before a cut without another raw one; longest stretch.
-WINDOW, CUT_BITS, LEAST, MOST = 16, 4, 12, 256
+#: Bytes that set a hash; positions of which the least hash is a cut, so that two cuts are at most as far apart.
+WINDOW, MOST = 16, 36
 #: Bytes of text of a block, at most, but for a longer single batch.
 BLOCK_BYTES = 24 << 20
 #: Bytes of text whose digests are in a bucket, at least and at most.
 LEAST_SHARE, MOST_SHARE = 4 << 20, 24 << 20
+#: Bytes of text whose windows a task makes at a time.
+PIECE_BYTES = 4 << 20
 #: A passage has over 50 words.
 MIN_WORDS = 51
-#: Its powers tell apart the places of words in a window.
+#: Its powers tell apart the places of words in a window, and of bytes in a chunk.
 ODD = 0x9E3779B97F4A7C15
 #: What may stand around the first and last word of a passage.
 AROUND = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»“”‘’…–—"
@@ -58,6 +59,17 @@ def gear() -> np.ndarray:
     return (mixed(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def extreme_of(values: np.ndarray, n: int, pick) -> np.ndarray:
+    """What pick, np.minimum or np.maximum, leaves of each n values in a row."""
+    step = 1
+    out = values
+    while step * 2 <= n:
+        out = pick(out[:-step], out[step:])
+        step *= 2
+    k = len(values) - n + 1
+    return pick(out[:k], out[n - step : n - step + k])
+
+
 def cuts_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sorted offsets of all cuts of the texts, with the start and the end of each text that has bytes."""
     if not len(data):
@@ -68,17 +80,16 @@ def cuts_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         older = h[:-w] << np.uint16(w)
         older[into[w:] < w] = 0
         h[w:] = h[w:] + older
-    raw = np.flatnonzero((h >> np.uint16(16 - CUT_BITS)) == 0) + 1
-    # a text's start counts as a cut that does not hold others back
-    near = np.zeros(len(raw), bool)
-    near[1:] = (np.diff(raw) < LEAST) & (into[raw[1:] - 1] >= np.diff(raw))
-    cuts = np.unique(np.concatenate([raw[~near], at]))
-    gaps = np.diff(cuts)
-    long = np.flatnonzero(gaps > MOST)
-    if len(long):
-        more = [np.arange(cuts[i] + MOST, cuts[i + 1], MOST) for i in long]
-        cuts = np.sort(np.concatenate([cuts, *more]))
-    return cuts
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    if len(data) >= MOST:
+        low = extreme_of(h, MOST, np.minimum)
+        low[np.repeat(at[1:], np.diff(at))[: len(low)] < np.arange(len(low)) + MOST] = 0  # spans over the end of a text
+        # a position is the least of a span if it equals the greatest of the least values of all spans with it
+        around = np.zeros(len(data) + MOST - 1, low.dtype)
+        around[MOST - 1 : MOST - 1 + len(low)] = low
+        cut[1:] |= extreme_of(around, MOST, np.maximum) == h
+    return np.flatnonzero(cut)
 
 
 def chunks_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +102,11 @@ def chunks_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def digests_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each chunk: of the digests of its two halves."""
-    cut = binary_array(data, starts, np.append(starts[1:], len(data))[: len(starts)]).dictionary_encode()
-    half = digest64(cut.dictionary.to_pylist())[cut.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
-    two = ends > np.append(starts[1:], len(data))[: len(starts)]
-    after = np.where(two, np.append(half[1:], np.uint64(0))[: len(half)], np.uint64(0x9E3779B97F4A7C15))
-    return mixed(half + mixed(after))
+    """A 64-bit digest of the bytes of each chunk: sums of random values of bytes times powers of an odd number, brought to one place."""
+    power, back = (np.cumprod(np.full(len(data) + 1, b, np.uint64), dtype=np.uint64) for b in (ODD, pow(ODD, -1, 1 << 64)))
+    values = mixed(np.arange(1, 257, dtype=np.uint64))
+    added = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * power[: len(data)], dtype=np.uint64)])
+    return mixed((added[ends] - added[starts]) * back[starts] + mixed((ends - starts).astype(np.uint64)))
 
 
 def evened(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,47 +173,109 @@ def grouped(digests: np.ndarray, docs: np.ndarray, own: np.ndarray, unsure: np.n
 
 
 class Block:
-    """Documents of one part of the input: their ids and hashes, their chunks, and their windows."""
+    """Documents of one part of the input: their ids, hashes and texts."""
 
-    def __init__(self, min_words: int):
-        self.min_words, self.windows = min_words, []
-        self.ids, self.hashes, self.docs, self.digests, self.n, self.bytes = [], [], [], [], 0, 0
+    def __init__(self):
+        self.ids, self.hashes, self.texts, self.sizes, self.bytes = [], [], [], [], 0
 
-    def add(self, ids: pa.Array, hashes: pa.Array, data: np.ndarray, at: np.ndarray, unsure: bool) -> None:
-        even, even_at, _ = evened(data, at)
-        starts, ends, doc = chunks_of(even, even_at)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.docs.append(doc + self.n)
-        self.digests.append(digests_of(even, starts, ends))
-        window, of, begin, end, inner = windows_of(data, at, self.min_words)
-        base = lead[at[:-1]][of] if len(of) else of
-        shaky = again(inner, of) if unsure else np.zeros(len(of), bool)
-        self.windows.append((window, (of + self.n).astype(np.uint32), (lead[begin] - base).astype(np.uint32), (lead[end] - base).astype(np.uint32), shaky))
-        self.ids.append(ids)
-        self.hashes.append(hashes)
-        self.n += len(ids)
+    def add(self, ids: pa.Array, hashes: pa.Array, data: np.ndarray, at: np.ndarray) -> None:
+        self.ids += ids.to_pylist()
+        self.hashes += hashes.to_pylist()
+        self.texts.append(data.tobytes())
+        self.sizes.append(np.diff(at))
         self.bytes += len(data)
 
-    def key(self) -> int:
-        """What its rows are; blocks of equal rows share it."""
-        mark = xxhash.xxh3_64_intdigest(pa.chunked_array(self.hashes).to_numpy().tobytes())
-        return int(np.uint64(mark).astype(np.int64))
-
-    def close(self) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
-        """Its ids, their hashes, its chunks' documents, and the distinct digests with each chunk's number among them."""
-        distinct, number = np.unique(np.concatenate(self.digests), return_inverse=True)
-        return pa.chunked_array(self.ids).to_pylist(), pa.chunked_array(self.hashes).to_pylist(), np.concatenate(self.docs), distinct, number.ravel()
+    def packed(self) -> tuple[int, int, bytes]:
+        """Its row: the key is what its rows are, so blocks of equal rows share it."""
+        key = int(np.uint64(xxhash.xxh3_64_intdigest(np.array(self.hashes, np.int64).tobytes())).astype(np.int64))
+        return key, -1, pack((self.ids, self.hashes, np.concatenate(self.sizes), b"".join(self.texts)))
 
 
-def blocks_of(batches, min_words: int, unsure: bool) -> Iterator[Block]:
-    block = Block(min_words)
+def blocks_of(batches) -> Iterator[pa.RecordBatch]:
+    block = Block()
     for rows, data, at in pieces(batches, "text"):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
-            yield block
-            block = Block(min_words)
-        block.add(rows.column(0), rows.column(2), data, at, unsure)
+            yield packed_rows([block.packed()])
+            block = Block()
+        block.add(rows.column(0), rows.column(2), data, at)
     if block.ids:
-        yield block
+        yield packed_rows([block.packed()])
+
+
+def texts_of(payload: bytes) -> tuple[list, list, list]:
+    """Ids and hashes of a block, and its texts in runs: number of the first, bytes, offsets."""
+    ids, hashes, sizes, body = unpack(payload)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(body, np.uint8)
+    runs, first = [], 0
+    while first < len(ids):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, side="right")) - 1)
+        runs.append((first, data[at[first] : at[last]], at[first : last + 1] - at[first]))
+        first = last
+    return ids, hashes, runs
+
+
+def chunks_of_block(runs: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks of each run (starts, ends), the document of each chunk, the distinct digests, and each chunk's number among them."""
+    placed, docs, digests = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for first, data, at in runs:
+        even, even_at, _ = evened(data, at)
+        starts, ends, doc = chunks_of(even, even_at)
+        placed.append((starts, ends))
+        docs.append(doc + first)
+        digests.append(digests_of(even, starts, ends))
+    distinct, number = np.unique(np.concatenate(digests), return_inverse=True)
+    return placed, np.concatenate(docs), distinct, number.ravel()
+
+
+#: A window of so many bytes, white space evened, has two cuts beside its inner one that its bytes alone set; a run of
+#: chunks inside it may fall short of it by so many.
+SURE, OUTSIDE = 5 * MOST + WINDOW - 3, 4 * MOST + WINDOW - 3
+
+
+def promising(data: np.ndarray, at: np.ndarray, chunks: tuple[np.ndarray, np.ndarray], doc: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    """Which texts may have candidates: those with a run of shared chunks long enough for one of their windows, or with a window too short to be sure of a chunk."""
+    starts, ends = spans_of(~((data == 32) | ((data >= 9) & (data <= 13))), at)
+    out = np.zeros(len(at) - 1, bool)
+    if len(starts) < n:
+        return out
+    of = np.searchsorted(at, starts, side="right") - 1
+    long = np.concatenate([[0], np.cumsum(ends - starts)])
+    i = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
+    size = long[i + n - 1] - long[i + 1] + n - 1  # between the first and the last word
+    least = np.full(len(out), np.iinfo(np.int64).max)
+    np.minimum.at(least, of[i], size)
+    most = np.zeros(len(out), np.int64)
+    a, z = spans_of(shared, np.searchsorted(doc, np.arange(len(out) + 1)))
+    np.maximum.at(most, doc[a], chunks[1][z - 1] - chunks[0][a])
+    return (least < SURE) | ((least < np.iinfo(np.int64).max) & (most >= least - OUTSIDE))
+
+
+def candidates(data: np.ndarray, at: np.ndarray, chunks: tuple[np.ndarray, np.ndarray], shared: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Digest, text, start, end and inner digest, as windows_of tells them, of all windows of the texts that have a candidate,
+    and which are candidates. chunks: starts and ends in the evened texts; shared: whether each stands at another place too."""
+    _, even_at, place = evened(data, at)
+    starts, ends = chunks
+    doc = np.searchsorted(even_at, starts, side="right") - 1
+    some = promising(data, at, chunks, doc, shared, n)
+    number = np.flatnonzero(some)
+    # from here on only these texts, laid end to end
+    kept = np.repeat(some, np.diff(at))
+    gone = np.cumsum(np.where(some, 0, np.diff(at)))
+    own_at = np.concatenate([[0], np.cumsum(np.diff(at)[some])])
+    window, of, begin, end, inner = windows_of(data[kept], own_at, n)
+    of = number[of]
+    begin, end = begin + gone[of], end + gone[of]
+    first, last = np.searchsorted(place, begin), np.searchsorted(place, end - 1) + 1
+    # cuts from here to there are set by bytes of the window alone
+    a = np.searchsorted(starts, first + MOST + WINDOW - 1)
+    z = np.maximum(a, np.searchsorted(ends, last - MOST + 1, side="right"))
+    missing = np.concatenate([[0], np.cumsum(~shared)])
+    hit = missing[z] == missing[a]
+    some = np.zeros(len(at), bool)
+    some[of[hit]] = True
+    kept = some[of]
+    return window[kept], of[kept], begin[kept], end[kept], inner[kept], hit[kept]
 
 
 def plain_ids(ids: list):
@@ -261,13 +333,6 @@ def bucket_cuts(distinct: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, np.array(edges, np.uint64)), len(distinct))
 
 
-def reread(docs: DataFrame) -> DataFrame:
-    """docs if it gives its rows alike each time, as a plain reading of files does, else staged."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    plain = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "Sort", "Window", "Python", "Arrow", "Pandas", "Limit", "rand", "uuid"))
-    return docs if plain else staged(docs, "documents")
-
-
 def first_and_last(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each value stands for the first and for the last time."""
     _, first, back = np.unique(values, return_index=True, return_inverse=True)
@@ -297,33 +362,34 @@ def passages_of(hit: np.ndarray, others: np.ndarray, source: np.ndarray, shaky:
 
 def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """What repeats returns, with the hash of id and text."""
-    source = reread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("hash")))
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
+    source = source.withColumn("bytes", F.octet_length("text"))
+    size = Observation()
+    blocks = staged(source.observe(size, F.coalesce(F.sum("bytes"), F.lit(0)).alias("total")).select("id", "text", "hash").mapInArrow(tidy(blocks_of), PACKED), "blocks")
+    total = size.get["total"]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(1, -(-total // MOST_SHARE), min(partitions, -(-total // LEAST_SHARE)))
+    n_groups = max(1, -(-2 * total // BLOCK_BYTES))  # one task for each block or so, however many there are
     id_type = pa_type(docs.schema[id_col].dataType)
 
-    def digests_out(batches):
-        for block in blocks_of(batches, min_words, True):
-            key = block.key()
-            ids, _, doc, distinct, number = block.close()
-            plain = plain_ids(ids)
-            own = ranks_of(ids, plain)
-            pairs = np.unique(number.astype(np.int64) * block.n + doc)
-            held = np.bincount(pairs // block.n, minlength=len(distinct)).astype(np.uint32)
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(least, pairs // block.n, own[pairs % block.n])
-            cuts = bucket_cuts(distinct, n_buckets)
-            digests, of, _, _, shaky = (np.concatenate(x) for x in zip(*block.windows, strict=True))
-            window, twice, low = grouped(digests, of, own, shaky)
-            places = bucket_cuts(window, n_buckets)
-            for b in range(n_buckets):
-                s, w = slice(cuts[b], cuts[b + 1]), slice(places[b], places[b + 1])
-                if cuts[b] < cuts[b + 1] or places[b] < places[b + 1]:
-                    named = chosen(plain, least[s], low[w] >> 1)
-                    yield packed_rows([(key, b, pack((spread(distinct[s]), coded(held[s]), named, spread(window[w]), np.packbits(twice[w]), np.packbits(low[w] & 1 > 0))))])
-
-    def answers(batches):
+    def chunks_out(batches):
+        for batch in batches:
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                ids, _, runs = texts_of(payload.as_py())
+                _, doc, distinct, number = chunks_of_block(runs)
+                plain = plain_ids(ids)
+                own = ranks_of(ids, plain)
+                pairs = np.unique(number.astype(np.int64) * len(ids) + doc)
+                held = np.bincount(pairs // len(ids), minlength=len(distinct)).astype(np.uint32)
+                twice = np.bincount(number, minlength=len(distinct)) > 1
+                least = np.full(len(distinct), np.iinfo(np.int64).max)
+                np.minimum.at(least, pairs // len(ids), own[pairs % len(ids)])
+                cuts = bucket_cuts(distinct, n_buckets)
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    s = slice(cuts[b], cuts[b + 1])
+                    yield packed_rows([(key, b, pack((spread(distinct[s]), coded(held[s]), np.packbits(twice[s]), chosen(plain, least[s]))))])
+
+    def parts_of(batches, answer):
         got: dict[int, list] = {}
         for batch in batches:
             for key, part, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -331,24 +397,95 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
         for part in sorted(got):
             yield from answer(part, got.pop(part))
 
-    def answer(part: int, rows: list) -> Iterator[pa.RecordBatch]:
-        chunks, held, windows, twice, low, least, names = ([] for _ in range(7))
+    def chunk_answers(batches):
+        yield from parts_of(batches, chunk_answer)
+
+    def chunk_answer(part: int, rows: list) -> Iterator[pa.RecordBatch]:
+        chunks, held, twice, least, names = ([] for _ in range(5))
         for _, payload in rows:
-            a, h, named, w, t, u = unpack(payload)
-            ids, x, y = chosen_back(named)
+            a, h, t, named = unpack(payload)
+            ids, x = chosen_back(named)
             chunks.append(unspread(a))
             held.append(uncoded(h))
-            windows.append(unspread(w))
-            twice.append(np.unpackbits(t, count=len(windows[-1])))
-            low.append((y, np.unpackbits(u, count=len(windows[-1]))))
+            twice.append(np.unpackbits(t, count=len(chunks[-1])))
             least.append(x)
             names.append(ids)
         plain, to = together(names)
         digests, number = np.unique(np.concatenate(chunks), return_inverse=True)
         number = number.ravel()
         many = np.bincount(number, weights=np.concatenate(held), minlength=len(digests)) > 1
+        elsewhere = many | (np.bincount(number, weights=np.concatenate(twice), minlength=len(digests)) > 0)
         first = np.full(len(digests), np.iinfo(np.int64).max)
         np.minimum.at(first, number, np.concatenate([t[x] for t, x in zip(to, least, strict=True)]))
+        i = 0
+        for (key, _), c in zip(rows, chunks, strict=True):
+            mine = number[i : i + len(c)]
+            i += len(c)
+            yield packed_rows([(key, part, pack((len(c), np.packbits(elsewhere[mine]), np.packbits(many[mine]), chosen(plain, first[mine[many[mine]]]))))])
+
+    def led(batches) -> tuple:
+        """A block with the answers to its chunks: how often it came, ids, hashes, ranks of all ids, counts of chunks, and its candidates."""
+        rows: dict[int, bytes] = {}
+        copies = 0
+        for batch in batches:
+            rows |= zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            copies += batch.column(1).to_pylist().count(-1)
+        ids, hashes, runs = texts_of(rows.pop(-1))
+        placed, doc, distinct, number = chunks_of_block(runs)
+        there, many, first, names = [], [], [], []
+        for b in sorted(rows):
+            n, bits, docs_bits, packed_ids = unpack(rows.pop(b))
+            ids_there, x = chosen_back(packed_ids)
+            there.append(np.unpackbits(bits, count=n).astype(bool))
+            many.append(np.unpackbits(docs_bits, count=n).astype(bool))
+            first.append(x)
+            names.append(ids_there)
+        mine = plain_ids(ids)
+        _, to = together([mine, *names])
+        own = to[0][ranks_of(ids, mine)]
+        none = np.zeros(0, bool)
+        there, often = (np.concatenate([none, *x])[number] for x in (there, many))
+        least = np.zeros(len(distinct), np.int64)
+        least[np.concatenate([none, *many])] = np.concatenate([np.zeros(0, np.int64), *(t[x] for t, x in zip(to[1:], first, strict=True))])
+        count = lambda mask: np.bincount(doc[mask], minlength=len(ids))[: len(ids)].astype(np.int64)
+        counts = [count(np.ones(len(doc), bool)), count(often), count(often & (least[number] < own[doc] if len(doc) else often))]
+        windows, at = [], 0
+        for (lead, data, offsets), (starts, ends) in zip(runs, placed, strict=True):
+            window, of, begin, end, inner, hit = candidates(data, offsets, (starts, ends), there[at : at + len(starts)], min_words)
+            at += len(starts)
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            base = points[offsets[:-1]][of] if len(of) else of
+            place = ((points[x] - base).astype(np.uint32) for x in (begin, end))
+            windows.append((window, (of + lead).astype(np.uint32), *place, again(inner, of), hit))
+        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.uint32) for _ in range(3)), none, none)
+        return copies, ids, hashes, counts, tuple(np.concatenate(x) for x in zip(empty, *windows, strict=True))
+
+    def windows_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        key = batches[0].column(0)[0].as_py()
+        copies, ids, _, _, (window, of, _, _, shaky, hit) = led(batches)
+        plain = plain_ids(ids)
+        own = ranks_of(ids, plain)
+        digests, twice, low = grouped(window[hit], of[hit], own, shaky[hit])
+        cuts = bucket_cuts(digests, n_buckets)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            w = slice(cuts[b], cuts[b + 1])
+            row = (key, b, pack((spread(digests[w]), chosen(plain, low[w] >> 1), np.packbits(twice[w]), np.packbits(low[w] & 1 > 0))))
+            yield packed_rows([row] * copies)
+
+    def window_answers(batches):
+        yield from parts_of(batches, window_answer)
+
+    def window_answer(part: int, rows: list) -> Iterator[pa.RecordBatch]:
+        windows, twice, low, names = ([] for _ in range(4))
+        for _, payload in rows:
+            w, named, t, u = unpack(payload)
+            ids, y = chosen_back(named)
+            windows.append(unspread(w))
+            twice.append(np.unpackbits(t, count=len(windows[-1])))
+            low.append((y, np.unpackbits(u, count=len(windows[-1]))))
+            names.append(ids)
+        plain, to = together(names)
         known, place = np.unique(np.concatenate(windows), return_inverse=True)
         place = place.ravel()
         common = np.bincount(place, weights=1 + np.concatenate(twice), minlength=len(known)) > 1
@@ -356,24 +493,21 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
         own = np.concatenate([2 * t[y] + u for t, (y, u) in zip(to, low, strict=True)])
         np.minimum.at(source, place, own)
         shaky = np.bincount(place, weights=own >> 1 == source[place] >> 1, minlength=len(known)) > 1  # the least id in two blocks
-        i = j = 0
-        for (key, _), c, w in zip(rows, chunks, windows, strict=True):
-            mine, at = number[i : i + len(c)], place[j : j + len(w)]
-            i, j = i + len(c), j + len(w)
-            shared, hit = many[mine], common[at]
+        j = 0
+        for (key, _), w in zip(rows, windows, strict=True):
+            at = place[j : j + len(w)]
+            j += len(w)
+            hit = common[at]
             of = source[at[hit]]
-            named = chosen(plain, first[mine[shared]], of >> 1)
-            yield packed_rows([(key, part, pack((len(c), np.packbits(shared), named, len(w), np.packbits(hit), np.packbits((of & 1 > 0) | shaky[at[hit]]))))])
-
-    def layouts_out(batches):
-        for block in blocks_of(batches, min_words, False):
-            ids, hashes, doc, distinct, number = block.close()
-            window, of, begin, end, _ = (np.concatenate(x) for x in zip(*block.windows, strict=True))
-            _, place = np.unique(window, return_inverse=True)
-            place = place.ravel()
-            steps = [coded(np.diff(x, prepend=np.zeros(1, np.uint32))) for x in (of, begin, end)]
-            sizes = coded(np.diff(bucket_cuts(distinct, n_buckets)))
-            yield packed_rows([(block.key(), -1, pack((ids, hashes, sizes, coded(np.diff(doc, prepend=0)), planes(number), planes(place), *steps)))])
+            yield packed_rows([(key, part, pack((len(w), np.packbits(hit), chosen(plain, of >> 1), np.packbits((of & 1 > 0) | shaky[at[hit]]))))])
+
+    def layouts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        key = batches[0].column(0)[0].as_py()
+        copies, ids, hashes, counts, (window, of, begin, end, _, hit) = led(batches)
+        _, place = np.unique(window[hit], return_inverse=True)
+        steps = [coded(np.diff(x, prepend=np.zeros(1, np.uint32))) for x in (of, begin[hit], end[hit])]
+        yield packed_rows([(key, -1, pack((ids, hashes, counts, np.packbits(hit), planes(place.ravel()), *steps)))] * copies)
 
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("first_id", id_type), ("copy", pa.bool_()), ("others", pa.bool_())])
     out_schema = pa.schema([("id", id_type), ("hash", pa.int64()), ("n_chunks", pa.int64()), ("n_shared", pa.int64()), ("n_copied", pa.int64()), ("passages", pa.list_(passage))])
@@ -384,41 +518,40 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
         for batch in batches:
             rows |= zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             copies += batch.column(1).to_pylist().count(-1)
-        if not copies:
-            raise ValueError("the input gave other rows when it was read again")
-        ids, hashes, sizes, doc, number, place, *steps = unpack(rows.pop(-1))
-        n, sizes = len(ids), uncoded(sizes)
-        doc, number, place = np.cumsum(uncoded(doc), dtype=np.uint32).astype(np.int64), unplanes(number), unplanes(place)
-        of, start, end = (np.cumsum(uncoded(x), dtype=np.uint32).astype(np.int64) for x in steps)
-        least, source, unsure, named = [], [], [], []
+        ids, hashes, counts, led_to, place, *steps = unpack(rows.pop(-1))
+        n = len(ids)
+        of, begin, stop = (np.cumsum(uncoded(x), dtype=np.uint32).astype(np.int64) for x in steps)
+        led_to = np.unpackbits(led_to, count=len(of)).astype(bool)
+        distinct, source, unsure, named = [], [], [], []
         for b in sorted(rows):
-            n_chunks, bits, ranks, n_windows, hit, shaky = unpack(rows.pop(b))
-            if n_chunks != sizes[b]:
-                raise ValueError("the input gave other rows when it was read again")
-            names, first, low = chosen_back(ranks)
+            n_windows, bits, ranks, shaky = unpack(rows.pop(b))
+            names, low = chosen_back(ranks)
             named.append(names)
-            bits, hit = np.unpackbits(bits, count=n_chunks).astype(bool), np.unpackbits(hit, count=n_windows).astype(bool)
-            least.append((bits, first))
-            source.append((hit, low))
-            unsure.append((hit, np.unpackbits(shaky, count=int(hit.sum()))))
+            hit = np.unpackbits(bits, count=n_windows).astype(bool)
+            distinct.append(hit)
+            source.append(low)
+            unsure.append(np.unpackbits(shaky, count=int(hit.sum())))
         mine = plain_ids(ids)
         plain, to = together([mine, *named])
         own, to = to[0][ranks_of(ids, mine)], to[1:]
-
-        def spread_out(parts, to=None):
-            out = [np.zeros(len(mask), np.int64) for mask, _ in parts]
-            for k, (mask, values) in enumerate(parts):
-                out[k][mask] = values if to is None else to[k][values]
-            return np.concatenate([np.zeros(0, np.int64), *out])
-
-        many = np.concatenate([np.zeros(0, bool), *(mask for mask, _ in least)])[number]
-        first = spread_out(least, to)[number]
         found: list[list] = [[] for _ in range(n)]
         said = [None, *(plain.tolist() if isinstance(plain, np.ndarray) else plain)]
-        if len(place):
-            hit = np.concatenate([mask for mask, _ in source])[place]
-            from_ = spread_out(source, to)[place]
-            shaky = spread_out(unsure)[place].astype(bool)
+        if led_to.any():
+            known = np.concatenate(distinct)
+            from_, doubt = np.zeros(len(known), np.int64), np.zeros(len(known), bool)
+            from_[known] = np.concatenate([t[x] for t, x in zip(to, source, strict=True)])
+            doubt[known] = np.concatenate(unsure)
+            place = unplanes(place).astype(np.int64)
+
+            def all_windows(values: np.ndarray, rest) -> np.ndarray:
+                out = np.full(len(of), rest, values.dtype) if np.isscalar(rest) else rest.astype(values.dtype)
+                out[led_to] = values
+                return out
+
+            # windows that are no candidates stand nowhere else: each has a place of its own
+            hit, from_, shaky = all_windows(known[place], False), all_windows(from_[place], 0), all_windows(doubt[place], False)
+            start, end = all_windows(begin, 0), all_windows(stop, 0)
+            place = all_windows(place, len(known) + np.arange(len(of)))
             edges = np.append(np.searchsorted(of, np.arange(n)), len(of))
             pairs = np.sort(of * (int(place.max()) + 1) + place)
             twice = pairs[1:][pairs[1:] == pairs[:-1]] // (int(place.max()) + 1)
@@ -434,18 +567,20 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
                         "start": int(start[k]), "end": int(end[a + y - 1]), "words": y - x - 1 + min_words, "first_id": ids[d] if inner[x] else said[from_[k]],
                         "copy": bool(later[x] if inner[x] else True), "others": bool(others[x]),
                     })
-        count = lambda mask: pa.array(np.bincount(doc[mask], minlength=n)[:n].astype(np.int64))
-        counts = [count(np.ones(len(doc), bool)), count(many), count(many & (first < own[doc] if len(doc) else many))]
         for _ in range(copies):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hashes, pa.int64()), *counts, pa.array(found, pa.list_(passage))], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(hashes, pa.int64()), *map(pa.array, counts), pa.array(found, pa.list_(passage))], schema=out_schema)
+
+    def by_key(rows: DataFrame, run, ddl: str) -> DataFrame:
+        return rows.select("key", "part", "payload").repartition(n_groups, "key").groupBy("key").applyInArrow(run, ddl)
 
-    shared = source.mapInArrow(tidy(digests_out), PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(answers), PACKED)
-    sent = shared.unionByName(source.mapInArrow(tidy(layouts_out), PACKED)).select("key", "part", "payload")
+    answered = blocks.mapInArrow(tidy(chunks_out), PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(chunk_answers), PACKED)
+    with_answers = answered.unionByName(blocks)
+    compared = by_key(with_answers, windows_out, PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(window_answers), PACKED)
     ddl = docs.schema[id_col].dataType.simpleString()
-    # one task for each block or so, however many there are
-    return sent.repartition(max(1, -(-2 * total // BLOCK_BYTES)), "key").groupBy("key").applyInArrow(
-        reassemble, f"id {ddl}, hash long, n_chunks long, n_shared long, n_copied long, passages array<struct<start: long, end: long, words: long, first_id: {ddl}, copy: boolean, others: boolean>>"
-    )
+    return by_key(
+        compared.unionByName(by_key(with_answers, layouts_out, PACKED)), reassemble,
+        f"id {ddl}, hash long, n_chunks long, n_shared long, n_copied long, passages array<struct<start: long, end: long, words: long, first_id: {ddl}, copy: boolean, others: boolean>>",
+    )
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -177,3 +177,73 @@ def test_deduplicated_keeps_the_first_copy_of_each(spark):
     }
     again = S.deduplicated(got)
     assert {r.doc_id: r.text for r in again.collect()} == {r.doc_id: r.text for r in got.collect()}
+
+
+def run_of(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
+def test_every_window_that_stands_twice_is_a_candidate_and_few_others_are():
+    rng = random.Random(21)
+    short = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    texts, twice = [], {}
+    for k in range(120):
+        shared = (short if k % 2 else lambda n: words(rng, n))(51)
+        for j in range(2):
+            lead = words(rng, rng.randint(0, 60))
+            texts.append(f"{lead}  {'(' * j}{shared}{',' * j}\n{words(rng, rng.randint(0, 60))}".strip())
+            twice[2 * k + j] = len(lead.split())
+    data, at = run_of(texts)
+    even, even_at, _ = S.evened(data, at)
+    starts, ends, _ = S.chunks_of(even, even_at)
+    digests = S.digests_of(even, starts, ends)
+    _, number, often = np.unique(digests, return_inverse=True, return_counts=True)
+    window, of, _, _, _, hit = S.candidates(data, at, (starts, ends), often[number.ravel()] > 1, 51)
+    nth = np.arange(len(of)) - np.searchsorted(of, of)
+    for d, i in twice.items():
+        assert hit[(of == d) & (nth == i)].tolist() == [True], d
+    sizes = [len(t) for t in texts]
+    assert hit.sum() < 0.2 * len(hit) and len(hit) < sum(sizes)
+    none = S.candidates(data, at, (starts, ends), np.zeros(len(starts), bool), 51)
+    assert none[-1].sum() < hit.sum()  # those too short to be sure of a chunk
+
+
+def test_passages_come_through_the_digests_of_chunks(spark, monkeypatch):
+    rng = random.Random(22)
+    shared = [words(rng, 60) for _ in range(10)]
+    rows = [(2 * k + j, f"{words(rng, 40)} {x} {words(rng, 40)}") for k, x in enumerate(shared) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda: {r.doc_id: [tuple(p) for p in r.passages] for r in S.repeats(docs).collect()}
+    plain = found()
+    assert all(len(p) == 1 for p in plain.values())
+    mixed = S.mixed
+    monkeypatch.setattr(S, "digests_of", lambda data, starts, ends: mixed(starts.astype(np.uint64) + np.uint64(int(data[:64].astype(np.uint64).sum()) << 32)))
+    assert not any(found().values())  # digests that say nothing of the chunks lead nowhere
+    monkeypatch.setattr(S, "digests_of", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    assert found() == plain  # and if all are one, all windows are compared: that costs work, never rows
+
+
+def test_query_spans_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    held = {}
+    for d, t in texts.items():
+        w = t.split()
+        for i in range(len(w) - 50):
+            held.setdefault(bare(w[i : i + 51]), set()).add(d)
+    covered = {}
+    for r in op7_substring_dedup(spark, folder).collect():
+        a, z = map(int, r.span.split(":"))
+        said = bare(texts[r.doc_id][a:z].split())
+        source = texts[r.first_doc_id].split()
+        assert len(said) == r.words >= 51
+        assert any(bare(source[i : i + r.words]) == said for i in range(len(source) - r.words + 1))
+        assert r.first_doc_id <= r.doc_id and (r.is_copy or r.first_doc_id == r.doc_id)
+        spots = [m.span() for m in re.finditer(r"[^ \t-\r]+", texts[r.doc_id])]
+        covered.setdefault(r.doc_id, set()).update(k for k, (x, y) in enumerate(spots) if y > a and x < z)
+    for d, t in texts.items():
+        w = t.split()
+        want = {k for i in range(len(w) - 50) if len(held[bare(w[i : i + 51])]) > 1 for k in range(i, i + 51)}
+        assert covered.get(d, set()) == want, d
+    assert len(covered) > 10
