@@ -4,7 +4,9 @@ Words that look disguised (signs or digits among letters, repeated letters, lett
 restored: each sign stands for some letters at a cost, marks may be dropped, repeats may
 collapse, and Viterbi decoding picks the likeliest path under a trigram model of characters
 counted over the whole corpus. Three or more letters, signs or marks in a row that stand alone
-between blanks are one lattice, in which each blank is dropped or parts two words.
+between blanks are one lattice, in which each blank is dropped or parts two words. Neighbouring parts that make up a weighted word
+are read as one where the model of characters, with a bonus for a known word, finds this likelier. Before all, characters
+of format are dropped, forms of other widths folded, and letters that look like Latin ones read as these where no other letters stand by them.
 Restored words, and their prefixes, are looked up in weights learnt from labels; what the weights
 of a document's words come to, in all and by length, goes through a fitted logistic curve.
 
@@ -12,7 +14,8 @@ A weight is the log ratio of a feature's rates in toxic and other texts, shrunke
 standard error, so that weak evidence keeps a weak weight. The classifier is fitted on at most
 ``sample`` labelled rows, those with the least hashes of their ids; the curve is fitted on each half of
 them scored with the weights of the other half. The weights, bounded by the sample alone, and the character
-counts, at most 28 ** 3 over all documents, are on the driver.
+counts, at most 28 ** 3 over all documents, are on the driver. Each half has its share of either label; with fewer than
+``SUPPORT`` toxic rows in a half, or no other ones, the curve is fitted on all rows with the weights of all.
 
 Defined results: null and empty texts get the score of a text without any weighted
 word; texts and words of any length are read whole; without usable labels all scores are 0; a document
@@ -26,13 +29,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +64,25 @@ MARKS = ".-_*~'`^:/\\ "
 #: Costs in nats: a sign for a letter, a dropped mark, a collapsed repeat.
 SIGN, MARK, REPEAT = 1.5, 0.7, 0.7
 
+#: What a known word is likelier than its characters say, in nats, when parts make it up; letters it has at least.
+KNOWN_WORD, LEAST_LETTERS = 4.0, 4
+
+# Letters of other scripts and the Latin ones that they look like.
+LOOKS_LIKE = dict(zip("авсдԁеһіјкмոорԛгѕтυսѵѡхуzАВСЕНІЈКМОРЅТХУΑΒΕΖΗΙΚΜΝΟΡΤΥΧαειορτυχνκ", "abcddehijkmnopqrstuuvwxyzABCEHIJKMOPSTXYABEZHIKMNOPTYXaeioptuxvk", strict=True))
+
 EDGE, ALIEN, SYMBOLS = 26, 27, 28
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "@$!") + "¡¿«»“”‘’…–—"
 
 
+def folded(word: str) -> str:
+    """A word without characters of format, in plain widths, its look-alike letters as Latin ones if all its letters are or look Latin."""
+    if word.isascii():
+        return word
+    word = unicodedata.normalize("NFKC", "".join(c for c in word if unicodedata.category(c) != "Cf"))
+    latin = "".join(LOOKS_LIKE.get(c, c) for c in word)
+    return latin if latin != word and all(not c.isalpha() or ord(c) < 0x250 for c in latin) else word
+
+
 def symbols() -> np.ndarray:
     """The symbol of each code point: 0-25 for letters with or without accents, EDGE for white space, ALIEN for others."""
 
@@ -267,7 +287,7 @@ class Words:
         coded = binary_array(data, starts, ends).dictionary_encode()
         self.code = coded.indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(at, starts, side="right") - 1
-        self.plain = [w.decode() for w in coded.dictionary.to_pylist()]
+        self.plain = [folded(w.decode()) for w in coded.dictionary.to_pylist()]
         easy = plainly_read(coded.dictionary).tolist()
         self.read = [w.lower() if e else reading(w, costs, known) for w, e in zip(self.plain, easy, strict=True)]
         units = ["" if e and len(w) > 1 else unit(w, bare(w)) if len(w) == 1 or r[1:] == "" else "" for w, r, e in zip(self.plain, self.read, easy, strict=True)]
@@ -301,18 +321,63 @@ class Model:
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
+    @cached_property
+    def parts(self) -> tuple[set[str], set[str], set[str]]:
+        """Whole words with a weight, what begins one, and what stands further on in one."""
+        whole = {w for w in self.weights if not w.endswith("-") and len(w) >= LEAST_LETTERS}
+        starts = {w[:k] for w in whole for k in range(1, len(w))}
+        return whole, starts, {w[a:z] for w in whole for a in range(1, len(w)) for z in range(a + 1, len(w) + 1)}
+
+    def cost(self, text: str) -> float:
+        x, y, total = EDGE, EDGE, 0.0
+        for c in f"{text} ":
+            z = symbol(c)
+            total += self.costs[x][y][z]
+            x, y = y, z
+        return total
+
+    def joined(self, read: Sequence[str], i: int) -> int:
+        """Where the parts from i on that are read as one weighted word end, or i."""
+        whole, starts, _ = self.parts
+        said, j = read[i], i + 1
+        while j < len(read) and said in starts:
+            said, j = said + read[j], j + 1
+            if said in whole and any(len(x) > 1 for x in read[i:j]):  # lone letters are read together before
+                if self.cost(said) + MARK * (j - i - 1) - KNOWN_WORD <= self.cost(" ".join(read[i:j])):
+                    return j
+        return i
+
+    def rejoined(self, words: Words) -> list[tuple[int, str]]:
+        """Texts and the words in them that stand in parts."""
+        whole, starts, inside = self.parts
+        if not whole or len(words.code) < 2:
+            return []
+        read = words.read[: len(words.plain)]
+        first, then = (np.array([r in known for r in read], bool) for known in (starts, inside))
+        at = np.flatnonzero(first[words.code[:-1]] & then[words.code[1:]] & (words.doc[:-1] == words.doc[1:]))
+        ends = np.searchsorted(words.doc, words.doc[at], side="right")
+        out = []
+        for i, z in zip(at.tolist(), ends.tolist(), strict=True):
+            # a word of n letters has n parts at most
+            near = [read[k] for k in words.code[i : min(z, i + max(map(len, whole)))].tolist()]
+            if (j := self.joined(near, 0)) > 0:
+                out.append((int(words.doc[i]), "".join(near[:j])))
+        return out
+
     def sums(self, words: Words, n_docs: int) -> np.ndarray:
         """For each text what its weighted readings come to by a hundred words, and the logarithm of what they come to in
         all. A reading that stands n times counts log2(1 + n) times."""
         known: dict[str, int] = {}
         number = np.array([known.setdefault(w, len(known)) for w in words.read], np.int64)
+        more = [(d, known.setdefault(w, len(known))) for d, w in self.rejoined(words)]
         heads = {f[:3] for f in self.weights}  # all features of a word begin as it does
         weights = np.array([self.weight(w) if w[:3] in heads else 0.0 for w in known], float)
         if not len(weights):
             return np.zeros((n_docs, 2))
-        code = number[words.code_all]
+        code = np.concatenate([number[words.code_all], np.array([k for _, k in more], np.int64)])
+        doc = np.concatenate([words.doc_all, np.array([d for d, _ in more], np.int64)])
         held = weights[code] != 0
-        pairs, often = np.unique(words.doc_all[held] * len(weights) + code[held], return_counts=True)
+        pairs, often = np.unique(doc[held] * len(weights) + code[held], return_counts=True)
         total = np.bincount(pairs // len(weights), weights=weights[pairs % len(weights)] * np.log2(1 + often), minlength=n_docs)
         length = np.bincount(words.doc, minlength=n_docs)
         return np.stack([100 * total / (length + FEW), np.log1p(total)], 1)
@@ -375,7 +440,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     costs = model.costs.tolist()
     chosen = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("label")).dropna()
     chosen = chosen.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    turn = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id", F.lit(1)), "id"))  # sample rows at most
+    chosen = chosen.select("id", "label", (turn % 2).cast("int").alias("half"))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "id").select("text", "label", "half")
     rows = staged(rows.repartition(max(1, sample // 500)), "labelled")  # a bounded sample, read several times
@@ -393,10 +460,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             np.add.at(n, (batch.column(2).to_numpy(), batch.column(1).to_numpy()), own)
         yield pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1], pa.int32()), pa.array([0, 1, 0, 1], pa.int32()), pa.array(n.ravel())], names=["half", "label", "n"])
 
-    kinds = {(r.half, r.label) for r in rows.select("half", "label").distinct().collect()}
-    if len(kinds) < 4:
+    kinds = {(r.half, r.label): r["count"] for r in rows.groupBy("half", "label").count().collect()}
+    if {label for _, label in kinds} != {0, 1}:
         return model
-    n = {(r.half, r.label): r.n for r in rows.mapInArrow(tidy(lengths), "half int, label int, n long").groupBy("half", "label").agg(F.sum("n").alias("n")).collect()}
+    apart = all(kinds.get((half, label), 0) >= (SUPPORT if label else 1) for half in (0, 1) for label in (0, 1))
+    n = defaultdict(int) | {(r.half, r.label): r.n for r in rows.mapInArrow(tidy(lengths), "half int, label int, n long").groupBy("half", "label").agg(F.sum("n").alias("n")).collect()}
     table = rows.mapInArrow(tidy(counts), ", ".join(["feature string", *(f"{c} long" for c in COUNTS)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
     table = table.filter(F.col("docs0") + F.col("docs1") >= SUPPORT)
 
@@ -406,7 +474,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.when(held >= SUPPORT, shrunken(yes / UNIT, no / UNIT, n_yes, n_no)).otherwise(0.0)
 
     # each half is scored with the weights of the other, so the curve is fitted on sums as new texts have them
-    table = table.select("feature", weight(0, 1).alias("both"), weight(1).alias("half0"), weight(0).alias("half1"))
+    table = table.select("feature", weight(0, 1).alias("both"), weight(*(1,) if apart else (0, 1)).alias("half0"), weight(*(0,) if apart else (0, 1)).alias("half1"))
     kept = table.filter("both > 0 OR half0 > 0 OR half1 > 0").collect()
     model.weights, *crossed = ({r.feature: r[c] for r in kept if r[c] > 0} for c in ("both", "half0", "half1"))
     crossed = [Model(model.costs, w) for w in crossed]
@@ -450,9 +518,11 @@ def filtered(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
     return mapped(docs, run, docs.schema)
 
 
-def restored_text(text: str, costs) -> str:
+def restored_text(text: str, costs, model: Model | None = None) -> str:
     tokens = list(re.finditer(r"\S+", text))
-    units = [unit(m[0], bare(m[0])) for m in tokens]
+    plain = [folded(m[0]) for m in tokens]
+    units = [unit(w, bare(w)) for w in plain]
+    read = [reading(w, costs) for w in plain] if model and model.weights else []
     out, at, i = [], 0, 0
     while i < len(tokens):
         j = i
@@ -460,8 +530,10 @@ def restored_text(text: str, costs) -> str:
             j += 1
         if set_apart(units[i:j]):
             said = " ".join(decode_apart(units[i:j], costs))
+        elif read and (j := model.joined(read, i)) > i:
+            said = "".join(read[i:j])
         else:
-            j, word = i + 1, tokens[i][0]
+            j, word = i + 1, plain[i]
             said = reading(word, costs) if suspicious(bare(word)) else word
         out += [text[at : tokens[i].start()], said]
         at, i = tokens[j - 1].end(), j
@@ -477,7 +549,7 @@ def restored(docs: DataFrame, model: Model, text_col: str = "text", restored_col
     def run(batches):
         costs = model.costs.tolist()
         for batch in batches:
-            out = [None if text is None else restored_text(text, costs) for text in batch.column(len(kept)).to_pylist()]
+            out = [None if text is None else restored_text(text, costs, model) for text in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "out"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(restored_col, T.StringType())])

@@ -179,3 +179,46 @@ def test_words_read_plainly_are_read_as_all_are(english):
     easy = T.plainly_read(pa.array([w.encode() for w in words], pa.binary())).tolist()
     assert easy == [True, False, False, True, True, False, False, False, False, True, False]
     assert all(T.reading(w, english) == w.lower() for w, e in zip(words, easy, strict=True) if e)
+
+
+def toxic_corpus(rng, bad, n=400):
+    plain = ["the", "and", "of", "thing", "other", "there", "with", "have", "this", "from", "idea", "lesson", "stone", "most"]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(plain) for _ in range(30)]
+        if i % 4 == 0:
+            words[5:5] = rng.sample(bad, 2)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_each_form_of_a_word_scores_as_the_plain_one(spark):
+    rng = random.Random(7)
+    rows, labels = toxic_corpus(rng, ["loser", "idiot", "stupid", "moron"])
+    wide = lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w)
+    forms = {"idiot": ["idiot", "1d10t", "i d i o t", "i.d.i.o.t", "idiooot", "idi ot", "id iot", "i diot", "idio t", "id i ot", "id­iot", "i​di⁠ot", wide("idiot"), "іdіоt", "ідіоt", "IDIOT!", "1di ot"],
+             "stupid": ["stupid", "stu pid", "st upid", "stup id", "ѕtuріd", "s‍tupid", wide("Stupid"), "stupi d", "$tup1d", "st*pid"]}
+    around = "the thing and other of {} this from there with idea"
+    made = [(f"{w}-{k}", around.format(form)) for w, held in forms.items() for k, form in enumerate(held)]
+    clean = ["idi", "ot", "stu", "iot the id", "the idea of most", "привет мир", "ｔｈｉｎｇ", "id and iot", "pid stu", "​", "­ ​"]
+    docs = spark.createDataFrame([*((str(i), t) for i, t in rows), *made, *((f"clean-{k}", around.format(c)) for k, c in enumerate(clean))], "doc_id string, text string")
+    model = T.fit(docs, spark.createDataFrame([(str(i), y) for i, y in labels], "doc_id string, toxic int"))
+    got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+    for w, held in forms.items():
+        for k, form in enumerate(held):
+            assert abs(got[f"{w}-{k}"] - got[f"{w}-0"]) < 0.05 and got[f"{w}-{k}"] > 0.5, form
+    assert max(got[f"clean-{k}"] for k in range(len(clean))) < 0.3
+    said = {r.doc_id: r.restored for r in T.restored(docs.filter("doc_id LIKE 'idiot-%'"), model).collect()}
+    assert set(said.values()) == {around.format("idiot"), around.format("IDIOT!")}
+
+
+def test_few_labels_of_a_kind_still_make_a_model(spark):
+    for salt in range(6):
+        rows = [(f"{salt}-{i}", "you loser and idiot of the other thing" if i < 2 else "the other thing and this of idea") for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id string, text string")
+        model = T.fit(docs, spark.createDataFrame([(r[0], int(i < 2)) for i, r in enumerate(rows)], "doc_id string, toxic int"))
+        got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+        assert min(got[f"{salt}-0"], got[f"{salt}-1"]) > 0.3 > max(got[f"{salt}-{i}"] for i in range(2, 40))
+    one = T.fit(docs, spark.createDataFrame([(r[0], 1) for r in rows], "doc_id string, toxic int"))
+    assert {r.score for r in T.score(docs, one).collect()} == {0.0}
