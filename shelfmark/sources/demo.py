@@ -23,12 +23,18 @@ def _times(a: Column, b: Column) -> Column:
     return ((a.bitwiseAND(0xFFFF) * b) + F.shiftleft((F.shiftright(a, 16) * b.bitwiseAND(0xFFFF)).bitwiseAND(0xFFFF), 16)).bitwiseAND(MASK)
 
 
+def let(value: Column, use) -> Column:
+    """What use makes of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def draw(seed: Column, n: Column) -> Column:
     """The n-th number of a seed, n from 1: at least 0 and less than 1."""
-    s = (seed.cast("long").bitwiseAND(MASK) + n.cast("long") * STEP).bitwiseAND(MASK)
-    t = _times(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(1))
-    t = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK).bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(float(1 << 32))
+    state = (seed.cast("long").bitwiseAND(MASK) + n.cast("long") * STEP).bitwiseAND(MASK)
+    first = lambda s: _times(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(1))
+    second = lambda t: (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK).bitwiseXOR(t)
+    mixed = let(let(let(state, first), second), lambda t: t.bitwiseXOR(F.shiftright(t, 14)))
+    return mixed / F.lit(float(1 << 32))
 
 
 def walks(figures: DataFrame, days: int) -> DataFrame:
@@ -50,11 +56,13 @@ def daily_sales(base: Column, seed: Column, drawn: Column) -> Column:
 
 def counted(figures: DataFrame, days: int) -> DataFrame:
     """figures with walk, and drawn: how many draws come before each day and condition, and after the last one."""
-    last = lambda x: F.element_at(x, -1)
-    base = lambda k: F.get(F.col("walk"), (k / 2).cast("int"))
-    taken = lambda x, k: last(x) + 1 + daily_sales(base(k), F.col("seed"), last(x))
-    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(2 * days - 1)), F.array(F.lit(days).cast("long")), lambda x, k: F.concat(x, F.array(taken(x, k))))
-    return walks(figures, days).withColumn("drawn", drawn)
+    last = lambda x: F.element_at(x["drawn"], -1)
+    base = lambda x, k: F.get(x["walk"], (k / 2).cast("int"))
+    taken = lambda x, k: last(x) + 1 + daily_sales(base(x, k), F.col("seed"), last(x))
+    # the walk goes along in the state, so that it is made once and not at each step
+    start = F.struct(F.col("walk"), F.array(F.lit(days).cast("long")).alias("drawn"))
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(2 * days - 1)), start, lambda x, k: F.struct(x["walk"].alias("walk"), F.concat(x["drawn"], F.array(taken(x, k))).alias("drawn")))
+    return walks(figures, days).withColumn("drawn", state["drawn"])
 
 
 def sales(figures: DataFrame, days: int) -> DataFrame:
@@ -81,7 +89,8 @@ def snapshots(sold: DataFrame) -> DataFrame:
 
 def asks(figures: DataFrame, days: int) -> DataFrame:
     """Two to five live asks of each figure, above its market value: figure_id, k, condition, amount_usd."""
-    rows = counted(figures, days).select("figure_id", "seed", "market_usd", F.element_at("drawn", -1).alias("before"))
+    # the rows of a lone array, so that the count of draws is made once
+    rows = counted(figures, days).select("figure_id", "seed", "market_usd", F.explode(F.array(F.element_at("drawn", -1))).alias("before"))
     n = 2 + F.floor(draw(F.col("seed"), F.col("before") + 1) * 4)
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     markup = 1.05 + draw(F.col("seed"), F.col("before") + 2 + F.col("k")) * 0.35
