@@ -19,11 +19,12 @@ B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 # Words that say nothing in titles, and words that mean others.
-STOPWORDS = """
-    figure figures anime authentic genuine new sealed used japan japanese import from with and the for ver
-    version official original pvc statue collection collectible us seller shipping free fs nib misb brand in box
-    preorder pre order limited edition bonus tracking by action toy model scale stock ship ships item no
-""".split()
+STOPWORDS = [
+    "figure", "figures", "anime", "authentic", "genuine", "new", "sealed", "used", "japan", "japanese", "import", "from", "with", "and", "the", "for",
+    "ver", "version", "official", "original", "pvc", "statue", "collection", "collectible", "us", "seller", "shipping", "free", "fs", "nib", "misb",
+    "brand", "in", "box", "preorder", "pre", "order", "limited", "edition", "bonus", "tracking", "by", "action", "toy", "model", "scale", "stock", "ship",
+    "ships", "item", "no",
+]
 SYNONYMS = {
     "swimwear": "swimsuit", "bathingsuit": "swimsuit", "nendo": "nendoroid", "bridal": "wedding", "xmas": "christmas",
     "qipao": "cheongsam", "chinadress": "cheongsam", "plushie": "plush", "plushies": "plush", "ichibankuji": "ichiban",
@@ -207,8 +208,13 @@ UNOFFICIAL = r"3\s?d[-\s]?print(?:ed|ing)?|hand[-\s]?made|various\s+sizes|made[-
 PARTS_ONLY = r"(?:replace?me?n?t|spare)\s+(?:parts?|weapons?|swords?|hands?|heads?|faces?)|parts?\s+only"
 PARTS_WITH = r"(?:with|w\/|includes?|including|no|without)\s+(?:\w+\s+){0,3}(?:replace?me?n?t|spare)|(?:replace?me?n?t|spare)\s+(?:\w+\s+)?parts?\s+(?:included|incl)"
 NSFW = {"cast-off": r"cast[- ]?off", "nude": "nude", "r18": "R-?18", "adult-only": "adult only", "b-style": "B-?style", "bunny": "bunny (?:ver|suit|girl)"}
-NON_FIGURE = "shirt tshirt tee hoodie keychain keyring poster standee badge mousepad tapestry wallscroll doujinshi artbook soundtrack dakimakura pillowcase mug tumbler coaster tote calendar lanyard".split()
-BONUS_BEFORE = "with includes including inc plus bonus free and w".split()
+NON_FIGURE = [
+    "shirt", "tshirt", "tee", "hoodie", "keychain", "keyring", "poster", "standee", "badge", "mousepad", "tapestry", "wallscroll", "doujinshi", "artbook",
+    "soundtrack", "dakimakura", "pillowcase", "mug", "tumbler", "coaster", "tote", "calendar", "lanyard",
+]
+BONUS_BEFORE = [
+    "with", "includes", "including", "inc", "plus", "bonus", "free", "and", "w",
+]
 MULTIPACK = ["surprise", "blindbox", "gashapon", "bundle", "lot"]
 MULTIPACK_PATTERN = rf"{B}(?:set|box|pack|lot)\s+of\s+[0-9]+{B}|{B}[0-9]+\s*(?:pcs|pieces){B}"
 NON_FIGURE_PHRASES = ["nendoroid more", "exchange face", "face plate", "accessory set", "parts only", "for parts", "display case", "acrylic stand", "set or single", "or singles", "singles or set", "your choice", "pick one", "choose one"]

@@ -44,8 +44,12 @@ def moderation_queue(submissions: DataFrame, k: int = 50) -> DataFrame:
     return submissions.filter(F.col("status") == "PENDING_REVIEW").orderBy("created_at", "submission_id").limit(k)
 
 
+def candidate_order() -> list[Column]:
+    return [F.col("number").desc_nulls_last(), F.desc("listings"), F.col("first_seen"), F.col("key")]
+
+
 def candidate_queue(candidates: DataFrame) -> DataFrame:
-    return candidates.orderBy(F.col("number").desc_nulls_last(), F.desc("listings"), "first_seen", "key")
+    return candidates.orderBy(*candidate_order())
 
 
 def suggested_names(rows: DataFrame, query: str, prefetch: int = 30, k: int = 8) -> DataFrame:

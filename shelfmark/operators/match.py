@@ -25,12 +25,13 @@ from ..functions.staging import staged
 ACCEPT = 0.6
 
 # Words of the matching rules.
-VARIANTS = """
-    swimsuit bikini bunny wedding dress cheongsam kimono yukata uniform cosplay maid santa christmas halloween nurse gothic
-    lolita pajama pajamas sleepwear apron jersey sport sports summer winter spring autumn beach towel bath lingerie negligee
-    tracksuit hoodie sweater casual school stage idol angel devil succubus armor armour battle party festival race queen cat
-    bride racing police waitress cheerleader witch vampire kitsune miko
-""".split()
+VARIANTS = [
+    "swimsuit", "bikini", "bunny", "wedding", "dress", "cheongsam", "kimono", "yukata", "uniform", "cosplay", "maid", "santa", "christmas", "halloween",
+    "nurse", "gothic", "lolita", "pajama", "pajamas", "sleepwear", "apron", "jersey", "sport", "sports", "summer", "winter", "spring", "autumn", "beach",
+    "towel", "bath", "lingerie", "negligee", "tracksuit", "hoodie", "sweater", "casual", "school", "stage", "idol", "angel", "devil", "succubus", "armor",
+    "armour", "battle", "party", "festival", "race", "queen", "cat", "bride", "racing", "police", "waitress", "cheerleader", "witch", "vampire",
+    "kitsune", "miko",
+]
 GENERIC = ["scale", "figure", "statue", "model", "pvc", "complete", "series", "set", "deluxe", "standard", "normal", "regular", "base", "japan", "import"]
 LINES = ["nendoroid", "figma", "parade", "maximatic", "grandista", "masterlise", "figuno", "ichibansho", "moderoid", "figuarts", "ichiban", "luminasta", "xstellar", "figurizm", "qyurume", "perching", "hikkake", "mdlx", "dlx", "plush", "spm"]
 LINE_PHRASES = ["hello good smile", "hyper body", "trio try it", "super premium"]

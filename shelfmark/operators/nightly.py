@@ -18,7 +18,7 @@ def ingested_listings(held: DataFrame, items: DataFrame, figures: DataFrame, rat
     held: source_id, external_id, title, amount, currency, amount_usd, figure_id, match_score, is_active, last_seen_at.
     """
     priced, _ = fx.to_usd(items, rates)
-    titled = priced.withColumn("title_id", F.concat_ws("/", "source_id", "external_id"))
+    titled = priced.withColumn("title_id", F.to_json(F.struct("source_id", "external_id")))
     found = match.best_match(titled.select("title_id", "title"), figures)
     new = titled.join(found, "title_id", "left").select("source_id", "external_id", "title", "amount", "currency", "amount_usd", "figure_id", F.col("score").alias("match_score"), F.lit(True).alias("is_active"), F.lit(now).cast("timestamp_ntz").alias("last_seen_at"))
     return tables.upsert(held, new.select(held.columns), ["source_id", "external_id"], "last_seen_at")
@@ -27,23 +27,30 @@ def ingested_listings(held: DataFrame, items: DataFrame, figures: DataFrame, rat
 def ingested_sales(held: DataFrame, items: DataFrame, figures: DataFrame, rates: DataFrame) -> DataFrame:
     """Sales after a poll: unmatched ones are dropped; of a known sale only the figure changes, its price and date stay."""
     priced, _ = fx.to_usd(items, rates)
-    titled = priced.withColumn("title_id", F.concat_ws("/", "source_id", "external_id"))
+    titled = priced.withColumn("title_id", F.to_json(F.struct("source_id", "external_id")))
     found = match.best_match(titled.select("title_id", "title"), figures).filter("figure_id IS NOT NULL")
     new = titled.join(found, "title_id").select(*(c for c in held.columns if c != "figure_id"), "figure_id").select(held.columns)
     return tables.upsert_partly(held, new, ["source_id", "external_id"], ["figure_id"])
 
 
+SOLD = ["min_usd", "median_usd", "avg_usd", "max_usd", "sample_size", "lowest_ask_usd"]
+ASKED = ["ask_min_usd", "ask_median_usd", "ask_max_usd", "ask_count"]
+
+
 def aggregated(sales: DataFrame, listings: DataFrame, figures: DataFrame, snapshots: DataFrame, day: date, now: datetime) -> dict[str, DataFrame]:
-    """A night's tables: the day's snapshots replaced whole, asks dated with that day, and the figures' statistics.
+    """A night's tables: snapshots of what was sold on the day given, and of what is asked today, and the figures' statistics.
 
-    Sales that vanished take their snapshot with them, and the day given dates the asks too.
+    Both are written over what is held of a figure, condition and day, column by column: sold prices leave a row's asks as
+    they are, and asks its sold prices. Snapshots of other keys stay.
     """
     keys = ["figure_id", "condition", "day"]
+    kinds = {f.name: f.dataType for f in snapshots.schema}
+    whole = lambda rows: rows.select(*(F.col(c).cast(kinds[c]).alias(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in snapshots.columns))
     sold = rollup.with_lowest_ask(rollup.daily_sold(sales, day), listings)
-    asks = rollup.ask_snapshot(listings, day)
-    today = sold.join(asks, keys, "full_outer")
+    held = tables.upsert_partly(snapshots, whole(sold), keys, SOLD)
+    held = tables.upsert_partly(held, whole(rollup.ask_snapshot(listings, now.date())), keys, ASKED)
     stats = rollup.with_figure_stats(figures, sales, now).join(rollup.ask_medians(figures, listings), "figure_id")
-    return {"snapshots": tables.replace_part(snapshots, today.select(snapshots.columns), "day"), "figures": stats}
+    return {"snapshots": held, "figures": stats}
 
 
 def purged_sales(sales: DataFrame, now: datetime, days: int = 90) -> DataFrame:

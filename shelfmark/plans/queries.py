@@ -385,12 +385,14 @@ def normalized_tokens(spark, d):
     return rows.select("conv_id", "turn", F.sha2("norm", 256).alias("norm_sha256"), F.size(T.tokens_of(F.col("norm"))).alias("n_tokens"))
 
 
-FIXED_TITLES = [(1, "Figure 1/7 scale"), (2, "Figure 1:1"), (3, "1/0.5 big"), (4, "1/144 kit"), (5, "21/7 none"), (6, None), (7, "1/8th and 1/4")]
-
-
-@query("WITH t(id, title) AS (VALUES (1, 'Figure 1/7 scale'), (2, 'Figure 1:1'), (3, '1/0.5 big'), (4, '1/144 kit'), (5, '21/7 none'), (6, NULL), (7, '1/8th and 1/4')), m AS (SELECT id, regexp_extract(title, '(?:^|[^0-9.])1\\s*[/:]\\s*([0-9]{1,2}(?:\\.[0-9]+)?)(?:$|[^0-9.])', 1) AS d FROM t) SELECT CAST(id AS BIGINT) AS id, CASE WHEN d IS NULL OR d = '' THEN NULL WHEN CAST(d AS DOUBLE) < 1 THEN CAST(CAST(floor(1 / CAST(d AS DOUBLE) + 0.5) AS BIGINT) AS VARCHAR) || '/1' ELSE '1/' || d END AS scale FROM m")
+@query("WITH t AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 7 WHEN 0 THEN ' 1/7 scale' WHEN 1 THEN ' 1:1' WHEN 2 THEN ' 1/0.5 big' WHEN 3 THEN ' 1/144 kit' WHEN 4 THEN ' 21/7 none' WHEN 5 THEN ' 1/8th and 1/4' ELSE ' 1 / ' || p_size END AS title FROM part UNION ALL SELECT -1 - doc_id, text FROM documents), m AS (SELECT id, regexp_extract(title, '(?:^|[^0-9.])1\\s*[/:]\\s*([0-9]{1,2}(?:\\.[0-9]+)?)(?:$|[^0-9.])', 1) AS d FROM t) SELECT CAST(id AS BIGINT) AS id, CASE WHEN d IS NULL OR d = '' THEN NULL WHEN CAST(d AS DOUBLE) < 1 THEN CAST(CAST(floor(1 / CAST(d AS DOUBLE) + 0.5) AS BIGINT) AS VARCHAR) || '/1' ELSE '1/' || d END AS scale FROM m")
 def extract_scale(spark, d):
-    return spark.createDataFrame(FIXED_TITLES, "id long, title string").select("id", T.scale_of(F.col("title")).alias("scale"))
+    """Scales in names of parts with one of seven endings, and in all texts."""
+    said = [" 1/7 scale", " 1:1", " 1/0.5 big", " 1/144 kit", " 21/7 none", " 1/8th and 1/4"]
+    end = F.coalesce(*(F.when(F.col("p_partkey") % 7 == k, x) for k, x in enumerate(said)), F.concat(F.lit(" 1 / "), F.col("p_size").cast("string")))
+    titles = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", end).alias("title"))
+    texts = V.table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("title"))
+    return titles.unionByName(texts).select("id", T.scale_of(F.col("title")).alias("scale"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^A-Za-z0-9_])(new|brand new|nib|misb|sealed|unopened)') THEN CASE WHEN contains(lower(text), 'open') THEN 'NEW_OPENED' ELSE 'NEW_SEALED' END WHEN regexp_matches(lower(text), 'damaged|broken|parts only|for parts|junk') THEN 'DAMAGED' WHEN regexp_matches(lower(text), 'missing|incomplete|no box') THEN 'USED_INCOMPLETE' WHEN regexp_matches(lower(text), 'used|pre-owned|preowned|second hand|open box') THEN 'USED_COMPLETE' ELSE 'UNKNOWN' END AS condition FROM documents")

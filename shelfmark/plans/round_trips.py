@@ -171,14 +171,15 @@ def exported_character_links(spark, d):
     return feeds.exported_links(spark, path)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT html) AS distinct_pages, CAST(sum(length(html) + 1) AS BIGINT) AS chars FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("SELECT CAST(page_id AS VARCHAR) AS url, length(html) AS chars, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")
 def cached_pages(spark, d):
-    """Pages in a folder of files, one file each, read back whole, with the line end that closes each file."""
+    """Pages cached in files of many, half of them twice, and read back by URL."""
     folder = fresh_path(spark, "pages")
-    rows = V.table(spark, d, "pages").filter("html IS NOT NULL AND html <> ''")
-    rows.select(F.col("html").alias("value"), F.col("page_id").alias("page")).write.partitionBy("page").text(folder)
-    got = feeds.pages_from_folder(spark, f"{folder}/page=*")
-    return got.agg(F.count("*").alias("n"), F.count_distinct("html").alias("distinct_pages"), F.sum(F.length("html")).alias("chars"))
+    rows = V.table(spark, d, "pages").filter("html IS NOT NULL").select(F.col("page_id").cast("string").alias("url"), "html", "page_id")
+    feeds.cache_pages(rows.filter("page_id % 2 = 0").withColumn("html", F.lit("an older page")), folder)
+    feeds.cache_pages(rows, folder)
+    got = feeds.cached_pages(spark, folder, rows.select("url"))
+    return got.select("url", F.length("html").cast("long").alias("chars"), F.sha2("html", 256).alias("digest"))
 
 
 @query("SELECT o_orderkey AS k, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")

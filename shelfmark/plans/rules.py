@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, semantics
 from ..functions import text as T
+from ..functions.ordering import numbered
 from ..functions.staging import fresh_path
 from ..operators import catalog, characters, detail, hygiene, match, nightly, rollup, tables, value
 from ..sources import feeds
 from ..streaming import counters
 from . import views as V
-from .queries import half_up, query
+from .queries import DAILY, half_up, query
 from .round_trips import ITEMS, cat, every, items
 from .views import ASKS, LISTINGS, NOW, SALES, STATS
 
@@ -27,6 +28,11 @@ def strings(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+def cents(value: str) -> str:
+    """A number rounded to cents, half away from 0, in SQL."""
+    return f"CAST(round(CAST({value} AS DECIMAL(20,8)), 2) AS DOUBLE)"
+
+
 def code(key: Column) -> Column:
     """A number as letters, none of them a vowel, so that no spelling rule joins two."""
     return F.translate(key.cast("string"), "0123456789", "bdfghklmnp")
@@ -210,13 +216,12 @@ def moderation_head(spark, d):
 def candidate_order(spark, d):
     rows = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count("*").alias("listings"))
     rows = rows.withColumn("number", F.when(F.col("key") % 3 != 0, F.col("key") % 7)).withColumn("first_seen", F.lit(0))
-    keys = detail.candidate_queue(rows).agg(F.collect_list("key").alias("keys"))  # one row for each supplier
-    return keys.select(F.posexplode("keys").alias("i", "key")).select("key", (F.col("i") + 1).alias("place"))
+    return numbered(rows, *detail.candidate_order(), name="place").select("key", F.col("place").cast("int").alias("place"))
 
 
-@query(f"""WITH {ITEMS} SELECT list_sort(list(to_json({{'k': k, 'name': name}})::VARCHAR)) AS lines FROM items""")
+@query(f"WITH {ITEMS} SELECT to_json({{'k': k, 'name': name}})::VARCHAR AS json FROM items")
 def rows_as_json(spark, d):
-    return detail.as_json(items(spark, d).select("k", "name")).agg(F.sort_array(F.collect_list("json")).alias("lines"))
+    return detail.as_json(items(spark, d).select("k", "name"))
 
 
 @query("""SELECT source, CASE WHEN bool_and(ok) THEN 'SUCCESS' ELSE 'ERROR' END AS status, CAST(sum(CASE WHEN ok THEN n ELSE 0 END) AS BIGINT) AS n_rows, min(CASE WHEN NOT ok THEN 'failed ' || source END) AS error
@@ -237,16 +242,16 @@ def nightly_figures(spark, d):
     return done["figures"]
 
 
-@query(f"""WITH {SALES}, {LISTINGS} SELECT figure_id, condition, DATE '2001-06-15' AS day, {half_up('min(amount_usd)')} AS min_usd, count(*) AS sample_size, NULL::BIGINT AS ask_count FROM sales WHERE CAST(sold_at AS DATE) = DATE '2001-06-15' AND condition IN ('NEW_SEALED', 'USED_COMPLETE')
-    AND NOT (condition = 'NEW_SEALED' AND figure_id IN (SELECT figure_id FROM listings WHERE is_active AND condition = 'NEW_SEALED' AND match_score >= 0.72 GROUP BY 1 HAVING count(*) >= 3)) GROUP BY ALL
-    UNION ALL SELECT coalesce(s.figure_id, a.figure_id), 'NEW_SEALED', DATE '2001-06-15', min_usd, sample_size, ask_count FROM
-      (SELECT figure_id, count(*) AS ask_count FROM listings WHERE is_active AND condition = 'NEW_SEALED' AND match_score >= 0.72 GROUP BY 1 HAVING count(*) >= 3) a
-      LEFT JOIN (SELECT figure_id, {half_up('min(amount_usd)')} AS min_usd, count(*) AS sample_size FROM sales WHERE condition = 'NEW_SEALED' AND CAST(sold_at AS DATE) = DATE '2001-06-15' GROUP BY 1) s ON s.figure_id = a.figure_id""")
+@query(f"""WITH {SALES}, {LISTINGS}, low AS (SELECT figure_id, condition, min(amount_usd) AS lowest_ask_usd FROM listings WHERE is_active GROUP BY ALL),
+    sold AS ({DAILY.replace('brand_sales', 'sales')})
+    SELECT figure_id, condition, day, min_usd, median_usd, avg_usd, max_usd, sample_size, lowest_ask_usd, NULL::DOUBLE AS ask_min_usd, NULL::DOUBLE AS ask_median_usd, NULL::DOUBLE AS ask_max_usd, NULL::BIGINT AS ask_count
+    FROM sold LEFT JOIN low USING (figure_id, condition) WHERE day = DATE '2001-06-15'
+    UNION ALL SELECT figure_id, 'NEW_SEALED', DATE '2001-11-04', NULL, NULL, NULL, NULL, NULL, NULL, {cents("min(amount_usd)")}, {cents("median(amount_usd)")}, {cents("max(amount_usd)")}, count(*)
+    FROM listings WHERE is_active AND condition = 'NEW_SEALED' AND match_score >= 0.72 GROUP BY figure_id HAVING count(*) >= 3""")
 def nightly_snapshots(spark, d):
-    """A night's snapshots: what was sold that day, with asks, and figures that are only asked for."""
+    """A night's snapshots: what was sold on its day, with asks beside, and what is asked on the day that it runs."""
     none = "figure_id long, condition string, day date, min_usd double, median_usd double, avg_usd double, max_usd double, sample_size long, lowest_ask_usd double, ask_min_usd double, ask_median_usd double, ask_max_usd double, ask_count long"
-    done = nightly.aggregated(V.sales(spark, d), V.listings(spark, d), V.figures(spark, d), spark.createDataFrame([], none), date(2001, 6, 15), NOW)
-    return done["snapshots"].select("figure_id", "condition", "day", "min_usd", "sample_size", "ask_count")
+    return nightly.aggregated(V.sales(spark, d), V.listings(spark, d), V.figures(spark, d), spark.createDataFrame([], none), date(2001, 6, 15), NOW)["snapshots"]
 
 
 # Figures for matching: each has a number and a name of its own; titles name them, or differ in one thing that refuses the match.
@@ -280,6 +285,32 @@ def matched_titles(spark, d):
     return match.best_match(listed_titles(spark, d), catalogue(spark, d)).select("title_id", "figure_id")
 
 
+@query(f"""WITH {ITEMS}, listed AS (SELECT k, CASE WHEN k % 8 = 0 THEN k END AS figure_id FROM items WHERE k % 8 <> 6)
+    SELECT 'listing' AS kind, k % 3 AS source_id, 'x/' || k AS external_id, price AS amount, price * 2 AS amount_usd, figure_id, TIMESTAMP '2001-11-04 00:00:00' AS seen FROM items JOIN listed USING (k)
+    UNION ALL SELECT 'listing', k % 3, 'old/' || k, price, price, NULL, TIMESTAMP '2001-01-01 00:00:00' FROM items WHERE k % 5 = 0
+    UNION ALL SELECT 'sale', k % 3, 'x/' || k, CASE WHEN k % 16 = 0 THEN price - 1 ELSE price END, CASE WHEN k % 16 = 0 THEN price - 1 ELSE price * 2 END, figure_id, CASE WHEN k % 16 = 0 THEN TIMESTAMP '2001-01-01 00:00:00' ELSE TIMESTAMP '2001-11-04 00:00:00' END
+    FROM items JOIN listed USING (k) WHERE figure_id IS NOT NULL""")
+def ingested_rows(spark, d):
+    """Listings and sales after a poll: listings are seen again or stay, sales keep the price and date that they were first seen with; unmatched sales are dropped."""
+    key = F.col("k")
+    at = lambda moment: F.lit(moment).cast("timestamp_ntz")
+    items_of = listed_titles(spark, d).filter("rejected IS NULL").select(F.col("title_id").alias("k"), "title").join(items(spark, d).select("k", "price"), "k")
+    polled = items_of.select((key % 3).alias("source_id"), cat("x/", key).alias("external_id"), "title", F.col("price").alias("amount"), F.lit("EUR").alias("currency"))
+    rates = spark.createDataFrame([("EUR", date(2001, 11, 4), 2.0)], "currency string, day date, rate_to_usd double")
+    old = items(spark, d)
+    listings = old.filter("k % 5 = 0").select(
+        (key % 3).alias("source_id"), cat("old/", key).alias("external_id"), F.lit("old").alias("title"), F.col("price").alias("amount"), F.lit("USD").alias("currency"), F.col("price").alias("amount_usd"),
+        F.lit(None).cast("long").alias("figure_id"), F.lit(None).cast("double").alias("match_score"), F.lit(False).alias("is_active"), at("2001-01-01").alias("last_seen_at"),
+    )
+    seen = nightly.ingested_listings(listings, polled, catalogue(spark, d), rates, NOW)
+    sales = old.filter("k % 16 = 0").select(
+        (key % 3).alias("source_id"), cat("x/", key).alias("external_id"), (F.col("price") - 1).alias("amount"), (F.col("price") - 1).alias("amount_usd"), at("2001-01-01").alias("sold_at"), F.lit(None).cast("long").alias("figure_id")
+    )
+    sold = nightly.ingested_sales(sales, polled.withColumn("sold_at", at("2001-11-04")), catalogue(spark, d), rates)
+    told = lambda rows, kind, when: rows.select(F.lit(kind).alias("kind"), "source_id", "external_id", "amount", "amount_usd", "figure_id", F.col(when).alias("seen"))
+    return told(seen, "listing", "last_seen_at").unionByName(told(sold, "sale", "sold_at"))
+
+
 @query(f"""WITH m AS ({MATCHED}) SELECT title_id, CASE WHEN title_id % 16 = 0 THEN 'gained' WHEN title_id % 8 = 0 THEN 'same' WHEN title_id % 3 = 0 THEN 'lost' ELSE 'same' END AS change FROM m""")
 def rematched_titles(spark, d):
     """What a new match changes: held before were the right figure, a wrong one, or none."""

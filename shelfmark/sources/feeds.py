@@ -52,6 +52,20 @@ def pages_from_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
+def cache_pages(pages: DataFrame, path: str, folders: int = 64) -> None:
+    """Pages (url, html) kept as JSON lines, many to a file, in folders by a checksum of their URL; a page cached again replaces none: the newest is taken when read."""
+    kept = pages.select("url", "html", F.current_timestamp().alias("cached_at"), (F.crc32(F.col("url").cast("binary")) % folders).cast("int").alias("folder"))
+    kept.repartition("folder").write.mode("append").partitionBy("folder").option("compression", "gzip").json(path)
+
+
+def cached_pages(spark: SparkSession, path: str, urls: DataFrame | None = None, folders: int = 64) -> DataFrame:
+    """url and html of cached pages, the newest of each URL. urls: those alone, and no other folders are opened."""
+    rows = spark.read.schema("url string, html string, cached_at timestamp, folder int").json(path)
+    if urls is not None:
+        rows = rows.join(urls.select("url", (F.crc32(F.col("url").cast("binary")) % folders).cast("int").alias("folder")).distinct(), ["url", "folder"], "left_semi")
+    return rows.groupBy("url").agg(F.max_by("html", "cached_at").alias("html"))
+
+
 def exported_links(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("product string, characters array<string>").json(path)
 

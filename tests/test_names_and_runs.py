@@ -105,7 +105,9 @@ def test_nightly_run(spark):
     figures = spark.createDataFrame([(1,), (2,), (3,)], "figure_id int")
     old = spark.createDataFrame([(9, "NEW_SEALED", day, 1.0, 1.0, 1.0, 1.0, 1, None, None, None, None, None), (9, "NEW_SEALED", date(2026, 8, 13), 1.0, 1.0, 1.0, 1.0, 1, None, None, None, None, None)], "figure_id int, condition string, day date, min_usd double, median_usd double, avg_usd double, max_usd double, sample_size long, lowest_ask_usd double, ask_min_usd double, ask_median_usd double, ask_max_usd double, ask_count long")
     got = nightly.aggregated(sales, listings, figures, old, day, now)
-    assert rows(got["snapshots"], "figure_id", "day", "median_usd", "lowest_ask_usd", "ask_median_usd") == [(1, day, 15.0, 30.0, 40.0), (2, day, None, None, 2.0), (9, date(2026, 8, 13), 1.0, None, None)]
+    assert rows(got["snapshots"], "figure_id", "day", "median_usd", "lowest_ask_usd", "ask_median_usd") == [
+        (1, day, 15.0, 30.0, None), (1, now.date(), None, None, 40.0), (2, now.date(), None, None, 2.0), (9, date(2026, 8, 13), 1.0, None, None), (9, day, 1.0, None, None),
+    ]
     assert rows(got["figures"], "figure_id", "market_value_usd", "ask_median_usd", "ask_listings") == [(1, 10.0, 40.0, 3), (2, None, 2.0, 3), (3, None, None, 0)]
     assert nightly.purged_sales(sales, now).count() == 3
     log = spark.createDataFrame([("a", True, 5, None), ("a", True, 2, None), ("b", False, 9, "boom"), ("b", True, 1, None)], "source string, ok boolean, n_rows int, error string")
