@@ -62,16 +62,20 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE + "+", " "))
 
 
+# What normalisation replaces: accents of Latin letters; then, in compatibility forms, digits by letters, and signs.
+ACCENTS = (r"(\p{IsLatin})\p{Mn}+", "$1")
+APART = [(r"([0-9])([a-z])", "$1 $2"), (r"([a-z])([0-9])", "$1 $2"), (r"[^\p{L}\p{N}\s\x{A0}\x{3000}/.-]", " ")]
+BETWEEN_WORDS = r"[\s/.-]+"
+
+
 def normalized(text: Column) -> Column:
     """Lower case; accents of Latin letters dropped, compatibility forms joined; digits and letters set apart; signs to blanks."""
-    plain = F.regexp_replace(unicode_form(F.lower(text), "NFD"), r"(\p{IsLatin})\p{Mn}+", "$1")
-    apart = replaced(unicode_form(plain, "NFKC"), (r"([0-9])([a-z])", "$1 $2"), (r"([a-z])([0-9])", "$1 $2"), (r"[^\p{L}\p{N}\s\x{A0}\x{3000}/.-]", " "))
-    return squeezed(apart)
+    return squeezed(replaced(unicode_form(replaced(unicode_form(F.lower(text), "NFD"), ACCENTS), "NFKC"), *APART))
 
 
 def tokens_of(norm: Column) -> Column:
     """Distinct tokens of a normalised text: no sizes' units, single characters or stop words; synonyms joined."""
-    words = F.split(norm, r"[\s/.-]+")
+    words = F.split(norm, BETWEEN_WORDS)
     stop = F.array(*map(F.lit, STOPWORDS))
     unit = F.array(*map(F.lit, UNITS))
     kept = F.filter(words, lambda w, i: ~(F.array_contains(unit, w) & (i > 0) & F.get(words, i - 1).rlike("^[0-9]+$")))

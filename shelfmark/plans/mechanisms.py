@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import registered
 from ..functions.staging import fresh_path, staged
 from ..operators import hygiene, medians, pacing, refresh, rollup, run_log, search_index
 from ..operators.commits import Store
 from ..sources import demo, feeds, markets
+from . import round_trips, rules  # noqa: F401  the rules' twins
 from . import views as V
 from .queries import ORACLES, half_up, query
 from .views import SALES, STATS
@@ -253,3 +255,33 @@ def rematched_stats(spark, d):
     before, after = rematch(spark, d)
     touched = staged(refresh.touched(before, after, ["external_id"]), "touched")
     return refresh.stats(rollup.with_figure_stats(V.figures(spark, d), before, V.NOW), after, touched, V.NOW)
+
+
+# --- the same rules in SQL text
+
+
+def in_sql(spark, rows: DataFrame, sql: str) -> DataFrame:
+    """A query in SQL text over rows, as {rows}, with the functions of the library."""
+    registered.register(spark)
+    return spark.sql(sql, rows=rows)
+
+
+@query(ORACLES["html_links"])
+def sql_links(spark, d):
+    return in_sql(spark, V.table(spark, d, "pages"), "SELECT page_id, link FROM {rows}, LATERAL fi_links(html)")
+
+
+@query(ORACLES["title_tokens"])
+def sql_tokens(spark, d):
+    titles = round_trips.items(spark, d).select("k", F.concat(F.initcap("name"), F.lit(" NENDO Figure swimwear 12cm x"), F.col("k") % 10).alias("title"))
+    return in_sql(spark, titles, "SELECT k, filter(fi_tokens(title), t -> NOT t rlike '^[0-9]+$') AS tokens FROM {rows}")
+
+
+@query("SELECT p_partkey AS k, p_name AS name, p_retailprice AS price, p_partkey % 2 = 0 AS available FROM part WHERE p_partkey % 5 <> 0")
+def sql_products(spark, d):
+    """Products in pages' linked data: a page without one gives no row."""
+    offer = F.struct(F.col("p_retailprice").cast("string").alias("price"), F.when(F.col("p_partkey") % 2 == 0, "InStock").otherwise("SoldOut").alias("availability"))
+    kind = F.when(F.col("p_partkey") % 5 == 0, "Thing").otherwise("Product").alias("@type")
+    block = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(kind, F.col("p_name").alias("name"), offer.alias("offers"))), F.lit("</script>"))
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), block.alias("html"))
+    return in_sql(spark, rows, "SELECT k, p.name, p.price, p.available FROM {rows}, LATERAL fi_products(html) p")

@@ -14,7 +14,10 @@ from ..functions.dates import parsed_date
 from ..functions.text import decoded_entities, height_mm, jan_code, price_jpy, scale_of, squeezed, stripped_tags
 
 
-def links(rows: DataFrame, id_col: str, html: str, pattern: str = r"""<a\s[^>]*href="([^"]*)\"""") -> DataFrame:
+LINK = r"""<a\s[^>]*href="([^"]*)\""""
+
+
+def links(rows: DataFrame, id_col: str, html: str, pattern: str = LINK) -> DataFrame:
     """Distinct links of each page."""
     return rows.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))).alias("link"))
 
@@ -76,31 +79,33 @@ def linked_product(html: str | None) -> dict | None:
 PRODUCT = "name string, sku string, jan string, brand string, image string, price double, currency string, available boolean"
 
 
-def json_ld_products(rows: DataFrame, html: str = "html") -> DataFrame:
-    """rows with product, the fields of a page's linked data; availability that is not stated is null."""
+def product_of(page: str | None) -> list:
+    """The fields of PRODUCT of a page's linked data, all null if it has none; availability that is not stated is null."""
 
     def text(x):
         return x if isinstance(x, str) else None
 
+    p = linked_product(page)
+    if p is None:
+        return [None] * 8
+    offer = p.get("offers") or {}
+    offer = (offer[0] if offer else {}) if isinstance(offer, list) else offer
+    offer = offer if isinstance(offer, dict) else {}
+    brand, image = p.get("brand"), p.get("image")
+    image = image[0] if isinstance(image, list) and image else image
+    try:
+        price = float(offer.get("price"))
+    except (TypeError, ValueError):
+        price = None
+    return [text(p.get("name")), text(p.get("sku")), text(p.get("gtin13")), text(brand.get("name") if isinstance(brand, dict) else brand), text(image.get("url") if isinstance(image, dict) else image), price, text(offer.get("priceCurrency")), AVAILABLE.get(str(offer.get("availability") or "").rsplit("/", 1)[-1])]
+
+
+def json_ld_products(rows: DataFrame, html: str = "html") -> DataFrame:
+    """rows with product, the fields of a page's linked data."""
+
     @F.pandas_udf(PRODUCT)
     def read(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            p = linked_product(page)
-            if p is None:
-                out.append([None] * 8)
-                continue
-            offer = p.get("offers") or {}
-            offer = (offer[0] if offer else {}) if isinstance(offer, list) else offer
-            offer = offer if isinstance(offer, dict) else {}
-            brand, image = p.get("brand"), p.get("image")
-            image = image[0] if isinstance(image, list) and image else image
-            try:
-                price = float(offer.get("price"))
-            except (TypeError, ValueError):
-                price = None
-            out.append([text(p.get("name")), text(p.get("sku")), text(p.get("gtin13")), text(brand.get("name") if isinstance(brand, dict) else brand), text(image.get("url") if isinstance(image, dict) else image), price, text(offer.get("priceCurrency")), AVAILABLE.get(str(offer.get("availability") or "").rsplit("/", 1)[-1])])
-        return pd.DataFrame(out, columns=["name", "sku", "jan", "brand", "image", "price", "currency", "available"])
+        return pd.DataFrame([product_of(page) for page in pages], columns=["name", "sku", "jan", "brand", "image", "price", "currency", "available"])
 
     return rows.withColumn("product", read(F.col(html)))
 
