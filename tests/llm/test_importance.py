@@ -76,12 +76,3 @@ def test_odd_rows_ties_and_clashing_names(spark):
     empty = frame.filter("false")
     assert I.ranks(empty, target).count() == 0
     assert result(I.ranks(frame, target.filter("false"))) == brute(docs, [])
-
-
-def test_numbers_count_on_over_ranges(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.range(5000).select((F.col("id") % 97).alias("place"), F.col("id").alias("part"))
-    got = I.numbered(rows, F.col("place").desc(), F.col("part")).orderBy("rank").collect()
-    assert [r["rank"] for r in got] == list(range(1, 5001))
-    assert [(r.place, r.part) for r in got] == sorted(((i % 97, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))
