@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registered
 from ..functions.staging import fresh_path, staged
-from ..operators import hygiene, medians, pacing, refresh, rollup, run_log, search_index
+from ..operators import backfills, hygiene, medians, pacing, refresh, rollup, run_log, search_index
 from ..operators.commits import Store
 from ..sources import demo, feeds, markets
 from . import round_trips, rules  # noqa: F401  the rules' twins
@@ -285,3 +285,68 @@ def sql_products(spark, d):
     block = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(kind, F.col("p_name").alias("name"), offer.alias("offers"))), F.lit("</script>"))
     rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), block.alias("html"))
     return in_sql(spark, rows, "SELECT k, p.name, p.price, p.available FROM {rows}, LATERAL fi_products(html) p")
+
+
+# --- fields filled in later
+
+JAN = "'4' || CASE l_linenumber % 2 WHEN 0 THEN '5' ELSE '9' END || lpad(CAST(l_partkey AS VARCHAR), 11, '0')"
+
+
+@query(f"""WITH c AS (SELECT l_partkey AS figure_id, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 3 = 0 THEN 'none' WHEN l_orderkey % 3 = 1 THEN {JAN} ELSE '7' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') END AS code FROM lineitem),
+    f AS (SELECT figure_id, arg_min(code, (id, code)) AS value FROM c WHERE code <> 'none' GROUP BY figure_id)
+    SELECT figure_id, CASE WHEN length(value) = 13 THEN 'JAN' ELSE 'UPC' END AS kind, value FROM f WHERE figure_id % 4 <> 0 UNION ALL SELECT p_partkey, 'JAN', '45' || lpad(CAST(p_partkey AS VARCHAR), 11, 'x') FROM part WHERE p_partkey % 4 = 0""")
+def backfilled_barcodes(spark, d):
+    """Codes of products by the figures' numbers, beside those that were there; products of a fourth of the figures have another number."""
+    rows = V.table(spark, d, "lineitem")
+    key, order = F.col("l_partkey"), F.col("l_orderkey")
+    jan = F.concat(F.lit("4"), F.when(F.col("l_linenumber") % 2 == 0, "5").otherwise("9"), F.lpad(key.cast("string"), 11, "0"))
+    code = F.when(order % 3 == 0, "none").when(order % 3 == 1, jan).otherwise(F.concat(F.lit("7"), F.lpad(key.cast("string"), 11, "0")))
+    number = F.when(key % 4 == 0, F.lit("other")).otherwise(key.cast("string"))
+    products = rows.select((order * 10 + F.col("l_linenumber")).alias("product_id"), F.lit("line").alias("line"), number.alias("number"), code.alias("code"))
+    parts = V.table(spark, d, "part").select(F.col("p_partkey").alias("figure_id"))
+    figures = parts.select("figure_id", F.lit("line").alias("line"), F.col("figure_id").cast("string").alias("number"))
+    held = parts.filter("figure_id % 4 = 0").select("figure_id", F.lit("JAN").alias("kind"), F.concat(F.lit("45"), F.lpad(F.col("figure_id").cast("string"), 11, "x")).alias("value"))
+    return backfills.barcodes(held, figures, products)
+
+
+@query("""SELECT p_partkey AS figure_id, CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS source, CASE WHEN p_partkey % 8 = 0 THEN 'held' ELSE CASE p_partkey % 4 WHEN 0 THEN 'https://shop-a.example/p/' ELSE 'https://www.b.example/x?id=' END || p_partkey END AS url
+    FROM part WHERE p_partkey % 4 < 2""")
+def backfilled_offers(spark, d):
+    """Store links as offers of the shop that their host names, but where that shop's offer is there."""
+    key = F.col("p_partkey")
+    links = [F.lit("https://shop-a.example/p/"), F.lit("https://www.b.example/x?id="), F.lit("https://notb.example/"), F.lit("no link ")]
+    url = F.concat(F.coalesce(*(F.when(key % 4 == k, x) for k, x in enumerate(links))), key.cast("string"))
+    figures = V.table(spark, d, "part").select(key.alias("figure_id"), url.alias("store_url"))
+    held = figures.filter("figure_id % 8 = 0").select("figure_id", F.lit("A").alias("source"), F.lit("held").alias("url"))
+    return backfills.offers(held, figures, {"shop-a.example": "A", "b.example": "B"})
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, o_totalprice AS price, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders)
+    SELECT first AS figure_id, CAST(f.id AS VARCHAR) AS printing_key, f.d AS release_date, price, 'JPY' AS currency FROM f JOIN (SELECT id, d AS first_date FROM f) s ON s.id = f.first WHERE f.id <> first AND abs(date_diff('day', f.d, first_date)) > 92""")
+def backfilled_printings(spark, d):
+    """Releases of folded figures as printings of those that they were folded into."""
+    rows = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("figure_id"), F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("date").alias("release_date"), F.col("o_totalprice").alias("price"), F.lit("JPY").alias("currency"))
+    least = rows.groupBy("c").agg(F.min("figure_id").alias("least"))
+    figures = rows.join(least, "c").withColumn("superseded_by", F.when(F.col("figure_id") != F.col("least"), F.col("least"))).drop("c", "least")
+    none = spark.createDataFrame([], "figure_id long, printing_key string, release_date date, price double, currency string")
+    return backfills.folded_printings(none, figures)
+
+
+@query("""SELECT p_partkey AS figure_id, CASE WHEN p_partkey % 3 = 0 THEN '商品' || p_partkey WHEN p_partkey % 2 = 0 THEN NULL ELSE '名前' || p_partkey END AS name_ja,
+    CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 = 0 THEN 'よみ' WHEN p_partkey % 2 = 0 AND p_partkey % 5 <> 0 THEN 'ねんどろいど' WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN 'held' WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'ねんどろいど' ELSE 'held' END
+    ELSE NULL END AS reading FROM part""")
+def backfilled_names(spark, d):
+    """Japanese names from pages; readings that stood in their place are moved."""
+    key = F.col("p_partkey")
+    name = F.when(key % 2 == 0, "ねんどろいど").otherwise(F.concat(F.lit("名前"), key.cast("string")))
+    figures = V.table(spark, d, "part").select(key.alias("figure_id"), name.alias("name_ja"), F.when(key % 5 == 0, "held").alias("reading"))
+    pages = V.table(spark, d, "part").filter("p_partkey % 3 = 0").select(key.alias("figure_id"), F.concat(F.lit("商品"), key.cast("string")).alias("page_name"), F.when(key % 9 == 0, "よみ").alias("page_reading"))
+    return backfills.japanese_names(figures, pages)
+
+
+@query("""SELECT * FROM (SELECT 'https://x.example/figures/' || p_partkey AS url, TIMESTAMP '2001-01-01' + p_size * INTERVAL 1 DAY AS last_modified, 'weekly' AS change_frequency, CAST(0.7 AS DOUBLE) AS priority FROM part WHERE p_partkey % 6 <> 0 ORDER BY p_size DESC, CAST(p_partkey AS VARCHAR) LIMIT 98)
+    UNION ALL VALUES ('https://x.example', NULL, 'daily', 1.0), ('https://x.example/about', NULL, 'monthly', 0.4)""")
+def sitemap_urls(spark, d):
+    """The figures changed last, and two other pages: a hundred URLs in all."""
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("slug"), (F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("p_size").cast("int"))).alias("updated_at"), F.when(F.col("p_partkey") % 6 == 0, 1).alias("superseded_by"))
+    return backfills.sitemap(rows, [("", "daily", 1.0), ("/about", "monthly", 0.4)], "https://x.example", 100)
