@@ -123,5 +123,23 @@ def search_query(parts: Column, most: int = 100) -> Column:
     return F.trim(F.substring(F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), " "), 1, most))
 
 
+def own_shop_query(name: Column, nendoroid: Column, figma: Column, most: int = 100) -> Column:
+    """What a maker's own shop is asked: the number of a line, without leading zeros, else the name without what stands in brackets."""
+    plain_name = F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*[（(][^)）]*[)）]\s*", " "), r"\s+", " "))
+    number = lambda n: n.try_cast("long").cast("string")
+    return F.coalesce(F.concat(F.lit("Nendoroid "), number(nendoroid)), F.concat(F.lit("figma "), number(figma)), F.substring(plain_name, 1, most))
+
+
+def local_query(name: Column, name_ja: Column) -> Column:
+    """What a Japanese marketplace is asked: the Japanese name where there is one."""
+    return F.coalesce(F.nullif(F.trim(name_ja), F.lit("")), F.trim(name))
+
+
+def search_url(query: Column, url: str, param: str, more: dict[str, Column] | None = None) -> Column:
+    """The address of a search, null where nothing is asked for; a further parameter that is null is left out."""
+    said = [F.concat(F.lit(f"{url}?{param}="), F.url_encode(query)), *(F.concat(F.lit(f"&{k}="), F.url_encode(v)) for k, v in (more or {}).items())]
+    return F.when(F.trim(query) != "", F.array_join(F.array(*said), ""))
+
+
 def release_in_slug(url: Column) -> Column:
     return extracted(url, r"(?:nendoroid|figma)-(?:no-)?([0-9]{2,4})(?![0-9])")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import registered
+from ..functions import names, registered
 from ..functions.staging import fresh_path, staged
 from ..operators import backfills, hygiene, medians, pacing, refresh, rollup, run_log, search_index
 from ..operators.commits import Store
@@ -350,3 +350,22 @@ def sitemap_urls(spark, d):
     """The figures changed last, and two other pages: a hundred URLs in all."""
     rows = V.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("slug"), (F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("p_size").cast("int"))).alias("updated_at"), F.when(F.col("p_partkey") % 6 == 0, 1).alias("superseded_by"))
     return backfills.sitemap(rows, [("", "daily", 1.0), ("/about", "monthly", 0.4)], "https://x.example", 100)
+
+
+# --- what shops are asked
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 4 THEN ' ' ELSE p_name || ' (x)  v' || p_size END AS name, CASE p_partkey % 3 WHEN 0 THEN '00' || p_size END AS nen, CASE p_partkey % 3 WHEN 1 THEN '0' || p_size END AS fig,
+      CASE p_partkey % 4 WHEN 0 THEN 'ねんどろいど ' || p_partkey WHEN 1 THEN '  ' END AS ja, p_size AS size FROM part)
+    SELECT k, CASE k % 3 WHEN 0 THEN 'Nendoroid ' || size WHEN 1 THEN 'figma ' || size ELSE trim(replace(name, ' (x)  ', ' ')) END AS own, CASE k % 4 WHEN 0 THEN ja ELSE trim(name) END AS local,
+      CASE WHEN trim(name) <> '' THEN 'https://x.example/s?q=' || replace(replace(replace(name, ' (', '+%28'), ')', '%29'), ' ', '+') || CASE WHEN k % 2 = 0 THEN '&c=1000' ELSE '' END END AS url FROM f""")
+def shop_queries(spark, d):
+    """What a maker's shop, a Japanese marketplace and a search page are asked for each part."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.when(key % 5 == 4, " ").otherwise(F.concat(F.col("p_name"), F.lit(" (x)  v"), size))
+    rows = V.table(spark, d, "part").select(
+        key.alias("k"), name.alias("name"), F.when(key % 3 == 0, F.concat(F.lit("00"), size)).alias("nen"), F.when(key % 3 == 1, F.concat(F.lit("0"), size)).alias("fig"),
+        F.when(key % 4 == 0, F.concat(F.lit("ねんどろいど "), key.cast("string"))).when(key % 4 == 1, "  ").alias("ja"),
+    )
+    sold = names.search_url(F.col("name"), "https://x.example/s", "q", {"c": F.when(F.col("k") % 2 == 0, "1000")})
+    return rows.select("k", names.own_shop_query(F.col("name"), F.col("nen"), F.col("fig")).alias("own"), names.local_query(F.col("name"), F.col("ja")).alias("local"), sold.alias("url"))
