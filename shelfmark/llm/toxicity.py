@@ -74,9 +74,13 @@ EDGE, ALIEN, SYMBOLS = 26, 27, 28
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "@$!") + "¡¿«»“”‘’…–—"
 
 
+#: What folding may change: soft hyphens, and all beyond the Latin letters.
+FOREIGN = re.compile("[\xad\u0250-\U0010ffff]")
+
+
 def folded(word: str) -> str:
     """A word without characters of format, in plain widths, its look-alike letters as Latin ones if all its letters are or look Latin."""
-    if word.isascii():
+    if word.isascii() or not FOREIGN.search(word):
         return word
     word = unicodedata.normalize("NFKC", "".join(c for c in word if unicodedata.category(c) != "Cf"))
     latin = "".join(LOOKS_LIKE.get(c, c) for c in word)
@@ -322,11 +326,14 @@ class Model:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     @cached_property
-    def parts(self) -> tuple[set[str], set[str], set[str]]:
-        """Whole words with a weight, what begins one, and what stands further on in one."""
+    def parts(self) -> tuple[set[str], set[str], dict[str, int]]:
+        """Whole words with a weight, what begins one, and for each part of one, 1 if it begins one, 2 if it stands further on in one, 3 if both."""
         whole = {w for w in self.weights if not w.endswith("-") and len(w) >= LEAST_LETTERS}
         starts = {w[:k] for w in whole for k in range(1, len(w))}
-        return whole, starts, {w[a:z] for w in whole for a in range(1, len(w)) for z in range(a + 1, len(w) + 1)}
+        kinds = dict.fromkeys(starts, 1)
+        for x in {w[a:z] for w in whole for a in range(1, len(w)) for z in range(a + 1, len(w) + 1)}:
+            kinds[x] = kinds.get(x, 0) | 2
+        return whole, starts, kinds
 
     def cost(self, text: str) -> float:
         x, y, total = EDGE, EDGE, 0.0
@@ -349,12 +356,16 @@ class Model:
 
     def rejoined(self, words: Words) -> list[tuple[int, str]]:
         """Texts and the words in them that stand in parts."""
-        whole, starts, inside = self.parts
+        whole, starts, kinds = self.parts
         if not whole or len(words.code) < 2:
             return []
         read = words.read[: len(words.plain)]
-        first, then = (np.array([r in known for r in read], bool) for known in (starts, inside))
-        at = np.flatnonzero(first[words.code[:-1]] & then[words.code[1:]] & (words.doc[:-1] == words.doc[1:]))
+        kind = np.fromiter((kinds.get(r, 0) for r in read), np.uint8, len(read))[words.code]
+        at = np.flatnonzero((kind[:-1] & 1 > 0) & (kind[1:] & 2 > 0) & (words.doc[:-1] == words.doc[1:]))
+        # each two words are looked at once: few of them begin a known word together
+        pairs, place = np.unique(words.code[at] * len(read) + words.code[at + 1], return_inverse=True)
+        held = [read[k // len(read)] + read[k % len(read)] for k in pairs.tolist()]
+        at = at[np.array([x in starts or x in whole for x in held], bool)[place.ravel()]] if len(at) else at
         ends = np.searchsorted(words.doc, words.doc[at], side="right")
         out = []
         for i, z in zip(at.tolist(), ends.tolist(), strict=True):
