@@ -36,7 +36,7 @@ from ..functions.staging import staged
 from .arrow_text import binary_array, cached, coded, mapped, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
 
 #: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
-BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 12 << 20, 4 << 20, 32 << 20
+BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 18 << 20, 4 << 20, 32 << 20
 
 # Fixed value: the pattern that pretoken_starts implements.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
