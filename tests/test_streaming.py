@@ -37,3 +37,21 @@ def test_views(spark, tmp_path):
     rows, stream = events(spark, tmp_path)
     got = {r.user: r.views for r in run(counters.view_counts(stream, "user", "agent"), tmp_path, "update")}
     assert got == {u: sum(x == u and "bot" not in a for _, x, a, _ in rows) for u in ("u0", "u1", "u2")}
+
+
+def test_denials_in_any_order_within_the_watermark(spark, tmp_path):
+    t = datetime(2026, 1, 1)
+    at = lambda minutes, k=0: t + timedelta(minutes=minutes, seconds=k)
+    landings = [
+        [("u0", at(7, k)) for k in range(3)] + [("u1", at(2, k)) for k in range(2)] + [("u2", at(7))],
+        [("u0", at(1, k)) for k in range(3)] + [("u1", at(3)), ("u1", at(4)), ("u0", at(8))],  # older windows, and more of one denied before
+        [("u3", at(120))],
+        [("u4", at(120))],  # rows are late by the watermark of the batch before
+        [("u2", at(8, k)) for k in range(3)] + [("u3", at(121, k)) for k in range(2)],  # u2 comes after the watermark
+    ]
+    for rows in landings:
+        spark.createDataFrame(rows, "user string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = counters.stream_of(spark, str(tmp_path / "in"), "user string, at timestamp", 1)
+    got = run(counters.denied_until(stream, "user", "at", 2, 5, "30 minutes"), tmp_path, "append")
+    end = lambda minutes: t + timedelta(minutes=minutes)
+    assert sorted((r.key, r.until) for r in got) == [("u0", end(5)), ("u0", end(10)), ("u1", end(5)), ("u3", end(125))]
