@@ -4,7 +4,7 @@ Words that look disguised (signs or digits among letters, repeated letters, lett
 restored: each sign stands for some letters at a cost, marks may be dropped, repeats may
 collapse, and Viterbi decoding picks the likeliest path under a trigram model of characters
 counted over the whole corpus. Three or more letters, signs or marks in a row that stand alone
-between blanks are one lattice, in which each blank is dropped or parts two words. Neighbouring parts that make up a weighted word
+between blanks are one lattice, in which each blank is dropped or parts two words. Neighbouring parts that make up a word of great weight
 are read as one where the model of characters, with a bonus for a known word, finds this likelier. Before all, characters
 of format are dropped, forms of other widths folded, and letters that look like Latin ones read as these where no other letters stand by them.
 Restored words, and their prefixes, are looked up in weights learnt from labels; what the weights
@@ -327,8 +327,10 @@ class Model:
 
     @cached_property
     def parts(self) -> tuple[set[str], set[str], dict[str, int]]:
-        """Whole words with a weight, what begins one, and for each part of one, 1 if it begins one, 2 if it stands further on in one, 3 if both."""
-        whole = {w for w in self.weights if not w.endswith("-") and len(w) >= LEAST_LETTERS}
+        """Whole words of at least half the greatest weight, what begins one, and for each part of one, 1 if it begins one, 2 if it stands further
+        on in one, 3 if both."""
+        least = max(self.weights.values(), default=0.0) / 2
+        whole = {w for w, x in self.weights.items() if x >= least and not w.endswith("-") and len(w) >= LEAST_LETTERS}
         starts = {w[:k] for w in whole for k in range(1, len(w))}
         kinds = dict.fromkeys(starts, 1)
         for x in {w[a:z] for w in whole for a in range(1, len(w)) for z in range(a + 1, len(w) + 1)}:
@@ -366,11 +368,11 @@ class Model:
         pairs, place = np.unique(words.code[at] * len(read) + words.code[at + 1], return_inverse=True)
         held = [read[k // len(read)] + read[k % len(read)] for k in pairs.tolist()]
         at = at[np.array([x in starts or x in whole for x in held], bool)[place.ravel()]] if len(at) else at
-        ends = np.searchsorted(words.doc, words.doc[at], side="right")
+        # a word of n letters has n parts at most
+        ends = np.minimum(np.searchsorted(words.doc, words.doc[at], side="right"), at + max(map(len, whole)))
         out = []
         for i, z in zip(at.tolist(), ends.tolist(), strict=True):
-            # a word of n letters has n parts at most
-            near = [read[k] for k in words.code[i : min(z, i + max(map(len, whole)))].tolist()]
+            near = [read[k] for k in words.code[i:z].tolist()]
             if (j := self.joined(near, 0)) > 0:
                 out.append((int(words.doc[i]), "".join(near[:j])))
         return out
