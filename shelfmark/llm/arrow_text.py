@@ -44,10 +44,10 @@ def mapped(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFram
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(tidy(run), schema)
 
 
-def pack(obj) -> bytes:
+def pack(obj, level: int = 1) -> bytes:
     """A pickled object under zstd, with its plain size in front."""
     raw = pickle.dumps(obj, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes):

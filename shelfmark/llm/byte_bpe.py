@@ -37,6 +37,8 @@ from .arrow_text import binary_array, cached, coded, mapped, pack, pieces, plane
 
 #: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
 BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 18 << 20, 4 << 20, 32 << 20
+#: How hard blocks are compressed: what is staged and shuffled is most of the operator's disk.
+LEVEL = 9
 
 # Fixed value: the pattern that pretoken_starts implements.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -212,7 +214,7 @@ def buckets_of(words: pa.Array, n_buckets: int) -> np.ndarray:
 
 def packed_words(words: pa.Array) -> bytes:
     data, at = text_buffers(words)
-    return pack((coded(np.diff(at)), data.tobytes()))
+    return pack((coded(np.diff(at)), data.tobytes()), LEVEL)
 
 
 def unpacked_words(payload: bytes) -> pa.Array:
@@ -232,7 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             numbers, words = block.close()
             rows = [(key, -1, packed_words(words), block.bytes)]
             for i, (ids, counts, v) in enumerate(zip(block.ids, block.counts, numbers, strict=True)):
-                rows.append((key, -2 - i, pack((ids.to_pylist(), coded(counts), coded(v))), None))
+                rows.append((key, -2 - i, pack((ids.to_pylist(), coded(counts), coded(v)), LEVEL), None))
             for row in rows:
                 yield pa.RecordBatch.from_arrays([*packed_rows([row[:3]]).columns, pa.array([row[3]], pa.int64())], names=["key", "part", "payload", "bytes"])
 
@@ -262,12 +264,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                         got = known[word] = one(word)
                     counts.append(len(got))
                     ids += got
-                yield packed_rows([(key, b, pack((coded(np.array(counts, np.uint32)), planes(np.array(ids, np.uint32)))))])
+                yield packed_rows([(key, b, pack((coded(np.array(counts, np.uint32)), planes(np.array(ids, np.uint32))), LEVEL))])
 
     def buckets_out(batches):
         for batch in batches:
             for key, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                yield packed_rows([(key, -1, pack(coded(buckets_of(unpacked_words(payload), n_buckets))))])
+                yield packed_rows([(key, -1, pack(coded(buckets_of(unpacked_words(payload), n_buckets)), LEVEL))])
 
     out_schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
 
