@@ -1,7 +1,7 @@
 """Searches of marketplaces as a Spark data source: one call a query and page, in lanes that run side by side.
 
 ``answers`` lands the queries in lanes and reads the source; its rows are the answers as they came, so that JSON is
-taken apart by built-in functions (``feeds``). A lane is one partition: it asks in order, page after page of a query
+taken apart by built-in functions (``feeds``). A lane is one partition: it reads its queries in order, a batch at a time, and asks page after page of a query
 while pages are full, with the pause between calls and the token's lifetime that the marketplace wants. What an answer's status means follows from
 the kind of search:
 
@@ -10,7 +10,7 @@ sold: 401 and 403 say that access is not granted: the lane gives no row for this
 by a marker in the shared folder before their next call). Other failures give no row.
 shop: any failure gives no row, one lane at a time.
 
-Transports: ``landed`` finds the answers in a table of (query, offset, status, body) beside the queries; ``http`` calls a URL,
+Transports: ``landed`` has each query's answers from a table of (query, offset, status, body) beside it; ``http`` calls a URL,
 with a token by client credentials where ``token_url`` is given.
 
 Defined results: a null query is not asked; a query without a landed answer has status 404; a query asked twice is answered
@@ -20,12 +20,13 @@ twice; empty queries tables give no rows; times come from the clock of the trans
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ QUERY_PARAMS = {
 #: Seconds between two calls of a lane, and before a token's end at which it is asked for anew.
 PAUSE = {"active": 0.0, "sold": 0.0, "shop": 1.2}
 TOKEN_MARGIN = 60
+#: Rows that a lane reads at once, and bytes of a row group of its files.
+BATCH, ROW_GROUP = 64, 8 << 20
 
 
 class Token:
@@ -74,13 +77,19 @@ class Pace:
 
 
 class Landed:
-    """Answers that were put beside the queries of a lane."""
+    """Answers that stand beside their queries: those of the query last taken from rows are held, and no others."""
 
-    def __init__(self, rows: list[dict]):
-        self.known = {(r["query"], r["offset"]): (r["status"], r["body"]) for r in rows}
+    def __init__(self, rows: Iterator[dict]):
+        self.rows, self.known = rows, {}
+
+    def queries(self) -> Iterator[dict]:
+        for _, group in itertools.groupby(self.rows, key=lambda r: r["seq"]):
+            rows = list(group)
+            self.known = {r["offset"]: (r["status"], r["body"]) for r in rows if r["offset"] is not None}
+            yield rows[0]
 
     def __call__(self, query: str, offset: int, limit: int) -> tuple[int, str | None]:
-        return self.known.get((query, offset), (404, None))
+        return self.known.get(offset, (404, None))
 
 
 class Http:
@@ -133,7 +142,7 @@ def length_of(body: str | None, kind: str) -> int:
         return 0
 
 
-def asked(rows: list[dict], call: Callable, kind: str, limit: int, pages: int, denied: Callable[[bool], bool], pace: Callable[[], None]) -> Iterator[tuple]:
+def asked(rows: Iterable[dict], call: Callable, kind: str, limit: int, pages: int, denied: Callable[[bool], bool], pace: Callable[[], None]) -> Iterator[tuple]:
     """The answers of a lane. denied(True) tells that access is not granted, denied(False) asks whether any lane was told so."""
     for row in rows:
         for page in range(pages):
@@ -168,17 +177,21 @@ class MarketReader(DataSourceReader):
         return [InputPartition(k) for k in range(int(self.options["lanes"]))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
         import pyarrow.fs as fs
+        import pyarrow.parquet as pq
 
         options, kind = self.options, self.options["kind"]
         store, root = _store(options["path"])
 
-        def table(name: str) -> list[dict]:
-            folder = f"{root}/{name}/lane={partition.value}"
+        def table() -> Iterator[dict]:
+            """The lane's rows in order: Spark numbers files by their range of the order, and sorts within each."""
+            folder = f"{root}/queries/lane={partition.value}"
             if store.get_file_info(folder).type == fs.FileType.NotFound:
-                return []
-            return ds.dataset(folder, filesystem=store, format="parquet").to_table().to_pylist()
+                return
+            for path in sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
+                with store.open_input_file(path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(BATCH):
+                        yield from batch.to_pylist()
 
         marker = f"{root}/denied"
 
@@ -189,8 +202,8 @@ class MarketReader(DataSourceReader):
             # a latch of its own lane is enough for one run to be like another; what other lanes were told only saves calls
             return told or (options.get("shared_latch") == "true" and store.get_file_info(marker).type == fs.FileType.File)
 
-        rows = sorted(table("queries"), key=lambda r: r["seq"])
-        call = Landed(table("answers")) if options["transport"] == "landed" else Http(options, kind)
+        call = Landed(table()) if options["transport"] == "landed" else Http(options, kind)
+        rows = call.queries() if options["transport"] == "landed" else table()
         yield from asked(rows, call, kind, int(options["limit"]), int(options["pages"]), denied, Pace(0.0 if options["transport"] == "landed" else PAUSE[kind]))
 
 
@@ -219,10 +232,14 @@ def answers(queries: DataFrame, kind: str, landed: DataFrame | None = None, lane
     order = [F.col(c) for c in queries.columns if c != "query"]
     placed = numbered(queries.filter("query IS NOT NULL"), *order, F.col("query"), name="seq")
     placed = placed.select(F.col("seq").cast("long").alias("seq"), "query", F.pmod(F.col("seq"), F.lit(lanes)).cast("int").alias("lane"))
-    placed.repartition(lanes, "lane").write.partitionBy("lane").parquet(f"{path}/queries")
+    most, parts = min(limit, MOST_PER_PAGE[kind]), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["lane", "seq"]
     if landed is not None:
-        own = spark.read.schema(placed.schema).parquet(f"{path}/queries").select("query", "lane").distinct()
-        found = landed.select("query", F.col("offset").cast("int").alias("offset"), F.col("status").cast("int").alias("status"), "body").join(own, "query")
-        found.repartition(lanes, "lane").write.partitionBy("lane").parquet(f"{path}/answers")
-    said = {"path": path, "kind": kind, "transport": "http" if landed is None else "landed", "lanes": lanes, "limit": min(limit, MOST_PER_PAGE[kind]), "pages": pages}
-    return spark.read.format("market").options(**said, **options).load()
+        # only offsets that can be asked; the numbers are staged, so that a query keeps its number when its answers are joined
+        pages_of = landed.select("query", F.col("offset").cast("int").alias("offset"), F.col("status").cast("int").alias("status"), "body").filter(F.col("offset").between(0, most * (pages - 1)))
+        placed, order = placed.join(pages_of, "query", "left"), [*order, "offset"]
+    # files of ranges of a lane's order: no task sorts or writes a whole lane, and a reader holds a small row group
+    placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy("lane").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/queries")
+    said = {"path": path, "kind": kind, "transport": "http" if landed is None else "landed", "lanes": lanes, "limit": most, "pages": pages}
+    # a lane is one task, so what is made of its answers is spread over more
+    return spark.read.format("market").options(**said, **options).load().repartition(parts)

@@ -77,6 +77,22 @@ def test_pages_are_read_while_they_are_full():
     assert [r[2] for r in got if r[1] == "q0"] == [0, 2, 4]
 
 
+def test_a_lane_holds_the_landed_answers_of_one_query():
+    taken = []
+
+    def rows():
+        for k in range(50):
+            for offset in (0, 2) if k % 3 else (None,):
+                taken.append(k)
+                yield {"seq": k, "query": f"q{k // 2}", "offset": offset, "status": None if offset is None else 200, "body": f"{k}-{offset}"}
+
+    call = markets.Landed(rows())
+    for k, row in enumerate(call.queries()):
+        assert (row["seq"], row["query"]) == (k, f"q{k // 2}") and max(taken) <= k + 1
+        assert [call(row["query"], offset, 2) for offset in (0, 2, 4)] == ([(200, f"{k}-0"), (200, f"{k}-2"), (404, None)] if k % 3 else [(404, None)] * 3)
+    assert k == 49
+
+
 @pytest.fixture
 def service():
     seen = {"tokens": 0, "calls": [], "status": 200}
