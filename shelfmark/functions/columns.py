@@ -1,10 +1,10 @@
-"""Names of columns: some that are not taken, and any as it is."""
+"""Names of columns: some that are not taken, and any as it is; values computed once; rows spread over tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,13 @@ def unused(columns: Iterable[str], *names: str) -> list[str]:
 def named(column: str) -> Column:
     """The column of this very name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
+
+
+def let(value: Column, use) -> Column:
+    """What use makes of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows in four parts for each core: a table that is small in bytes is read by few tasks, however much is made of each row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *columns)

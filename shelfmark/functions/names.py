@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
 from .text import B, extracted, replaced
 
 KANA_OR_KANJI = r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}]"
@@ -75,29 +76,35 @@ def without_series(name: Column, series: Column) -> Column:
 
 def distinct_names(names: Column) -> Column:
     """Names of two characters or more, each once whatever its case, in order."""
-    kept = F.filter(names, lambda n: n.isNotNull() & (F.length(n) >= 2))
-    lower = F.transform(kept, lambda n: F.lower(n))
-    return F.filter(kept, lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
+    first = lambda kept: lambda lower: F.filter(kept, lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
+    return let(F.filter(names, lambda n: n.isNotNull() & (F.length(n) >= 2)), lambda kept: let(F.transform(kept, lambda n: F.lower(n)), first(kept)))
 
 
 def character_candidates(name: Column, series: Column) -> Column:
     """The names by which a figure's one character may be known; none for sets."""
-    base = without_qualifiers(without_line(name))
-    stripped = F.transform(F.coalesce(series, F.array().cast("array<string>")), lambda s: without_qualifiers(without_line(without_series(base, s))))
-    parts = F.transform(F.split(base, "/"), without_qualifiers)
-    first = F.concat(F.array(base), stripped, F.array(F.get(F.split(base, JOINTS), F.lit(0)), F.trim(F.get(F.split(base, r"\s*[\[(（]"), F.lit(0)))), F.when(base.contains("/"), parts).otherwise(F.array().cast("array<string>")))
-    heads = F.transform(first, lambda c: F.trim(F.get(F.split(c, JOINTS), F.lit(0))))
-    return F.when(name.rlike(SEVERAL), F.array().cast("array<string>")).otherwise(distinct_names(F.concat(first, heads)))
+    none = F.array().cast("array<string>")
+
+    def of(base: Column) -> Column:
+        stripped = F.transform(F.coalesce(series, none), lambda s: without_qualifiers(without_line(without_series(base, s))))
+        parts = F.transform(F.split(base, "/"), without_qualifiers)
+        first = F.concat(F.array(base), stripped, F.array(F.get(F.split(base, JOINTS), F.lit(0)), F.trim(F.get(F.split(base, r"\s*[\[(（]"), F.lit(0)))), F.when(base.contains("/"), parts).otherwise(none))
+        return let(first, lambda names: distinct_names(F.concat(names, F.transform(names, lambda c: F.trim(F.get(F.split(c, JOINTS), F.lit(0)))))))
+
+    return F.when(name.rlike(SEVERAL), none).otherwise(let(without_qualifiers(without_line(name)), of))
 
 
 def split_characters(name: Column, series: Column) -> Column:
     """The two to six names that a figure of several characters joins, else none."""
-    base = F.aggregate(F.coalesce(series, F.array().cast("array<string>")), without_qualifiers(without_line(name)), lambda b, s: F.when(without_qualifiers(without_series(b, s)) != "", without_qualifiers(without_series(b, s))).otherwise(b))
-    head = F.trim(F.get(F.split(F.get(F.split(base, JOINTS), F.lit(0)), r"\s*[\[(（]"), F.lit(0)))
-    joined, slashed = F.split(head, r"(?i)\s+(?:&|×|\+|and)\s+"), F.filter(F.split(F.regexp_replace(head, rf"{B}1\s*/\s*\d{{1,2}}{B}", " "), "/"), lambda p: F.trim(p) != "")
-    listed = F.when(F.size(joined) >= 2, joined).when(F.size(slashed) >= 3, slashed).otherwise(F.array().cast("array<string>"))
+    base = F.aggregate(F.coalesce(series, F.array().cast("array<string>")), without_qualifiers(without_line(name)), lambda b, s: let(without_qualifiers(without_series(b, s)), lambda x: F.when(x != "", x).otherwise(b)))
+    none = F.array().cast("array<string>")
+
+    def of(head: Column) -> Column:
+        joined, slashed = F.split(head, r"(?i)\s+(?:&|×|\+|and)\s+"), F.filter(F.split(F.regexp_replace(head, rf"{B}1\s*/\s*\d{{1,2}}{B}", " "), "/"), lambda p: F.trim(p) != "")
+        return F.when(F.size(joined) >= 2, joined).when(F.size(slashed) >= 3, slashed).otherwise(none)
+
+    listed = let(F.trim(F.get(F.split(F.get(F.split(base, JOINTS), F.lit(0)), r"\s*[\[(（]"), F.lit(0))), of)
     parts = F.filter(F.transform(listed, without_qualifiers), lambda p: F.length(p) >= 2)
-    return F.when(F.size(parts).between(2, 6), distinct_names(parts)).otherwise(F.array().cast("array<string>"))
+    return let(parts, lambda p: F.when(F.size(p).between(2, 6), distinct_names(p)).otherwise(none))
 
 
 def alternatives(title: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.staging import staged
 from ..functions.text import names_match, romaji_key, same_character, unicode_form
 
 
@@ -22,20 +23,39 @@ def candidates(figures: DataFrame) -> DataFrame:
     return keyed(rows, "guess")
 
 
+def one_within_other(left: DataFrame, right: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """left and right joined by a group where the words of one key, left's a or right's b, are all among the other's: what names_match
+    and same_character need. Keys are compared once each, and one is found by its rarest word among the others of its group."""
+    words = lambda c: F.array_distinct(F.split(F.col(c), " +"))
+
+    def within(small: DataFrame, large: DataFrame, x: str, y: str) -> DataFrame:
+        of = lambda rows, key: rows.select(F.col(group), F.col(key), words(key).alias(f"{key}_words"), F.explode(words(key)).alias("word"))
+        there = of(large, y)
+        often = there.groupBy(group, "word").agg(F.count("*").alias("often"))
+        # a word that no other key has rules its key out
+        rarest = of(small, x).join(often, [group, "word"], "left").groupBy(group, x, f"{x}_words").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")).alias("r")).filter("r.often > 0")
+        pairs = rarest.select(group, x, f"{x}_words", F.col("r.word").alias("word")).join(there, [group, "word"])
+        return pairs.filter(F.size(F.array_except(f"{x}_words", f"{y}_words")) == 0).select(group, a, b)
+
+    mine, theirs = left.select(group, a).distinct(), right.select(group, b).distinct()
+    pairs = within(mine, theirs, a, b).unionByName(within(theirs, mine, b, a)).distinct()
+    return left.join(pairs, [group, a]).join(right, [group, b])
+
+
 def confirmed(guesses: DataFrame, known: DataFrame, source: str, within_series: bool = True) -> DataFrame:
     """(figure_id, character, source): the first guess that exactly one known character of the series bears out.
 
-    known: series, character. The join is by series, and by the first word of the key inside it.
+    known: series, character. The join is by series, and by the rarest word of a key inside it.
     """
     people = keyed(known.select("series", "character").distinct(), "character", "k")
-    found = guesses.join(people, "series").filter(names_match(F.col("key"), F.col("k")) | same_character(F.col("key"), F.col("k"), within_series))
+    found = one_within_other(guesses, people, "series", "key", "k").filter(names_match(F.col("key"), F.col("k")) | same_character(F.col("key"), F.col("k"), within_series))
     one = found.groupBy("figure_id", "at").agg(F.count_distinct("character").alias("n"), F.min("character").alias("character")).filter("n = 1")
     return one.groupBy("figure_id").agg(F.min_by("character", "at").alias("character")).withColumn("source", F.lit(source))
 
 
 def derived(figures: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """Each figure's character from the first source that confirms one: figure_id, character, source."""
-    guesses = candidates(figures)
+    guesses = staged(candidates(figures), "guesses")
     found = [confirmed(guesses, known, name).withColumn("place", F.lit(i)) for i, (name, known) in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, found)
     best = rows.groupBy("figure_id").agg(F.min_by(F.struct("character", "source"), "place").alias("b")).select("figure_id", "b.*")
@@ -57,9 +77,10 @@ def widened(figures: DataFrame, people: DataFrame) -> DataFrame:
     figures: figure_id, name, series, franchise. people: franchise, series, character.
     """
     parts = figures.select("figure_id", "series", "franchise", F.explode(names.split_characters(F.col("name"), F.array("series"))).alias("part"))
+    parts = staged(keyed(parts, "part"), "parts")
     n_parts = parts.groupBy("figure_id").agg(F.count("*").alias("n_parts"))
     pool = keyed(people.withColumnRenamed("series", "home"), "character", "k")
-    hits = keyed(parts, "part").join(pool, "franchise").filter(names_match(F.col("key"), F.col("k")) | same_character(F.col("key"), F.col("k"), True)).withColumn("own", F.col("series").eqNullSafe(F.col("home")))
+    hits = one_within_other(parts, pool, "franchise", "key", "k").filter(names_match(F.col("key"), F.col("k")) | same_character(F.col("key"), F.col("k"), True)).withColumn("own", F.col("series").eqNullSafe(F.col("home")))
     best = hits.withColumn("any_own", F.max("own").over(W.partitionBy("figure_id", "part"))).filter(F.col("own") == F.col("any_own"))
     one = best.groupBy("figure_id", "part").agg(F.count_distinct("character").alias("n"), F.min("character").alias("character")).filter("n = 1").drop("n")
     whole = one.join(n_parts, "figure_id").withColumn("found", F.count("*").over(W.partitionBy("figure_id"))).filter(F.col("found") == F.col("n_parts"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as T
+from ..functions.columns import spread
 from ..functions.staging import fresh_path
 from ..operators import fx, hygiene, lifecycle, tables
 from ..sources import feeds, pages
@@ -19,7 +20,7 @@ from .queries import half_up, query
 
 def items(spark, d) -> DataFrame:
     """Parts as products: k, name, brand, kind, size, price."""
-    return V.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    return spread(V.table(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
 
 
 ITEMS = "items AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_type AS kind, p_size AS size, p_retailprice AS price FROM part)"
