@@ -65,12 +65,26 @@ def public_profile(holdings: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def held_products(products: DataFrame, figures: DataFrame) -> DataFrame:
-    """(product_id, figure_id): the only figure of the same compared name whose maker and category do not contradict; unknown ones agree, OTHER does with all."""
-    p, f = products.alias("p"), figures.alias("f")
-    agree = lambda c: F.col(f"p.{c}").isNull() | F.col(f"f.{c}").isNull() | (F.lower(F.trim(F.col(f"p.{c}"))) == F.lower(F.trim(F.col(f"f.{c}"))))
-    category = agree("category") | (F.col("p.category") == "OTHER") | (F.col("f.category") == "OTHER")
-    hits = p.join(f, F.col("p.compared") == F.col("f.compared")).filter(agree("maker") & category)
-    return hits.groupBy(F.col("p.product_id").alias("product_id")).agg(F.count("*").alias("n"), F.min("f.figure_id").alias("figure_id")).filter("n = 1").drop("n")
+    """(product_id, figure_id): the only figure of the same compared name whose maker and category do not contradict; unknown ones agree, OTHER does with all.
+
+    Figures are counted by name, maker and category, and without either; a product asks for the counts that agree with it, so no
+    pair of product and figure is made.
+    """
+    said = lambda c: F.concat(F.lit("="), F.lower(F.trim(F.col(c))))
+    maker = F.when(F.col("maker").isNull(), "any").otherwise(said("maker"))
+    category = F.when(F.col("category").isNull() | (F.col("category") == "OTHER"), "any").otherwise(said("category"))
+    # what agrees with every product is counted under "any", and all there is under "all"
+    asked = lambda key: F.when(key == "any", F.array(F.lit("all"))).otherwise(F.array(key, F.lit("any")))
+    sums = figures.filter(F.col("compared").isNotNull()).groupBy("compared", maker.alias("maker"), category.alias("category")).agg(F.count("*").alias("n"), F.min("figure_id").alias("figure_id"))
+    both = lambda c: F.explode(F.array(F.col(c), F.lit("all"))).alias(c)
+    held = sums.select("compared", both("maker"), "category", "n", "figure_id").select("compared", "maker", both("category"), "n", "figure_id")
+    held = held.groupBy("compared", "maker", "category").agg(F.sum("n").alias("n"), F.min("figure_id").alias("figure_id"))
+    # products of one name, maker and category ask alike
+    kinds = products.select("compared", maker.alias("of_maker"), category.alias("of_category"), "product_id").filter(F.col("compared").isNotNull())
+    asks = kinds.select("compared", "of_maker", "of_category").distinct().select("*", F.explode(asked(F.col("of_maker"))).alias("maker")).select("*", F.explode(asked(F.col("of_category"))).alias("category"))
+    found = asks.join(held, ["compared", "maker", "category"]).groupBy("compared", "of_maker", "of_category").agg(F.sum("n").alias("n"), F.min("figure_id").alias("figure_id"))
+    hits = kinds.join(found, ["compared", "of_maker", "of_category"])
+    return hits.groupBy("product_id").agg(F.sum("n").alias("n"), F.min("figure_id").alias("figure_id")).filter("n = 1").drop("n")
 
 
 def subject_tokens(titles: DataFrame, group: str, k: int = 4) -> DataFrame:

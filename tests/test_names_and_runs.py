@@ -1,9 +1,10 @@
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import names
+from shelfmark.functions import names, text
 from shelfmark.operators import characters, detail, nightly
 
 
@@ -128,3 +129,32 @@ def test_ingest(spark):
     kept = spark.createDataFrame([(1, "a", "old", 1.0, "USD", 1.0, date(2026, 1, 1), None)], sold)
     new = items.withColumn("sold_at", F.lit(date(2026, 8, 1)))
     assert rows(nightly.ingested_sales(kept, new, figures, rates), "external_id", "amount_usd", "sold_at", "figure_id") == [("a", 1.0, date(2026, 1, 1), "nendo")]
+
+
+def test_held_products_make_no_pairs_and_equal_those_that_do(spark):
+    rng = random.Random(9)
+    some = lambda *values: rng.choice(values)
+    products = [(k // 2 if k % 9 == 0 else k, some("a", "b", "c", None), some("X", " x", "y", None, "any"), some("OTHER", "other", "S", None, "all")) for k in range(60)]
+    figs = [(k, some("a", "b", "d", None), some("x", "Y ", "z", None, "ANY"), some("OTHER", "s", "t", None, "all", "Other")) for k in range(9)]
+    norm = lambda x: x.strip(" ").lower()
+    agree = lambda a, b: a is None or b is None or norm(a) == norm(b)
+    hits = [(p[0], f[0]) for p in products for f in figs if p[1] is not None and p[1] == f[1] and agree(p[2], f[2]) and (agree(p[3], f[3]) or "OTHER" in (p[3], f[3]))]
+    got = detail.held_products(spark.createDataFrame(products, "product_id int, compared string, maker string, category string"), spark.createDataFrame(figs, "figure_id int, compared string, maker string, category string"))
+    want = sorted((p, f) for p, f in hits if sum(p == q for q, _ in hits) == 1)
+    assert want and rows(got, "product_id", "figure_id") == sorted(want, key=repr)
+    # figures meet products as counts: every join is by name, maker and category
+    assert all("maker" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_keys_within_each_other_are_all_found(spark):
+    rng = random.Random(4)
+    keys = [rng.choice(["", " ", "  "]) * (rng.random() < 0.2) + " ".join(rng.sample(["sora", "riku", "al", "b", "kairi", "mi"], rng.randint(0, 3))) + " " * (rng.random() < 0.2) for _ in range(80)]
+    left = spark.createDataFrame([(k, f"s{k % 3}", key) for k, key in enumerate([*keys[:40], None])], "i int, series string, key string")
+    right = spark.createDataFrame([(k, f"s{k % 3}", key) for k, key in enumerate(keys[40:])], "j int, series string, k string")
+    for within_series in (True, False):
+        match = text.names_match(F.col("key"), F.col("k")) | text.same_character(F.col("key"), F.col("k"), within_series)
+        want = rows(left.join(right, "series").filter(match), "i", "j")
+        assert want and rows(characters.one_within_other(left, right, "series", "key", "k").filter(match), "i", "j") == want
+    # a word that all share makes no pairs
+    many = lambda side, key: spark.range(300).select(F.col("id").alias(side), F.lit("s").alias("series"), F.concat(F.lit("sora x"), "id").alias(key))
+    assert characters.one_within_other(many("i", "key"), many("j", "k"), "series", "key", "k").count() == 300
