@@ -108,21 +108,51 @@ def figure_features(figures: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(titles: DataFrame, figures: DataFrame) -> DataFrame:
-    """(title_id, figure_id) of all pairs that can score above 0."""
+    """(title_id, figure_id) of all pairs that can score above 0, and few others.
+
+    A pair needs numbers that do not differ; an equal number or all descriptors in the title; and one of these: a character's
+    token or Japanese name, an equal number that is marked as one (strict), or, with three descriptors or more, all tokens of the name. A
+    figure is led by its rarest descriptor and its number, or by its characters' tokens and its rarest name token, whichever
+    fewer titles hold.
+    """
     t = titles.filter("usable")
-    held = t.select("title_id", F.explode("tokens").alias("token"))
-    by_number = t.filter("number IS NOT NULL").select("title_id", "number").join(figures.filter("f_number IS NOT NULL").select("figure_id", F.col("f_number").alias("number")), "number").select("title_id", "figure_id")
-    often = held.groupBy("token").agg(F.count("*").alias("often"))
-    wanted = figures.select("figure_id", "descriptors", F.explode("descriptors").alias("token")).join(often, "token", "left")
-    rare = wanted.withColumn("i", F.row_number().over(W.partitionBy("figure_id").orderBy(F.coalesce("often", F.lit(0)), "token"))).filter("i = 1")
-    by_descriptor = held.join(rare.select("figure_id", "token", "descriptors"), "token").join(t.select("title_id", "tokens"), "title_id").filter(within(F.col("descriptors"), F.col("tokens"))).select("title_id", "figure_id")
-    bare = figures.filter(F.size("descriptors") == 0)
-    by_character = held.join(bare.select("figure_id", F.explode("character_tokens").alias("token")), "token").select("title_id", "figure_id")
+    held = t.select("title_id", "number", F.explode("tokens").alias("token"))
+    often = staged(held.groupBy("token").agg(F.count("*").alias("often")), "often")
+    numbers = t.filter("number IS NOT NULL").select("title_id", "number", F.coalesce(F.col("strict") == F.col("number"), F.lit(False)).alias("strictly"))
+    numbered = numbers.groupBy(F.col("number").alias("f_number")).agg(F.count("*").alias("same_number"))
+
+    def counted(column: str) -> DataFrame:
+        """figure_id with the tokens of a column, and how many titles hold each."""
+        return figures.select("figure_id", F.explode(F.array_distinct(column)).alias("token")).join(often, "token", "left").select("figure_id", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token").alias("t"))
+
+    rarest = lambda column, name: counted(column).groupBy("figure_id").agg(F.min("t").alias(name))
+    japanese = F.exists("characters_ja", lambda ja: F.length(ja) > 1)
+    alone = F.size("descriptors") >= 3
+    led = figures.select("figure_id", "f_number", "descriptors", "character_tokens", "name_tokens", F.coalesce(japanese, F.lit(False)).alias("japanese"), alone.alias("alone"))
+    led = led.join(rarest("descriptors", "by_descriptor"), "figure_id", "left").join(rarest("name_tokens", "by_name"), "figure_id", "left")
+    led = led.join(counted("character_tokens").groupBy("figure_id").agg(F.sum("t.often").alias("by_character")), "figure_id", "left").join(numbered, "f_number", "left")
+    descriptor_cost = F.col("by_descriptor.often") + F.coalesce("same_number", F.lit(0))
+    character_cost = F.coalesce("by_character", F.lit(0)) + F.when(F.col("alone"), F.col("by_name.often")).otherwise(0)
+    bare = F.size("descriptors") == 0
+    led = staged(led.withColumn("by_words", bare | (~F.col("japanese") & (character_cost < descriptor_cost))), "led")
+
+    # numbers that are both there must be equal; then, or if all descriptors are there, the pair stays
+    gate = F.coalesce(F.col("f_number") == F.col("number"), F.col("descriptors_there"))
+    joined = lambda by: held.join(by, "token").filter(F.coalesce(F.col("f_number") == F.col("number"), F.lit(True)))
+    whole = lambda pairs: pairs.join(t.select("title_id", "tokens"), "title_id").withColumn("descriptors_there", within(F.col("descriptors"), F.col("tokens"))).filter(gate).select("title_id", "figure_id")
+    keep = ["figure_id", "f_number", "descriptors"]
+    by_number = numbers.join(led.withColumn("number", F.col("f_number")), "number").filter("strictly OR NOT by_words").select("title_id", "figure_id")
+    leads = [
+        led.filter("NOT by_words").select(*keep, F.col("by_descriptor.token").alias("token")),
+        led.filter("by_words").select(*keep, F.explode(F.array_distinct("character_tokens")).alias("token")),
+        led.filter("by_words AND alone").select(*keep, F.col("by_name.token").alias("token")),
+    ]
+    by_word = whole(joined(reduce(DataFrame.unionByName, leads).distinct()))
     # Japanese names are substrings: they are found by their first two characters among the title's pairs of characters
     grams = t.select("title_id", "title", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("title") - 1)), lambda i: F.col("title").substr(i, F.lit(2))))).alias("gram"))
-    names = bare.select("figure_id", F.explode("characters_ja").alias("ja")).filter(F.length("ja") > 1).withColumn("gram", F.substring("ja", 1, 2))
+    names = figures.filter(bare).select("figure_id", F.explode("characters_ja").alias("ja")).filter(F.length("ja") > 1).withColumn("gram", F.substring("ja", 1, 2))
     by_japanese = grams.join(names, "gram").filter(F.col("title").contains(F.col("ja"))).select("title_id", "figure_id")
-    return reduce(DataFrame.union, [by_number, by_descriptor, by_character, by_japanese]).distinct()
+    return reduce(DataFrame.union, [by_number, by_word, by_japanese]).distinct()
 
 
 def score_of(pairs: DataFrame) -> DataFrame:

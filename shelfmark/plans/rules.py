@@ -254,23 +254,28 @@ def nightly_snapshots(spark, d):
     return nightly.aggregated(V.sales(spark, d), V.listings(spark, d), V.figures(spark, d), spark.createDataFrame([], none), date(2001, 6, 15), NOW)["snapshots"]
 
 
-# Figures for matching: each has a number and a name of its own; titles name them, or differ in one thing that refuses the match.
+# Figures for matching: each has a name of its own and one of 5,000 numbers, since a number has four digits at most; titles name
+# them, or differ in one thing that refuses the match.
+def line_number() -> Column:
+    return cat("ex-", 1000 + F.col("k") % 5000)
+
+
 def catalogue(spark, d) -> DataFrame:
     rows = items(spark, d)
     none = F.lit(None)
     return rows.select(
-        F.col("k").alias("figure_id"), cat("Nendoroid Sora ", code(F.col("k")), " blaze").alias("name"), none.cast("string").alias("name_ja"), F.lit("1/7").alias("scale"), F.lit(100).alias("height_mm"), F.lit("NENDOROID").alias("category"),
-        F.lit("Good Smile Company").alias("maker"), (F.col("k") + 1000).cast("string").alias("line_number"), F.lit("Skyward Tales").alias("series"), none.cast("array<string>").alias("series_aliases"), F.array(cat("Sora ", code(F.col("k")))).alias("characters"), none.cast("array<string>").alias("characters_ja"),
+        F.col("k").alias("figure_id"), cat("Nendoroid Sora", code(F.col("k")), " blaze").alias("name"), none.cast("string").alias("name_ja"), F.lit("1/7").alias("scale"), F.lit(100).alias("height_mm"), F.lit("NENDOROID").alias("category"),
+        F.lit("Good Smile Company").alias("maker"), line_number().alias("line_number"), F.lit("Skyward Tales").alias("series"), none.cast("array<string>").alias("series_aliases"), F.array(cat("Sora", code(F.col("k")))).alias("characters"), none.cast("array<string>").alias("characters_ja"),
     )
 
 
 def listed_titles(spark, d) -> DataFrame:
     """Titles 0: of the figure; 1: of another scale; 2: of a rival's; 3: of another number; 4: of twice its size; 5: of goods; 6: rejected; 7: without its last word."""
-    name = cat("Sora ", code(F.col("k")), " blaze")
-    line = cat("Good Smile Company Nendoroid ", F.col("k") + 1000)
+    name = cat("Sora", code(F.col("k")), " blaze")
+    line = cat("Good Smile Company Nendoroid ", line_number())
     title = every(
-        8, cat(line, " ", name, " Skyward Tales 1/7 figure"), cat(line, " ", name, " 1/8 figure"), cat("FuRyu Nendoroid ", F.col("k") + 1000, " ", name), cat("Nendoroid ", F.col("k") + 3000, " ", name), cat(line, " ", name, " 250mm"),
-        cat(line, " ", name, " acrylic stand"), cat(line, " ", name), cat("Nendoroid Sora ", code(F.col("k"))),
+        8, cat(line, " ", name, " Skyward Tales 1/7 figure"), cat(line, " ", name, " 1/8 figure"), cat("FuRyu Nendoroid ", line_number(), " ", name), cat("Nendoroid ex-", 6000 + F.col("k") % 3000, " ", name), cat(line, " ", name, " 250mm"),
+        cat(line, " ", name, " acrylic stand"), cat(line, " ", name), cat("Nendoroid Sora", code(F.col("k"))),
     )
     rejected = F.when(F.col("k") % 8 == 6, F.array(F.col("k").cast("string")))
     return items(spark, d).select(F.col("k").alias("title_id"), title.alias("title"), rejected.alias("rejected"))

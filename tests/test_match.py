@@ -53,3 +53,11 @@ def test_rematch_classes(spark):
     held = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, None), (5, "e")], "title_id int, figure_id string")
     new = spark.createDataFrame([(1, "a", 0.9), (2, "c", 0.8), (3, "d", 0.7)], "title_id int, figure_id string, score double")
     assert {r.title_id: r.change for r in M.rematch(held, new).collect()} == {1: "same", 2: "moved", 3: "gained", 4: "same", 5: "lost"}
+
+
+def test_words_that_all_share_lead_to_no_pairs(spark):
+    names = [a + b for a in "bdfgh" for b in "klmnp"]
+    figures = spark.createDataFrame([figure(f"f{i}", f"Nendoroid Sora{n} blaze", category="NENDOROID", line_number=f"ex-{1000 + i % 7}", characters=[f"Sora{n}"]) for i, n in enumerate(names)], FIGURES)
+    titles = spark.createDataFrame([(i, f"Nendoroid ex-{1000 + i % 7} Sora{n} blaze") for i, n in enumerate(names)], "title_id int, title string")
+    t, f = M.title_features(titles), M.figure_features(figures)
+    assert sorted((r.title_id, r.figure_id) for r in M.candidate_pairs(t, f).collect()) == sorted((i, f"f{i}") for i in range(len(names)))
