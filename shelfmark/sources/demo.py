@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.semantics import half_up
 
 # Fixed values of the generator and of the histories made with it.
@@ -23,11 +24,6 @@ def _times(a: Column, b: Column) -> Column:
     return ((a.bitwiseAND(0xFFFF) * b) + F.shiftleft((F.shiftright(a, 16) * b.bitwiseAND(0xFFFF)).bitwiseAND(0xFFFF), 16)).bitwiseAND(MASK)
 
 
-def let(value: Column, use) -> Column:
-    """What use makes of a value that is computed once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def draw(seed: Column, n: Column) -> Column:
     """The n-th number of a seed, n from 1: at least 0 and less than 1."""
     state = (seed.cast("long").bitwiseAND(MASK) + n.cast("long") * STEP).bitwiseAND(MASK)
@@ -67,11 +63,12 @@ def counted(figures: DataFrame, days: int) -> DataFrame:
 
 def sales(figures: DataFrame, days: int) -> DataFrame:
     """figure_id, condition, days_ago, k (from 0 within day and condition), amount_usd."""
-    steps = counted(figures, days).select("figure_id", "seed", "walk", F.posexplode(F.slice("drawn", 1, 2 * days)).alias("step", "before"))
+    # outer, since a plain one is led by a filter for empty arrays, which would make walk and draws once more
+    steps = counted(figures, days).select("figure_id", "seed", "walk", F.posexplode_outer(F.slice("drawn", 1, 2 * days)).alias("step", "before"))
     day = (F.col("step") / 2).cast("int")
     rows = steps.select("figure_id", "seed", "before", day.alias("day"), (F.col("step") % 2).alias("used"), F.get("walk", day).alias("base"))
     n = daily_sales(F.col("base"), F.col("seed"), F.col("before"))
-    rows = rows.withColumn("k", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1))))
+    rows = rows.withColumn("k", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)))).filter("k IS NOT NULL")
     spread = 1 + (draw(F.col("seed"), F.col("before") + 2 + F.col("k")) - 0.5) * SPREAD
     price = half_up(F.col("base") * F.when(F.col("used") == 0, 1.0).otherwise(USED_FACTOR) * spread)
     condition = F.when(F.col("used") == 0, CONDITIONS[0]).otherwise(CONDITIONS[1])
@@ -90,8 +87,8 @@ def snapshots(sold: DataFrame) -> DataFrame:
 def asks(figures: DataFrame, days: int) -> DataFrame:
     """Two to five live asks of each figure, above its market value: figure_id, k, condition, amount_usd."""
     # the rows of a lone array, so that the count of draws is made once
-    rows = counted(figures, days).select("figure_id", "seed", "market_usd", F.explode(F.array(F.element_at("drawn", -1))).alias("before"))
+    rows = counted(figures, days).select("figure_id", "seed", "market_usd", F.explode_outer(F.array(F.element_at("drawn", -1))).alias("before"))
     n = 2 + F.floor(draw(F.col("seed"), F.col("before") + 1) * 4)
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    rows = rows.withColumn("k", F.explode_outer(F.sequence(F.lit(0).cast("long"), n - 1)))
     markup = 1.05 + draw(F.col("seed"), F.col("before") + 2 + F.col("k")) * 0.35
     return rows.select("figure_id", "k", F.when(F.col("k") % 3 == 0, CONDITIONS[1]).otherwise(CONDITIONS[0]).alias("condition"), half_up(F.col("market_usd") * markup).alias("amount_usd"))

@@ -183,6 +183,8 @@ def test_draws_and_histories_equal_a_generator_that_steps(spark):
         for j in range(2 + int(next(rng) * 4)):
             want_asks.append((k, j, demo.CONDITIONS[j % 3 == 0], cents(market * (1.05 + next(rng) * 0.35))))
     assert sold == sorted(want_sold) and asks == sorted(want_asks)
+    for made in (demo.sales(frame, days), demo.asks(frame, days)):
+        assert "size(" not in made._jdf.queryExecution().optimizedPlan().toString()  # no filter that makes the walk once more
     snaps = demo.snapshots(demo.sales(frame, days)).collect()
     assert sum(r.sample_size for r in snaps) == len(sold) and all(r.min_usd <= r.median_usd <= r.max_usd < r.lowest_ask_usd * 10 for r in snaps)
     assert demo.walks(frame, 1).first().walk == [40.0]
@@ -201,3 +203,11 @@ def test_lanes_do_not_overlap_and_hosts_are_left_alone_long_enough(spark):
                 last[r[of]] = r.starts_at + room(r)
         assert len({r.lane for r in got}) == lanes
     assert pacing.scheduled(frame.filter("false"), 4, F.col("id")).count() == 0
+
+
+def test_products_are_spread_over_tasks(spark):
+    from shelfmark.plans import mechanisms, round_trips
+
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert mechanisms.demo_figures(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == few
+    assert round_trips.items(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == few
