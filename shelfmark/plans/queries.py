@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, semantics
 from ..functions import text as T
+from ..functions.columns import spread
 from ..operators import catalog, detail, fx, hygiene, lifecycle, match, rollup, tables, value
 from ..sources import feeds, pages
 from . import views as V
@@ -403,7 +404,7 @@ def conditions(spark, d):
 @query()
 def match_titles(spark, d):
     """A title for every part against all parts as figures; tests hold the blocked join against all pairs."""
-    parts = V.table(spark, d, "part")
+    parts = spread(V.table(spark, d, "part"), "p_partkey")
     none = F.lit(None)
     key = F.concat(F.lit("No."), F.col("p_partkey").cast("string"))
     figs = parts.select(F.col("p_partkey").alias("figure_id"), F.concat_ws(" ", "p_name", "p_type", key).alias("name"), none.cast("string").alias("name_ja"), F.when(F.col("p_size") <= 12, F.concat(F.lit("1/"), F.col("p_size").cast("string"))).alias("scale"), (F.col("p_size") * 10).alias("height_mm"), F.lit("SCALE").alias("category"), F.col("p_brand").alias("maker"), none.cast("string").alias("line_number"), none.cast("string").alias("series"), none.cast("array<string>").alias("series_aliases"), F.array("p_name").alias("characters"), none.cast("array<string>").alias("characters_ja"))
