@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let, named, unused
 from ..functions.dates import parsed_date
 from ..functions.text import decoded_entities, height_mm, jan_code, price_jpy, scale_of, squeezed, stripped_tags
 
@@ -26,8 +27,8 @@ def spec_map(html: Column, label: str, value: str) -> Column:
     """The first value of each label of a list or table; values that hold markup of scripts are dropped."""
     zipped = F.arrays_zip(F.transform(F.regexp_extract_all(html, F.lit(label), F.lit(1)), lambda x: F.regexp_replace(stripped_tags(x), r"[\s:：]+$", "")).alias("k"), F.regexp_extract_all(html, F.lit(value), F.lit(1)).alias("v"))
     pairs = F.filter(F.transform(zipped, lambda z: F.struct(z["k"].alias("key"), stripped_tags(z["v"]).alias("value"))), lambda p: p["key"].isNotNull() & (p["key"] != "") & p["value"].isNotNull() & ~p["value"].rlike(r"[<>{}]"))
-    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
-    return F.map_from_entries(first)
+    first = lambda pairs: lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.map_from_entries(let(pairs, lambda pairs: let(F.transform(pairs, lambda q: q["key"]), first(pairs))))
 
 
 def definition_list(html: Column, holding: str) -> Column:
@@ -45,12 +46,15 @@ def spec_table(html: Column) -> Column:
 
 def product_fields(rows: DataFrame, html: str = "html", label: str = "Product Name") -> DataFrame:
     """rows with name, price_jpy, scale, height_mm, jan, release_date and precision of a product's list or table."""
-    both = F.map_zip_with(definition_list(F.col(html), label), spec_table(F.col(html)), lambda k, a, b: F.coalesce(a, b))
-    specs = F.coalesce(both, definition_list(F.col(html), label), spec_table(F.col(html)))
-    rows = rows.withColumn("specs", specs)
-    whole = F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
-    date = F.coalesce(*(parsed_date(F.element_at("specs", k)) for k in ("Release Date", "Release", "発売日", "発売時期", "発売月")))
-    return rows.select("*", F.element_at("specs", label).alias("name"), price_jpy(whole).alias("price_jpy"), scale_of(whole).alias("scale"), height_mm(whole).alias("height_mm"), jan_code(whole).alias("jan"), date["date"].alias("release_date"), date["precision"].alias("precision"))
+    maps = F.struct(definition_list(F.col(html), label).alias("listed"), spec_table(F.col(html)).alias("tabled"))
+    specs = let(maps, lambda m: F.coalesce(F.map_zip_with(m["listed"], m["tabled"], lambda k, a, b: F.coalesce(a, b)), m["listed"], m["tabled"]))
+    columns, (whole_as, date_as) = [*rows.columns, "specs"], unused([*rows.columns, "specs"], "whole", "date")
+    entries = F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
+    first_date = F.coalesce(*(parsed_date(F.element_at("specs", k)) for k in ("Release Date", "Release", "発売日", "発売時期", "発売月")))
+    # columns of their own, so that each is made once
+    rows = rows.withColumn("specs", specs).withColumns({whole_as: entries, date_as: first_date})
+    whole, date = F.col(whole_as), F.col(date_as)
+    return rows.select(*map(named, columns), F.element_at("specs", label).alias("name"), price_jpy(whole).alias("price_jpy"), scale_of(whole).alias("scale"), height_mm(whole).alias("height_mm"), jan_code(whole).alias("jan"), date["date"].alias("release_date"), date["precision"].alias("precision"))
 
 
 AVAILABLE = {"InStock": True, "PreOrder": True, "LimitedAvailability": True, "OutOfStock": False, "SoldOut": False, "Discontinued": False}
