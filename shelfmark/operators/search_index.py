@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import unused
+from ..functions.columns import spread, unused
 from .catalog import matches_query, query_tokens
 
 FOLDERS, SPREAD = 64, 8
@@ -44,11 +44,11 @@ class Index:
 
 def build(rows: DataFrame, path: str, id_col: str, texts: list[Column]) -> Index:
     """The index of texts, written at a path."""
-    held = rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, texts))))).alias("run"))
+    held = spread(rows).select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, texts))))).alias("run"))
     held = held.withColumn("folder", (F.crc32(F.col("run").cast("binary")) % FOLDERS).cast("int"))
     # a run that a third of all rows hold goes to SPREAD tasks
-    spread = held.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("folder", "run")
-    spread.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
+    placed = held.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("folder", "run")
+    placed.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
     spark = rows.sparkSession
     postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
     postings.groupBy("folder", "run").agg(F.count("*").alias("n")).repartition("folder").sortWithinPartitions("run").write.partitionBy("folder").parquet(f"{path}/sizes")
@@ -71,13 +71,18 @@ def search(index: Index, rows: DataFrame, query: str, id_col: str = "figure_id",
 
 
 def searched(index: Index, rows: DataFrame, queries: DataFrame, id_col: str, texts: list[Column]) -> DataFrame:
-    """(query_id, id) for many queries at once. queries: query_id, tokens of two characters or more; one without tokens finds nothing."""
+    """(query_id, id) for many queries at once. queries: query_id, tokens of two characters or more; one without tokens finds nothing.
+
+    Queries of the same tokens are looked up once, and each text is read once, beside all that may stand in it.
+    """
+    queries = queries.select("query_id", "tokens").distinct()
     first = lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(F.filter(runs_of(t), lambda r: F.length(r) == 3))
-    wanted = queries.select("query_id", "tokens", F.explode(F.flatten(F.transform("tokens", first))).alias("run"))
+    wanted = queries.select("tokens").distinct().select("tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", first)))).alias("run"))
     sized = wanted.join(index.sizes.select("run", "n"), "run", "left")
-    rarest = sized.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"), F.first("tokens").alias("tokens")).filter("r.n > 0")
-    found = rarest.select("query_id", "tokens", F.col("r.run").alias("run")).join(index.postings.select("run", F.col("id").alias("found")), "run")
+    rarest = sized.groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).filter("r.n > 0")
+    found = rarest.select("tokens", F.col("r.run").alias("run")).join(index.postings.select("run", "id"), "run").groupBy("id").agg(F.collect_set("tokens").alias("asked"))
     held = rows.select(F.col(id_col).alias("id"), F.array(*texts).alias("texts"))
-    both = found.join(held, F.col("found") == F.col("id"))
-    all_there = F.forall("tokens", lambda t: F.exists("texts", lambda x: F.coalesce(x.contains(t), F.lit(False))))
-    return both.filter(all_there).select("query_id", "id")
+    all_there = lambda tokens: F.forall(tokens, lambda t: F.exists("texts", lambda x: F.coalesce(x.contains(t), F.lit(False))))
+    # outer, since a plain explode is led by a filter that checks all tokens once more
+    hits = spread(found.join(held, "id"), "id").select("id", F.explode_outer(F.filter("asked", all_there)).alias("tokens")).filter("tokens IS NOT NULL")
+    return queries.join(hits, "tokens").select("query_id", "id")

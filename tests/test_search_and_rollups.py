@@ -153,3 +153,14 @@ def test_printings_equal_a_loop(spark):
     for figure in range(60):
         assert sorted(got[figure], key=repr) == sorted(folded([r[1:] for r in rows if r[0] == figure]), key=repr)
     assert not re.search("FlatMapGroups|Python", lifecycle.folded_printings(frame)._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_queries_of_the_same_tokens_read_each_text_once(spark, tmp_path):
+    from shelfmark.operators import search_index
+
+    docs = spark.createDataFrame([(k, "alpha beta" if k % 2 else "gamma the") for k in range(6)], "doc_id int, text string")
+    index = search_index.build(docs, str(tmp_path / "i"), "doc_id", [docs.text])
+    queries = spark.createDataFrame([(q, ["alpha"] if q < 3 else ["gamma", "the"] if q < 5 else ["delta"]) for q in range(6)], "query_id int, tokens array<string>")
+    got = search_index.searched(index, docs, queries, "doc_id", [docs.text])
+    assert sorted(map(tuple, got.collect())) == sorted((q, k) for q in range(5) for k in range(6) if (q < 3) == (k % 2 == 1))
+    assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString()
