@@ -156,16 +156,30 @@ def longest_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
     return names.join(hits, "id", "left")
 
 
+#: A token of more rows than this is looked up in a small table, so its rows do not come together in one task.
+HOT = 10_000
+
+
+def leading_rows(held: DataFrame, rare: DataFrame, hot: DataFrame) -> DataFrame:
+    """held without the rows of those hot tokens that are no name's rarest."""
+    led = rare.join(F.broadcast(hot), "token", "left_semi").select("token").distinct()
+    return held.join(F.broadcast(hot.join(F.broadcast(led), "token", "left_anti").select("token")), "token", "left_anti")
+
+
 def titles_naming(titles: DataFrame, names: DataFrame) -> DataFrame:
     """(title_id, name_id): titles that hold all tokens of a name, found by the name's rarest token.
 
-    titles: title_id, tokens. names: name_id, tokens.
+    titles: title_id, tokens. names: name_id, tokens. There are at most as many hot tokens as HOT goes into all rows of tokens.
     """
     held = titles.select("title_id", "tokens", F.explode("tokens").alias("token"))
-    often = held.groupBy("token").agg(F.count("*").alias("often"))
-    rare = names.select("name_id", F.col("tokens").alias("wanted"), F.explode("tokens").alias("token")).join(often, "token", "left")
+    wanted = names.select("name_id", F.col("tokens").alias("wanted"), F.explode("tokens").alias("token"))
+    both = held.select("token", F.lit(1).alias("title")).unionByName(wanted.select("token", F.lit(0).alias("title")))
+    counts = staged(both.groupBy("token").agg(F.sum("title").alias("often"), F.count("*").alias("n")), "token-counts")
+    hot, often = counts.filter(F.col("n") > HOT).select("token", "often"), counts.select("token", "often")
+    rare = wanted.join(F.broadcast(hot), "token").unionByName(wanted.join(F.broadcast(hot), "token", "left_anti").join(often, "token", "left"))
     rare = rare.withColumn("i", F.row_number().over(W.partitionBy("name_id").orderBy(F.coalesce("often", F.lit(0)), "token"))).filter("i = 1")
-    return held.join(rare, "token").filter(F.size(F.array_except("wanted", "tokens")) == 0).select("title_id", "name_id")
+    rare = staged(rare.select("name_id", "wanted", "token"), "rarest-tokens")
+    return leading_rows(held, rare, hot).join(rare, "token").filter(F.size(F.array_except("wanted", "tokens")) == 0).select("title_id", "name_id")
 
 
 def token_clusters(names: DataFrame, least: int = 2, most: int = 12) -> DataFrame:

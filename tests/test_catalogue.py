@@ -146,6 +146,19 @@ def test_links_by_priority(spark):
     assert rows(hygiene.linked_products(products, figs), "id", "figure_id", "by") == [("a", 1, "name"), ("b", None, None), ("c", 3, "specs"), ("d", 1, "jan"), ("e", None, None)]
 
 
+def test_words_of_all_titles_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(hygiene, "HOT", 3)
+    titles = [(i, ["figure", f"a{i % 7}", f"b{i % 3}", "pvc"]) for i in range(40)] + [(40, ["figure", "figure"]), (41, None), (42, [None, "a1"])]
+    names = [(100 + i, ["figure", f"a{i}", f"b{i % 4}"]) for i in range(8)] + [(200, ["pvc"]), (201, ["pvc", "figure"]), (202, ["gone"]), (203, []), (204, [None, "a1"])]
+    seen, real = [], hygiene.leading_rows
+    monkeypatch.setattr(hygiene, "leading_rows", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = hygiene.titles_naming(spark.createDataFrame(titles, "title_id int, tokens array<string>"), spark.createDataFrame(names, "name_id int, tokens array<string>"))
+    want = [(t, n) for t, has in titles for n, wanted in names if has and wanted and None not in wanted and set(wanted) <= set(has)]
+    assert rows(got) == sorted(want, key=repr) and len(want) > 80
+    left = {r.token for r in seen[0].select("token").distinct().collect()}
+    assert "figure" not in left and "pvc" in left  # pvc is a name's rarest
+
+
 def test_folds_and_small_joins(spark):
     children = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, "z")], "figure_id int, code string")
     folds = spark.createDataFrame([(1, 1), (2, 1)], "figure_id int, survivor int")
