@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import spread
 from ..functions.staging import fresh_path
 from ..operators import catalog, fx, match, nightly, reviews, shops
 from ..streaming import counters
@@ -225,14 +226,15 @@ def streamed_denials(spark, d):
     # four landings, each with the days of its quarter and some of the days around it, out of order
     shifted = events.withColumn("at", F.unix_seconds("ts") + 3600 * F.pmod(F.hash("user_id", "ts"), F.lit(24)))
     first, last = shifted.agg(F.min("at"), F.max("at")).first()
-    for k in range(4):
-        quarter = F.floor((F.col("at") - first) * 4 / (last - first + 1)) == k
-        shifted.filter(quarter).orderBy(F.hash("ts")).drop("at").coalesce(1).write.mode("append").parquet(landed)
-    rows = counters.denied_until(counters.stream_of(spark, landed, events.schema, 1), "user_id", "ts", 2, 24 * 60, "3 days")
 
     def each(batch: DataFrame, _: int) -> None:
         batch.write.mode("append").parquet(out)
 
-    counters.run_available(rows, state, each)
+    for k in range(4):
+        quarter = F.floor((F.col("at") - first) * 4 / (last - first + 1)) == k
+        spread(shifted.filter(quarter)).sortWithinPartitions(F.hash("ts")).drop("at").write.mode("append").parquet(landed)
+        # each run goes on from the state of the one before, and takes the whole landing at once, whatever its files
+        rows = counters.denied_until(counters.stream_of(spark, landed, events.schema), "user_id", "ts", 2, 24 * 60, "3 days")
+        counters.run_available(rows, state, each)
     got = spark.read.schema(rows.schema).parquet(out)
     return got.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("denied"))

@@ -30,36 +30,47 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Denials(StatefulProcessor):
-    """Counts of a key by window. A window is kept until a timer on event time finds it over, so events may come in any order
-    within the watermark; what is denied is told once, when a window's count first exceeds the limit."""
+    """Counts of a key by window, in one value with one timer. A window counts until the watermark has passed it, so events may come
+    in any order within that; what is denied is told once, when a window's count first exceeds the limit. Windows that are over go
+    when their key comes again, or when a timer finds its last one over."""
 
     def __init__(self, limit: int, width: int):
         self.limit, self.width = limit, width  # width in milliseconds
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "window long", "n int")
+        self.counts = handle.getValueState("counts", "starts array<long>, counts array<int>")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802  Spark's name
         windows: dict[int, int] = {}
-        for row in rows:
-            start = int(row["ms"]) // self.width * self.width
+        for _, _, start in rows:
             windows[start] = windows.get(start, 0) + 1
+        held = self.counts.get()
+        before = dict(zip(*held, strict=True)) if held else {}
+        counts = dict(before)
         for start, more in sorted(windows.items()):
-            there = self.counts.containsKey((start,))
-            n = self.counts.getValue((start,))[0] if there else 0
-            if n > self.limit:  # denied before: nothing more to count
-                continue
-            if not there:
-                self.handle.registerTimer(start + self.width)
-            self.counts.updateValue((start,), (min(n + more, self.limit + 1),))
-            if n + more > self.limit:
+            n = counts.get(start, 0)
+            counts[start] = min(n + more, self.limit + 1)
+            if n <= self.limit < n + more:
                 yield Row(key=key[0], until=start + self.width)
+        # rows are late by the watermark of the batch before, so a window that is over counts in this batch and goes after it
+        over = timerValues.getCurrentWatermarkInMs() - self.width
+        kept = {start: n for start, n in counts.items() if start > over}
+        if kept == before:
+            return
+        if kept:
+            self.counts.update((list(kept), list(kept.values())))
+        else:
+            self.counts.clear()
+        last, last_before = max(kept, default=None), max(before, default=None)
+        if last != last_before:
+            if last_before is not None:
+                self.handle.deleteTimer(last_before + self.width)
+            if last is not None:
+                self.handle.registerTimer(last + self.width)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802  Spark's name
-        over = expiredTimerInfo.getExpiryTimeInMs() - self.width
-        if self.counts.containsKey((over,)):
-            self.counts.removeKey((over,))
+        self.counts.clear()  # the key's one timer is that of its last window
         return iter([])
 
     def close(self) -> None:
@@ -73,8 +84,9 @@ def denied_until(events: DataFrame, key: str, at: str, limit: int, minutes: int,
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = events.schema[key].dataType.simpleString()
-    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"), F.unix_millis(F.col(at).cast("timestamp")).alias("ms")).withWatermark("at", late)
-    found = rows.groupBy("key").transformWithState(Denials(limit, minutes * 60_000), f"key {kind}, until long", "Append", "EventTime")
+    ms, width = F.unix_millis(F.col(at).cast("timestamp")), minutes * 60_000
+    rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"), (ms - F.pmod(ms, F.lit(width))).alias("start")).withWatermark("at", late)
+    found = rows.groupBy("key").transformWithState(Denials(limit, width), f"key {kind}, until long", "Append", "EventTime")
     return found.select("key", F.timestamp_millis("until").alias("until"))
 
 

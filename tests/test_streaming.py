@@ -55,3 +55,54 @@ def test_denials_in_any_order_within_the_watermark(spark, tmp_path):
     got = run(counters.denied_until(stream, "user", "at", 2, 5, "30 minutes"), tmp_path, "append")
     end = lambda minutes: t + timedelta(minutes=minutes)
     assert sorted((r.key, r.until) for r in got) == [("u0", end(5)), ("u0", end(10)), ("u1", end(5)), ("u3", end(125))]
+
+
+class Handle:
+    """State of one key, with each call noted."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = [], None, set()
+
+    def getValueState(self, *_):  # noqa: N802  Spark's name
+        return self
+
+    def getMapState(self, *_):  # noqa: N802  Spark's name
+        raise AssertionError("a call for each window")
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, at):  # noqa: N802  Spark's name
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802  Spark's name
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_key_asks_its_state_once_however_many_windows_it_has():
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, denials = Handle(), counters.Denials(2, 10)
+    denials.init(handle)
+    batch = lambda starts, watermark: [r.until for r in denials.handleInputRows(("u",), [("u", None, s) for s in starts], At(watermark))]
+    assert batch([10 * i for i in range(40)] * 2, 0) == [] and handle.calls == ["get", "update", "register"] and handle.timers == {400}
+    # windows that this batch's watermark finds over still count in it, and go after it
+    assert batch([0, 0, 50, 390, 400], 360) == [10, 60, 400] and handle.timers == {410} and sorted(handle.held[0]) == [360, 370, 380, 390, 400]
+    assert batch([390, 390], 360) == [] and handle.calls[-1] == "get"  # denied before: nothing new to keep
+    assert batch([400], 420) == [] and handle.held is None and not handle.timers
+    assert batch([500], 420) == [] and handle.timers == {510}
+    list(denials.handleExpiredTimer(("u",), At(510), None))
+    assert handle.held is None
