@@ -41,7 +41,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN), queries.RANKS)
+    return byte_bpe.encoded_digests(docs, queries.RANKS, public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import pickle
 import sys
 import types
@@ -26,6 +27,7 @@ def cached(key: str, build: Callable):
 def tidy(run: Callable) -> Callable:
     """run over Arrow batches; at its end the worker gives freed memory back, since it may idle while others need it."""
 
+    @functools.wraps(run)  # Spark reads the types of a group's function
     def tidied(batches):
         try:
             yield from run(batches)

@@ -22,7 +22,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,30 +148,41 @@ def pretokens(data: np.ndarray, at: np.ndarray, pattern: str) -> tuple[pa.Array,
     return pa.array([w for words in cut for w in words], pa.binary()), np.array([len(words) for words in cut], np.int64)
 
 
+def numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and each word as a number of these."""
+    held = words.dictionary_encode()
+    return held.dictionary, held.indices.to_numpy(zero_copy_only=False)
+
+
 class Block:
     """Documents of one part of the input: their ids, their distinct words, and each text as numbers of words."""
 
     def __init__(self):
-        self.ids, self.counts, self.words, self.bytes = [], [], [], 0
+        self.ids, self.counts, self.words, self.numbers, self.bytes = [], [], [], [], 0
 
     def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray, pattern: str) -> None:
         words, counts = pretokens(data, at, pattern)
-        self.words.append(words)
+        # a piece keeps its distinct words only, which take far less than all
+        distinct, number = numbered(words)
+        self.words.append(distinct)
+        self.numbers.append(number.astype(np.uint32))
         self.counts.append(counts)
         self.ids.append(ids)
         self.bytes += len(data)
 
-    def close(self) -> tuple[list[np.ndarray], pa.Array]:
+    def close(self) -> tuple[Iterator[np.ndarray], pa.Array]:
         """Its numbers of words by piece, and its words: those of higher frequency first, by powers of two, then in order."""
-        held = pa.chunked_array(self.words, pa.binary()).combine_chunks()
-        held = (pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held).dictionary_encode()
-        words, number = held.dictionary, held.indices.to_numpy(zero_copy_only=False)
-        often = np.bincount(number, minlength=len(words))
+        words, number = numbered(pa.concat_arrays(self.words))
+        number = np.split(number, np.cumsum([len(w) for w in self.words])[:-1])
+        self.words = []
+        often = np.zeros(len(words), np.int64)
+        for own, v in zip(number, self.numbers, strict=True):
+            often[own] += np.bincount(v, minlength=len(own))
         place = pc.sort_indices(words).to_numpy()
         order = place[np.argsort(-np.log2(np.maximum(often[place], 1)).astype(np.int8), kind="stable")]
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        return np.split(rank[number], np.cumsum([len(w) for w in self.words])[:-1]), words.take(pa.array(order))
+        return (rank[own][v] for own, v in zip(number, self.numbers, strict=True)), words.take(pa.array(order))
 
 
 def blocks_of(batches, id_col: str, text_col: str, pattern: str) -> Iterator[Block]:
@@ -225,6 +236,11 @@ def unpacked_words(payload: bytes) -> pa.Array:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Each row's id and the ids of its text's tokens."""
+    return encoded(docs, path, pattern, id_col, text_col, None, "ids array<int>").toDF(id_col, ids_col)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, use: Callable | None, columns: str) -> DataFrame:
+    """id and columns: what use makes of the rows (id, ids) inside the task that puts them together; without use the rows themselves."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = pa_type(docs.schema[id_col].dataType)
 
@@ -232,11 +248,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for k, block in enumerate(blocks_of(batches, "id", "text", pattern)):
             key = block_key(k)
             numbers, words = block.close()
-            rows = [(key, -1, packed_words(words), block.bytes)]
+            row = lambda part, payload, n_bytes: pa.RecordBatch.from_arrays([*packed_rows([(key, part, payload)]).columns, pa.array([n_bytes], pa.int64())], names=["key", "part", "payload", "bytes"])  # noqa: B023, E731
+            yield row(-1, packed_words(words), block.bytes)
+            del words
             for i, (ids, counts, v) in enumerate(zip(block.ids, block.counts, numbers, strict=True)):
-                rows.append((key, -2 - i, pack((ids.to_pylist(), coded(counts), coded(v)), LEVEL), None))
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([*packed_rows([row[:3]]).columns, pa.array([row[3]], pa.int64())], names=["key", "part", "payload", "bytes"])
+                yield row(-2 - i, pack((ids.to_pylist(), coded(counts), coded(v)), LEVEL), None)
 
     blocks = staged(source.mapInArrow(tidy(cut), f"{PACKED}, bytes long"), "blocks")
     n_blocks, n_buckets = n_buckets_of(blocks)
@@ -253,18 +269,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     yield packed_rows([(key, b, packed_words(words.take(pa.array(order[cuts[b] : cuts[b + 1]]))))])
 
     def encode_words(batches):
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         one = tokenizer(path, pattern)._core_bpe.encode_single_piece
         for batch in batches:
             for key, b, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts, ids = [], []
+                ids = []
                 for word in unpacked_words(payload).to_pylist():
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = one(word)
-                    counts.append(len(got))
-                    ids += got
-                yield packed_rows([(key, b, pack((coded(np.array(counts, np.uint32)), planes(np.array(ids, np.uint32))), LEVEL))])
+                        got = known[word] = np.array(one(word), np.uint32).tobytes()
+                    ids.append(got)
+                counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                yield packed_rows([(key, b, pack((coded(counts), planes(np.frombuffer(b"".join(ids), np.uint32))), LEVEL))])
 
     def buckets_out(batches):
         for batch in batches:
@@ -273,7 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     out_schema = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
 
-    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put_together(batches):
         rows: dict[int, bytes] = {}
         for batch in batches:
             rows |= zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
@@ -299,13 +315,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             at = np.concatenate([[0], ends])[words_at].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], schema=out_schema)
 
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = put_together(batches)
+        yield from use(rows) if use else rows
+
     ids = words.mapInArrow(tidy(words_out), PACKED).repartitionById(n_buckets, F.col("part")).mapInArrow(tidy(encode_words), PACKED)
     layouts = blocks.filter("part < -1").select("key", "part", "payload")
     sent = ids.unionByName(layouts).unionByName(words.mapInArrow(tidy(buckets_out), PACKED))
     id_ddl = docs.schema[id_col].dataType.simpleString()
     # one task for each block or so, however many there are
-    out = sent.select("key", "part", "payload").repartition(max(1, n_blocks), "key").groupBy("key").applyInArrow(reassemble, f"id {id_ddl}, ids array<int>")
-    return out.toDF(id_col, ids_col)
+    return sent.select("key", "part", "payload").repartition(max(1, n_blocks), "key").groupBy("key").applyInArrow(tidy(reassemble), f"id {id_ddl}, {columns}")
 
 
 def pa_type(kind) -> pa.DataType:
@@ -354,8 +373,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
     return mapped(encoded.select(*map(named, kept)), run, schema)
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (decimal ids, one space between) and decoded_sha256."""
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digested(path: str) -> Callable:
+    """Rows of an id and a list of ids, as the id and DIGESTS."""
 
     def run(batches):
         table = token_bytes(path)
@@ -367,7 +389,18 @@ def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
                 lists = [x or [] for x in ids.to_pylist()]
                 said = [sha(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]
                 back = [sha(x or b"").hexdigest() for x in decoded(ids, table).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(said), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
 
+def digests(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """id_col, n_tokens, ids_sha256 (decimal ids, one space between) and decoded_sha256."""
     ddl = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = encoded.select(F.col(id_col).alias("id"), ids_col).mapInArrow(tidy(digested(path)), f"id {ddl}, {DIGESTS}")
+    return out.withColumnRenamed("id", id_col)
+
+
+def encoded_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digests of what encode gives, made where the ids are put together: lists of ids neither leave their worker nor need a second one."""
+    return encoded(docs, path, pattern, id_col, text_col, digested(path), DIGESTS).withColumnRenamed("id", id_col)

@@ -78,7 +78,9 @@ def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), cut(F.col(text_col)).alias("w"))
     lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
     words = source.select("id", "hash", "w", lead.alias("lead"), (F.size("w") - 1 - lead).alias("n_words"), F.posexplode("w").alias("at", "word"))
-    end_row = table.sparkSession.createDataFrame([(None, 0, None, END, 0)], table.schema)
+    # from literals: rows from Python would start workers that idle beside those of other operators
+    end = {"n": F.lit(0), "token": F.lit(END), "place": F.lit(0)}
+    end_row = table.sparkSession.range(1).select(*(end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema))
     start = F.col("at") - F.col("place")
     found = []
     for b in range(n_blocks):

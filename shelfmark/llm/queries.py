@@ -60,7 +60,7 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return byte_bpe.digests(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    return byte_bpe.encoded_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,6 +52,26 @@ def test_round_trip_with_odd_rows(spark):
     assert said[1].n_tokens == 0 and said[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_digests_are_made_where_ids_are_put_together(spark):
+    texts = ["", None, "don't  stop", "the the the", "日本語 ñandú 🙂", "a " * 30000]
+    docs = spark.createDataFrame([(None if i == 3 else i, t, None, 1, "p") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = byte_bpe.encoded_digests(docs, RANKS, PATTERN)
+    want = byte_bpe.digests(byte_bpe.encode(docs, RANKS, PATTERN), RANKS)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = op4_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("FlatMapGroupsInArrow")]  # no second worker beside the one that has the ids
+
+
+def test_a_block_keeps_distinct_words_only():
+    block, raw = byte_bpe.Block(), b" the cat and the dog" * 5000
+    for _ in range(3):
+        block.add(None, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), PATTERN)
+    assert sum(map(len, block.words)) == 12
+    numbers, words = block.close()
+    words = words.to_pylist()
+    assert words[0] == b" the" and all(b"".join(words[i] for i in v) == raw for v in numbers)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert byte_bpe.digests(byte_bpe.encode(empty, RANKS, PATTERN), RANKS).count() == 0
