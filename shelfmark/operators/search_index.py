@@ -1,15 +1,18 @@
 """Search by an inverted index of the runs of two and three characters in each row's texts.
 
 A token can only stand in a text that holds all its runs, so the rows of its rarest run are the candidates, and
-each is then checked for every token. Postings lie in folders by a checksum of their run, sorted, so a search reads the row groups
+each is then checked for every token. Postings are packed: one row holds the ids that some megabytes of text have for a run. They lie in folders by a checksum of their run, sorted, so a search reads the row groups
 of one run. The index names rows by their id; texts stay in their table.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +20,14 @@ from ..functions.columns import spread, unused
 from .catalog import matches_query, query_tokens
 
 FOLDERS, SPREAD = 64, 8
+#: Characters of texts whose postings are packed together, at most, but for one longer row.
+PIECE = 4 << 20
 
 
 def runs_of(text: Column) -> Column:
-    """Distinct runs of two and of three characters of a text; a null or shorter one has none."""
-    # a lookahead takes nothing, so the next run starts one character on
-    of = lambda k: F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
+    """Distinct runs of two and of three characters of a token; a null or shorter one has none."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: text.substr(i, F.lit(k)))
+    of = lambda k: F.when(F.length(text) >= k, at(k)).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(of(2), of(3)))
 
 
@@ -38,20 +43,69 @@ def folder_of(run: str) -> int:
 
 @dataclass
 class Index:
-    postings: DataFrame  # folder, run, id
+    postings: DataFrame  # folder, run, n, ids
     sizes: DataFrame  # folder, run, n
 
 
+def packed_runs(ids: pa.Array, texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
+    """run, n and ids of rows with some texts each: each distinct run of two and of three characters once, with the rows that hold it."""
+    n = len(texts)
+    flat = [t for own in texts for t in own]
+    points = np.frombuffer("".join(flat).encode("utf-32-le"), np.uint32)
+    if not len(points):
+        return
+    text = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
+    row = np.repeat(np.arange(n), [len(own) for own in texts])[text]
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen)
+    base = len(letters) + 1  # the last number stands for no third character
+    if n > 1 and base**3 * n >= 1 << 63:
+        yield from packed_runs(ids[: n // 2], texts[: n // 2])
+        yield from packed_runs(ids[n // 2 :], texts[n // 2 :])
+        return
+    number = np.zeros(0x110000, np.int64)
+    number[letters] = np.arange(len(letters))
+    number = number[points]
+    two, three = text[:-1] == text[1:], text[:-2] == text[2:]
+    pairs = number[:-1] * base + number[1:]
+    keys = np.unique(np.concatenate([((pairs * base + base - 1) * n + row[:-1])[two], ((pairs[:-1] * base + number[2:]) * n + row[:-2])[three]]))
+    if not len(keys):
+        return
+    codes, holder = np.divmod(keys, n)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    codes = codes[first]
+    sign = [*map(chr, letters.tolist()), ""]
+    runs = [sign[a] + sign[b] + sign[c] for a, b, c in zip((codes // base**2).tolist(), (codes // base % base).tolist(), (codes % base).tolist(), strict=True)]
+    at = np.append(first, len(keys))
+    held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids.take(pa.array(holder)))
+    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(np.diff(at), pa.int64()), held], names=["run", "n", "ids"])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of batches (id, texts), by pieces of at most PIECE characters."""
+    for batch in batches:
+        texts = [[t or "" for t in own] for own in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        ends = np.cumsum([sum(map(len, own)) for own in texts])
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PIECE, side="right")))
+            yield from packed_runs(batch.column(0)[begin:end], texts[begin:end])
+            begin = end
+
+
 def build(rows: DataFrame, path: str, id_col: str, texts: list[Column]) -> Index:
     """The index of texts, written at a path."""
-    held = spread(rows).select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*map(runs_of, texts))))).alias("run"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    source = spread(rows).select(F.col(id_col).alias("id"), *(t.cast("string").alias(f"t{i}") for i, t in enumerate(texts)))
+    held = source.mapInArrow(packed, f"run string, n long, ids array<{kind}>")
     held = held.withColumn("folder", (F.crc32(F.col("run").cast("binary")) % FOLDERS).cast("int"))
     # a run that a third of all rows hold goes to SPREAD tasks
-    placed = held.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("folder", "run")
+    placed = held.repartition("folder", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD))).sortWithinPartitions("folder", "run")
     placed.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
     spark = rows.sparkSession
     postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
-    postings.groupBy("folder", "run").agg(F.count("*").alias("n")).repartition("folder").sortWithinPartitions("run").write.partitionBy("folder").parquet(f"{path}/sizes")
+    postings.groupBy("folder", "run").agg(F.sum("n").alias("n")).repartition("folder").sortWithinPartitions("run").write.partitionBy("folder").parquet(f"{path}/sizes")
     return Index(postings, spark.read.schema("run string, n long, folder int").parquet(f"{path}/sizes"))
 
 
@@ -66,7 +120,7 @@ def search(index: Index, rows: DataFrame, query: str, id_col: str = "figure_id",
     sizes = {r.run: r.n for r in known}
     rarest = min(runs, key=lambda r: (sizes.get(r, 0), r))
     (own,) = unused(rows.columns, "id")
-    found = index.postings.filter((F.col("folder") == folder_of(rarest)) & (F.col("run") == rarest)).select(F.col("id").alias(own))
+    found = index.postings.filter((F.col("folder") == folder_of(rarest)) & (F.col("run") == rarest)).select(F.explode("ids").alias(own))
     return rows.join(found, F.col(id_col) == F.col(own), "left_semi").filter(hit)
 
 
@@ -80,7 +134,7 @@ def searched(index: Index, rows: DataFrame, queries: DataFrame, id_col: str, tex
     wanted = queries.select("tokens").distinct().select("tokens", F.explode(F.array_distinct(F.flatten(F.transform("tokens", first)))).alias("run"))
     sized = wanted.join(index.sizes.select("run", "n"), "run", "left")
     rarest = sized.groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r")).filter("r.n > 0")
-    found = rarest.select("tokens", F.col("r.run").alias("run")).join(index.postings.select("run", "id"), "run").groupBy("id").agg(F.collect_set("tokens").alias("asked"))
+    found = rarest.select("tokens", F.col("r.run").alias("run")).join(index.postings.select("run", "ids"), "run").select("tokens", F.explode("ids").alias("id")).groupBy("id").agg(F.collect_set("tokens").alias("asked"))
     held = rows.select(F.col(id_col).alias("id"), F.array(*texts).alias("texts"))
     all_there = lambda tokens: F.forall(tokens, lambda t: F.exists("texts", lambda x: F.coalesce(x.contains(t), F.lit(False))))
     # outer, since a plain explode is led by a filter that checks all tokens once more

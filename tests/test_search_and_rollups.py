@@ -38,6 +38,23 @@ def test_a_search_reads_the_rarest_run_alone(spark, catalogue, tmp_path):
     assert len(folders) > 5
 
 
+def test_postings_of_many_rows_are_one_row(spark, tmp_path):
+    texts = ["the cat", "the 🙂🙂x", None, "t", "", "a" * 50, "the"]
+    rows = spark.createDataFrame([(k, texts[k % 7], "the") for k in range(700)], "id string, a string, b string").coalesce(1)
+    index = search_index.build(rows, str(tmp_path / "index"), "id", [F.col("a"), F.col("b")])
+    want = {}
+    for k in range(700):
+        for t in (texts[k % 7] or "", "the"):
+            for r in (t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)):
+                want.setdefault(r, set()).add(str(k))
+    got = {}
+    for r in index.postings.collect():
+        assert r.n == len(r.ids) and not got.setdefault(r.run, set()) & set(r.ids)
+        got[r.run] |= set(r.ids)
+    assert got == want and {r.run: r.n for r in index.sizes.collect()} == {r: len(ids) for r, ids in want.items()}
+    assert index.postings.count() < sum(map(len, want.values())) / 4
+
+
 def test_many_searches_at_once(spark, catalogue, tmp_path):
     index = search_index.build(catalogue, str(tmp_path / "index"), "figure_id", [F.col("search_text"), F.lower("name")])
     queries = [(1, ["miku"]), (2, ["rem", "zero"]), (3, ["aa"]), (4, ["never"]), (5, ["🙂🙂x", "ab"]), (6, []), (7, ["miku"])]
