@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 from shelfmark.functions.staging import staged
 from shelfmark.llm import byte_bpe, decontamination, queries, secret_scan, setsketch, toxicity
 
+#: Bytes of a batch that goes to a Python worker, at most: an executor of the pipeline holds what all stages leave in its JVM.
+BATCH_BYTES = 2 << 20
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.bound_batches(spark, BATCH_BYTES)
     return toxicity.filtered(docs, queries.toxicity_model(docs, spark, sf_dir), queries.TOXIC_FROM)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.bound_batches(spark, BATCH_BYTES)
     return setsketch.deduplicated(docs)
 
 
@@ -41,6 +46,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    queries.bound_batches(spark, BATCH_BYTES)
     return byte_bpe.encoded_digests(docs, queries.RANKS, public_tokenizers.PATTERN)
 
 

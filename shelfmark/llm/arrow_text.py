@@ -104,17 +104,23 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def runs(at: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, each from its first to before its last, of at most that many of what the offsets count (a longer row alone)."""
+    first = 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+        yield first, last
+        first = last
+
+
 def pieces(batches, text: str | int, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of at most most_bytes of text (a longer text alone): rows, bytes, offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, at = text_buffers(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + most_bytes, side="right")) - 1)
+        for first, last in runs(at, most_bytes):
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
-            first = last
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import unicodedata
 import zlib
@@ -33,10 +34,13 @@ from pyspark.sql import types as T
 
 from ..functions.columns import named
 from ..functions.staging import staged
-from .arrow_text import binary_array, cached, coded, mapped, pack, pieces, planes, text_buffers, tidy, uncoded, unpack, unplanes
+from .arrow_text import binary_array, cached, coded, mapped, pack, pieces, planes, runs, text_buffers, tidy, uncoded, unpack, unplanes
 
 #: Bytes of text of a block, at most, but for a longer single batch; of a bucket's share of all texts, at least and at most.
-BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 18 << 20, 4 << 20, 32 << 20
+BLOCK_BYTES, LEAST_SHARE, MOST_SHARE = 12 << 20, 4 << 20, 32 << 20
+#: Bytes of text that are cut into words at once, and how many such pieces are compressed together; words whose ids are put together at once.
+#: A longer text is worked on alone. Two workers of each executor stand beside its JVM, so what a task holds counts twice.
+PIECE_BYTES, PIECES, WORDS = 512 << 10, 4, 64 << 10
 #: How hard blocks are compressed: what is staged and shuffled is most of the operator's disk.
 LEVEL = 9
 
@@ -160,21 +164,23 @@ class Block:
     def __init__(self):
         self.ids, self.counts, self.words, self.numbers, self.bytes = [], [], [], [], 0
 
-    def add(self, ids: pa.Array, data: np.ndarray, at: np.ndarray, pattern: str) -> None:
+    def add(self, ids: list, data: np.ndarray, at: np.ndarray, pattern: str) -> None:
         words, counts = pretokens(data, at, pattern)
         # a piece keeps its distinct words only, which take far less than all
         distinct, number = numbered(words)
         self.words.append(distinct)
-        self.numbers.append(number.astype(np.uint32))
-        self.counts.append(counts)
+        self.numbers.append(number.astype(np.min_scalar_type(len(distinct))))
+        self.counts.append(counts.astype(np.uint32))
         self.ids.append(ids)
         self.bytes += len(data)
 
     def close(self) -> tuple[Iterator[np.ndarray], pa.Array]:
         """Its numbers of words by piece, and its words: those of higher frequency first, by powers of two, then in order."""
-        words, number = numbered(pa.concat_arrays(self.words))
-        number = np.split(number, np.cumsum([len(w) for w in self.words])[:-1])
-        self.words = []
+        sizes = [len(w) for w in self.words]
+        held, self.words = pa.concat_arrays(self.words), []
+        words, number = numbered(held)
+        del held
+        number = np.split(number, np.cumsum(sizes)[:-1])
         often = np.zeros(len(words), np.int64)
         for own, v in zip(number, self.numbers, strict=True):
             often[own] += np.bincount(v, minlength=len(own))
@@ -188,11 +194,12 @@ class Block:
 def blocks_of(batches, id_col: str, text_col: str, pattern: str) -> Iterator[Block]:
     """The batches of a task as blocks."""
     block = Block()
-    for rows, data, at in pieces(batches, text_col, 2 << 20):
+    for rows, data, at in pieces(batches, text_col, PIECE_BYTES):
         if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
             yield block
             block = Block()
-        block.add(rows.column(rows.schema.get_field_index(id_col)), data, at, pattern)
+        # ids as a list: an Arrow column keeps its whole batch, with all texts
+        block.add(rows.column(rows.schema.get_field_index(id_col)).to_pylist(), data, at, pattern)
     if block.ids:
         yield block
 
@@ -251,8 +258,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
             row = lambda part, payload, n_bytes: pa.RecordBatch.from_arrays([*packed_rows([(key, part, payload)]).columns, pa.array([n_bytes], pa.int64())], names=["key", "part", "payload", "bytes"])  # noqa: B023, E731
             yield row(-1, packed_words(words), block.bytes)
             del words
-            for i, (ids, counts, v) in enumerate(zip(block.ids, block.counts, numbers, strict=True)):
-                yield row(-2 - i, pack((ids.to_pylist(), coded(counts), coded(v)), LEVEL), None)
+            for i, some in enumerate(itertools.batched(zip(block.ids, block.counts, numbers, strict=True), PIECES)):
+                ids, counts, v = zip(*some, strict=True)
+                yield row(-2 - i, pack((list(itertools.chain(*ids)), coded(np.concatenate(counts)), coded(np.concatenate(v))), LEVEL), None)
 
     blocks = staged(source.mapInArrow(tidy(cut), f"{PACKED}, bytes long"), "blocks")
     n_blocks, n_buckets = n_buckets_of(blocks)
@@ -307,13 +315,15 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str
         begin[order] = np.cumsum(each[order]) - each[order]
         for part in sorted((p for p in rows if p < -1), reverse=True):
             ids, counts, v = unpack(rows.pop(part))
-            v = uncoded(v).astype(np.int64)
-            sizes = each[v]
-            ends = np.cumsum(sizes)
-            tokens = flat[np.repeat(begin[v] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+            v = uncoded(v)
             words_at = np.concatenate([[0], np.cumsum(uncoded(counts).astype(np.int64))])
-            at = np.concatenate([[0], ends])[words_at].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], schema=out_schema)
+            for first, last in runs(words_at, WORDS):
+                own = v[words_at[first] : words_at[last]]
+                sizes = each[own]
+                ends = np.cumsum(sizes)
+                tokens = flat[np.repeat(begin[own] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+                at = np.concatenate([[0], ends])[words_at[first : last + 1] - words_at[first]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last], id_type), pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))], schema=out_schema)
 
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = put_together(batches)
@@ -336,11 +346,8 @@ def pa_type(kind) -> pa.DataType:
 def id_slices(batch: pa.RecordBatch, column: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of at most that many ids in all (a longer list alone)."""
     at = np.concatenate([[0], np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+    for first, last in runs(at, most):
         yield batch.slice(first, last - first)
-        first = last
 
 
 def decoded(ids: pa.Array, table: pa.Array) -> pa.Array:

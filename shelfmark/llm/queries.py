@@ -18,10 +18,15 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BATCH_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session's batches have at most that many bytes, or fewer where it says so."""
     size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    if not size.rstrip("b").isdigit() or not 0 < int(size.rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not size.rstrip("b").isdigit() or not 0 < int(size.rstrip("b")) <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,32 @@ def test_a_block_keeps_distinct_words_only():
     assert words[0] == b" the" and all(b"".join(words[i] for i in v) == raw for v in numbers)
 
 
+def test_a_block_keeps_no_batch():
+    text, before = "the cat and the dog " * 5000, pa.total_allocated_bytes()
+
+    def batches():  # as they come from the JVM: all columns of a batch lie in one buffer
+        sink = pa.BufferOutputStream()
+        rows = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array([text] * 80)], names=["id", "text"])
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_batch(rows)
+        yield from pa.ipc.open_stream(sink.getvalue())
+
+    block = next(byte_bpe.blocks_of(batches(), "id", "text", PATTERN))
+    held = pa.total_allocated_bytes() - before
+    assert block.bytes == 80 * len(text) and held < block.bytes / 4
+    assert sum(block.ids, []) == list(range(80)) and sum(v.nbytes for v in block.numbers) < block.bytes / 2
+
+
+def test_pieces_come_back_in_order(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 60)
+    monkeypatch.setattr(byte_bpe, "WORDS", 7)
+    texts = [None if i % 11 == 0 else f"row {i} of {i * i} " * (i % 7) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, None, 1, "p") for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    plain = byte_bpe.tokenizer(RANKS, PATTERN)
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode(docs, RANKS, PATTERN).collect()}
+    assert got == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert byte_bpe.digests(byte_bpe.encode(empty, RANKS, PATTERN), RANKS).count() == 0
