@@ -8,14 +8,19 @@ look at all letters.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Edges of ASCII words.
+from .columns import let
+
+# Edges of ASCII words: any; and, in half the time, those before and behind what itself begins or ends with a character of words.
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 # Words that say nothing in titles, and words that mean others.
@@ -62,15 +67,15 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE + "+", " "))
 
 
-# What normalisation replaces: accents of Latin letters; then, in compatibility forms, digits by letters, and signs.
+# What normalisation replaces: accents of Latin letters; then, in compatibility forms, digits by letters, and runs of signs and white space.
 ACCENTS = (r"(\p{IsLatin})\p{Mn}+", "$1")
-APART = [(r"([0-9])([a-z])", "$1 $2"), (r"([a-z])([0-9])", "$1 $2"), (r"[^\p{L}\p{N}\s\x{A0}\x{3000}/.-]", " ")]
+APART = [(r"([0-9])([a-z])", "$1 $2"), (r"([a-z])([0-9])", "$1 $2"), (r"[^\p{L}\p{N}/.-]+", " ")]
 BETWEEN_WORDS = r"[\s/.-]+"
 
 
 def normalized(text: Column) -> Column:
     """Lower case; accents of Latin letters dropped, compatibility forms joined; digits and letters set apart; signs to blanks."""
-    return squeezed(replaced(unicode_form(replaced(unicode_form(F.lower(text), "NFD"), ACCENTS), "NFKC"), *APART))
+    return F.trim(replaced(unicode_form(replaced(unicode_form(F.lower(text), "NFD"), ACCENTS), "NFKC"), *APART))
 
 
 def tokens_of(norm: Column) -> Column:
@@ -205,7 +210,7 @@ def condition_of(text: Column) -> Column:
 
 # Patterns that tell what a listing or product is.
 ACCESSORY = [r"(eye\s+)?decal\s+set", r"(option(al)?\s+)?parts?\s+set", r"hand\s+set", r"expansion\s+parts", r"joint\s+set", r"chopstick\s+rests?", r"tapinui", r"dualsense|dualshock|wireless controller", r"fitbit|smart ?watch", r"keycaps?", r"wallet|slippers"]
-ACCESSORY_ENDS = rf"(?i){B}(flocked\s+)?(earrings|necklace)\s*(\([^)]*\)\s*)?$|^\[(?:switch(?: 2)?|ps[45]|xbox[^\]]*|pc)\]"
+ACCESSORY_ENDS = rf"(?i){START}(flocked\s+)?(earrings|necklace)\s*(\([^)]*\)\s*)?$|^\[(?:switch(?: 2)?|ps[45]|xbox[^\]]*|pc)\]"
 MERCHANDISE = r"card sleeves?|sleeve collection|t[- ]?shirts?|parka|hoodie|sweatshirt|keychains?|key ?rings?|tote ?bags?|posters?|tapestr(?:y|ies)|badges?|pin ?backs?|stickers?|decals?|ac[ry][cy]lic (?:\w+ )?(?:stand|charm)|mouse ?pads?|towels?|mugs?|blankets?|cushions?|pillow ?cases?|dvds?|blu[- ]?rays?|\d+ disc|disc set|box ?set|complete (?:series|season|collection)|season \d|comics?|newsstand|graphic novel|manga vol|art ?book|light novel|paperback|trading cards?|tcg|booster (?:box|pack)|psa \d|nintendo switch|playstation|ps[45]|xbox|game cartridge|vol(?:ume)?s?|books?"
 FIGURE_WORDS = r"nendoroid|figma|figure|figures|statue|bust|pop[- ]?up[- ]?parade|scale|prize|garage kit|model kit|doll|plushie|figurine|1\s*/\s*\d{1,2}(?:th)?"
 UNOFFICIAL = r"3\s?d[-\s]?print(?:ed|ing)?|hand[-\s]?made|various\s+sizes|made[-\s]to[-\s]order|custom[-\s]made|bootleg|fan[-\s]?made|fan[-\s]?art|unofficial"
@@ -220,12 +225,17 @@ BONUS_BEFORE = [
     "with", "includes", "including", "inc", "plus", "bonus", "free", "and", "w",
 ]
 MULTIPACK = ["surprise", "blindbox", "gashapon", "bundle", "lot"]
-MULTIPACK_PATTERN = rf"{B}(?:set|box|pack|lot)\s+of\s+[0-9]+{B}|{B}[0-9]+\s*(?:pcs|pieces){B}"
+MULTIPACK_PATTERN = rf"{START}(?:set|box|pack|lot)\s+of\s+[0-9]+{END}|{START}[0-9]+\s*(?:pcs|pieces){END}"
 NON_FIGURE_PHRASES = ["nendoroid more", "exchange face", "face plate", "accessory set", "parts only", "for parts", "display case", "acrylic stand", "set or single", "or singles", "singles or set", "your choice", "pick one", "choose one"]
 
 
 def word(pattern: str) -> str:
-    return rf"(?i){B}(?:{pattern}){B}"
+    """The pattern as whole words; each of its alternatives begins and ends with a character of ASCII words."""
+    return rf"(?i){START}(?:{pattern}){END}"
+
+
+def holds_any(text: Column, parts: list[str]) -> Column:
+    return reduce(or_, (text.contains(p) for p in parts))
 
 
 def is_accessory(name: Column) -> Column:
@@ -245,20 +255,17 @@ def is_accessory_listing(title: Column) -> Column:
 
 
 def names_other_goods(norm: Column) -> Column:
-    """A word for other goods that no word for a bonus stands before, within two words."""
-    words = F.filter(F.split(norm, r"[\s/.-]+"), lambda w: w != "")
-    other, bonus = F.array(*map(F.lit, NON_FIGURE)), F.array(*map(F.lit, BONUS_BEFORE))
-    hits = F.transform(words, lambda w, i: (F.array_contains(other, w) | F.array_contains(other, F.regexp_replace(w, "s$", ""))) & ~F.coalesce(F.array_contains(bonus, F.get(words, i - 1)), F.lit(False)) & ~F.coalesce(F.array_contains(bonus, F.get(words, i - 2)), F.lit(False)))
-    return F.exists(hits, lambda h: h)
+    """A word for other goods that no word for a bonus stands before, within two words. Only texts that hold such a word are split."""
+    other, bonus = [*NON_FIGURE, *(w + "s" for w in NON_FIGURE)], F.array(*map(F.lit, BONUS_BEFORE))
+    after_bonus = lambda words, i: F.coalesce(F.array_contains(bonus, F.get(words, i)), F.lit(False))
+    hits = lambda words: F.exists(F.transform(words, lambda w, i: w.isin(other) & ~after_bonus(words, i - 1) & ~after_bonus(words, i - 2)), lambda h: h)
+    return holds_any(norm, NON_FIGURE) & let(F.filter(F.split(norm, BETWEEN_WORDS), lambda w: w != ""), hits)
 
 
 def is_several(norm: Column, tokens: Column) -> Column:
-    """A multipack, or a phrase that no single figure has."""
-    phrases = [norm.contains(p) for p in NON_FIGURE_PHRASES]
-    out = F.arrays_overlap(tokens, F.array(*map(F.lit, MULTIPACK))) | norm.rlike(MULTIPACK_PATTERN)
-    for p in phrases:
-        out = out | p
-    return out
+    """A multipack, or a phrase that no single figure has. The tokens are those of norm, and are looked at only if it holds one of a multipack."""
+    pack = holds_any(norm, MULTIPACK) & F.arrays_overlap(tokens, F.array(*map(F.lit, MULTIPACK)))
+    return pack | norm.rlike(MULTIPACK_PATTERN) | holds_any(norm, NON_FIGURE_PHRASES)
 
 
 def is_not_a_single_figure(norm: Column, tokens: Column) -> Column:

@@ -77,6 +77,28 @@ def test_other_goods(spark):
     assert [normed(spark, t, T.names_other_goods) for t in ("Miku keychains", "Miku with a keychain", "Miku")] == [True, False, False]
 
 
+def test_other_goods_are_whole_words(spark):
+    assert [normed(spark, t, T.names_other_goods) for t in ("smug keychainss", "with a new mug", "mug with/mug mugs.", None)] == [False, True, True, None]
+
+
+def test_tokens_are_made_only_where_a_multipack_may_be(spark):
+    assert not set(T.MULTIPACK) & set(T.SYNONYMS.values())
+    rows = spark.createDataFrame([("miku racing figure", False), ("miku slot", False), ("miku bundle", True), ("set of 3", True), ("acrylic stand", True), (None, None)], "norm string, want boolean")
+    dear = F.when(F.col("norm").isNull() | F.col("norm").rlike("slot|bundle"), T.tokens_of(F.col("norm"))).otherwise(F.raise_error(F.lit("tokens made")).cast("array<string>"))
+    assert all(r.got is r.want for r in rows.select("want", T.is_several(F.col("norm"), dear).alias("got")).collect())
+
+
+def test_edges_of_words(spark):
+    edged = lambda p: rf"(?i){T.B}(?:{p}){T.B}"
+    lists = ["|".join(T.ACCESSORY), T.MERCHANDISE, T.FIGURE_WORDS, T.UNOFFICIAL, T.PARTS_ONLY, T.PARTS_WITH, "bonus", *T.NSFW.values()]
+    hits = ["decal set", "T-Shirts", "1/7", "3D-print", "spare hands", "with a spare", "w/ spare", "bonus", "R-18", "psa 9", "slippers", "nude"]
+    titles = [a + h + b for h in hits for a in ("", "x", "_", "9", "é", "ガ", " ", "-") for b in ("", "s", "_", "9", "é", "ガ", " x", ".")]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string")
+    same = [F.min((F.col("t").rlike(T.word(p)) == F.col("t").rlike(edged(p))).cast("int")) for p in lists]
+    some = [F.max(F.col("t").rlike(T.word(p)).cast("int")) for p in lists[:7]]
+    assert set(rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(same + some))).first()) == {1}
+
+
 def test_names_and_search_text(spark):
     assert one(spark, "ＡＢＣ Version!", lambda c: T.product_name(T.unicode_form(c, "NFKC"))) == "abc ver"
     assert one(spark, "Fate×Zero: “X”", lambda c: T.series_name(T.unicode_form(c, "NFKC"))) == "fate x zero x"
