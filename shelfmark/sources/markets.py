@@ -77,19 +77,24 @@ class Pace:
 
 
 class Landed:
-    """Answers that stand beside their queries: those of the query last taken from rows are held, and no others."""
+    """Answers that stand beside their queries, in the order of their offsets, in which they are asked for: one is held, and no others."""
 
     def __init__(self, rows: Iterator[dict]):
-        self.rows, self.known = rows, {}
+        self.rows, self.own, self.ahead = rows, iter(()), None
 
     def queries(self) -> Iterator[dict]:
         for _, group in itertools.groupby(self.rows, key=lambda r: r["seq"]):
-            rows = list(group)
-            self.known = {r["offset"]: (r["status"], r["body"]) for r in rows if r["offset"] is not None}
-            yield rows[0]
+            self.own = group
+            self.ahead = row = next(group)
+            yield row
 
     def __call__(self, query: str, offset: int, limit: int) -> tuple[int, str | None]:
-        return self.known.get(offset, (404, None))
+        found = 404, None
+        while self.ahead is not None and (self.ahead["offset"] is None or self.ahead["offset"] <= offset):
+            if self.ahead["offset"] == offset:
+                found = self.ahead["status"], self.ahead["body"]
+            self.ahead = next(self.own, None)
+        return found
 
 
 class Http:
@@ -142,10 +147,10 @@ def length_of(body: str | None, kind: str) -> int:
         return 0
 
 
-def asked(rows: Iterable[dict], call: Callable, kind: str, limit: int, pages: int, denied: Callable[[bool], bool], pace: Callable[[], None]) -> Iterator[tuple]:
-    """The answers of a lane. denied(True) tells that access is not granted, denied(False) asks whether any lane was told so."""
+def asked(rows: Iterable[dict], call: Callable, kind: str, limit: int, pages: int | None, denied: Callable[[bool], bool], pace: Callable[[], None]) -> Iterator[tuple]:
+    """The answers of a lane. denied(True) tells that access is not granted, denied(False) asks whether any lane was told so. pages: of a query at most, or None."""
     for row in rows:
-        for page in range(pages):
+        for page in itertools.count() if pages is None else range(pages):
             if kind == "sold" and denied(False):
                 return
             pace()
@@ -204,7 +209,7 @@ class MarketReader(DataSourceReader):
 
         call = Landed(table()) if options["transport"] == "landed" else Http(options, kind)
         rows = call.queries() if options["transport"] == "landed" else table()
-        yield from asked(rows, call, kind, int(options["limit"]), int(options["pages"]), denied, Pace(0.0 if options["transport"] == "landed" else PAUSE[kind]))
+        yield from asked(rows, call, kind, int(options["limit"]), int(options["pages"]) or None, denied, Pace(0.0 if options["transport"] == "landed" else PAUSE[kind]))
 
 
 class Market(DataSource):
@@ -221,9 +226,9 @@ class Market(DataSource):
         return MarketReader(self.options)
 
 
-def answers(queries: DataFrame, kind: str, landed: DataFrame | None = None, lanes: int = 4, limit: int = 50, pages: int = 1, **options: str) -> DataFrame:
+def answers(queries: DataFrame, kind: str, landed: DataFrame | None = None, lanes: int = 4, limit: int = 50, pages: int | None = 1, **options: str) -> DataFrame:
     """SCHEMA's rows for a table of queries (query, and any columns to order by: priority first, then query). landed: query, offset, status,
-    body; without it options has url and, for a token, token_url, client_id and client_secret."""
+    body; without it options has url and, for a token, token_url, client_id and client_secret. pages: of a query at most; None: until one is not full."""
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
     spark = queries.sparkSession
@@ -236,10 +241,10 @@ def answers(queries: DataFrame, kind: str, landed: DataFrame | None = None, lane
     order = ["lane", "seq"]
     if landed is not None:
         # only offsets that can be asked; the numbers are staged, so that a query keeps its number when its answers are joined
-        pages_of = landed.select("query", F.col("offset").cast("int").alias("offset"), F.col("status").cast("int").alias("status"), "body").filter(F.col("offset").between(0, most * (pages - 1)))
+        pages_of = landed.select("query", F.col("offset").cast("int").alias("offset"), F.col("status").cast("int").alias("status"), "body").filter((F.col("offset") >= 0) if pages is None else F.col("offset").between(0, most * (pages - 1)))
         placed, order = placed.join(pages_of, "query", "left"), [*order, "offset"]
     # files of ranges of a lane's order: no task sorts or writes a whole lane, and a reader holds a small row group
     placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy("lane").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/queries")
-    said = {"path": path, "kind": kind, "transport": "http" if landed is None else "landed", "lanes": lanes, "limit": most, "pages": pages}
+    said = {"path": path, "kind": kind, "transport": "http" if landed is None else "landed", "lanes": lanes, "limit": most, "pages": pages or 0}
     # a lane is one task, so what is made of its answers is spread over more
     return spark.read.format("market").options(**said, **options).load().repartition(parts)

@@ -211,3 +211,30 @@ def test_products_are_spread_over_tasks(spark):
     few = 4 * spark.sparkContext.defaultParallelism
     assert mechanisms.demo_figures(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == few
     assert round_trips.items(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == few
+
+
+def test_active_listings_go_on_until_a_page_is_not_full(spark, tmp_path):
+    from shelfmark.plans import mechanisms
+
+    sizes = {1: 47, 2: 30, 3: 0, 4: 10, 5: 1, 6: 250}
+    spark.createDataFrame([(k, 1, f"p{k}") for k in sizes], "p_partkey long, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(k, i // 7, i % 7, 1.0 + i) for k, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.seq, r.page_start, r.amount) for r in mechanisms.market_active(spark, str(tmp_path)).collect())
+    assert got == [(k, i // 10 * 10, 1.0 + i) for k, n in sizes.items() for i in range(n)]
+
+
+def test_pages_without_a_last_one_are_asked_for_and_held_one_by_one():
+    assert [c for c in lane("active", {}, pages=None, full={("q1", 2 * k) for k in range(40)})[1] if c[0] == "q1"] == [("q1", 2 * k) for k in range(41)]
+    taken = []
+
+    def rows():
+        for offset in range(0, 100, 2):
+            taken.append(offset)
+            yield {"seq": 1, "query": "q", "offset": offset, "status": 200, "body": str(offset)}
+
+    call = markets.Landed(rows())
+    for row in call.queries():
+        for offset in range(0, 100, 2):
+            assert call(row["query"], offset, 2) == (200, str(offset)) and max(taken) <= offset + 2
+        assert call(row["query"], 100, 2) == (404, None)
