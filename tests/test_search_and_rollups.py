@@ -181,3 +181,50 @@ def test_queries_of_the_same_tokens_read_each_text_once(spark, tmp_path):
     got = search_index.searched(index, docs, queries, "doc_id", [docs.text])
     assert sorted(map(tuple, got.collect())) == sorted((q, k) for q in range(5) for k in range(6) if (q < 3) == (k % 2 == 1))
     assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_searches_find_their_texts_without_an_index(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["aa", "aab", "baab", "日本語", "🙂🙂x", "the", "a-word-of-more-than-sixteen", "word-of-more-than-sixteen-letters"]
+    rows = [(k, rng.choice([None, "", *words]), " ".join(rng.choices(words, k=rng.randrange(5)))) for k in range(300)]
+    frame = spark.createDataFrame([*rows, (300, "baa", "b" * (3 * search_index.BLOCK) + "aab"), (301, "x" * (search_index.BLOCK - 2) + "日本語", None)], "id long, a string, b string")
+    queries = [(q, rng.choices([*words, "aa", "ba", "never", "語🙂"], k=rng.randrange(4))) for q in range(120)]
+    asked = spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    want = sorted((q, r.id) for q, tokens in queries if tokens for r in frame.collect() if all(t in (r.a or "") or t in (r.b or "") for t in tokens))
+    index = search_index.build(frame, str(tmp_path / "index"), "id", [F.col("a"), F.col("b")])
+    for of in (None, index):
+        assert sorted(map(tuple, search_index.searched(of, frame, asked, "id", [F.col("a"), F.col("b")]).collect())) == want
+    assert search_index.searched(None, frame, asked.filter("false"), "id", [F.col("a")]).count() == 0
+
+
+def test_many_searches_read_beside_their_queries_few_texts_that_do_not_hold_them():
+    """Words of a few syllables share their runs of three with most texts; what a text is checked for are the words that stand in it, and few others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    syllables = [a + b for a in "bdgklmnrst" for b in "aeiou"]
+    word = lambda: "".join(rng.choices(syllables, k=6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(400)]
+    asked = [t.split()[0] for t in texts]
+    keys = next(search_index.keyed(iter([pa.RecordBatch.from_arrays([pa.array([[a] for a in asked]), pa.array(asked)], names=["tokens", "asked"])]))).column("key").to_numpy().view(np.uint64)
+    width = 12
+    bits = np.zeros(search_index.PARTS << width, np.uint8)
+    for place in search_index.places(width):
+        bits[(keys >> np.uint64(58) << np.uint64(width)) | (keys >> np.uint64(place) & np.uint64((1 << width) - 1))] = 1
+    marks = np.packbits(bits, bitorder="little")
+    led = 0
+    for t in texts:
+        ((_, own),) = search_index.window_keys(search_index.points_of([t]), [12])
+        at = search_index.marked(own, marks, marks != 0, width)
+        assert {t[i : i + 12] for i in at} >= {a for a in asked if a in t}
+        led += len(at)
+    by_runs = sum(min(sum(r in t for t in texts) for r in search_index.token_runs(a)) for a in asked)
+    assert led < 2 * sum(a in t for a in asked for t in texts) < by_runs / 10
+
+
+def test_what_many_searches_ask_for_does_not_follow_runs_of_three(spark):
+    from shelfmark.plans import mechanisms
+
+    made = mechanisms.searched_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ids#" not in made and "MapInArrow" in made
